@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -24,40 +23,21 @@ TIMELESS = [
 ]
 
 
-@dataclass(frozen=True)
-class Form:
-    """How one kind of event is read: class, end point, where its time, name and key parts stand."""
-
-    event: str
-    cls: str
-    kind: str
-    time: str
-    name: str
-    key: tuple[str, ...] = ()
-    parent: str | None = None
-    parent_key: tuple[str, ...] = ()
-    trace: str | None = None
-    trace_key: tuple[str, ...] | None = None
-
-
-STAGE_KEY = ("`Stage Info`.`Stage ID`", "`Stage Info`.`Stage Attempt ID`")
-TASK_STAGE = ("`Stage ID`", "`Stage Attempt ID`")
-TASK_KEY = (*TASK_STAGE, "`Task Info`.`Task ID`", "`Task Info`.`Attempt`")
-
-# The ten known events. Fixed values.
+# Per kind of event: class, end point, class of the trace it belongs to, class of its parent. Fixed values.
 FORMS = [
-    Form("SparkListenerApplicationStart", "App", "Start", "`Timestamp`", "`App Name`", parent="None"),
-    Form("SparkListenerApplicationEnd", "App", "End", "`Timestamp`", "'NO_APP_END_NAME'"),
-    Form("SparkListenerExecutorAdded", "ExecutorAdded", "Point", "`Timestamp`", "`Executor ID`", ("`Executor ID`",), trace="App", trace_key=()),
-    Form("SparkListenerJobStart", "Job", "Start", "`Submission Time`", "`Job ID`", ("`Job ID`",), "App"),
-    Form("SparkListenerJobEnd", "Job", "End", "`Completion Time`", "`Job ID`", ("`Job ID`",)),
-    Form("SparkListenerStageSubmitted", "Stage", "Start", "`Stage Info`.`Submission Time`", "`Stage Info`.`Stage Name`", STAGE_KEY, "App"),
-    Form("SparkListenerStageCompleted", "Stage", "End", "`Stage Info`.`Completion Time`", "`Stage Info`.`Stage Name`", STAGE_KEY),
-    Form("SparkListenerTaskStart", "Task", "Start", "`Task Info`.`Launch Time`", "`Task Info`.`Task ID`", TASK_KEY, "Stage", TASK_STAGE),
-    Form("SparkListenerTaskEnd", "Task", "End", "`Task Info`.`Finish Time`", "`Task Info`.`Task ID`", TASK_KEY),
-    Form(SQL_PACKAGE + "SparkListenerSQLExecutionStart", "SQLQuery", "Start", "`time`", "`executionId`", ("`executionId`",), "App"),
-    Form(SQL_PACKAGE + "SparkListenerSQLExecutionEnd", "SQLQuery", "End", "`time`", "`executionId`", ("`executionId`",)),
+    ("SparkListenerApplicationStart", "App", "Start", "App", None),
+    ("SparkListenerApplicationEnd", "App", "End", "App", None),
+    ("SparkListenerExecutorAdded", "ExecutorAdded", "Point", "App", None),
+    ("SparkListenerJobStart", "Job", "Start", "Job", "App"),
+    ("SparkListenerJobEnd", "Job", "End", "Job", None),
+    ("SparkListenerStageSubmitted", "Stage", "Start", "Stage", "App"),
+    ("SparkListenerStageCompleted", "Stage", "End", "Stage", None),
+    ("SparkListenerTaskStart", "Task", "Start", "Task", "Stage"),
+    ("SparkListenerTaskEnd", "Task", "End", "Task", None),
+    (SQL_PACKAGE + "SparkListenerSQLExecutionStart", "SQLQuery", "Start", "SQLQuery", "App"),
+    (SQL_PACKAGE + "SparkListenerSQLExecutionEnd", "SQLQuery", "End", "SQLQuery", None),
 ]
+UNKNOWN = "Indeterminable"
 
 _accumulables = T.ArrayType(
     T.StructType([T.StructField("Name", T.StringType()), T.StructField("Value", T.StringType()), T.StructField("Update", T.StringType())])
@@ -84,85 +64,106 @@ EVENT_SCHEMA = T.StructType(
 
 
 def parse(raw: DataFrame, line: str = "line") -> DataFrame:
-    """JSON lines as columns; the fields of an event stand under e."""
-    return raw.withColumn("e", F.from_json(line, EVENT_SCHEMA)).where("e IS NOT NULL").drop(line)
+    """JSON lines with the name of the event beside its fields under e; events without a time are dropped unparsed."""
+    named = raw.withColumn("event", F.regexp_extract(line, '"Event"\\s*:\\s*"([^"]+)"', 1))
+    known = named.where((F.col("event") != "") & ~F.col("event").isin(TIMELESS))
+    return known.withColumn("e", F.from_json(line, EVENT_SCHEMA)).drop(line)
 
 
-def _field(path: str) -> Column:
-    return F.expr(path if path.startswith("'") else f"e.{path}").cast("string")
-
-
-def _choose(value, otherwise: Column) -> Column:
-    """Picks per kind of event; value maps a form to a column or None."""
-    out = otherwise
-    for form in FORMS:
-        v = value(form)
-        out = F.when(F.col("e.Event") == form.event, F.lit(None).cast("string") if v is None else v).otherwise(out)
+def _by_class(otherwise: Column | str | None = None, **values: Column) -> Column:
+    out = F.lit(otherwise)
+    for cls, value in values.items():
+        out = F.when(F.col("class") == cls, value).otherwise(out)
     return out
 
 
-def _joined(base: Column, parts: Sequence[str]) -> Column:
-    return F.concat_ws(":", base, *[_field(p) for p in parts])
-
-
 def normalise(raw: DataFrame) -> DataFrame:
     """Raw lines (host, file_path, ingest_ts, line) to one shape for all kinds of event.
 
-    An event file holds one application, so host and path stand for it in all keys.
+    An event file holds one application, so host and path stand for it in all
+    keys; the attempt is part of the key of stages and tasks.
     """
-    rows = parse(raw).where(~F.col("e.Event").isin(TIMELESS))
-    unknown = F.lit("Indeterminable")
+    forms = raw.sparkSession.createDataFrame(FORMS, "event string, class string, event_kind string, _trace string, _parent string")
+    # The table of forms is a fixed list of eleven rows.
+    rows = parse(raw).join(F.broadcast(forms), "event", "left").fillna(
+        UNKNOWN, ["class", "event_kind", "_trace"]
+    )
+    at = lambda path: F.col(f"e.{path}")
+    part = lambda *paths: F.concat_ws(":", *[at(p).cast("string") for p in paths])
+    stage = part("`Stage Info`.`Stage ID`", "`Stage Info`.`Stage Attempt ID`")
+    task_stage = part("`Stage ID`", "`Stage Attempt ID`")
+    started = F.col("event_kind") == "Start"
+    either = lambda start, end: F.when(started, at(start)).otherwise(at(end))
     app = F.concat_ws(":", "host", "file_path")
+    below_app = lambda c: F.concat_ws(":", app, c)
+    text = lambda path: at(path).cast("string")
     rows = rows.select(
         "*",
-        _choose(lambda f: F.lit(f.cls), unknown).alias("class"),
-        _choose(lambda f: F.lit(f.kind), unknown).alias("event_kind"),
-        _choose(lambda f: _field(f.name), unknown).alias("service_name"),
-        _choose(
-            lambda f: _field("`App ID`") if f.cls == "App" and f.kind == "Start"
-            else F.lit("NO_APP_END_ID") if f.cls == "App"
-            else _field("`Stage Info`.`Stage ID`") if f.cls == "Stage"
-            else _field(f.name),
-            unknown,
+        _by_class(
+            UNKNOWN,
+            App=app,
+            ExecutorAdded=below_app(at("`Executor ID`")),
+            Job=below_app(text("`Job ID`")),
+            Stage=below_app(stage),
+            Task=F.concat_ws(":", app, task_stage, part("`Task Info`.`Task ID`", "`Task Info`.`Attempt`")),
+            SQLQuery=below_app(text("executionId")),
+        ).alias("_key"),
+        _by_class(
+            0,
+            App=at("Timestamp"),
+            ExecutorAdded=at("Timestamp"),
+            Job=either("`Submission Time`", "`Completion Time`"),
+            Stage=either("`Stage Info`.`Submission Time`", "`Stage Info`.`Completion Time`"),
+            Task=either("`Task Info`.`Launch Time`", "`Task Info`.`Finish Time`"),
+            SQLQuery=at("time"),
+        ).cast("long").alias("start_millis"),
+        _by_class(
+            UNKNOWN,
+            App=F.when(started, at("`App ID`")).otherwise(F.lit("NO_APP_END_ID")),
+            ExecutorAdded=at("`Executor ID`"),
+            Job=text("`Job ID`"),
+            Stage=text("`Stage Info`.`Stage ID`"),
+            Task=text("`Task Info`.`Task ID`"),
+            SQLQuery=text("executionId"),
         ).alias("service_id"),
-        _choose(lambda f: _joined(app, f.key), unknown).alias("_key"),
-        _choose(lambda f: _joined(app, f.key if f.trace_key is None else f.trace_key), unknown).alias("_trace"),
-        _choose(lambda f: F.lit(f.trace or f.cls), unknown).alias("_trace_class"),
-        _choose(
-            lambda f: F.concat(F.lit(f"{REALM}:{f.parent}:"), _joined(app, f.parent_key))
-            if f.parent not in (None, "None") else None,
-            F.lit(None).cast("string"),
-        ).alias("trace_parent_uid"),
-        _choose(lambda f: _field(f.time), F.lit("0")).cast("long").alias("start_millis"),
+        F.when(F.col("_parent") == "Stage", below_app(task_stage)).otherwise(app).alias("_parent_key"),
     )
     uid = lambda kind: F.concat_ws(":", kind, F.lit(REALM), "class", "_key")
-    event_uid = uid(F.col("event_kind"))
-    start_uid = F.when(F.col("event_kind") == "End", uid(F.lit("Start")))
     out = rows.select(
         F.timestamp_millis("start_millis").alias("ts"),
         F.lit(REALM).alias("realm"),
         "class",
         "event_kind",
-        F.col("e.Event").alias("event"),
-        "service_name",
+        "event",
+        _by_class(
+            None,
+            App=F.when(started, at("`App Name`")).otherwise(F.lit("NO_APP_END_NAME")),
+            Stage=at("`Stage Info`.`Stage Name`"),
+        ).alias("_name"),
         "service_id",
         F.coalesce(
-            F.when(F.col("e.Event") == "SparkListenerApplicationStart", _field("`App ID`")).otherwise(
-                F.try_element_at(F.col("e.Properties"), F.lit("spark.app.id"))
-            ),
+            F.when(F.col("event") == FORMS[0][0], at("`App ID`")),
+            F.try_element_at(at("Properties"), F.lit("spark.app.id")),
             F.lit("unknown"),
         ).alias("app_id"),
         F.lit(False).alias("matched"),
         F.col("ingest_ts").alias("log_timestamp"),
         "start_millis",
-        F.concat(F.lit(f"{REALM}:"), F.col("_trace_class"), F.lit(":"), F.col("_trace")).alias("trace_uid"),
-        event_uid.alias("event_uid"),
-        start_uid.alias("start_event_uid"),
-        F.coalesce(start_uid, event_uid).alias("routing_uid"),
-        "trace_parent_uid",
-        numeric_accumulables(F.coalesce(F.col("e.`Task Info`.Accumulables"), F.col("e.`Stage Info`.Accumulables"))).alias("accumulables"),
+        F.when(F.col("class") == "ExecutorAdded", app).otherwise(F.col("_key")).alias("_trace_key"),
+        "_trace",
+        uid(F.col("event_kind")).alias("event_uid"),
+        F.when(F.col("event_kind") == "End", uid(F.lit("Start"))).alias("start_event_uid"),
+        F.when(F.col("_parent").isNotNull(), F.concat_ws(":", F.lit(REALM), "_parent", "_parent_key")).alias("trace_parent_uid"),
+        numeric_accumulables(F.coalesce(at("`Task Info`.Accumulables"), at("`Stage Info`.Accumulables"))).alias("accumulables"),
+    )
+    out = out.withColumns(
+        {
+            "service_name": F.coalesce("_name", "service_id"),
+            "trace_uid": F.concat_ws(":", F.lit(REALM), "_trace", "_trace_key"),
+            "routing_uid": F.coalesce("start_event_uid", "event_uid"),
+        }
     )
-    return with_ids(out)
+    return with_ids(out.drop("_name", "_trace", "_trace_key"))
 
 
 def numeric_accumulables(c: Column) -> Column:

@@ -337,7 +337,7 @@ def reductions(t):
 @query("agg30", sql("log_lines", """
 SELECT ms // 60000 * 60 AS bucket, level, pod AS pod_name, 'host-' || user_id AS hostname, count(*) AS log_count,
   max(epoch_us(ts)) AS bucket_end_micros
-FROM (SELECT *, epoch_ms(ts) AS ms FROM log_lines) WHERE level IS NOT NULL AND pod IS NOT NULL GROUP BY 1, 2, 3, 4"""))
+FROM (SELECT *, epoch_us(ts) // 1000 AS ms FROM log_lines) WHERE level IS NOT NULL AND pod IS NOT NULL GROUP BY 1, 2, 3, 4"""))
 def log_counts(t):
     rows = logs.located(logs.application_records(S.log_lines(t)))
     # Grouping by a field leaves out the records that lack it.
@@ -442,7 +442,7 @@ def gc(t):
 
 
 @query("agg38", sql("gc", """
-SELECT epoch_ms(ts) // 86400000 * 86400 AS bucket, pod_name, sum(micros)::BIGINT AS pause_micros, sum(before - after)::BIGINT AS reclaimed, count(*) AS pauses
+SELECT epoch_us(ts) // 86400000000 * 86400 AS bucket, pod_name, sum(micros)::BIGINT AS pause_micros, sum(before - after)::BIGINT AS reclaimed, count(*) AS pauses
 FROM gc WHERE form = 'paused' GROUP BY 1, 2"""))
 def gc_by_pod(t):
     return buckets.by_bucket(
@@ -555,7 +555,7 @@ CONTINUOUS = ["click", "view", "error"]
 
 
 @query("agg48", f"""
-SELECT event_type AS dataset, event_type IN ('click', 'view', 'error') AS continuous, epoch_ms(max(ts)) // 1000 AS last_seen,
+SELECT event_type AS dataset, event_type IN ('click', 'view', 'error') AS continuous, epoch_us(max(ts)) // 1000000 AS last_seen,
   CASE WHEN event_type NOT IN ('click', 'view', 'error') OR max(ts) >= TIMESTAMP '{FRESH_AT}' - INTERVAL 30 MINUTE THEN 'ok' ELSE 'stale' END AS status
 FROM events GROUP BY event_type""")
 def freshness(t):
@@ -617,7 +617,7 @@ def pods_by_namespace(t):
 @query("agg52", sql("ev gc stages", """
 SELECT bucket, total, mean, top, gc_micros, errors FROM (
   SELECT ms // 86400000 * 86400 AS bucket, sum(c)::BIGINT AS total, sum(k)::DOUBLE / count(*) AS mean, max(c) AS top, count(*) FILTER (level = 'ERROR') AS errors FROM ev GROUP BY 1)
-LEFT JOIN (SELECT epoch_ms(ts) // 86400000 * 86400 AS bucket, sum(micros)::BIGINT AS gc_micros FROM gc WHERE form = 'paused' GROUP BY 1) USING (bucket)"""))
+LEFT JOIN (SELECT epoch_us(ts) // 86400000000 * 86400 AS bucket, sum(micros)::BIGINT AS gc_micros FROM gc WHERE form = 'paused' GROUP BY 1) USING (bucket)"""))
 def cluster_panels(t):
     """Sums, averages and maxima of the whole cluster per bucket, with pause time and error records beside them."""
     rows = gauges(t)

@@ -101,7 +101,7 @@ SELECT 'h' || user_id AS host, event_id AS seq, CAST(floor(epoch(ts) / 3600) * 3
 FROM (SELECT *, CAST(round(value * 100) AS BIGINT) AS c FROM events)""")
 
 cte("ev", r"""
-SELECT *, CAST(round(value * 100) AS BIGINT) AS c, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, epoch_ms(ts) AS ms,
+SELECT *, CAST(round(value * 100) AS BIGINT) AS c, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, epoch_us(ts) // 1000 AS ms,
   CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'click' THEN 'INFO' WHEN 'view' THEN 'DEBUG' WHEN 'purchase' THEN 'WARN' END AS level
 FROM events""")
 

@@ -212,7 +212,11 @@ def raw_events(t: Tables) -> DataFrame:
         "start_ms",
         "end_ms",
     )
-    place = apps.select("app", "host", "file_path")
+    place = t.customer.select(
+        F.col("c_custkey").alias("app"),
+        F.concat(F.lit("host-"), F.col("c_nationkey")).alias("host"),
+        F.concat(F.lit("/events/app-"), F.col("c_custkey")).alias("file_path"),
+    )
 
     def emit(df: DataFrame, event: str, ms: str, *fields: Column) -> DataFrame:
         return df.where(F.col(ms).isNotNull()).select(

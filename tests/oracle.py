@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import datetime
 import decimal
+import logging
 import os
 import sys
 import time
@@ -67,6 +68,7 @@ def main() -> int:
     folder, only = sys.argv[1], sys.argv[2:]
     spark = session.build("local[8]", "oracle", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g"})
     spark.sparkContext.setLogLevel("ERROR")
+    logging.disable(logging.ERROR)
     con = connect(folder)
     sqls = __spark_entry__.oracle_sql()
     bad = 0
@@ -82,7 +84,7 @@ def main() -> int:
             else:
                 result = f"rows only: {run(spark, folder).count()}"
         except Exception as e:  # noqa: BLE001 - every failure is listed
-            result = f"ERROR {type(e).__name__}: {str(e)[:700]}"
+            result = f"ERROR {type(e).__name__}: {str(e)[:600]}"
         if not (result == "ok" or result.startswith("rows only")):
             bad += 1
         print(f"{name:10s} {time.time() - t0:6.2f}s {result}", flush=True)
