@@ -257,7 +257,7 @@ def timed_events(t):
     """Raw events of the kinds that carry no time are dropped; a kind nobody knows stays."""
     from opswell.operators.lifecycle import parse
 
-    kept = parse(S.raw_events(t)).where(F.col("event").rlike("Executor|BlockManager|UnheardOf"))
+    kept = parse(S.raw_events(t, ("executor", "odd")))
     kind = F.when(F.col("event").endswith("UnheardOf"), F.lit("odd")).otherwise(F.lit("executor"))
     return kept.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 

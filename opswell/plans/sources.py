@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from opswell.functions.numbers import cents
-from opswell.functions.text import last_part  # noqa: F401 - part of the surface
 from opswell.operators import lifecycle, tables
 from opswell.plans.ctes import sql
-from opswell.plans.joins import PAIRS  # noqa: F401
 from opswell.registry import query
 from opswell.sources import readers, standins as S, writers
 from opswell.streaming import files
@@ -196,7 +194,7 @@ SELECT 'SparkListenerJobStart', count(*) FROM jobs UNION ALL SELECT 'SparkListen
 def event_log(t):
     """Event lines of applications and jobs as files, one folder per host."""
     path = t.scratch("events")
-    rows = S.raw_events(t).where(F.col("line").rlike('^\\{"Event":"SparkListener(Application|Job)'))
+    rows = S.raw_events(t, ("app", "job"))
     rows.select("host", F.col("line").alias("value")).repartition("host").write.partitionBy("host").text(path)
     return path
 
@@ -232,14 +230,11 @@ def rotating_logs(t):
     return files.caught_up(t, stream).groupBy(level).agg(F.count(F.lit(1)).alias("n"))
 
 
-JOB_STARTS = sql("jobs", "SELECT job, start_ms FROM jobs")
-
-
 @query("src17", sql("jobs", "SELECT 'Start' AS event_kind, count(*) AS n FROM jobs UNION ALL SELECT 'End', count(end_ms) FROM jobs"))
 def appended_events(t):
     """Normalised events appended as JSON lines."""
     path = t.scratch("normalised")
-    rows = lifecycle.normalise(S.raw_events(t).where(F.col("line").startswith('{"Event":"SparkListenerJob')))
+    rows = lifecycle.normalise(S.raw_events(t, ("job",)))
     rows.select("event_id", "class", "event_kind", "start_millis").write.mode("append").json(path)
     read = t.spark.read.schema("event_id STRING, class STRING, event_kind STRING, start_millis BIGINT").json(path)
     return read.groupBy("event_kind").agg(F.count(F.lit(1)).alias("n"))

@@ -20,20 +20,22 @@ def named_lines(spark: SparkSession, *paths: str, depth: int = 1) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, *paths: str) -> DataFrame:
-    """Lines with their file and a number that grows along it.
+    """Lines with their file and a number that grows along it (it has gaps, but no two lines share one).
 
-    A file is read in blocks; the number is the block's place in the file and the
-    line's place in the block.
+    A file is read in blocks. A block has at most as many lines as bytes, so its
+    place in the file plus a line's place in the block is such a number.
     """
-    rows = spark.read.option("lineSep", "\n").text(list(paths))
-    block = F.col("_metadata.file_block_start")
-    inside = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
-    # A block cannot hold more lines than bytes, and numbers inside a task start at 0 for its first block.
-    return rows.select(
+    rows = spark.read.option("lineSep", "\n").text(list(paths)).select(
         F.col("_metadata.file_path").alias("path"),
-        F.struct(block.alias("block"), inside.alias("line")).alias("at"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_id"),
         "value",
     )
+    firsts = rows.groupBy(F.col("path").alias("_path"), F.col("_block").alias("_at")).agg(F.min("_id").alias("_first"))
+    same = (F.col("path") == F.col("_path")) & (F.col("_block") == F.col("_at"))
+    return rows.join(firsts, same).select(
+        "path", (F.col("_block") + F.col("_id") - F.col("_first")).alias("line_no"), "value"
+    )
 
 
 def delimited(

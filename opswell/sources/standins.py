@@ -202,8 +202,11 @@ def edges(ops: DataFrame, keys: list[str]) -> DataFrame:
     return point("start", "start_ms").unionByName(point("end", "end_ms"))
 
 
-def raw_events(t: Tables) -> DataFrame:
-    """One JSON line per lifecycle event, as an event log holds them."""
+ALL_EVENTS = ("app", "job", "stage", "task", "sql", "executor", "odd")
+
+
+def raw_events(t: Tables, kinds: tuple[str, ...] = ALL_EVENTS) -> DataFrame:
+    """One JSON line per lifecycle event of the given kinds, as an event log holds them."""
     apps = applications(t).select(
         "app",
         "name",
@@ -269,23 +272,36 @@ def raw_events(t: Tables) -> DataFrame:
         F.struct(F.lit("bytes").alias("Name"), F.col("bytes").cast("string").alias("Value"), F.lit("1").alias("Update"))
     ).alias("Accumulables")
     sql_package = "org.apache.spark.sql.execution.ui."
-    parts = [
-        emit(apps, "SparkListenerApplicationStart", "start_ms", F.col("name").alias("App Name"), app_id.alias("App ID"), at("start_ms", "Timestamp")),
-        emit(apps, "SparkListenerApplicationEnd", "end_ms", at("end_ms", "Timestamp")),
-        emit(job, "SparkListenerJobStart", "start_ms", F.col("job").alias("Job ID"), at("start_ms", "Submission Time"), properties),
-        emit(job, "SparkListenerJobEnd", "end_ms", F.col("job").alias("Job ID"), at("end_ms", "Completion Time")),
-        emit(stage, "SparkListenerStageSubmitted", "start_ms", stage_info("start_ms", "Submission Time"), properties),
-        emit(stage, "SparkListenerStageCompleted", "end_ms", stage_info("end_ms", "Completion Time")),
-        emit(task, "SparkListenerTaskStart", "start_ms", *of_stage, task_info().alias("Task Info")),
-        emit(task, "SparkListenerTaskEnd", "end_ms", *of_stage, task_info(at("end_ms", "Finish Time"), counts).alias("Task Info")),
-        emit(sql, sql_package + "SparkListenerSQLExecutionStart", "start_ms", F.col("event_id").alias("executionId"), at("start_ms", "time")),
-        emit(sql, sql_package + "SparkListenerSQLExecutionEnd", "end_ms", F.col("event_id").alias("executionId"), at("end_ms", "time")),
-        emit(executor, "SparkListenerExecutorAdded", "start_ms", F.col("executor").alias("Executor ID"), at("start_ms", "Timestamp")),
-        emit(executor, "SparkListenerBlockManagerAdded", "start_ms", at("start_ms", "Timestamp")),
-        emit(odd, "SparkListenerUnheardOf", "start_ms"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
+    parts = {
+        "app": [
+            emit(apps, "SparkListenerApplicationStart", "start_ms", F.col("name").alias("App Name"), app_id.alias("App ID"), at("start_ms", "Timestamp")),
+            emit(apps, "SparkListenerApplicationEnd", "end_ms", at("end_ms", "Timestamp")),
+        ],
+        "job": [
+            emit(job, "SparkListenerJobStart", "start_ms", F.col("job").alias("Job ID"), at("start_ms", "Submission Time"), properties),
+            emit(job, "SparkListenerJobEnd", "end_ms", F.col("job").alias("Job ID"), at("end_ms", "Completion Time")),
+        ],
+        "stage": [
+            emit(stage, "SparkListenerStageSubmitted", "start_ms", stage_info("start_ms", "Submission Time"), properties),
+            emit(stage, "SparkListenerStageCompleted", "end_ms", stage_info("end_ms", "Completion Time")),
+        ],
+        "task": [
+            emit(task, "SparkListenerTaskStart", "start_ms", *of_stage, task_info().alias("Task Info")),
+            emit(task, "SparkListenerTaskEnd", "end_ms", *of_stage, task_info(at("end_ms", "Finish Time"), counts).alias("Task Info")),
+        ],
+        "sql": [
+            emit(sql, sql_package + "SparkListenerSQLExecutionStart", "start_ms", F.col("event_id").alias("executionId"), at("start_ms", "time")),
+            emit(sql, sql_package + "SparkListenerSQLExecutionEnd", "end_ms", F.col("event_id").alias("executionId"), at("end_ms", "time")),
+        ],
+        "executor": [
+            emit(executor, "SparkListenerExecutorAdded", "start_ms", F.col("executor").alias("Executor ID"), at("start_ms", "Timestamp")),
+            emit(executor, "SparkListenerBlockManagerAdded", "start_ms", at("start_ms", "Timestamp")),
+        ],
+        "odd": [emit(odd, "SparkListenerUnheardOf", "start_ms")],
+    }
+    chosen = [df for kind in kinds for df in parts[kind]]
+    out = chosen[0]
+    for p in chosen[1:]:
         out = out.unionByName(p)
     return out
 
