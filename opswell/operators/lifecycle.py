@@ -292,7 +292,7 @@ def active_counts(points: DataFrame, keys: Sequence[str], order: Sequence[str],
     The count is the plain running sum less its lowest value so far, if that is below 0.
     """
     out = segments.running_sums(points, keys, order, {"_sum": change}, **cut)
-    out = segments.running_least(out, keys, order, "_sum", "_low", **cut)
+    out = segments.running_least(out, keys, order, {"_low": "_sum"}, **cut)
     active = F.col("_sum") - F.least(F.lit(0), F.col("_low"))
     return out.select(*points.columns, active.cast("long").alias("active"))
 

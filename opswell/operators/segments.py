@@ -180,18 +180,18 @@ def running_sums(
 
 
 def running_least(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], column: str, name: str, greatest: bool = False, **cut
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: dict[str, str], greatest: bool = False, **cut
 ) -> DataFrame:
-    """min (or max) of a column over all rows of the key up to this one."""
+    """min (or max) of columns over all rows of the key up to this one; columns: result name -> column."""
     agg, pick = (F.max, F.greatest) if greatest else (F.min, F.least)
     spans = Spans(df, keys, order[0], **cut)
     out = spans.carry(
         _sort(order, False),
-        {"_here": lambda w: agg(column).over(_upto_here(w))},
-        {"_best": agg(column)},
-        {"_ahead": lambda w: agg("_best").over(w)},
+        {f"_here_{n}": (lambda w, c=c: agg(c).over(_upto_here(w))) for n, c in columns.items()},
+        {f"_best_{n}": agg(c) for n, c in columns.items()},
+        {f"_ahead_{n}": (lambda w, n=n: agg(f"_best_{n}").over(w)) for n in columns},
     )
-    return spans.tidy(out, **{name: pick("_here", "_ahead")})
+    return spans.tidy(out, **{n: pick(f"_here_{n}", f"_ahead_{n}") for n in columns})
 
 
 def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: dict[str, str], **cut) -> DataFrame:

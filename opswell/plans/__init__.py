@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import importlib
-import importlib.util
 
 from opswell.registry import QUERIES, Query
 
@@ -26,5 +25,5 @@ FAMILIES = [
 
 def load() -> dict[str, Query]:
     for name in FAMILIES:
-        if importlib.util.find_spec(f"opswell.plans.{name}"): importlib.import_module(f"opswell.plans.{name}")
+        importlib.import_module(f"opswell.plans.{name}")
     return QUERIES

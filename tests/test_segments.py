@@ -59,9 +59,9 @@ def test_running_sums(rows, peers):
 
 def test_running_least(rows):
     w = ordered().rowsBetween(Window.unboundedPreceding, 0)
-    same(S.running_least(rows, ["k"], ["x", "id"], "v", "m"), rows.withColumn("m", F.min("v").over(w)))
+    same(S.running_least(rows, ["k"], ["x", "id"], {"m": "v"}), rows.withColumn("m", F.min("v").over(w)))
     same(
-        S.running_least(rows, ["k"], ["x", "id"], "v", "m", greatest=True),
+        S.running_least(rows, ["k"], ["x", "id"], {"m": "v"}, greatest=True),
         rows.withColumn("m", F.max("v").over(w)),
     )
 
