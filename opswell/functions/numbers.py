@@ -40,12 +40,18 @@ def fahrenheit_to_rankine(c: Column | str) -> Column:
 
 
 def common_divisor(a: Column | str, b: Column | str) -> Column:
-    """Greatest common divisor; 92 division steps are enough for any pair of 64-bit numbers."""
+    """Greatest common divisor by repeated division.
+
+    The number of steps is at most that of two neighbouring Fibonacci numbers of
+    the size of the smaller one, so small numbers take a few steps only.
+    """
     start = F.struct(F.abs(col(a)).alias("a"), F.abs(col(b)).alias("b"))
+    golden = (1 + 5**0.5) / 2
+    steps = F.ceil(F.log(golden, F.least(start["a"], start["b"]) + 1.0)).cast("int") + 3
     step = lambda s, _: F.when(s["b"] == 0, s).otherwise(
         F.struct(s["b"].alias("a"), F.try_mod(s["a"], s["b"]).alias("b"))
     )
-    return F.aggregate(F.sequence(F.lit(1), F.lit(92)), start, step, lambda s: s["a"])
+    return F.aggregate(F.sequence(F.lit(1), steps), start, step, lambda s: s["a"])
 
 
 def fraction(numerator: Column | str, denominator: Column | str) -> Column:

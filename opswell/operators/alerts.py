@@ -293,7 +293,7 @@ def short_description(signature: Column | str) -> Column:
 
 def correlate(alerts: DataFrame, keys: Sequence[str], created: str, tie: str, **cut) -> DataFrame:
     """The first alert of a key creates the incident, later ones join it: place, action and incident of every alert."""
-    out = segments.row_numbers(alerts, keys, [created, tie], "place", **cut)
+    out = segments.Ordered(alerts, keys, [created, tie], **cut).row_numbers("place").df
     first = alerts.groupBy(*keys).agg(F.min_by(tie, F.struct(created, tie)).alias("incident_of"))
     out = segments.attach(out, first, keys)
     return out.withColumn("action", F.when(F.col("place") == 1, F.lit("create")).otherwise(F.lit("correlate")))
@@ -307,12 +307,10 @@ def escalate(alerts: DataFrame, keys: Sequence[str], created: str, tie: str, **c
     over n alerts, the urgency is the least of (first + 1) and (k-th - 1 + k) for
     2 <= k <= n, less n, and never below 1.
     """
-    out = segments.row_numbers(alerts, keys, [created, tie], "place", **cut)
+    rows = segments.Ordered(alerts, keys, [created, tie], **cut).row_numbers("place")
     lead = F.when(F.col("place") == 1, F.col("urgency") + 1).otherwise(F.col("urgency") - 1 + F.col("place"))
-    out = segments.running_least(
-        out.withColumn("_lead", lead.cast("long")), keys, [created, tie], {"_least": "_lead", "incident_impact": "impact"}, **cut
-    )
-    return out.select(
+    rows = rows.plus(_lead=lead.cast("long")).settled()
+    return rows.running_least({"_least": "_lead", "incident_impact": "impact"}).df.select(
         *alerts.columns,
         "place",
         F.greatest(F.lit(1).cast("long"), F.col("_least") - F.col("place")).alias("incident_urgency"),

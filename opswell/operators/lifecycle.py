@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from opswell import session
 from opswell.operators import segments
 from opswell.operators.tables import newest
 
@@ -194,51 +195,38 @@ def deliver_once(df: DataFrame, key: str = "event_id") -> DataFrame:
 
 
 def match(events: DataFrame, on: str = "id") -> DataFrame:
-    """Ends joined to the starts they name: one interval row each, with its duration.
+    """Every end with the start it names as one interval row, with its duration.
 
-    on="id" joins by hashed ids, on="uid" by the uids themselves.
+    A start and its end have the same routing key: the start's id (on="id") or
+    uid (on="uid"). So both meet by grouping on that key, in one pass and one
+    shuffle; a group holds one pair and its repeated deliveries.
     """
-    start_key, end_key = ("event_id", "start_event_id") if on == "id" else ("event_uid", "start_event_uid")
-    starts = events.where(F.col("event_kind") == "Start").select(
-        F.col(start_key).alias("_start_key"),
-        F.col("ts").alias("start_time"),
-        F.col("start_millis").alias("start_ms"),
-        "service_name",
-        "trace_id",
-        F.col("trace_parent_id").alias("parent_id"),
-        F.col("event_id").alias("start_id"),
-    )
-    ends = events.where(F.col("event_kind") == "End").select(
-        F.col(end_key).alias("_end_key"),
-        "realm",
-        "class",
-        F.col("ts").alias("end_time"),
-        F.col("start_millis").alias("end_ms"),
-        F.col("event_id").alias("end_event_id"),
-    )
-    return ends.join(starts, F.col("_end_key") == F.col("_start_key")).select(
-        "start_time",
-        "end_time",
-        "realm",
-        "class",
-        "service_name",
-        "trace_id",
-        "parent_id",
-        "start_ms",
-        "end_ms",
-        (F.col("end_ms") - F.col("start_ms")).alias("duration_ms"),
-        F.col("start_id").alias("start_event_id"),
-        "end_event_id",
+    key = {"id": "routing_id", "uid": "routing_uid"}[on]
+    side = lambda kind, *fields: F.max(F.when(F.col("event_kind") == kind, F.struct(*fields)))
+    start = side("Start", "start_millis", "ts", "service_name", "trace_id", "trace_parent_id", "event_id")
+    end = side("End", "start_millis", "ts", "realm", "class", "event_id")
+    pairs = events.groupBy(key).agg(start.alias("s"), end.alias("e")).where("s IS NOT NULL AND e IS NOT NULL")
+    return pairs.select(
+        F.col("s.ts").alias("start_time"),
+        F.col("e.ts").alias("end_time"),
+        "e.realm",
+        "e.class",
+        "s.service_name",
+        "s.trace_id",
+        F.col("s.trace_parent_id").alias("parent_id"),
+        F.col("s.start_millis").alias("start_ms"),
+        F.col("e.start_millis").alias("end_ms"),
+        (F.col("e.start_millis") - F.col("s.start_millis")).alias("duration_ms"),
+        F.col("s.event_id").alias("start_event_id"),
+        F.col("e.event_id").alias("end_event_id"),
     )
 
 
 def flag_matched(events: DataFrame) -> DataFrame:
-    """Both sides of a pair get matched = true."""
-    pairs = match(events)
-    ids = pairs.select(F.explode(F.array("start_event_id", "end_event_id")).alias("_id")).distinct()
-    return events.drop("matched").join(ids, F.col("event_id") == F.col("_id"), "left").select(
-        *[c for c in events.columns if c != "matched"], F.col("_id").isNotNull().alias("matched")
-    )
+    """Both sides of a pair get matched = true. A group is one pair, so its window is small."""
+    pair = Window.partitionBy("routing_id")
+    has = lambda kind: F.max(F.col("event_kind") == kind).over(pair)
+    return events.withColumn("matched", has("Start") & has("End"))
 
 
 def keep_unmatched(flagged: DataFrame) -> DataFrame:
@@ -248,9 +236,7 @@ def keep_unmatched(flagged: DataFrame) -> DataFrame:
 
 def open_starts(events: DataFrame) -> DataFrame:
     """Starts that no end names."""
-    starts = events.where(F.col("event_kind") == "Start")
-    ends = events.where(F.col("event_kind") == "End").select(F.col("start_event_id").alias("_start"))
-    return starts.join(ends, F.col("event_id") == F.col("_start"), "left_anti")
+    return flag_matched(events).where((F.col("event_kind") == "Start") & ~F.col("matched"))
 
 
 def open_at(ops: DataFrame, at_ms: Column, within_ms: int | None = None) -> DataFrame:
@@ -291,18 +277,17 @@ def active_counts(points: DataFrame, keys: Sequence[str], order: Sequence[str],
 
     The count is the plain running sum less its lowest value so far, if that is below 0.
     """
-    out = segments.running_sums(points, keys, order, {"_sum": change}, **cut)
-    out = segments.running_least(out, keys, order, {"_low": "_sum"}, **cut)
+    rows = segments.Ordered(points, keys, order, **cut).running_sums({"_sum": change})
+    rows = rows.settled().running_least({"_low": "_sum"})
     active = F.col("_sum") - F.least(F.lit(0), F.col("_low"))
-    return out.select(*points.columns, active.cast("long").alias("active"))
+    return rows.df.select(*points.columns, active.cast("long").alias("active"))
 
 
 def open_on_grid(points: DataFrame, keys: Sequence[str], at_ms: str, change: str, grid_ms: int, **cut) -> DataFrame:
     """Operations open at the end of each grid cell in which something happened."""
     cell = F.floor(F.col(at_ms) / grid_ms) * F.lit(grid_ms).cast("long")
     per_cell = points.groupBy(*keys, cell.alias("cell")).agg(F.sum(change).alias("_change"))
-    out = segments.running_sums(per_cell, keys, ["cell"], {"open": "_change"}, **cut)
-    return out.drop("_change")
+    return segments.Ordered(session.settle(per_cell), keys, ["cell"], **cut).running_sums({"open": "_change"}).df.drop("_change")
 
 
 def durations(starts: DataFrame, ends: DataFrame, key: str) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from opswell import session
 from opswell.functions import text as X
 from opswell.operators import segments
 
@@ -67,7 +68,7 @@ def stitch(df: DataFrame, file: str, line_no: str, value: str, max_lines: int =
     a file form a record of their own.
     """
     marked = df.withColumn("_start", F.when(F.col(value).rlike(RECORD_START), F.col(line_no)))
-    placed = segments.last_known(marked, [file], [line_no], {"record": "_start"}, including=True, **cut)
+    placed = session.settle(segments.Ordered(marked, [file], [line_no], **cut).last_known(upto={"record": "_start"}).df)
     first = Window.partitionBy(file, "record").orderBy(line_no)
     sizes = placed.groupBy(file, "record").agg(F.count(F.lit(1)).alias("lines"))
     # row_number <= max_lines is applied before the shuffle too, so a record never brings more than that to a task.

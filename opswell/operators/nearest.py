@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from opswell import session
 from opswell.operators import segments
 
 
@@ -35,7 +36,8 @@ def newest_between(
         return df.select(*keys, F.col(time).alias("_at"), F.lit(kind).alias("_kind"), F.col(key).alias("_id"), F.lit(n).alias("_n"))
 
     marks = mark(lines, at, line, line_id, 1).unionByName(mark(asks, lo, opening, ask_id, 0)).unionByName(mark(asks, hi, closing, ask_id, 0))
-    counted = segments.running_sums(marks, keys, ["_at", "_kind", "_id"], {"_pos": "_n"}, **cut)
+    counted = segments.Ordered(marks, keys, ["_at", "_kind", "_id"], measured=lines.select(F.col(at).alias("_at")), **cut)
+    counted = session.settle(counted.running_sums({"_pos": "_n"}).df)
     numbers = counted.where(F.col("_kind") == line).select(
         *keys, F.col("_pos").alias("_number"), F.col("_id").alias(line_id), F.col("_at").alias(at)
     )

@@ -25,55 +25,31 @@ def counter_rates(
     taken up by the first row and by every row for which time has passed. With
     idle_seconds, a longer silence makes the next row a first row again.
     """
-    out = segments.previous(df, keys, [at, tie], {"_prev_at": at}, **cut)
-    out = out.withColumn("_gap", F.col(at) - F.col("_prev_at"))
+    rows = segments.Ordered(df, keys, [at, tie], **cut).previous({"_prev_at": at})
+    rows = rows.plus(_gap=F.col(at) - F.col("_prev_at"))
     first = F.col("_gap").isNull()
     if idle_seconds is not None:
         first = first | (F.col("_gap") > idle_seconds)
-    out = out.withColumn("_first", first).withColumn("_since", F.when(F.col("_first"), F.col(at)))
-    taken = {m: f"_taken_{m}" for m in measures}
-    held = {m: f"_held_{m}" for m in measures}
-    out = out.select(
-        "*",
-        *[F.when(F.col("_first") | (F.col("_gap") > 0), F.col(m)).alias(taken[m]) for m in measures],
-    )
-    if idle_seconds is None:
-        out = segments.last_known(out, keys, [at, tie], {held[m]: taken[m] for m in measures}, **cut)
-    else:
-        # A value counts only while no new start lies between it and this row.
-        out = segments.last_known(out, keys, [at, tie], {"_start": "_since"}, including=True, **cut)
-        out = out.select(
-            "*",
-            *[
-                F.when(F.col(taken[m]).isNotNull(), F.struct(F.col("_start").alias("s"), F.col(taken[m]).alias("v"))).alias(
-                    f"_pair_{m}"
-                )
-                for m in measures
-            ],
-        )
-        out = segments.last_known(out, keys, [at, tie], {f"_back_{m}": f"_pair_{m}" for m in measures}, **cut)
-        out = out.select(
-            "*",
-            *[
-                F.when(F.col(f"_back_{m}")["s"] == F.col("_start"), F.col(f"_back_{m}")["v"]).alias(held[m])
-                for m in measures
-            ],
-        )
-    return out.select(
-        *df.columns,
-        *[
-            F.when(
-                ~F.col("_first") & (F.col("_gap") > 0) & (F.col(m) >= F.col(held[m])),
-                (F.col(m) - F.col(held[m])).cast("double") / F.col("_gap"),
-            ).alias(f"{m}_rate")
-            for m in measures
-        ],
+    rows = rows.plus(_first=first).settled()
+    # What a row hands on: its value and when it was taken up.
+    taken = lambda m: F.when(
+        (F.col("_first") | (F.col("_gap") > 0)) & F.col(m).isNotNull(), F.struct(F.col(at).alias("at"), F.col(m).alias("v"))
     )
+    rows = rows.plus(_since=F.when(F.col("_first"), F.col(at)), **{f"_taken_{m}": taken(m) for m in measures})
+    rows = rows.last_known(before={f"_held_{m}": f"_taken_{m}" for m in measures}, upto={"_start": "_since"})
+
+    def rate(m):
+        held = F.col(f"_held_{m}")
+        # A value from before the last start does not count; a start comes after a gap, so times tell.
+        usable = ~F.col("_first") & (F.col("_gap") > 0) & (held["at"] >= F.col("_start")) & (F.col(m) >= held["v"])
+        return F.when(usable, (F.col(m) - held["v"]).cast("double") / F.col("_gap"))
+
+    return rows.df.select(*df.columns, *[rate(m).alias(f"{m}_rate") for m in measures])
 
 
 def deltas(df: DataFrame, keys: Sequence[str], order: Sequence[str], measure: str, name: str, **cut) -> DataFrame:
     """Cumulative to delta: the increase since the row before, the value itself after a restart, null at first."""
-    out = segments.previous(df, keys, order, {"_prev": measure}, **cut)
+    out = segments.Ordered(df, keys, order, **cut).previous({"_prev": measure}).df
     return out.withColumn(
         name,
         F.when(F.col("_prev").isNotNull(), F.when(F.col(measure) >= F.col("_prev"), F.col(measure) - F.col("_prev")).otherwise(F.col(measure))),
@@ -83,9 +59,9 @@ def deltas(df: DataFrame, keys: Sequence[str], order: Sequence[str], measure: st
 def range_rates(
     df: DataFrame, keys: Sequence[str], at: str, order: Sequence[str], measure: str, seconds: int, **cut
 ) -> DataFrame:
-    """Increase per second inside each bucket of the given length, one row per series and bucket."""
+    """Increase inside each bucket of the given length and increase per second, one row per series and bucket."""
     rows = deltas(df.where(F.col(measure).isNotNull()), keys, order, measure, "_delta", **cut)
     bucket = F.floor(F.col(at) / seconds) * F.lit(seconds).cast("long")
     return rows.groupBy(*keys, bucket.alias("bucket")).agg(
-        (F.sum("_delta").cast("double") / seconds).alias("rate")
+        F.sum("_delta").alias("increase"), (F.sum("_delta").cast("double") / seconds).alias("rate")
     )

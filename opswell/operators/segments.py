@@ -13,6 +13,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from opswell import session
+
 ROWS_PER_SPAN = 1_000_000
 LEAST_SPANS = 8
 SPAN = "_span"
@@ -37,32 +39,41 @@ def _position(column: str, dtype: str) -> Column:
     return F.col(column).cast("double")
 
 
-class Spans:
-    """Rows of a table tagged with null-free keys and the span of the ordering column they fall in."""
+def _upto_here(w):
+    return w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def _before_here(w):
+    return w.rowsBetween(Window.unboundedPreceding, -1)
+
+
+class Ordered:
+    """Rows by key and order, each tagged with the span of the first ordering column it falls in.
+
+    The methods add columns and give new Ordered rows with the same tags, so the
+    ordering range is measured once for a chain of steps. Each step reads its
+    rows twice (for the rows and for the one row per span), so between two steps
+    of a chain the rows are settled.
+    """
 
     def __init__(
         self,
         df: DataFrame,
         keys: Sequence[str],
-        x: str,
+        order: Sequence[str],
         rows_per_span: int = ROWS_PER_SPAN,
         least: int = LEAST_SPANS,
+        measured: DataFrame | None = None,
     ):
+        """measured: rows to take the range of the ordering column from, where cheaper ones than df have the same."""
         types = dict(df.dtypes)
-        self.columns = df.columns
-        self.keys = list(keys)
-        self.x = x
-        at = _position(x, types[x])
-        bounds = df.select(at.alias("at")).agg(
-            F.min("at").alias("lo"),
-            F.greatest(
-                (F.max("at") - F.min("at")) / F.greatest(F.lit(least), F.ceil(F.count("at") / rows_per_span)),
-                F.lit(1e-9),
-            ).alias("width"),
-        )
-        lo, width = bounds.select("lo").scalar(), bounds.select("width").scalar()
-        self.by = []
-        tags = []
+        self.columns, self.keys, self.order = df.columns, list(keys), list(order)
+        at = _position(order[0], types[order[0]])
+        parts = F.greatest(F.lit(least), F.ceil(F.count("at") / rows_per_span))
+        reach = F.greatest((F.max("at") - F.min("at")) / parts, F.lit(1e-9))
+        range_ = (measured or df).select(at.alias("at")).agg(F.struct(F.min("at").alias("lo"), reach.alias("width")).alias("r"))
+        r = range_.scalar()
+        self.by, tags = [], []
         for i, key in enumerate(self.keys):
             self.by += [f"_key{i}", f"_none{i}"]
             tags += [
@@ -70,168 +81,130 @@ class Spans:
                 F.col(key).isNull().alias(f"_none{i}"),
             ]
         # Nulls of the ordering column sort first, as in an ascending window.
-        tags.append(F.coalesce(F.floor((at - lo) / width), F.lit(-1)).alias(SPAN))
+        tags.append(F.coalesce(F.floor((at - r["lo"]) / r["width"]), F.lit(-1)).alias(SPAN))
         self.rows = df.select("*", *tags)
 
-    def within(self, order: Sequence[Column]) -> Window:
-        return Window.partitionBy(*self.by, SPAN).orderBy(*order)
+    @property
+    def df(self) -> DataFrame:
+        return self.rows.select(*self.columns)
+
+    def _copy(self, rows: DataFrame, columns: Sequence[str]) -> Ordered:
+        new = object.__new__(Ordered)
+        new.__dict__.update(self.__dict__)
+        new.rows, new.columns = rows, list(columns)
+        return new
+
+    def plus(self, **columns: Column) -> Ordered:
+        """Columns computed row by row, all from the columns there are."""
+        names = [*self.columns, *[n for n in columns if n not in self.columns]]
+        return self._copy(self.rows.withColumns(columns), names)
+
+    def settled(self) -> Ordered:
+        return self._copy(session.settle(self.rows), self.columns)
 
     def carry(
         self,
-        order: Sequence[Column],
         local: dict[str, Callable],
         totals: dict[str, Column],
         before: dict[str, Callable],
+        results: dict[str, Column],
         descending: bool = False,
         overall: dict[str, Callable] | None = None,
-    ) -> DataFrame:
-        """Rows with results inside their span and results over all spans before it.
+    ) -> Ordered:
+        """Results from what a row sees inside its span and from all spans before it.
 
         local: name -> function of the window inside a span.
         totals: name -> aggregate of one span.
         before: name -> function of the window over the spans before, reading totals.
         overall: name -> function of the window over all spans of the key, reading totals.
+        results: name -> column made of the ones above.
         """
-        inside = self.within(order)
+        way = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
+        inside = Window.partitionBy(*self.by, SPAN).orderBy(*[way(c) for c in self.order])
         rows = self.rows.select("*", *[f(inside).alias(n) for n, f in local.items()])
-        direction = F.col(SPAN).desc() if descending else F.col(SPAN).asc()
-        earlier = Window.partitionBy(*self.by).orderBy(direction).rowsBetween(Window.unboundedPreceding, -1)
+        earlier = Window.partitionBy(*self.by).orderBy(way(SPAN)).rowsBetween(Window.unboundedPreceding, -1)
         whole = Window.partitionBy(*self.by)
-        facts = self.rows.groupBy(*self.by, SPAN).agg(*[e.alias(n) for n, e in totals.items()])
+        group = [*self.by, SPAN]
+        facts = self.rows.groupBy(*group).agg(*[e.alias(n) for n, e in totals.items()])
         facts = facts.select(
-            *[F.col(c).alias(f"_of{c}") for c in [*self.by, SPAN]],
+            *[F.col(c).alias(f"_of{c}") for c in group],
             *[f(earlier).alias(n) for n, f in before.items()],
             *[f(whole).alias(n) for n, f in (overall or {}).items()],
         )
-        match = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_of{c}") for c in [*self.by, SPAN]])
+        match = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_of{c}") for c in group])
         joined = rows.join(facts, match, "left")
-        return joined.drop(*[f"_of{c}" for c in [*self.by, SPAN]])
-
-    def tidy(self, df: DataFrame, **results: Column) -> DataFrame:
-        return df.select(*self.columns, *[e.alias(n) for n, e in results.items()])
-
-
-def _sort(names: Sequence[str], descending: bool) -> list[Column]:
-    return [F.col(n).desc() if descending else F.col(n).asc() for n in names]
-
-
-def _upto_here(w):
-    return w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-
-def _before_here(w):
-    return w.rowsBetween(Window.unboundedPreceding, -1)
-
-
-def row_numbers(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    name: str = "row_number",
-    total: str | None = None,
-    descending: bool = False,
-    **cut,
-) -> DataFrame:
-    """row_number() over (partition by keys order by order); order must be unique within a key."""
-    spans = Spans(df, keys, order[0], **cut)
-    out = spans.carry(
-        _sort(order, descending),
-        {"_here": lambda w: F.row_number().over(w)},
-        {"_n": F.count(F.lit(1))},
-        {"_ahead": lambda w: F.sum("_n").over(w)},
-        descending,
-        {"_all": lambda w: F.sum("_n").over(w)},
-    )
-    results = {name: (F.col("_here") + F.coalesce("_ahead", F.lit(0))).cast("long")}
-    if total:
-        results[total] = F.col("_all").cast("long")
-    return spans.tidy(out, **results)
-
-
-def running_sums(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, str], peers: bool = False, **cut
-) -> DataFrame:
-    """sum(column) over (partition by keys order by order), by rows, or by range where peers count together.
-
-    sums: result name -> column.
-    """
-    spans = Spans(df, keys, order[0], **cut)
-
-    def frame(w):
-        return w.rangeBetween(Window.unboundedPreceding, Window.currentRow) if peers else _upto_here(w)
-
-    out = spans.carry(
-        _sort(order, False),
-        {f"_here_{n}": (lambda w, c=c: F.sum(c).over(frame(w))) for n, c in sums.items()},
-        {f"_sum_{n}": F.sum(c) for n, c in sums.items()},
-        {f"_ahead_{n}": (lambda w, n=n: F.sum(f"_sum_{n}").over(w)) for n in sums},
-    )
-    # A running sum is null only until the first value arrives.
-    return spans.tidy(
-        out,
-        **{
-            n: F.when(
-                F.col(f"_here_{n}").isNotNull() | F.col(f"_ahead_{n}").isNotNull(),
-                F.coalesce(f"_here_{n}", F.lit(0)) + F.coalesce(f"_ahead_{n}", F.lit(0)),
-            )
-            for n in sums
-        },
-    )
+        out = joined.select(*self.columns, *group, *[e.alias(n) for n, e in results.items()])
+        return self._copy(out, [*self.columns, *results])
+
+    def row_numbers(self, name: str = "row_number", total: str | None = None, descending: bool = False) -> Ordered:
+        """row_number() over the key; the order must be unique within it. total: rows of the key."""
+        results = {name: (F.col("_here") + F.coalesce("_ahead", F.lit(0))).cast("long")}
+        if total:
+            results[total] = F.col("_all").cast("long")
+        return self.carry(
+            {"_here": lambda w: F.row_number().over(w)},
+            {"_n": F.count(F.lit(1))},
+            {"_ahead": lambda w: F.sum("_n").over(w)},
+            results,
+            descending,
+            {"_all": lambda w: F.sum("_n").over(w)} if total else None,
+        )
 
+    def running_sums(self, sums: dict[str, str], peers: bool = False) -> Ordered:
+        """sum(column) up to the row, or with peers up to all rows of equal order; sums: result name -> column."""
 
-def running_least(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: dict[str, str], greatest: bool = False, **cut
-) -> DataFrame:
-    """min (or max) of columns over all rows of the key up to this one; columns: result name -> column."""
-    agg, pick = (F.max, F.greatest) if greatest else (F.min, F.least)
-    spans = Spans(df, keys, order[0], **cut)
-    out = spans.carry(
-        _sort(order, False),
-        {f"_here_{n}": (lambda w, c=c: agg(c).over(_upto_here(w))) for n, c in columns.items()},
-        {f"_best_{n}": agg(c) for n, c in columns.items()},
-        {f"_ahead_{n}": (lambda w, n=n: agg(f"_best_{n}").over(w)) for n in columns},
-    )
-    return spans.tidy(out, **{n: pick(f"_here_{n}", f"_ahead_{n}") for n in columns})
+        def frame(w):
+            return w.rangeBetween(Window.unboundedPreceding, Window.currentRow) if peers else _upto_here(w)
 
+        # A running sum is null only until the first value arrives.
+        result = lambda n: F.when(
+            F.col(f"_here_{n}").isNotNull() | F.col(f"_ahead_{n}").isNotNull(),
+            F.coalesce(f"_here_{n}", F.lit(0)) + F.coalesce(f"_ahead_{n}", F.lit(0)),
+        )
+        return self.carry(
+            {f"_here_{n}": (lambda w, c=c: F.sum(c).over(frame(w))) for n, c in sums.items()},
+            {f"_sum_{n}": F.sum(c) for n, c in sums.items()},
+            {f"_ahead_{n}": (lambda w, n=n: F.sum(f"_sum_{n}").over(w)) for n in sums},
+            {n: result(n) for n in sums},
+        )
 
-def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: dict[str, str], **cut) -> DataFrame:
-    """lag(column) over (partition by keys order by order); columns: result name -> column."""
-    spans = Spans(df, keys, order[0], **cut)
-    at = F.struct(*order)
-    out = spans.carry(
-        _sort(order, False),
-        {
-            "_first": lambda w: F.row_number().over(w) == 1,
-            **{f"_here_{n}": (lambda w, c=c: F.lag(c).over(w)) for n, c in columns.items()},
-        },
-        {"_last": F.max_by(F.struct(*[F.col(c).alias(n) for n, c in columns.items()]), at)},
-        {"_ahead": lambda w: F.last("_last").over(w)},
-    )
-    return spans.tidy(
-        out,
-        **{n: F.when(F.col("_first"), F.col("_ahead")[n]).otherwise(F.col(f"_here_{n}")) for n in columns},
-    )
+    def running_least(self, columns: dict[str, str], greatest: bool = False) -> Ordered:
+        """min (or max) of columns over all rows up to this one; columns: result name -> column."""
+        agg, pick = (F.max, F.greatest) if greatest else (F.min, F.least)
+        return self.carry(
+            {f"_here_{n}": (lambda w, c=c: agg(c).over(_upto_here(w))) for n, c in columns.items()},
+            {f"_best_{n}": agg(c) for n, c in columns.items()},
+            {f"_ahead_{n}": (lambda w, n=n: agg(f"_best_{n}").over(w)) for n in columns},
+            {n: pick(f"_here_{n}", f"_ahead_{n}") for n in columns},
+        )
 
+    def previous(self, columns: dict[str, str]) -> Ordered:
+        """lag(column); columns: result name -> column."""
+        return self.carry(
+            {
+                "_first": lambda w: F.row_number().over(w) == 1,
+                **{f"_here_{n}": (lambda w, c=c: F.lag(c).over(w)) for n, c in columns.items()},
+            },
+            {"_last": F.max_by(F.struct(*[F.col(c).alias(n) for n, c in columns.items()]), F.struct(*self.order))},
+            {"_ahead": lambda w: F.last("_last").over(w)},
+            {n: F.when(F.col("_first"), F.col("_ahead")[n]).otherwise(F.col(f"_here_{n}")) for n in columns},
+        )
 
-def last_known(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    columns: dict[str, str],
-    including: bool = False,
-    **cut,
-) -> DataFrame:
-    """Newest non-null value of a column in the rows before this one (or up to and including it)."""
-    spans = Spans(df, keys, order[0], **cut)
-    frame = _upto_here if including else _before_here
-    at = F.struct(*order)
-    out = spans.carry(
-        _sort(order, False),
-        {f"_here_{n}": (lambda w, c=c: F.last(c, ignorenulls=True).over(frame(w))) for n, c in columns.items()},
-        {f"_last_{n}": F.max_by(F.col(c), F.when(F.col(c).isNotNull(), at)) for n, c in columns.items()},
-        {f"_ahead_{n}": (lambda w, n=n: F.last(f"_last_{n}", ignorenulls=True).over(w)) for n in columns},
-    )
-    return spans.tidy(out, **{n: F.coalesce(f"_here_{n}", f"_ahead_{n}") for n in columns})
+    def last_known(self, before: dict[str, str] | None = None, upto: dict[str, str] | None = None) -> Ordered:
+        """Newest non-null value in the rows before this one (before), or up to and including it (upto)."""
+        before, upto = before or {}, upto or {}
+        at = F.struct(*self.order)
+        every = {**before, **upto}
+        frame = lambda n: _upto_here if n in upto else _before_here
+        return self.carry(
+            {
+                f"_here_{n}": (lambda w, c=c, f=frame(n): F.last(c, ignorenulls=True).over(f(w)))
+                for n, c in every.items()
+            },
+            {f"_last_{n}": F.max_by(F.col(c), F.when(F.col(c).isNotNull(), at)) for n, c in every.items()},
+            {f"_ahead_{n}": (lambda w, n=n: F.last(f"_last_{n}", ignorenulls=True).over(w)) for n in every},
+            {n: F.coalesce(f"_here_{n}", f"_ahead_{n}") for n in every},
+        )
 
 
 def attach(rows: DataFrame, facts: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
@@ -251,9 +224,7 @@ def value_ranks(df: DataFrame, keys: Sequence[str], x: str, **cut) -> DataFrame:
     Counting comes first, so only distinct values are ordered.
     """
     values = df.groupBy(*keys, x).agg(F.count(F.lit(1)).alias("n"))
-    spans = Spans(values, keys, x, **cut)
-    out = spans.carry(
-        [F.col(x).asc()],
+    out = Ordered(values, keys, [x], measured=df, **cut).carry(
         {
             "_below": lambda w: F.sum("n").over(_before_here(w)),
             "_nth": lambda w: F.row_number().over(w),
@@ -263,14 +234,14 @@ def value_ranks(df: DataFrame, keys: Sequence[str], x: str, **cut) -> DataFrame:
             "_below_ahead": lambda w: F.sum("_n").over(w),
             "_nth_ahead": lambda w: F.sum("_values").over(w),
         },
+        {
+            "below": F.coalesce("_below", F.lit(0)) + F.coalesce("_below_ahead", F.lit(0)),
+            "distinct": (F.col("_nth") + F.coalesce("_nth_ahead", F.lit(0))).cast("long"),
+            "total": F.col("_total"),
+        },
         overall={"_total": lambda w: F.sum("_n").over(w)},
     )
-    return spans.tidy(
-        out,
-        below=F.coalesce("_below", F.lit(0)) + F.coalesce("_below_ahead", F.lit(0)),
-        distinct=(F.col("_nth") + F.coalesce("_nth_ahead", F.lit(0))).cast("long"),
-        total=F.col("_total"),
-    )
+    return out.df
 
 
 def exact_percentiles(df: DataFrame, keys: Sequence[str], x: str, at: dict[str, float], **cut) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from opswell import session
 from opswell.functions.numbers import cents, percent, ratio
 from opswell.functions.text import clock_seconds, clock_seconds_anywhere
 from opswell.functions.times import first_date
@@ -484,17 +485,20 @@ SELECT host, at_s, CASE WHEN p IS NULL THEN NULL WHEN x >= p THEN x - p ELSE x E
 
 
 @query("agg41", sql("counters", f"""
-SELECT bucket, round(sum(rate), 6) AS rate, count(*) AS series, sum(gauge)::BIGINT AS gauge FROM (
-  SELECT at_s // 86400 * 86400 AS bucket, host, sum(delta)::DOUBLE / 86400 AS rate FROM ({DELTAS.format(m='out_packets')}) GROUP BY 1, 2) r
+SELECT bucket, sum(increase)::DOUBLE / 86400 AS rate, count(*) AS series, sum(gauge)::BIGINT AS gauge FROM (
+  SELECT at_s // 86400 * 86400 AS bucket, host, sum(delta)::BIGINT AS increase FROM ({DELTAS.format(m='out_packets')}) GROUP BY 1, 2) r
 JOIN (SELECT at_s // 86400 * 86400 AS bucket, host, max(in_errors) AS gauge FROM counters GROUP BY 1, 2) g USING (bucket, host)
 GROUP BY 1"""))
 def summed_rates(t):
-    """Rate per series over a range, summed; a gauge summed and the series counted beside it."""
+    """Rate per series over a range, summed; a gauge summed and the series counted beside it.
+
+    Increases are whole numbers, so they are summed first and divided once.
+    """
     rows = S.counters(t)
     rate = rates.range_rates(rows, ["host"], "at_s", ["at_s", "seq"], "out_packets", DAY)
     gauge = rows.groupBy("host", buckets.bucket_of_seconds("at_s", DAY).alias("bucket")).agg(F.max("in_errors").alias("gauge"))
     return rate.join(gauge, ["host", "bucket"]).groupBy("bucket").agg(
-        F.round(F.sum("rate"), 6).alias("rate"), F.count(F.lit(1)).alias("series"), F.sum("gauge").alias("gauge")
+        (F.sum("increase") / DAY).alias("rate"), F.count(F.lit(1)).alias("series"), F.sum("gauge").alias("gauge")
     )
 
 
@@ -511,7 +515,7 @@ def active_per_type(t):
     per_ms = points.groupBy("kind", "ms").agg(
         F.count_if(F.col("event") == "start").alias("o"), F.count_if(F.col("event") == "end").alias("c")
     )
-    run = segments.running_sums(per_ms, ["kind"], ["ms"], {"opened": "o", "closed": "c"})
+    run = segments.Ordered(session.settle(per_ms), ["kind"], ["ms"]).running_sums({"opened": "o", "closed": "c"}).df
     bucket = F.floor(F.col("ms") / 5000) * F.lit(5).cast("long")
     return run.groupBy("kind", bucket.alias("bucket")).agg(
         F.max("opened").alias("opened"), F.max("closed").alias("closed"),
@@ -586,7 +590,7 @@ def merged_sources(t):
 
 @query("agg50", sql("counters", f"""
 SELECT i.host, round(1 - idle, 6) AS cpu_used, round(1 - avail / whole, 6) AS memory_used FROM (
-  SELECT host, sum(rate) / count(rate) AS idle FROM (
+  SELECT host, sum(CAST(round(rate * 1000000000) AS BIGINT))::DOUBLE / count(rate) / 1000000000 AS idle FROM (
     SELECT host, CASE WHEN at_s > pa AND x >= p THEN (x - p)::DOUBLE / (at_s - pa) END AS rate FROM (
       SELECT host, at_s, in_dropped AS x, lag(in_dropped) OVER w AS p, lag(at_s) OVER w AS pa FROM (
         SELECT host, at_s, max(in_dropped) AS in_dropped FROM counters GROUP BY 1, 2) WINDOW w AS (PARTITION BY host ORDER BY at_s))) GROUP BY 1) i
@@ -596,7 +600,9 @@ def node_use(t):
     rows = S.counters(t)
     samples = rows.groupBy("host", "at_s").agg(F.max("in_dropped").alias("idle"))
     rate = rates.counter_rates(samples, ["host"], "at_s", "at_s", ["idle"])
-    idle = rate.groupBy("host").agg((F.sum("idle_rate") / F.count("idle_rate")).alias("idle"))
+    # Added up in whole billionths: the sum does not depend on the order of adding.
+    billionths = F.round(F.col("idle_rate") * 1_000_000_000).cast("long")
+    idle = rate.groupBy("host").agg((F.sum(billionths) / F.count("idle_rate") / 1_000_000_000).alias("idle"))
     memory = rows.groupBy("host").agg(F.sum("in_errors").alias("avail"), F.sum("in_dropped").alias("whole"))
     return idle.join(memory, "host").select(
         "host",

@@ -8,15 +8,13 @@ from opswell.functions import udfs as U
 from opswell.functions.numbers import cents
 from opswell.plans.ctes import sql
 from opswell.registry import query
+from opswell.session import spread
 from opswell.sources import standins as S
 
 
 def fractions(t):
-    rows = t.lineitem.select(
-        "l_orderkey", "l_linenumber", "l_partkey",
-        F.array(F.col("l_linenumber").cast("long"), cents("l_discount")).alias("parts"),
-    )
-    return rows
+    rows = spread(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_discount"))
+    return rows.withColumn("parts", F.array(F.col("l_linenumber").cast("long"), cents("l_discount")))
 
 
 FRACTIONS = "(SELECT *, l_linenumber::BIGINT AS n, CAST(round(l_discount * 100) AS BIGINT) AS q FROM lineitem)"

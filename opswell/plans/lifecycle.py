@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from opswell import session
 from opswell.functions.numbers import cents
 from opswell.operators import lifecycle as L, rates, rollups, trees
 from opswell.plans.ctes import cte, sql
@@ -197,7 +198,7 @@ SELECT o.kind, o.app, o.job, o.stage, o.task, coalesce(o.end_ms, p) AS closed_ms
     CASE WHEN o.kind = 'task' AND s.end_ms >= o.start_ms THEN s.end_ms END) AS p
   FROM ops o LEFT JOIN apps a ON o.app = a.app LEFT JOIN jobs j ON o.job = j.job LEFT JOIN stages s ON o.stage = s.stage) o"""))
 def closed_by_parent(t):
-    out = L.close(S.operations(t), {"app": "app", "job": "job", "stage": "stage"})
+    out = L.close(session.settle(S.operations(t)), {"app": "app", "job": "job", "stage": "stage"})
     return out.select("kind", "app", "job", "stage", "task", "closed_ms", "closed_by")
 
 

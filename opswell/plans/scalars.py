@@ -9,6 +9,7 @@ from opswell.operators import segments
 from opswell.operators.lifecycle import numeric_accumulables
 from opswell.plans.ctes import sql
 from opswell.registry import query
+from opswell.session import spread
 from opswell.sources import standins as S
 
 
@@ -229,9 +230,9 @@ SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN q <> 0 THEN n // gcd(n, q)
 FROM (SELECT *, l_linenumber::BIGINT AS n, CAST(round(l_discount * 100) AS BIGINT) AS q FROM lineitem)""")
 def fractions(t):
     """Fractions in lowest terms, as numbers, and added by parts to 1/2, which is not the sum of fractions."""
-    rows = t.lineitem.select(
+    rows = spread(t.lineitem.select(
         "l_orderkey", "l_linenumber", "l_partkey", F.col("l_linenumber").cast("long").alias("n"), N.cents("l_discount").alias("q")
-    )
+    ))
     rows = rows.withColumn("f", N.fraction("n", "q"))
     return rows.select(
         "l_orderkey", "l_linenumber", "l_partkey",

@@ -71,7 +71,7 @@ def tile(tiles: int):
 @query("win05", sql("weather", """
 SELECT stn, mo, da, ntile(2) OVER w AS halves, ntile(1000) OVER w AS thousandths FROM weather WINDOW w AS (PARTITION BY mo ORDER BY temp, stn, date)"""))
 def tiles(t):
-    rows = segments.row_numbers(S.weather(t), ["mo"], ["temp", "stn", "date"], "place", total="size")
+    rows = segments.Ordered(S.weather(t), ["mo"], ["temp", "stn", "date"]).row_numbers("place", total="size").df
     return rows.select("stn", "mo", "da", tile(2).alias("halves"), tile(1000).alias("thousandths"))
 
 
@@ -79,8 +79,7 @@ def tiles(t):
 SELECT stn, mo, da, row_number() OVER (PARTITION BY mo ORDER BY temp, stn, date) AS up,
   row_number() OVER (PARTITION BY mo ORDER BY temp DESC, stn DESC, date DESC) AS down FROM weather"""))
 def places(t):
-    order = ["temp", "stn", "date"]
-    rows = segments.row_numbers(S.weather(t), ["mo"], order, "up", total="size")
+    rows = segments.Ordered(S.weather(t), ["mo"], ["temp", "stn", "date"]).row_numbers("up", total="size").df
     # The order has no ties, so counting from the other end is a subtraction.
     return rows.select("stn", "mo", "da", "up", (F.col("size") - F.col("up") + 1).alias("down"))
 
@@ -89,8 +88,8 @@ def places(t):
 SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS newest_first FROM events""")
 def newest_first(t):
     rows = t.events.select("event_id", "event_type", "ts")
-    out = segments.row_numbers(rows, ["event_type"], ["ts", "event_id"], "newest_first", descending=True)
-    return out.select("event_id", "newest_first")
+    out = segments.Ordered(rows, ["event_type"], ["ts", "event_id"]).row_numbers("newest_first", descending=True)
+    return out.df.select("event_id", "newest_first")
 
 
 @query("win07", sql("weather", """
@@ -100,10 +99,9 @@ FROM weather WINDOW s AS (PARTITION BY stn ORDER BY date), m AS (PARTITION BY mo
 def neighbours(t):
     s = Window.partitionBy("stn").orderBy("date")
     rows = S.weather(t).withColumns({"day_before": F.lag("temp", 1).over(s), "two_days_before": F.lag("temp", 2).over(s)})
-    order = ["temp", "stn", "date"]
-    rows = segments.previous(rows, ["mo"], order, {"colder": "temp"})
-    rows = segments.previous(rows, ["mo"], order, {"colder_still": "colder"})
-    return rows.select("stn", "mo", "da", "day_before", "two_days_before", "colder", "colder_still")
+    rows = segments.Ordered(rows, ["mo"], ["temp", "stn", "date"]).previous({"colder": "temp"})
+    rows = rows.settled().previous({"colder_still": "colder"})
+    return rows.df.select("stn", "mo", "da", "day_before", "two_days_before", "colder", "colder_still")
 
 
 @query("win08", sql("weather", """
@@ -113,7 +111,7 @@ def averages(t):
     """Average of the whole group, and of the group up to the row's day with all rows of that day."""
     w = S.weather(t).withColumn("one", F.lit(1).cast("long"))
     whole = w.groupBy("year").agg((F.sum("temp") / F.count(F.lit(1))).alias("whole"))
-    rows = segments.running_sums(w, ["year"], ["date"], {"s": "temp", "n": "one"}, peers=True)
+    rows = segments.Ordered(w, ["year"], ["date"]).running_sums({"s": "temp", "n": "one"}, peers=True).df
     return segments.attach(rows, whole, ["year"]).select(
         "stn", "mo", "da", "whole", (F.col("s") / F.col("n")).alias("running")
     )

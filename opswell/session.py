@@ -50,3 +50,26 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch(spark: SparkSession, label: str) -> str:
     """A path nobody else uses, below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def settle(df):
+    """The rows written once to the shared folder and read back.
+
+    For rows that are costly to make and are needed several times: later steps
+    read only the columns they use, and a lost executor does not bring back the
+    work before this point.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, "settled")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df):
+    """Rows over all cores where the source has fewer splits than there are cores.
+
+    For costly work on each row of a small file. A large source has more splits
+    than cores; then the rows stay where they are and nothing is moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from opswell.functions.numbers import cents
 from opswell.functions.text import first_word
+from opswell.session import spread
 from opswell.sources.tables import Tables
 
 HOUR = 3_600_000
@@ -24,13 +25,14 @@ def millis(c: str) -> Column:
 
 def words(t: Tables) -> DataFrame:
     """Every word of every document, in lower case."""
-    split = t.documents.select("doc_id", "source", "lang", F.explode(F.split("text", "[ \\n]")).alias("word"))
+    docs = spread(t.documents.select("doc_id", "source", "lang", "text"))
+    split = docs.select("doc_id", "source", "lang", F.explode(F.split("text", "[ \\n]")).alias("word"))
     return split.withColumn("word", first_word("word")).where("word <> ''")
 
 
 def lines(t: Tables) -> DataFrame:
     """Every line of every document with its place."""
-    return t.documents.select("doc_id", "source", F.posexplode(F.split("text", "\\n")).alias("pos", "value"))
+    return spread(t.documents.select("doc_id", "source", "text")).select("doc_id", "source", F.posexplode(F.split("text", "\\n")).alias("pos", "value"))
 
 
 def programme_logs(t: Tables) -> DataFrame:
@@ -197,9 +199,10 @@ def operations(t: Tables) -> DataFrame:
 
 
 def edges(ops: DataFrame, keys: list[str]) -> DataFrame:
-    """Start and end rows of operations: one row per end point."""
-    point = lambda name, at: ops.where(F.col(at).isNotNull()).select(*keys, F.lit(name).alias("event"), F.col(at).alias("ms"))
-    return point("start", "start_ms").unionByName(point("end", "end_ms"))
+    """Start and end rows of operations: one row per end point, from one pass over the operations."""
+    point = lambda name, at: F.struct(F.lit(name).alias("event"), F.col(at).alias("ms"))
+    both = ops.select(*keys, F.inline(F.array(point("start", "start_ms"), point("end", "end_ms"))))
+    return both.where("ms IS NOT NULL")
 
 
 ALL_EVENTS = ("app", "job", "stage", "task", "sql", "executor", "odd")
@@ -360,7 +363,7 @@ def log_lines(t: Tables) -> DataFrame:
         .when(kind == "error", F.concat(head, trace))
         .otherwise(head)
     )
-    return t.events.select("event_id", "ts", path.alias("path"), value.alias("value"))
+    return spread(t.events).select("event_id", "ts", path.alias("path"), value.alias("value"))
 
 
 def gc_lines(t: Tables) -> DataFrame:
@@ -390,7 +393,7 @@ def gc_lines(t: Tables) -> DataFrame:
         F.lit(f"{LOG_ROOT}/logs/pod-"), user, F.lit("/gc-"), component, F.lit(".log"),
         F.when(kind == "purchase", F.concat(F.lit("."), F.call_function("div", k, F.lit(10)))).otherwise(F.lit("")),
     )
-    return t.events.select("event_id", "ts", path.alias("path"), value.alias("value"))
+    return spread(t.events).select("event_id", "ts", path.alias("path"), value.alias("value"))
 
 
 def alerts(t: Tables) -> DataFrame:
@@ -431,7 +434,7 @@ def alerts(t: Tables) -> DataFrame:
             F.hex(user + 4096), user, F.hex(k + 4096), k,
         ),
     )
-    return t.events.select(
+    return spread(t.events).select(
         F.col("event_id").alias("alert_id"),
         F.col("ts").alias("created_on"),
         F.when(kind == "signup", F.lit("manual")).otherwise(F.lit("feed")).alias("source"),

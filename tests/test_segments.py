@@ -20,6 +20,10 @@ def rows(spark):
     return spark.createDataFrame(data, "id long, k string, x long, v long").repartition(5).cache()
 
 
+def O(rows):
+    return S.Ordered(rows, ["k"], ["x", "id"])
+
+
 def same(a, b):
     assert sorted(a.columns) == sorted(b.columns)
     cols = sorted(a.columns)
@@ -33,7 +37,7 @@ def ordered():
 
 
 def test_row_numbers(rows):
-    got = S.row_numbers(rows, ["k"], ["x", "id"], "rn", total="n")
+    got = O(rows).row_numbers("rn", total="n").df
     want = rows.withColumn("rn", F.row_number().over(ordered()).cast("long")).withColumn(
         "n", F.count(F.lit(1)).over(Window.partitionBy("k"))
     )
@@ -41,7 +45,7 @@ def test_row_numbers(rows):
 
 
 def test_row_numbers_descending(rows):
-    got = S.row_numbers(rows, ["k"], ["x", "id"], "rn", descending=True)
+    got = O(rows).row_numbers("rn", descending=True).df
     want = rows.withColumn(
         "rn", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("x"), F.desc("id"))).cast("long")
     )
@@ -54,28 +58,28 @@ def test_running_sums(rows, peers):
     w = Window.partitionBy("k").orderBy(*order)
     if not peers:
         w = w.rowsBetween(Window.unboundedPreceding, 0)
-    same(S.running_sums(rows, ["k"], order, {"s": "v"}, peers=peers), rows.withColumn("s", F.sum("v").over(w)))
+    same(S.Ordered(rows, ["k"], order).running_sums({"s": "v"}, peers=peers).df, rows.withColumn("s", F.sum("v").over(w)))
 
 
 def test_running_least(rows):
     w = ordered().rowsBetween(Window.unboundedPreceding, 0)
-    same(S.running_least(rows, ["k"], ["x", "id"], {"m": "v"}), rows.withColumn("m", F.min("v").over(w)))
+    same(O(rows).running_least({"m": "v"}).df, rows.withColumn("m", F.min("v").over(w)))
     same(
-        S.running_least(rows, ["k"], ["x", "id"], {"m": "v"}, greatest=True),
+        O(rows).running_least({"m": "v"}, greatest=True).df,
         rows.withColumn("m", F.max("v").over(w)),
     )
 
 
 def test_previous_and_last_known(rows):
-    same(S.previous(rows, ["k"], ["x", "id"], {"p": "v"}), rows.withColumn("p", F.lag("v").over(ordered())))
+    same(O(rows).previous({"p": "v"}).df, rows.withColumn("p", F.lag("v").over(ordered())))
     before = ordered().rowsBetween(Window.unboundedPreceding, -1)
     same(
-        S.last_known(rows, ["k"], ["x", "id"], {"p": "v"}),
+        O(rows).last_known({"p": "v"}).df,
         rows.withColumn("p", F.last("v", ignorenulls=True).over(before)),
     )
     upto = ordered().rowsBetween(Window.unboundedPreceding, 0)
     same(
-        S.last_known(rows, ["k"], ["x", "id"], {"p": "v"}, including=True),
+        O(rows).last_known(upto={"p": "v"}).df,
         rows.withColumn("p", F.last("v", ignorenulls=True).over(upto)),
     )
 
@@ -117,6 +121,6 @@ def test_sliding(rows):
 
 
 def test_a_hot_key_is_spread(rows):
-    spans = S.Spans(rows, ["k"], "x")
+    spans = O(rows)
     sizes = [r["n"] for r in spans.rows.where("k = 'hot'").groupBy(S.SPAN).agg(F.count("*").alias("n")).collect()]
     assert len(sizes) >= 8 and max(sizes) < sum(sizes) / 4
