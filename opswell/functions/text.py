@@ -5,7 +5,19 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+
+def once(df: DataFrame, **costly: Column) -> DataFrame:
+    """Adds columns that are computed a single time per row.
+
+    A filter on a computed column is moved below the projection that computes it
+    and computes it again there. It does not move below an explode, so the
+    column is made as the one element of an exploded array.
+    """
+    for name, c in costly.items():
+        df = df.select("*", F.explode(F.array(c)).alias(name))
+    return df
 
 
 def col(c: Column | str) -> Column:

@@ -169,7 +169,7 @@ def primary_entity(alerts: DataFrame) -> DataFrame:
         resource,
         *by_text,
     )
-    out = out.withColumn("_e", entity)
+    out = X.once(out, _e=entity)
     return out.select(
         *alerts.columns,
         F.coalesce(F.col("_e.type"), none).alias("entity_type"),

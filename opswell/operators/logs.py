@@ -83,7 +83,7 @@ def stitch(df: DataFrame, file: str, line_no: str, value: str, max_lines: int =
 
 def application_records(df: DataFrame, value: str = "value") -> DataFrame:
     """Adds the fields of application log records; a record in no known layout keeps its raw text as message."""
-    out = df.withColumn("_g", X.groups(value, APP_LINE, 5))
+    out = X.once(df, _g=X.groups(value, APP_LINE, 5))
     g = F.col("_g")
     parts = F.split(F.col(value), "\n", 2)
     head, rest = parts[0], F.try_element_at(parts, F.lit(2))
@@ -131,12 +131,12 @@ def gc_located(df: DataFrame, path: str = "path", root: str = "/mnt/spark") -> D
     """Adds pod, component and rotation number from the path of a garbage-collection log, rotated form first."""
     rotated = X.groups(path, f"^{root}/logs/([^/]+)/gc-([^/]*?)\\.log\\.([^/]+)$", 3)
     active = X.groups(path, f"^{root}/logs/([^/]+)/gc-([^/]*?)\\.log$", 2)
-    out = df.withColumns({"_r": rotated, "_a": active})
+    out = X.once(df, _g=F.coalesce(rotated, active))
     return out.select(
         *df.columns,
-        F.coalesce(F.col("_r")[0], F.col("_a")[0]).alias("pod_name"),
-        F.coalesce(F.col("_r")[1], F.col("_a")[1]).alias("component"),
-        F.col("_r")[2].alias("rotate_id"),
+        F.col("_g")[0].alias("pod_name"),
+        F.col("_g")[1].alias("component"),
+        F.get("_g", F.lit(2)).alias("rotate_id"),
     )
 
 
@@ -145,10 +145,11 @@ def gc_records(df: DataFrame, value: str = "value") -> DataFrame:
     pause = F.coalesce(X.groups(value, GC_PAUSE_KIND, 11), X.groups(value, GC_PAUSE, 11))
     # A start has the same head; its kind follows in one or two brackets.
     two, one = X.groups(value, GC_START_KIND, 7), X.groups(value, GC_START, 7)
-    out = df.withColumn("_p", pause).withColumn("_s", F.when(F.col("_p").isNull(), F.coalesce(two, one)))
-    p, s = F.col("_p"), F.col("_s")
-    either = lambda i: F.coalesce(X.present(p[i]), X.present(s[i]))
-    number = lambda i, t: p[i].try_cast(t)
+    out = X.once(df, _g=F.when(F.col(value).contains(") Pause "), F.coalesce(pause, two, one)))
+    g = F.col("_g")
+    paused, found = F.size(g) == 11, g.isNotNull()
+    either = lambda i: X.present(F.get(g, F.lit(i)))
+    number = lambda i, t: F.get(g, F.lit(i)).try_cast(t)
     return out.select(
         *df.columns,
         either(0).alias("gc_timestamp"),
@@ -162,14 +163,14 @@ def gc_records(df: DataFrame, value: str = "value") -> DataFrame:
         number(9, "int").alias("heapsize"),
         number(10, "double").alias("millis"),
         (number(7, "int") - number(8, "int")).alias("reclaimed"),
-        F.when(p.isNotNull(), F.lit("paused")).alias("stats"),
-        F.when(p.isNotNull() | s.isNotNull(), F.lit("info")).alias("level"),
+        F.when(paused, F.lit("paused")).alias("stats"),
+        F.when(found, F.lit("info")).alias("level"),
     )
 
 
 def signatures(df: DataFrame, value: str = "value") -> DataFrame:
     """Adds level, class, line and Class:Line of the short layout, and the impact and urgency of the level."""
-    out = df.withColumn("_g", X.groups(value, SHORT_LINE, 3))
+    out = X.once(df, _g=X.groups(value, SHORT_LINE, 3))
     g = F.col("_g")
     severe = F.when(g[0] == "ERROR", 2).otherwise(3)
     return out.select(

@@ -30,7 +30,7 @@ CONFIRMED = {
 
 def named(df: DataFrame, name: str = "stage_name") -> DataFrame:
     """Adds operation, source file and line of "op at File:line"; of any other "op at ..." only the operation."""
-    out = df.withColumn("_g", X.groups(name, "^(\\w+)\\s+at\\s+([^:]+):(\\d+)", 3))
+    out = X.once(df, _g=X.groups(name, "^(\\w+)\\s+at\\s+([^:]+):(\\d+)", 3))
     g = F.col("_g")
     loose = F.when(F.col(name).contains(" at "), F.trim(F.split(F.col(name), " at ")[0]))
     return out.select(

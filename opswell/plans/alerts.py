@@ -137,7 +137,8 @@ SELECT alert_id, CASE WHEN c_custkey IS NOT NULL THEN 'pod-' || c_custkey END AS
   CASE WHEN c_acctbal > 0 THEN 'membership' ELSE 'pod name' END AS how FROM alerts LEFT JOIN customer ON user_id = c_custkey WHERE event_type = 'purchase'"""))
 def pod_services(t):
     """A pod by name, its service by membership, else by what its name begins with."""
-    rows = S.alerts(t).withColumn("pod", X.first_match("description", X.stamp_patterns(X.POD_KEYS, X.NAME_VALUE))).where("pod IS NOT NULL")
+    pod = X.first_match("description", X.stamp_patterns(X.POD_KEYS, X.NAME_VALUE))
+    rows = X.once(S.alerts(t), pod=pod).where("pod IS NOT NULL")
     rows = A.cascade(rows, [A.Step("name", F.col("pod"), pods(t).select("name", "sys_id"))], "pod_id", "pod_how")
     members = pods(t).where("service IS NOT NULL").select("sys_id", "service")
     named = t.spark.createDataFrame(list(POD_SERVICES.items()), "name string, sys_id string")
@@ -190,7 +191,7 @@ FROM alerts a LEFT JOIN supplier ON svc = s_suppkey""", "alerts")
 
 
 def resolved(t):
-    rows = S.alerts(t).withColumn("stamp", X.service_stamp("description"))
+    rows = X.once(S.alerts(t), stamp=X.service_stamp("description"))
     return A.cascade(rows, A.service_steps(F.col("stamp"), S.services(t)), "service", "how")
 
 
@@ -205,8 +206,11 @@ SELECT alert_id, coalesce(service, CASE WHEN event_type = 'purchase' AND c_acctb
 FROM resolved LEFT JOIN customer ON user_id = c_custkey"""))
 def service_of_alert(t):
     """Service instance: by stamp, by pod, by the entity the alert is about; in this order."""
-    rows = S.alerts(t).withColumn("stamp", X.service_stamp("description"))
-    rows = rows.withColumn("pod", X.first_match("description", X.stamp_patterns(X.POD_KEYS, X.NAME_VALUE)))
+    rows = X.once(
+        S.alerts(t),
+        stamp=X.service_stamp("description"),
+        pod=X.first_match("description", X.stamp_patterns(X.POD_KEYS, X.NAME_VALUE)),
+    )
     rows = A.primary_entity(rows)
     members = pods(t).where("service IS NOT NULL").select("name", "service")
     named = t.spark.createDataFrame(list(POD_SERVICES.items()), "name string, sys_id string")
@@ -283,11 +287,10 @@ SELECT alert_id, ci IS NOT NULL AS bound, kind, ci, CASE WHEN ci IS NOT NULL THE
   FROM entities LEFT JOIN customer ON user_id = c_custkey)"""))
 def bound(t):
     """Record an alert is bound to: its pod; else the host of a stamped service; else the primary entity."""
-    rows = S.alerts(t).withColumns(
-        {
-            "pod": X.first_match("description", X.stamp_patterns(X.POD_KEYS, X.NAME_VALUE)),
-            "stamp": X.service_stamp("description"),
-        }
+    rows = X.once(
+        S.alerts(t),
+        pod=X.first_match("description", X.stamp_patterns(X.POD_KEYS, X.NAME_VALUE)),
+        stamp=X.service_stamp("description"),
     )
     rows = A.primary_entity(rows)
     kind = (
