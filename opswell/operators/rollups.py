@@ -59,10 +59,10 @@ def retained(df: DataFrame, ts: str, dataset: str, days: dict[str, int], as_of:
 
 
 def sessions(df: DataFrame, keys: Sequence[str], ts: str, tie: str, gap_seconds: int, **cut) -> DataFrame:
-    """Rows of a key with less than the gap between them as one session: first and last row, number of rows."""
+    """Rows of a key with at most the gap between them as one session: first and last row, number of rows."""
     rows = segments.Ordered(df, keys, [ts, tie], **cut).previous({"_before": ts})
     apart = F.unix_micros(ts) - F.unix_micros("_before")
-    starts = F.when(F.col("_before").isNull() | (apart >= gap_seconds * 1_000_000), 1).otherwise(0).cast("long")
+    starts = F.when(F.col("_before").isNull() | (apart > gap_seconds * 1_000_000), 1).otherwise(0).cast("long")
     rows = rows.plus(_starts=starts).settled().running_sums({"session": "_starts"})
     return rows.df.groupBy(*keys, "session").agg(
         F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.count(F.lit(1)).alias("n")

@@ -275,7 +275,7 @@ def sessions_sql(key, more=""):
     """Sessions with a gap of 15 minutes, per key."""
     return f"""
 SELECT {key}, epoch_us(min(ts)) AS first_micros, count(*) AS n{more} FROM (
-  SELECT *, sum(CASE WHEN p IS NULL OR epoch_us(ts) - epoch_us(p) >= 900000000 THEN 1 ELSE 0 END) OVER (PARTITION BY {key} ORDER BY ts, event_id) AS session FROM (
+  SELECT *, sum(CASE WHEN p IS NULL OR epoch_us(ts) - epoch_us(p) > 900000000 THEN 1 ELSE 0 END) OVER (PARTITION BY {key} ORDER BY ts, event_id) AS session FROM (
     SELECT *, lag(ts) OVER (PARTITION BY {key} ORDER BY ts, event_id) AS p FROM events)) GROUP BY {key}, session"""
 
 
