@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
@@ -247,29 +248,38 @@ def open_at(ops: DataFrame, at_ms: Column, within_ms: int | None = None) -> Data
     return ops.where(started & (F.col("end_ms").isNull() | (F.col("end_ms") > at_ms)))
 
 
-def close(ops: DataFrame, ancestors: dict[str, str]) -> DataFrame:
+def close(ops: DataFrame, keys: dict[str, str], ancestors: dict[str, Sequence[str]]) -> DataFrame:
     """How each operation was closed: by its own end, else by the earliest end of an ancestor from its start on.
 
-    ops has kind, the keys of all ancestors, start_ms and end_ms;
-    ancestors maps the kind of an ancestor to the column that holds its key.
-    Keys are compared as whole values, never by prefix.
+    ops has kind, the keys of all ancestors, start_ms and end_ms. keys maps a
+    kind to the column with its key, ancestors a kind to the kinds above it.
+    Keys are compared as whole values, never by prefix. Only open operations
+    look for an ancestor, kind by kind, so no row is joined on a missing key.
     """
-    out = ops
-    found = []
-    for kind, key in ancestors.items():
-        ends = ops.where((F.col("kind") == kind) & F.col("end_ms").isNotNull()).select(
-            F.col(key).alias(f"_{kind}_key"), F.col("end_ms").alias(f"_{kind}_end")
+    ended = ops.where(F.col("end_ms").isNotNull())
+    parts = [ended.withColumns({"closed_ms": F.col("end_ms"), "closed_by": F.lit("end")})]
+    open_ = ops.where(F.col("end_ms").isNull())
+    none = F.lit(None).cast("long")
+    parts.append(
+        open_.where(~F.col("kind").isin(list(ancestors))).withColumns(
+            {"closed_ms": none, "closed_by": F.lit(None).cast("string")}
         )
-        # Only descendants without an end of their own look for an ancestor, so the others stay out of the match.
-        wanted = F.when(F.col("end_ms").isNull() & (F.col("kind") != kind), F.col(key))
-        out = out.join(ends, wanted == F.col(f"_{kind}_key"), "left")
-        found.append(F.when(F.col(f"_{kind}_end") >= F.col("start_ms"), F.col(f"_{kind}_end")))
-    parent_end = F.least(*found) if len(found) > 1 else found[0]
-    return out.select(
-        *ops.columns,
-        F.coalesce("end_ms", parent_end).alias("closed_ms"),
-        F.when(F.col("end_ms").isNotNull(), F.lit("end")).when(parent_end.isNotNull(), F.lit("parent")).alias("closed_by"),
     )
+    for kind, above in ancestors.items():
+        rows, found = open_.where(F.col("kind") == kind), [none]
+        for up in above:
+            ends = ended.where(F.col("kind") == up).select(
+                F.col(keys[up]).alias(f"_{up}"), F.col("end_ms").alias(f"_{up}_end")
+            )
+            rows = rows.join(ends, F.col(keys[up]) == F.col(f"_{up}"), "left")
+            found.append(F.when(F.col(f"_{up}_end") >= F.col("start_ms"), F.col(f"_{up}_end")))
+        closed = F.least(none, *found)
+        parts.append(
+            rows.select(
+                *ops.columns, closed.alias("closed_ms"), F.when(closed.isNotNull(), F.lit("parent")).alias("closed_by")
+            )
+        )
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def active_counts(points: DataFrame, keys: Sequence[str], order: Sequence[str], change: str, **cut) -> DataFrame:

@@ -210,11 +210,13 @@ def propagate(assigned: DataFrame, edges: DataFrame, value: str, kinds: Sequence
 
 def inherit(df: DataFrame, key: str, parent: str, column: str, kind: str, allowed: Sequence[str]) -> DataFrame:
     """Fills an empty column from the parent row, for rows of the allowed kinds only."""
-    wanted = F.col(column).isNull() & F.col(kind).isin(list(allowed))
-    up = df.select(F.col(key).alias("_id"), F.col(column).alias("_inherited"))
-    return df.join(up, F.when(wanted, F.col(parent)) == F.col("_id"), "left").select(
-        *[F.coalesce(column, "_inherited").alias(column) if c == column else c for c in df.columns]
+    wanted = F.coalesce(F.col(column).isNull() & F.col(kind).isin(list(allowed)) & F.col(parent).isNotNull(), F.lit(False))
+    up = df.where(F.col(column).isNotNull()).select(F.col(key).alias("_id"), F.col(column).alias("_inherited"))
+    # Only rows that may inherit look for their parent; the others stay out of the join.
+    filled = df.where(wanted).join(up, F.col(parent) == F.col("_id"), "left").select(
+        *[F.col("_inherited").alias(column) if c == column else c for c in df.columns]
     )
+    return df.where(~wanted).unionByName(filled)
 
 
 def tagged_members(tags: DataFrame, rules: DataFrame) -> DataFrame:

@@ -17,8 +17,7 @@ def closure(edges: DataFrame, parent: str, child: str, max_rounds: int = 50) ->
     shared_dir(edges.sparkSession)
     step = edges.select(F.col(parent).alias("_from"), F.col(child).alias("_to")).distinct()
     found = step.select(F.col("_from").alias("ancestor"), F.col("_to").alias("descendant"), F.lit(1).alias("depth"))
-    found = found.checkpoint()
-    latest = found
+    found = latest = found.checkpoint()
     for depth in range(2, max_rounds + 2):
         longer = (
             latest.join(step, F.col("descendant") == F.col("_from"))
@@ -30,8 +29,7 @@ def closure(edges: DataFrame, parent: str, child: str, max_rounds: int = 50) ->
         )
         if longer.isEmpty():
             return found
-        found = found.unionByName(longer).checkpoint()
-        latest = longer
+        found, latest = found.unionByName(longer), longer
     raise ValueError(f"the tree is deeper than {max_rounds + 1} levels")
 
 

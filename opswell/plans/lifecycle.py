@@ -198,7 +198,9 @@ SELECT o.kind, o.app, o.job, o.stage, o.task, coalesce(o.end_ms, p) AS closed_ms
     CASE WHEN o.kind = 'task' AND s.end_ms >= o.start_ms THEN s.end_ms END) AS p
   FROM ops o LEFT JOIN apps a ON o.app = a.app LEFT JOIN jobs j ON o.job = j.job LEFT JOIN stages s ON o.stage = s.stage) o"""))
 def closed_by_parent(t):
-    out = L.close(session.settle(S.operations(t)), {"app": "app", "job": "job", "stage": "stage"})
+    keys = {"app": "app", "job": "job", "stage": "stage"}
+    above = {"job": ["app"], "stage": ["app", "job"], "task": ["app", "job", "stage"]}
+    out = L.close(session.settle(S.operations(t)), keys, above)
     return out.select("kind", "app", "job", "stage", "task", "closed_ms", "closed_by")
 
 

@@ -131,7 +131,7 @@ def test_closure_by_the_earliest_ended_ancestor(spark):
         ],
         "kind string, app long, job long, task long, start_ms long, end_ms long",
     )
-    out = lifecycle.close(ops, {"app": "app", "job": "job"})
+    out = lifecycle.close(ops, {"app": "app", "job": "job"}, {"job": ["app"], "task": ["app", "job"]})
     got = {(r["kind"], r["app"], r["job"], r["task"]): (r["closed_ms"], r["closed_by"]) for r in out.collect()}
     assert got[("task", 1, 1, 7)] == (50, "parent")
     assert got[("task", 1, 1, 8)] == (30, "end")
