@@ -196,10 +196,11 @@ def cascade(df: DataFrame, steps: Sequence[Step], result: str = "sys_id", how: s
     """
     out, found, said = df, [], []
     nobody = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(df.columns[0]), F.lit(997)).cast("string"))
+    out = out.select("*", *[F.coalesce(step.key, nobody).alias(f"_q{i}") for i, step in enumerate(steps)])
     for i, step in enumerate(steps):
         table = step.table.toDF(f"_k{i}", f"_s{i}").where(F.col(f"_k{i}").isNotNull())
         table = table.groupBy(f"_k{i}").agg(F.min(f"_s{i}").alias(f"_s{i}"))
-        out = out.withColumn(f"_q{i}", F.coalesce(step.key, nobody)).join(table, F.col(f"_q{i}") == F.col(f"_k{i}"), "left")
+        out = out.join(table, F.col(f"_q{i}") == F.col(f"_k{i}"), "left")
         found.append(F.col(f"_s{i}"))
         said.append(F.when(F.col(f"_s{i}").isNotNull(), F.lit(step.how)))
     return out.select(*df.columns, F.coalesce(*found).alias(result), F.coalesce(*said).alias(how))

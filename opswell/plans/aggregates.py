@@ -278,7 +278,7 @@ def described(t):
 @query("agg24", sql("weather", """
 SELECT mo, da, round(quantile_cont(temp::DOUBLE, 0.5), 6) AS median, round(quantile_cont(temp::DOUBLE, 0.9), 6) AS p90 FROM weather GROUP BY 1, 2"""))
 def daily_percentiles(t):
-    out = segments.exact_percentiles(S.weather(t), ["mo", "da"], "temp", {"median": 0.5, "p90": 0.9})
+    out = segments.exact_percentiles(S.readings(t), ["mo", "da"], "temp", {"median": 0.5, "p90": 0.9})
     return out.withColumns({c: F.round(c, 6) for c in ("median", "p90")})
 
 
@@ -291,7 +291,7 @@ def daily_percentiles_approx(t):
 SELECT w.stn, w.mo, w.da, w.temp FROM weather w JOIN (SELECT mo, min(temp) AS lo, max(temp) AS hi FROM weather GROUP BY mo) m
   ON w.mo = m.mo AND (w.temp = lo OR w.temp = hi)"""))
 def extreme_days(t):
-    w = S.weather(t)
+    w = S.readings(t)
     ends = w.groupBy("mo").agg(F.array(F.min("temp"), F.max("temp")).alias("ends"))
     ends = ends.select("mo", F.explode(F.array_distinct("ends")).alias("temp"))
     return w.join(ends, ["mo", "temp"], "left_semi").select("stn", "mo", "da", "temp")

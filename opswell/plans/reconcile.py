@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
+from opswell import session
 from opswell.functions import text as X
 from opswell.operators import reconcile as R, trees
 from opswell.plans.ctes import cte, sql
@@ -170,7 +171,7 @@ SELECT name, sample_no, of_total FROM (SELECT name, row_number() OVER (ORDER BY
 def unspecified(t):
     """Inventory rows that the specification does not name: the first 25 and how many there are."""
     found = t.lineitem.select(F.concat(F.lit("Svc "), F.col("l_partkey")).alias("name")).distinct()
-    extra = found.join(specification(t).select("name"), "name", "left_anti")
+    extra = session.settle(found.join(specification(t).select("name"), "name", "left_anti"))
     total = extra.agg(F.count(F.lit(1)).alias("n"))
     first = extra.orderBy("name").limit(25)
     return first.select(
@@ -237,7 +238,7 @@ SELECT category, subcategory, subclass, severity, count, items, shown FROM (SELE
   SELECT *, row_number() OVER (PARTITION BY category, subcategory, subclass, severity ORDER BY item) AS r, count(*) OVER (PARTITION BY category, subcategory, subclass, severity) AS n FROM findings)
 WHERE r <= 50 GROUP BY 1, 2, 3, 4)"""))
 def findings_tree(t):
-    tree = R.findings_tree(findings(t), "item", 50)
+    tree = R.findings_tree(session.settle(findings(t)), "item", 50)
     return tree.select(
         "category", "subcategory", "subclass", "severity", "count", F.array_join("items.item", ",").alias("items"), F.size("items").cast("long").alias("shown")
     )

@@ -216,7 +216,7 @@ def temperatures(t):
 SELECT stn, mo, da, CASE WHEN lo = hi THEN 0.5::DOUBLE ELSE (temp - lo)::DOUBLE / (hi - lo)::DOUBLE END AS scaled FROM (
   SELECT *, min(temp) OVER (PARTITION BY year, mo, da) AS lo, max(temp) OVER (PARTITION BY year, mo, da) AS hi FROM weather)"""))
 def scaled(t):
-    w = S.weather(t)
+    w = S.readings(t)
     group = ["year", "mo", "da"]
     ends = w.groupBy(*group).agg(F.min("temp").alias("lo"), F.max("temp").alias("hi"))
     lo, hi = F.col("lo"), F.col("hi")

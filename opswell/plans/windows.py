@@ -22,7 +22,7 @@ from opswell.sources import standins as S
 SELECT stn, mo, da, temp, temp = lo AS is_lowest FROM (
   SELECT *, min(temp) OVER (PARTITION BY year, mo) AS lo, max(temp) OVER (PARTITION BY year, mo) AS hi FROM weather) WHERE temp = lo OR temp = hi"""))
 def extremes(t):
-    w = S.weather(t)
+    w = S.readings(t)
     ends = w.groupBy("year", "mo").agg(F.min("temp").alias("lo"), F.max("temp").alias("hi"))
     rows = segments.attach(w, ends, ["year", "mo"]).where("temp = lo OR temp = hi")
     return rows.select("stn", "mo", "da", "temp", (F.col("temp") == F.col("lo")).alias("is_lowest"))
@@ -31,14 +31,14 @@ def extremes(t):
 @query("win02", sql("weather", """
 SELECT stn, year, mo, da, temp FROM (SELECT *, max(temp) OVER (PARTITION BY year, mo, da) AS hi FROM weather) WHERE temp = hi"""))
 def warmest_station(t):
-    w = S.weather(t)
+    w = S.readings(t)
     day = ["year", "mo", "da"]
     top = w.groupBy(*day).agg(F.max("temp").alias("hi"))
     return segments.attach(w, top, day).where("temp = hi").select("stn", *day, "temp")
 
 
 def ranked(t):
-    w = S.weather(t)
+    w = S.readings(t)
     return segments.attach(w, segments.value_ranks(w, ["mo"], "count_temp"), ["mo", "count_temp"])
 
 
@@ -71,7 +71,7 @@ def tile(tiles: int):
 @query("win05", sql("weather", """
 SELECT stn, mo, da, ntile(2) OVER w AS halves, ntile(1000) OVER w AS thousandths FROM weather WINDOW w AS (PARTITION BY mo ORDER BY temp, stn, date)"""))
 def tiles(t):
-    rows = segments.Ordered(S.weather(t), ["mo"], ["temp", "stn", "date"]).row_numbers("place", total="size").df
+    rows = segments.Ordered(S.readings(t), ["mo"], ["temp", "stn", "date"]).row_numbers("place", total="size").df
     return rows.select("stn", "mo", "da", tile(2).alias("halves"), tile(1000).alias("thousandths"))
 
 
@@ -79,7 +79,7 @@ def tiles(t):
 SELECT stn, mo, da, row_number() OVER (PARTITION BY mo ORDER BY temp, stn, date) AS up,
   row_number() OVER (PARTITION BY mo ORDER BY temp DESC, stn DESC, date DESC) AS down FROM weather"""))
 def places(t):
-    rows = segments.Ordered(S.weather(t), ["mo"], ["temp", "stn", "date"]).row_numbers("up", total="size").df
+    rows = segments.Ordered(S.readings(t), ["mo"], ["temp", "stn", "date"]).row_numbers("up", total="size").df
     # The order has no ties, so counting from the other end is a subtraction.
     return rows.select("stn", "mo", "da", "up", (F.col("size") - F.col("up") + 1).alias("down"))
 
@@ -98,7 +98,7 @@ SELECT stn, mo, da, lag(temp, 1) OVER s AS day_before, lag(temp, 2) OVER s AS tw
 FROM weather WINDOW s AS (PARTITION BY stn ORDER BY date), m AS (PARTITION BY mo ORDER BY temp, stn, date)"""))
 def neighbours(t):
     s = Window.partitionBy("stn").orderBy("date")
-    rows = S.weather(t).withColumns({"day_before": F.lag("temp", 1).over(s), "two_days_before": F.lag("temp", 2).over(s)})
+    rows = S.readings(t).withColumns({"day_before": F.lag("temp", 1).over(s), "two_days_before": F.lag("temp", 2).over(s)})
     rows = segments.Ordered(rows, ["mo"], ["temp", "stn", "date"]).previous({"colder": "temp"})
     rows = rows.settled().previous({"colder_still": "colder"})
     return rows.df.select("stn", "mo", "da", "day_before", "two_days_before", "colder", "colder_still")
@@ -109,7 +109,7 @@ SELECT stn, mo, da, sum(temp) OVER (PARTITION BY year)::DOUBLE / count(*) OVER (
   sum(temp) OVER (PARTITION BY year ORDER BY date)::DOUBLE / count(*) OVER (PARTITION BY year ORDER BY date) AS running FROM weather"""))
 def averages(t):
     """Average of the whole group, and of the group up to the row's day with all rows of that day."""
-    w = S.weather(t).withColumn("one", F.lit(1).cast("long"))
+    w = S.readings(t).withColumn("one", F.lit(1).cast("long"))
     whole = w.groupBy("year").agg((F.sum("temp") / F.count(F.lit(1))).alias("whole"))
     rows = segments.Ordered(w, ["year"], ["date"]).running_sums({"s": "temp", "n": "one"}, peers=True).df
     return segments.attach(rows, whole, ["year"]).select(
@@ -133,7 +133,7 @@ MONTH_SECONDS = 30 * DAY
 SELECT stn, mo, da, sum(temp) OVER w::DOUBLE / count(*) OVER w AS around FROM (SELECT *, epoch(date)::BIGINT AS x FROM weather)
 WINDOW w AS (PARTITION BY year ORDER BY x RANGE BETWEEN {MONTH_SECONDS} PRECEDING AND {MONTH_SECONDS} FOLLOWING)"""))
 def month_around(t):
-    w = S.weather(t).withColumn("x", F.unix_seconds(F.col("date").cast("timestamp")))
+    w = S.readings(t).withColumn("x", F.unix_seconds(F.col("date").cast("timestamp")))
     around = segments.sliding(
         w, ["year"], "x", MONTH_SECONDS, MONTH_SECONDS,
         {"s": F.sum("temp"), "n": F.count(F.lit(1))},
@@ -185,7 +185,7 @@ SELECT stn, mo, da, round(m.median, 6) AS median, round(quantile_cont(temp::DOUB
 FROM weather JOIN (SELECT mo, quantile_cont(temp::DOUBLE, 0.5) AS median FROM weather GROUP BY mo) m USING (mo)"""))
 def medians(t):
     """Median of the month, and running median of the station."""
-    w = S.weather(t)
+    w = S.readings(t)
     month = segments.exact_percentiles(w, ["mo"], "temp", {"median": 0.5})
     upto = Window.partitionBy("stn").orderBy("date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # The median itself takes no frame; the readings of one station so far are as many as days have passed.

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from opswell.functions.numbers import cents
 from opswell.functions.text import first_word
-from opswell.session import spread
+from opswell.session import settle, spread
 from opswell.sources.tables import Tables
 
 HOUR = 3_600_000
@@ -76,6 +76,14 @@ def weather(t: Tables) -> DataFrame:
     )
 
 
+def readings(t: Tables) -> DataFrame:
+    """The daily readings written once, for queries that pass over them several times.
+
+    They are far fewer than the events, which so are read a single time.
+    """
+    return settle(weather(t))
+
+
 def drives(t: Tables) -> DataFrame:
     """Line items with their part as daily drive statistics, dates written in two formats."""
     day = F.col("l_shipdate").cast("date")
@@ -237,10 +245,10 @@ def raw_events(t: Tables, kinds: tuple[str, ...] = ALL_EVENTS) -> DataFrame:
 
     app_id = F.concat(F.lit("app-"), F.col("app"))
     properties = F.struct(app_id.alias("spark.app.id"), F.lit("scope").alias("spark.rdd.scope")).alias("Properties")
-    job = jobs(t).join(place, "app")
+    job = spread(jobs(t)).join(place, "app")
     stage = stages(t).join(place, "app")
     task = tasks(t).join(place, "app")
-    sql = t.events.select(
+    sql = spread(t.events).select(
         F.lit("host-sql").alias("host"),
         F.concat(F.lit("/events/app-"), F.col("user_id")).alias("file_path"),
         "event_id",
