@@ -64,15 +64,17 @@ class Ordered:
         rows_per_span: int = ROWS_PER_SPAN,
         least: int = LEAST_SPANS,
         measured: DataFrame | None = None,
+        balanced: bool = False,
     ):
-        """measured: rows to take the range of the ordering column from, where cheaper ones than df have the same."""
+        """Equal parts of the range of the first ordering column are the spans, found in one light pass.
+
+        measured: rows to take the range from, where cheaper ones than df have the same.
+        balanced: spans with equal numbers of rows instead, cut anywhere in the
+        whole order. For keys that have very many rows at one value of the first
+        ordering column. Costs a range shuffle and writing the rows once.
+        """
         types = dict(df.dtypes)
         self.columns, self.keys, self.order = df.columns, list(keys), list(order)
-        at = _position(order[0], types[order[0]])
-        parts = F.greatest(F.lit(least), F.ceil(F.count("at") / rows_per_span))
-        reach = F.greatest((F.max("at") - F.min("at")) / parts, F.lit(1e-9))
-        range_ = (measured or df).select(at.alias("at")).agg(F.struct(F.min("at").alias("lo"), reach.alias("width")).alias("r"))
-        r = range_.scalar()
         self.by, tags = [], []
         for i, key in enumerate(self.keys):
             self.by += [f"_key{i}", f"_none{i}"]
@@ -80,6 +82,17 @@ class Ordered:
                 F.coalesce(F.col(key), _stand_in(types[key])).alias(f"_key{i}"),
                 F.col(key).isNull().alias(f"_none{i}"),
             ]
+        if balanced:
+            parts = max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+            rows = df.select("*", *tags).repartitionByRange(parts, *self.by, *self.order)
+            # The number of a partition is not a property of a row, so it is written down before it is used.
+            self.rows = session.settle(rows.withColumn(SPAN, F.spark_partition_id().cast("long")))
+            return
+        at = _position(order[0], types[order[0]])
+        parts = F.greatest(F.lit(least), F.ceil(F.count("at") / rows_per_span))
+        reach = F.greatest((F.max("at") - F.min("at")) / parts, F.lit(1e-9))
+        range_ = (measured or df).select(at.alias("at")).agg(F.struct(F.min("at").alias("lo"), reach.alias("width")).alias("r"))
+        r = range_.scalar()
         # Nulls of the ordering column sort first, as in an ascending window.
         tags.append(F.coalesce(F.floor((at - r["lo"]) / r["width"]), F.lit(-1)).alias(SPAN))
         self.rows = df.select("*", *tags)
@@ -150,19 +163,15 @@ class Ordered:
             {"_all": lambda w: F.sum("_n").over(w)} if total else None,
         )
 
-    def running_sums(self, sums: dict[str, str], peers: bool = False) -> Ordered:
-        """sum(column) up to the row, or with peers up to all rows of equal order; sums: result name -> column."""
-
-        def frame(w):
-            return w.rangeBetween(Window.unboundedPreceding, Window.currentRow) if peers else _upto_here(w)
-
+    def running_sums(self, sums: dict[str, str]) -> Ordered:
+        """sum(column) up to the row; sums: result name -> column."""
         # A running sum is null only until the first value arrives.
         result = lambda n: F.when(
             F.col(f"_here_{n}").isNotNull() | F.col(f"_ahead_{n}").isNotNull(),
             F.coalesce(f"_here_{n}", F.lit(0)) + F.coalesce(f"_ahead_{n}", F.lit(0)),
         )
         return self.carry(
-            {f"_here_{n}": (lambda w, c=c: F.sum(c).over(frame(w))) for n, c in sums.items()},
+            {f"_here_{n}": (lambda w, c=c: F.sum(c).over(_upto_here(w))) for n, c in sums.items()},
             {f"_sum_{n}": F.sum(c) for n, c in sums.items()},
             {f"_ahead_{n}": (lambda w, n=n: F.sum(f"_sum_{n}").over(w)) for n in sums},
             {n: result(n) for n in sums},
@@ -217,6 +226,16 @@ def attach(rows: DataFrame, facts: DataFrame, on: Sequence[str], how: str = "lef
     return rows.join(renamed, match, how).drop(*[f"_on{i}" for i in range(len(on))])
 
 
+def sums_upto_value(df: DataFrame, keys: Sequence[str], x: str, sums: dict[str, str], **cut) -> DataFrame:
+    """Rows with sum(column) over all rows of the key whose x is not above theirs; sums: result name -> column.
+
+    Rows of equal x are added up first, so only distinct values are ordered.
+    """
+    points = df.groupBy(*keys, x).agg(*[F.sum(c).alias(f"_part_{n}") for n, c in sums.items()])
+    run = Ordered(points, keys, [x], measured=df, **cut).running_sums({n: f"_part_{n}" for n in sums}).df
+    return attach(df, run.select(*keys, x, *sums), [*keys, x])
+
+
 def value_ranks(df: DataFrame, keys: Sequence[str], x: str, **cut) -> DataFrame:
     """One row per key and distinct value: n, rows below it, distinct values up to it, rows of the key.
 

@@ -111,7 +111,7 @@ def averages(t):
     """Average of the whole group, and of the group up to the row's day with all rows of that day."""
     w = S.readings(t).withColumn("one", F.lit(1).cast("long"))
     whole = w.groupBy("year").agg((F.sum("temp") / F.count(F.lit(1))).alias("whole"))
-    rows = segments.Ordered(w, ["year"], ["date"]).running_sums({"s": "temp", "n": "one"}, peers=True).df
+    rows = segments.sums_upto_value(w, ["year"], "date", {"s": "temp", "n": "one"})
     return segments.attach(rows, whole, ["year"]).select(
         "stn", "mo", "da", "whole", (F.col("s") / F.col("n")).alias("running")
     )

@@ -52,13 +52,25 @@ def test_row_numbers_descending(rows):
     same(got, want)
 
 
-@pytest.mark.parametrize("peers", [True, False])
-def test_running_sums(rows, peers):
-    order = ["x"] if peers else ["x", "id"]
-    w = Window.partitionBy("k").orderBy(*order)
-    if not peers:
-        w = w.rowsBetween(Window.unboundedPreceding, 0)
-    same(S.Ordered(rows, ["k"], order).running_sums({"s": "v"}, peers=peers).df, rows.withColumn("s", F.sum("v").over(w)))
+def test_running_sums(rows):
+    w = ordered().rowsBetween(Window.unboundedPreceding, 0)
+    same(O(rows).running_sums({"s": "v"}).df, rows.withColumn("s", F.sum("v").over(w)))
+    peers = Window.partitionBy("k").orderBy("x")
+    same(S.sums_upto_value(rows, ["k"], "x", {"s": "v"}), rows.withColumn("s", F.sum("v").over(peers)))
+
+
+def test_balanced_spans_cut_through_one_value(rows):
+    """A key whose rows nearly all have one value of the first ordering column."""
+    lumped = rows.withColumn("x", F.when(F.col("k") == "hot", F.lit(7)).otherwise(F.col("x")))
+    cut = S.Ordered(lumped, ["k"], ["x", "id"], balanced=True)
+    sizes = [r["n"] for r in cut.rows.where("k = 'hot'").groupBy(S.SPAN).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) > 1 and max(sizes) < 3000 / 4
+    w = ordered().rowsBetween(Window.unboundedPreceding, 0)
+    want = lumped.withColumn("rn", F.row_number().over(ordered()).cast("long")).withColumn("s", F.sum("v").over(w))
+    same(cut.row_numbers("rn").running_sums({"s": "v"}).df, want)
+    same(cut.previous({"p": "v"}).df, lumped.withColumn("p", F.lag("v").over(ordered())))
+    down = Window.partitionBy("k").orderBy(F.desc("x"), F.desc("id"))
+    same(cut.row_numbers("rn", descending=True).df, lumped.withColumn("rn", F.row_number().over(down).cast("long")))
 
 
 def test_running_least(rows):
