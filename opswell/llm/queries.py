@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from opswell.llm import chat, licenses, mixing, token_blocks
+from opswell.llm import chat, licenses, mixing, near_dups, token_blocks
 from opswell.session import scratch, settle, tune
 from opswell.sources.tables import Tables
 
@@ -57,3 +57,8 @@ def chat_format(t: Tables) -> DataFrame:
 @query("op10_source_mix", mixing.ORACLE)
 def source_mix(t: Tables) -> DataFrame:
     return mixing.mix(t.documents, ["doc_id"])
+
+
+@query("op7_minhash_dedup")
+def minhash_dedup(t: Tables) -> DataFrame:
+    return near_dups.near_duplicates(t.documents, width=3, percent=85)
