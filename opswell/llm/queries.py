@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from opswell.llm import chat, licenses, mixing, near_dups, token_blocks
+from opswell.llm import chat, licenses, mixing, near_dups, packing, token_blocks
 from opswell.session import scratch, settle, tune
 from opswell.sources.tables import Tables
 
@@ -62,3 +62,9 @@ def source_mix(t: Tables) -> DataFrame:
 @query("op7_minhash_dedup")
 def minhash_dedup(t: Tables) -> DataFrame:
     return near_dups.near_duplicates(t.documents, width=3, percent=85)
+
+
+@query("op6_best_fit_packing")
+def best_fit_packing(t: Tables) -> DataFrame:
+    packed = packing.pack(t.documents, vocabulary())
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
