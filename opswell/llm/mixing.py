@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from opswell.llm.rows import carried
 from opswell.session import settle
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -98,14 +99,13 @@ def mix(docs: DataFrame, keep: list[str], weights=(1, 2, 3), most: int = MOST_EP
 
 def mixed_documents(docs: DataFrame, weights=(1, 2, 3), most: int = MOST_EPOCHS) -> DataFrame:
     """The documents of the mix with their own columns: a row for each copy; the copy at the budget's cut holds its first words only."""
-    columns = docs.columns
-    plan = mix(docs, columns, weights, most)
+    plan = mix(carried(docs), ["_doc"], weights, most)
     size, taken = F.col("size"), F.col("taken")
-    copies = plan.filter(taken > 0).select(*columns, "size", "taken", F.explode(F.sequence(F.lit(0), F.ceil(taken / size).cast("int") - 1)).alias("_copy"))
+    copies = plan.filter(taken > 0).select("_doc", "size", "taken", F.explode(F.sequence(F.lit(0), F.ceil(taken / size).cast("int") - 1)).alias("_copy"))
     part = F.least(size, taken - F.col("_copy") * size).cast("int")
-    first = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0)), F.lit(1), part), " ")
-    text = F.when(part < size, first).otherwise(F.col("text"))
-    return copies.withColumn("text", text).select(*columns)
+    first = F.array_join(F.slice(F.regexp_extract_all(F.col("_doc.text"), F.lit(WORD), F.lit(0)), F.lit(1), part), " ")
+    text = F.when(part < size, first).otherwise(F.col("_doc.text"))
+    return copies.withColumn("_doc", F.col("_doc").withField("text", text)).select("_doc.*")
 
 
 ORACLE = r"""

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from opswell.llm.components import components
+from opswell.llm.rows import carried
 from opswell.llm.shingles import mix64, shingle_sets
 from opswell.session import settle
 
@@ -333,13 +334,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The documents, with their columns, of which each component keeps one: that of the smallest doc_id, nulls last. Rows without words all stay."""
-    columns = docs.columns
     rooted = classes(docs.select("doc_id", "text"), width, percent)
     first = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("_first"))
     stay = first.select(F.col("_first.row").alias("row"), F.lit(1).alias("_n")).join(rooted, "row")
     # Rows that agree in doc_id and text are told apart by nothing else here: as many of them stay as were chosen.
     chosen = stay.groupBy("doc_id", "text_key").agg(F.sum("_n").alias("_n")).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "_n")
-    place = F.row_number().over(Window.partitionBy("_id", "_key").orderBy(F.xxhash64(*columns)))
-    with_key = docs.withColumn("_text_key", F.xxhash64("text"))
+    place = F.row_number().over(Window.partitionBy("_id", "_key").orderBy(F.xxhash64("_doc")))
+    with_key = carried(docs).withColumn("_text_key", F.xxhash64("text"))
     found = with_key.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")))
-    return found.withColumn("_place", place).filter("_place <= _n").select(*columns)
+    return found.withColumn("_place", place).filter("_place <= _n").select("_doc.*")

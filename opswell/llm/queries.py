@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from opswell.llm import chat, licenses, mixing, near_dups, packing, token_blocks
+from opswell.llm import chat, licenses, mixing, near_dups, packing, quality, token_blocks
 from opswell.session import scratch, settle, tune
 from opswell.sources.tables import Tables
 
@@ -68,3 +68,13 @@ def minhash_dedup(t: Tables) -> DataFrame:
 def best_fit_packing(t: Tables) -> DataFrame:
     packed = packing.pack(t.documents, vocabulary())
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+def quality_labels(t: Tables) -> DataFrame:
+    return t.labels.select("doc_id", F.col("quality").alias("label"))
+
+
+@query("op9_quality_cnn")
+def quality_cnn(t: Tables) -> DataFrame:
+    found = quality.classify(t.documents, quality_labels(t), ["doc_id"])
+    return found.select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
