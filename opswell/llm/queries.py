@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from opswell.llm import chat, licenses, mixing, near_dups, packing, quality, token_blocks
+from opswell.llm import chat, licenses, mixing, near_dups, packing, pages, quality, token_blocks, topk
 from opswell.session import scratch, settle, tune
 from opswell.sources.tables import Tables
 
@@ -78,3 +78,14 @@ def quality_labels(t: Tables) -> DataFrame:
 def quality_cnn(t: Tables) -> DataFrame:
     found = quality.classify(t.documents, quality_labels(t), ["doc_id"])
     return found.select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
+
+
+@query("op3_html_text")
+def html_text(t: Tables) -> DataFrame:
+    found = pages.main_text(t.pages, ["page_id", "url"])
+    return found.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+@query("op2_exact_topk", topk.ORACLE)
+def exact_topk(t: Tables) -> DataFrame:
+    return topk.search(topk.quantised(t.embeddings), F.col("vec_id") % 100 == 0, 10)
