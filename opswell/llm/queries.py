@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from opswell.llm import chat, licenses, mixing, near_dups, packing, pages, quality, token_blocks, topk
+from opswell.llm import ann, chat, licenses, mixing, near_dups, packing, pages, quality, token_blocks, topk
 from opswell.session import scratch, settle, tune
 from opswell.sources.tables import Tables
 
@@ -89,3 +89,8 @@ def html_text(t: Tables) -> DataFrame:
 @query("op2_exact_topk", topk.ORACLE)
 def exact_topk(t: Tables) -> DataFrame:
     return topk.search(topk.quantised(t.embeddings), F.col("vec_id") % 100 == 0, 10)
+
+
+@query("op8_posting_list_ann")
+def posting_list_ann(t: Tables) -> DataFrame:
+    return ann.search(t.embeddings, F.col("vec_id") % 50 == 0, 5)
