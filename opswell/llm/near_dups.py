@@ -297,12 +297,12 @@ def classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     stands = filled.join(members.filter("row = class").select("row"), "row", "left_semi")
     found = clusters(stands.select("row", "signature", "bands"), percent / 100)
 
-    # Full sets are made from the texts of clustered classes only.
+    # Full sets are made from the texts of clustered classes only. The clustered rows grow with the table, so they are never broadcast, however few they are.
     clustered = settle(stands.select("row", "doc_id", "text_key", "n_shingles").join(found.withColumnRenamed("node", "row"), "row"))
     large = clustered.groupBy("root").agg(F.sum("n_shingles").alias("_n")).filter(F.col("_n") > CLUSTER_BLOCK)
     blocked = _in_blocks(clustered, ["root"], large.select("root", F.ceil(F.col("_n") / CLUSTER_BLOCK).alias("_blocks")))
     texts = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_key"), "text")
-    wanted = blocked.join(texts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))).select("root", "one", "two", "row", "text")
+    wanted = blocked.join(texts.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))).select("root", "one", "two", "row", "text")
     sets = wanted.repartition("root", "one", "two").sortWithinPartitions("root", "one", "two", "row")
     links = settle(sets.mapInArrow(_confirmed(width, percent), EDGES).distinct())
     joined = components(links).select(F.col("node").alias("class"), "root")
