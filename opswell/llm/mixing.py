@@ -11,7 +11,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: No source gives more than so many times its own words.
 MOST_EPOCHS = 3
 #: Rows in one range of hash keys; a source with more rows has more ranges.
-ROWS_PER_RANGE = 20_000
+ROWS_PER_RANGE = 4_000
 
 
 def words(text: str) -> Column:
