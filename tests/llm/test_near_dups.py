@@ -91,7 +91,9 @@ def test_estimate_is_near_the_similarity():
         a, b = (shingle_set(t, 3) for t in texts)
         chance = 0.5**near_dups.BITS
         estimate = (near_dups.equal_fields(m[0], m[1:])[0] / near_dups.HASHES - chance) / (1 - chance)
-        assert abs(estimate - len(a & b) / len(a | b)) < 0.16
+        real = len(a & b) / len(a | b)
+        share = chance + (1 - chance) * real
+        assert abs(estimate - real) < near_dups.SLACK * (share * (1 - share) / near_dups.HASHES) ** 0.5 / (1 - chance)
 
 
 def test_groups_of_copies(spark):
