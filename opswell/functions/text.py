@@ -127,16 +127,33 @@ def record_link(base: Column | str, table: Column | str, key: Column | str) -> C
     return F.when(filled(base, table, key), link).otherwise(F.lit(""))
 
 
-def ui_base(url: Column | str) -> Column:
-    """Base address of the user interface behind an address of the programming interface."""
+# Kinds of entities as their ids begin. Fixed values.
+ENTITY_KINDS = [
+    "HOST", "PROCESS_GROUP", "PROCESS_GROUP_INSTANCE", "CONTAINER_GROUP_INSTANCE", "SERVICE", "APPLICATION",
+    "POD", "NODE", "CLUSTER", "KUBERNETES_CLUSTER", "KUBERNETES_NODE",
+]
+
+
+def entity_part(c: Column | str, separator: str = "|||") -> Column:
+    """The last part that has the form of an entity's id, a kind and a hexadecimal number; the last part when none has."""
+    parts = F.transform(F.split(col(c), r"\Q" + separator + r"\E"), lambda x: F.trim(x))
+    entities = F.filter(parts, lambda x: x.rlike(f"(?i)^(?:{'|'.join(ENTITY_KINDS)})-[A-F0-9]+$"))
+    return F.coalesce(F.try_element_at(entities, F.lit(-1)), F.trim(F.substring_index(col(c), separator, -1)))
+
+
+def ui_base(url: Column | str, domain: str) -> Column:
+    """Base address of the user interface behind an address of the programming interface.
+
+    domain: what follows `.apps` in hosts that have a twin under `.live`; any other address stays as it is.
+    """
     c = F.regexp_replace(col(url), "/+$", "")
     c = F.regexp_replace(c, "(?i)/api/?$", "")
-    return F.regexp_replace(c, "(?i)\\.apps\\.", ".live.")
+    return F.regexp_replace(c, r"(?i)\.apps\Q" + domain + r"\E$", f".live{domain}")
 
 
-def entity_link(url: Column | str, entity_id: Column | str) -> Column:
-    entity = last_part(entity_id)
-    return F.when(filled(url, entity), F.concat(ui_base(url), F.lit("/ui/nav/"), entity)).otherwise(F.lit(""))
+def entity_link(url: Column | str, entity_id: Column | str, domain: str) -> Column:
+    entity = entity_part(entity_id)
+    return F.when(filled(url, entity), F.concat(ui_base(url, domain), F.lit("/ui/nav/"), entity)).otherwise(F.lit(""))
 
 
 def stamp_patterns(keys: Sequence[str], value: str) -> list[str]:

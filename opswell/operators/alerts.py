@@ -322,16 +322,10 @@ def escalate(alerts: DataFrame, keys: Sequence[str], created: str, tie: str, **c
     )
 
 
-def inherited(members: DataFrame, group: str, created: str, tie: str, service: str, signature: str, most: int = 25) -> DataFrame:
-    """Service and signature of the first resolvable one among the first members of every group alert."""
-    w = Window.partitionBy(group).orderBy(created, tie)
-    first = members.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most)
-    return (
-        first.where(F.col(service).isNotNull())
-        .groupBy(group)
-        .agg(F.min_by(F.struct(service, signature, F.col(tie).alias("member")), "_n").alias("_m"))
-        .select(group, "_m.*")
-    )
+def inherited(members: DataFrame, group: str, created: str, tie: str, service: str, signature: str) -> DataFrame:
+    """Service and signature of the oldest resolvable member of every group alert."""
+    first = F.min_by(F.struct(service, signature, F.col(tie).alias("member")), F.struct(created, tie))
+    return members.where(F.col(service).isNotNull()).groupBy(group).agg(first.alias("_m")).select(group, "_m.*")
 
 
 def coverage(df: DataFrame, bound: Column) -> DataFrame:

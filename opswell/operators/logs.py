@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from opswell import session
 from opswell.functions import text as X
@@ -23,7 +23,7 @@ GC_PAUSE_KIND = f"{GC_HEAD}([^(]*?) \\(.*?\\) \\((.*?)\\) {GC_HEAP}"
 GC_PAUSE = f"{GC_HEAD}([^(]*?)() {GC_HEAP}"
 GC_START_KIND = f"{GC_HEAD}([^(]*?) \\(.*?\\) \\((.*?)\\)"
 GC_START = f"{GC_HEAD}([^(]*?) \\((.*?)\\)"
-MAX_LINES = 500
+CHUNK_LINES = 500
 
 # Level names by the type of event they stand for. Fixed values.
 EVENT_TYPES = {
@@ -60,25 +60,23 @@ def _by_start(c: Column, pairs: Sequence[tuple[str, str]], otherwise: Column) ->
     return out
 
 
-def stitch(df: DataFrame, file: str, line_no: str, value: str, max_lines: int = MAX_LINES, **cut) -> DataFrame:
+def stitch(df: DataFrame, file: str, line_no: str, value: str, chunk_lines: int = CHUNK_LINES, **cut) -> DataFrame:
     """Records of several lines: a line that does not begin with a time belongs to the record before it.
 
-    One row per record with its first line's number, its text of at most
-    max_lines lines and its true number of lines. Lines before the first time of
-    a file form a record of their own.
+    A row for each chunk of chunk_lines lines of a record: the number and text of
+    the record's first line (record, head), the chunk's number from 0, its text, and
+    the record's number of lines. A record of any length is whole in its chunks, and
+    no task needs more than a chunk at a time. Lines before the first time of a file
+    form a record of their own, with no number and no head.
     """
-    marked = df.withColumn("_start", F.when(F.col(value).rlike(RECORD_START), F.col(line_no)))
-    placed = session.settle(segments.Ordered(marked, [file], [line_no], **cut).last_known(upto={"record": "_start"}).df)
-    first = Window.partitionBy(file, "record").orderBy(line_no)
-    sizes = placed.groupBy(file, "record").agg(F.count(F.lit(1)).alias("lines"))
-    # row_number <= max_lines is applied before the shuffle too, so a record never brings more than that to a task.
-    kept = placed.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= max_lines)
-    texts = kept.groupBy(file, "record").agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("_n", value))), lambda x: x[value]), "\n"
-        ).alias("text")
+    begins = F.col(value).rlike(RECORD_START)
+    marked = df.withColumns({"_start": F.when(begins, F.col(line_no)), "_head": F.when(begins, F.col(value))})
+    known = segments.Ordered(marked, [file], [line_no], **cut).last_known(upto={"record": "_start", "head": "_head"}).settled()
+    placed = segments.Ordered(known.df, [file, "record"], [line_no], **cut).row_numbers("_n", total="lines").df
+    chunked = placed.withColumn("chunk", F.floor((F.col("_n") - 1) / chunk_lines).cast("long"))
+    return chunked.groupBy(file, "record", "head", "lines", "chunk").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", value))), lambda x: x[value]), "\n").alias("text")
     )
-    return segments.attach(texts, sizes, [file, "record"])
 
 
 def application_records(df: DataFrame, value: str = "value") -> DataFrame:

@@ -151,12 +151,18 @@ def zone_coverage(entities: DataFrame, zone: str) -> DataFrame:
     return out.withColumn("finding", (F.col("hosts_in_zone") > 0) & (F.col("groups_in_zone") == 0))
 
 
+FINDING = ["category", "subcategory", "subclass", "severity"]
+
+
 def findings_tree(findings: DataFrame, order: str, k: int = 50) -> DataFrame:
-    """One row per category, subcategory and subclass: severity, count, and its first k items as an array."""
-    group = ["category", "subcategory", "subclass", "severity"]
-    shown = top_sample(findings, group, [F.col(order).asc()], k)
-    return shown.groupBy(*group, F.col("of_total").alias("count")).agg(
-        F.array_sort(F.collect_list(F.struct("sample_no", order))).alias("items")
+    """All items of every finding with their place, the finding's size, and whether they are among its first k."""
+    return top_sample(findings, FINDING, [order], k)
+
+
+def shown_items(tree: DataFrame, item: str) -> DataFrame:
+    """One row per finding: its size, and the items that are shown as an array."""
+    return tree.groupBy(*FINDING, F.col("of_total").alias("count")).agg(
+        F.array_sort(F.collect_list(F.when(F.col("shown"), F.struct("sample_no", item)))).alias("items")
     )
 
 

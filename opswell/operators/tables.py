@@ -108,14 +108,16 @@ def cast_prefixed(df: DataFrame, prefix: str, dtype: str) -> DataFrame:
     return df.select(*[F.col(c).try_cast(dtype).alias(c) if c.startswith(prefix) else F.col(c) for c in df.columns])
 
 
-def top_sample(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
-    """The first k rows per group beside the true size of the group ("showing 50 of N")."""
-    from pyspark.sql import Window
-
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("of_total"))
-    # row_number <= k is pushed below the shuffle, so at most k rows per group and task are moved.
-    first = (
-        df.withColumn("sample_no", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-        .where(F.col("sample_no") <= k)
-    )
-    return first.join(sizes, list(keys))
+def top_sample(df: DataFrame, keys: Sequence[str], order: Sequence[str], k: int) -> DataFrame:
+    """All rows with their place in the group (sample_no), the group's size (of_total), and whether they are among the first k (shown)."""
+    from opswell.operators import segments
+
+    return segments.Ordered(df, keys, order, balanced=True).row_numbers("sample_no", total="of_total").df.withColumn("shown", F.col("sample_no") <= k)
+
+
+def batches(df: DataFrame, order: Sequence[str], size: int) -> DataFrame:
+    """All rows with the number, from 0, of the batch of `size` rows that takes them, the first in order first."""
+    from opswell.operators import segments
+
+    placed = segments.Ordered(df, [], order, balanced=True).row_numbers("_place").df
+    return placed.withColumn("batch", F.floor((F.col("_place") - 1) / size).cast("long")).drop("_place")

@@ -4,21 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from opswell import session
 from opswell.session import shared_dir
 
 
-def closure(edges: DataFrame, parent: str, child: str, max_rounds: int = 50) -> DataFrame:
+def closure(edges: DataFrame, parent: str, child: str) -> DataFrame:
     """All (ancestor, descendant, depth) pairs of an edge table, the shortest way counting.
 
     Each round extends only the pairs found in the round before. Rounds are cut
     from each other by a checkpoint in the shared folder, so a lost executor does
-    not send the work back to the first round.
+    not send the work back to the first round. Pairs are finite, so the rounds end
+    by themselves, also where edges form a ring: its nodes are above themselves.
     """
     shared_dir(edges.sparkSession)
     step = edges.select(F.col(parent).alias("_from"), F.col(child).alias("_to")).distinct()
     found = step.select(F.col("_from").alias("ancestor"), F.col("_to").alias("descendant"), F.lit(1).alias("depth"))
     found = latest = found.checkpoint()
-    for depth in range(2, max_rounds + 2):
+    depth = 1
+    while True:
+        depth += 1
         longer = (
             latest.join(step, F.col("descendant") == F.col("_from"))
             .select("ancestor", F.col("_to").alias("descendant"))
@@ -30,7 +34,6 @@ def closure(edges: DataFrame, parent: str, child: str, max_rounds: int = 50) ->
         if longer.isEmpty():
             return found
         found, latest = found.unionByName(longer), longer
-    raise ValueError(f"the tree is deeper than {max_rounds + 1} levels")
 
 
 def members(groups: DataFrame, direct: DataFrame, parent: str, child: str, group: str, member: str) -> DataFrame:
@@ -44,24 +47,42 @@ def members(groups: DataFrame, direct: DataFrame, parent: str, child: str, group
     return own.unionByName(inside).distinct()
 
 
-def levels(spans: DataFrame, span: str = "span_id", parent: str = "parent_id", depth: int = 4) -> DataFrame:
-    """Adds level (root = 1), path from the root, root and number of children, for trees of bounded depth."""
-    link = spans.select(F.col(span).alias("_id"), F.col(parent).alias("_up"))
-    out = spans.withColumn("_up1", F.col(parent))
-    for i in range(1, depth):
-        out = out.join(
-            link.select(F.col("_id").alias(f"_id{i}"), F.col("_up").alias(f"_up{i + 1}")),
-            F.col(f"_up{i}") == F.col(f"_id{i}"),
-            "left",
-        ).drop(f"_id{i}")
-    ups = [F.col(f"_up{i}") for i in range(depth, 0, -1)]
+def levels(spans: DataFrame, span: str = "span_id", parent: str = "parent_id") -> DataFrame:
+    """Adds level (root = 1), path from the root, root and number of children, for trees of any depth.
+
+    Every span holds the path to itself from the highest ancestor it knows. Each
+    round puts that ancestor's own path before it, so paths double and a tree of d
+    levels takes log2(d) rounds. A parent that is not among the spans is a root. A
+    span on a ring, or below one, has no root: its level, path and root are null.
+    """
+    none = F.lit(None).cast("string")
+    rows = session.settle(
+        spans.select(
+            F.col(span).alias("_id"),
+            F.when(F.col(parent).isNull(), F.array(span)).otherwise(F.array(parent, span)).alias("_path"),
+            F.col(parent).isNull().alias("_done"),
+            F.lit(False).alias("_ring"),
+        )
+    )
+    while not rows.where("NOT _done").isEmpty():
+        up = rows.select(F.col("_id").alias("_up"), F.col("_path").alias("_above"), F.col("_done").alias("_up_done"), F.col("_ring").alias("_up_ring"))
+        own = F.slice("_path", F.lit(2), F.size("_path") - 1)
+        ring = F.array_contains(own, F.col("_path")[0]) | F.coalesce("_up_ring", F.lit(False))
+        open_ = rows.where("NOT _done").join(up, F.col("_path")[0] == F.col("_up"), "left")
+        longer = open_.select(
+            "_id",
+            F.when(ring | F.col("_up").isNull(), F.col("_path")).otherwise(F.concat("_above", own)).alias("_path"),
+            (ring | F.coalesce("_up_done", F.lit(True))).alias("_done"),
+            ring.alias("_ring"),
+        )
+        rows = session.settle(rows.where("_done").unionByName(longer))
+    found = rows.select("_id", F.when(~F.col("_ring"), F.col("_path")).alias("_path"))
     children = spans.where(F.col(parent).isNotNull()).groupBy(F.col(parent).alias("_of")).agg(F.count(F.lit(1)).alias("_children"))
-    out = out.withColumn("_path", F.array_compact(F.array(*ups, F.col(span))))
-    out = out.join(children, F.col(span) == F.col("_of"), "left")
+    out = spans.join(found, F.col(span) == F.col("_id")).join(children, F.col(span) == F.col("_of"), "left")
     return out.select(
         *spans.columns,
-        F.size("_path").alias("level"),
-        F.array_join("_path", "/").alias("path"),
+        F.when(F.col("_path").isNotNull(), F.size("_path")).alias("level"),
+        F.coalesce(F.array_join("_path", "/"), none).alias("path"),
         F.col("_path")[0].alias("root"),
         F.coalesce("_children", F.lit(0)).cast("long").alias("children"),
     )

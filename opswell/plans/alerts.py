@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from opswell import session
 from opswell.functions import text as X
-from opswell.operators import alerts as A, buckets
+from opswell.operators import alerts as A, buckets, tables
 from opswell.operators.logs import service_of_pod
 from opswell.plans.aggregates import HOUR, gauges
 from opswell.plans.ctes import cte, sql
@@ -365,15 +365,16 @@ def skipped(t):
 
 
 @query("inc04", sql("alerts", """
-SELECT alert_id FROM alerts WHERE source = 'feed' AND incident IS NULL AND event_type IN ('error', 'click', 'view') AND correlation_group <> 'Secondary' ORDER BY created_on, alert_id LIMIT 75"""))
+SELECT alert_id, (row_number() OVER (ORDER BY created_on, alert_id) - 1) // 75 AS batch FROM alerts WHERE source = 'feed' AND incident IS NULL AND event_type IN ('error', 'click', 'view') AND correlation_group <> 'Secondary'"""))
 def pending(t):
     rows = S.alerts(t).where("source = 'feed' AND incident IS NULL AND correlation_group <> 'Secondary'")
-    return rows.where(F.col("description").contains(A.CRITICAL)).orderBy("created_on", "alert_id").limit(75).select("alert_id")
+    pending = rows.where(F.col("description").contains(A.CRITICAL)).select("alert_id", "created_on")
+    return tables.batches(pending, ["created_on", "alert_id"], 75).select("alert_id", "batch")
 
 
 @query("inc05", sql("resolved", """
 SELECT user_id AS parent, (min({'n': n, 's': service, 'g': signature, 'a': alert_id})).s AS service, (min({'n': n, 's': service, 'g': signature, 'a': alert_id})).g AS signature, (min({'n': n, 's': service, 'g': signature, 'a': alert_id})).a AS member FROM (
-  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_on, alert_id) AS n FROM resolved) WHERE n <= 25 AND service IS NOT NULL GROUP BY 1"""))
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_on, alert_id) AS n FROM resolved) WHERE service IS NOT NULL GROUP BY 1"""))
 def group_alerts(t):
     """Group alerts take over what their first resolvable member says; a user's alerts are a group."""
     members = resolved(t).select(

@@ -12,47 +12,44 @@ from opswell.session import spread
 from opswell.sources import standins as S
 
 
-def fractions(t):
+def pairs(t):
     rows = spread(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_discount"))
-    return rows.withColumn("parts", F.array(F.col("l_linenumber").cast("long"), cents("l_discount")))
+    return rows.withColumn("parts", F.array("l_partkey", cents("l_discount")))
 
 
-FRACTIONS = "(SELECT *, l_linenumber::BIGINT AS n, CAST(round(l_discount * 100) AS BIGINT) AS q FROM lineitem)"
+PAIRS = "(SELECT *, l_partkey AS n, CAST(round(l_discount * 100) AS BIGINT) AS q FROM lineitem)"
 
 
 @query("fun01", f"""
-SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN q <> 0 THEN n // gcd(n, q) END AS numerator, CASE WHEN q <> 0 THEN q // gcd(n, q) END AS denominator FROM {FRACTIONS}""")
+SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN q <> 0 THEN n // q END AS quotient, CASE WHEN q <> 0 THEN n % q END AS remainder FROM {PAIRS}""")
 def array_function(t):
-    rows = fractions(t).withColumn("f", U.fraction_udf("parts"))
-    return rows.select("l_orderkey", "l_linenumber", "l_partkey", F.col("f")[0].alias("numerator"), F.col("f")[1].alias("denominator"))
+    rows = pairs(t).withColumn("f", U.divided_udf("parts"))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", F.col("f")[0].alias("quotient"), F.col("f")[1].alias("remainder"))
 
 
 @query("fun02", f"""
-SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN q <> 0 THEN n::DOUBLE / q::DOUBLE END AS value, CAST(NULL AS BIGINT) AS wrong FROM {FRACTIONS}""")
+SELECT l_orderkey, l_linenumber, l_partkey, abs(n - q)::DOUBLE AS reach, CAST(NULL AS BIGINT) AS wrong FROM {PAIRS}""")
 def scalar_function(t):
     """A function declared with its type, and one whose declared type is not what it returns: that gives null."""
     wrong = F.udf(lambda parts: parts[0] + 0.5, T.LongType())
-    return fractions(t).select("l_orderkey", "l_linenumber", "l_partkey", U.fraction_value("parts").alias("value"), wrong("parts").alias("wrong"))
+    return pairs(t).select("l_orderkey", "l_linenumber", "l_partkey", U.reach("parts").alias("reach"), wrong("parts").alias("wrong"))
 
 
-CELSIUS = "SELECT event_id, (value - 32.0) * 5.0 / 9.0 AS celsius FROM events"
-
-
-@query("fun03", CELSIUS)
+@query("fun03", "SELECT event_id, sign(value) * sqrt(abs(value)) AS damped FROM events")
 def series(t):
-    return t.events.select("event_id", U.celsius("value").alias("celsius"))
+    return t.events.select("event_id", U.damped("value").alias("damped"))
 
 
-@query("fun04", CELSIUS)
+@query("fun04", """
+SELECT event_id, CASE WHEN value >= 100 THEN 4 WHEN value >= 50 THEN 3 WHEN value >= 25 THEN 2 WHEN value >= 10 THEN 1 WHEN value IS NOT NULL THEN 0 END::BIGINT AS grade FROM events""")
 def series_batches(t):
-    return t.events.select("event_id", U.celsius_batches("value").alias("celsius"))
+    return t.events.select("event_id", U.graded("value").alias("grade"))
 
 
 @query("fun05", """
-SELECT event_id, strftime(ts, '%Y-%m-%d') AS date FROM events""")
+SELECT event_id, hour(ts) * 3600 + minute(ts) * 60 + second(ts) AS of_day FROM events""")
 def several_series(t):
-    made = U.date_batches(F.year("ts"), F.month("ts"), F.dayofmonth("ts"))
-    return t.events.select("event_id", made.cast("string").alias("date"))
+    return t.events.select("event_id", U.second_of_day(F.hour("ts"), F.minute("ts"), F.second("ts")).alias("of_day"))
 
 
 @query("fun06", sql("weather", """
@@ -67,8 +64,8 @@ def grouped_aggregate(t):
 
 def scaled_sql(group):
     return sql("weather", f"""
-SELECT stn, mo, da, round(CASE WHEN lo = hi THEN 0.5::DOUBLE ELSE (temp - lo)::DOUBLE / (hi - lo)::DOUBLE END, 9) AS scaled FROM (
-  SELECT *, min(temp) OVER (PARTITION BY {group}) AS lo, max(temp) OVER (PARTITION BY {group}) AS hi FROM weather)""")
+SELECT stn, mo, da, round(CASE WHEN wide = 0 THEN 0.0::DOUBLE ELSE (temp - middle) / wide END, 6) AS scaled FROM (
+  SELECT *, avg(temp::DOUBLE) OVER (PARTITION BY {group}) AS middle, stddev_pop(temp::DOUBLE) OVER (PARTITION BY {group}) AS wide FROM weather)""")
 
 
 SCALED = "stn long, mo int, da int, temp long, scaled double"
@@ -76,16 +73,16 @@ SCALED = "stn long, mo int, da int, temp long, scaled double"
 
 @query("fun07", scaled_sql("stn, mo"))
 def group_map(t):
-    """Scaled within station and month: a group has at most 31 rows."""
+    """Standard scores within station and month: a group has at most 31 rows."""
     rows = S.weather(t).select("stn", "mo", "da", "temp").groupBy("stn", "mo")
-    return rows.applyInPandas(U.scale_group("temp", "scaled"), SCALED).select("stn", "mo", "da", F.round("scaled", 9).alias("scaled"))
+    return rows.applyInPandas(U.standard_scores("temp", "scaled"), SCALED).select("stn", "mo", "da", F.round("scaled", 6).alias("scaled"))
 
 
 @query("fun08", scaled_sql("stn"))
 def coarser_group_map(t):
-    """Scaled within the station: other answers, and as many rows per group as there are days."""
+    """Standard scores within the station: other answers, and as many rows per group as there are days."""
     rows = S.weather(t).select("stn", "mo", "da", "temp").groupBy("stn")
-    return rows.applyInPandas(U.scale_group("temp", "scaled"), SCALED).select("stn", "mo", "da", F.round("scaled", 9).alias("scaled"))
+    return rows.applyInPandas(U.standard_scores("temp", "scaled"), SCALED).select("stn", "mo", "da", F.round("scaled", 6).alias("scaled"))
 
 
 @query("fun09", sql("weather", """

@@ -23,19 +23,22 @@ def log_file_rows(t):
 
 
 @query("log01", """
-SELECT d.source, '2024-01-01 00:00:00 INFO Doc:' || doc_id || ' - start' AS first_line, count(*) + 1 AS lines,
-  sha1('2024-01-01 00:00:00 INFO Doc:' || doc_id || ' - start' || chr(10) || string_agg(value, chr(10) ORDER BY pos) FILTER (pos < 499)) AS digest
-FROM (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS value, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents) d GROUP BY source, doc_id""")
+WITH lines AS (
+  SELECT source, doc_id, '2024-01-01 00:00:00 INFO Doc:' || doc_id || ' - start' AS first_line, '2024-01-01 00:00:00 INFO Doc:' || doc_id || ' - start' AS value, 0 AS pos FROM documents
+  UNION ALL SELECT source, doc_id, '2024-01-01 00:00:00 INFO Doc:' || doc_id || ' - start', unnest(string_split(text, chr(10))), generate_subscripts(string_split(text, chr(10)), 1) FROM documents)
+SELECT source, first_line, any_value(n) AS lines, pos // 500 AS chunk, sha1(string_agg(value, chr(10) ORDER BY pos)) AS digest
+FROM (SELECT *, count(*) OVER (PARTITION BY source, doc_id) AS n FROM lines) GROUP BY source, doc_id, first_line, pos // 500""")
 def stitched(t):
     """Records of many lines read back from files, where no line knows its record."""
     path = t.scratch("log-files")
-    log_file_rows(t).repartition("source").select("source", "value").write.partitionBy("source").option("lineSep", "\n").text(path)
+    log_file_rows(t).select("source", "value").write.partitionBy("source").option("lineSep", "\n").text(path)
     lines = readers.numbered_lines(t.spark, path + "/*")
     records = G.stitch(lines, "path", "line_no", "value")
     return records.select(
         F.regexp_extract("path", "source=([^/]+)", 1).alias("source"),
-        F.split("text", "\n")[0].alias("first_line"),
+        F.col("head").alias("first_line"),
         "lines",
+        "chunk",
         F.sha1("text").alias("digest"),
     )
 

@@ -16,24 +16,20 @@ def top_words(t):
     return S.words(t).groupBy("word").count().orderBy(F.desc("count"), "word").limit(10)
 
 
-def best_drives(rates_table, capacity: float, precision: float = 0.25, top_n: int = 3):
-    """The most reliable models with about the wanted capacity: low failure rate first, then the larger one."""
-    near = F.col("gib").between(capacity / (1 + precision), capacity * (1 + precision))
-    return (
-        rates_table.where(near)
-        .orderBy(F.col("failure_rate").asc(), F.col("gib").desc(), F.col("model").asc())
-        .limit(top_n)
-    )
+def closest(rows, column: str, wanted: float, tolerance: float, ranked, k: int):
+    """The k best by `ranked` of the rows whose column is within `tolerance` of the wanted value."""
+    return rows.where(F.abs(F.col(column) - wanted) <= tolerance).orderBy(*ranked).limit(k)
 
 
 @query("srt02", sql("drives", """
 SELECT model, gib, failure_rate FROM (
   SELECT model, CAST(capacity_bytes // 1073741824 AS BIGINT) AS gib, sum(failure)::DOUBLE / count(*)::DOUBLE AS failure_rate
   FROM drives WHERE capacity_bytes > 0 GROUP BY 1, 2)
-WHERE gib BETWEEN 20 / 1.25 AND 20 * 1.25 ORDER BY failure_rate, gib DESC, model LIMIT 3"""))
+WHERE abs(gib - 18) <= 6 ORDER BY failure_rate, abs(gib - 18), model LIMIT 5"""))
 def reliable_drives(t):
+    """Five models of 18 GiB or 6 more or less that fail the least, those nearer to 18 first among equals."""
     rates = tables.failure_rates(sized(t), ["model", "gib"], "failure")
-    return best_drives(rates, 20).select("model", "gib", "failure_rate")
+    return closest(rates, "gib", 18, 6, ["failure_rate", F.abs(F.col("gib") - 18), "model"], 5).select("model", "gib", "failure_rate")
 
 
 @query("srt03", "SELECT event_id, user_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 100")
@@ -42,25 +38,27 @@ def newest_rows(t):
 
 
 @query("srt04", """
-SELECT c_nationkey, c_custkey, sample_no, of_total FROM (
+SELECT *, sample_no <= 50 AS shown FROM (
   SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS sample_no, count(*) OVER (PARTITION BY c_nationkey) AS of_total
-  FROM customer) WHERE sample_no <= 50""")
+  FROM customer)""")
 def sample_and_total(t):
     rows = t.customer.select("c_nationkey", "c_custkey")
-    return tables.top_sample(rows, ["c_nationkey"], [F.col("c_custkey").asc()], 50)
+    return tables.top_sample(rows, ["c_nationkey"], ["c_custkey"], 50)
 
 
 @query("srt05", sql("alerts", """
-SELECT alert_id, severity FROM alerts WHERE source = 'feed' AND incident IS NULL ORDER BY created_on, alert_id LIMIT 75"""))
-def oldest_batch(t):
-    pending = S.alerts(t).where("source = 'feed' AND incident IS NULL")
-    return pending.orderBy("created_on", "alert_id").limit(75).select("alert_id", "severity")
+SELECT alert_id, severity, (row_number() OVER (ORDER BY created_on, alert_id) - 1) // 75 AS batch FROM alerts WHERE source = 'feed' AND incident IS NULL"""))
+def oldest_first(t):
+    """All pending alerts in batches of 75, the oldest in batch 0."""
+    pending = S.alerts(t).where("source = 'feed' AND incident IS NULL").select("alert_id", "severity", "created_on")
+    return tables.batches(pending, ["created_on", "alert_id"], 75).select("alert_id", "severity", "batch")
 
 
 @query("srt05_matches", sql("jobs", """
-SELECT job, start_ms, end_ms FROM jobs WHERE end_ms IS NOT NULL ORDER BY end_ms, job LIMIT 500"""))
+SELECT job, start_ms, end_ms, (row_number() OVER (ORDER BY end_ms, job) - 1) // 500 AS batch FROM jobs WHERE end_ms IS NOT NULL"""))
 def oldest_matches(t):
-    return S.jobs(t).where("end_ms IS NOT NULL").orderBy("end_ms", "job").limit(500).select("job", "start_ms", "end_ms")
+    ended = S.jobs(t).where("end_ms IS NOT NULL").select("job", "start_ms", "end_ms")
+    return tables.batches(ended, ["end_ms", "job"], 500).select("job", "start_ms", "end_ms", "batch")
 
 
 def quarters(t):

@@ -146,11 +146,11 @@ SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN '' ELSE 'https://cmdb
   'https://x.live.example/ui/nav/HOST-' || c_custkey AS entity FROM customer""")
 def deep_links(t):
     key = F.when(F.col("c_mktsegment") != "BUILDING", F.concat(F.lit("sys-"), F.col("c_custkey")))
-    entity = F.concat(F.lit("feed|||HOST-"), F.col("c_custkey"))
+    entity = F.concat(F.lit("feed|||HOST-"), F.col("c_custkey"), F.lit("|||extra"))
     return t.customer.select(
         "c_custkey",
         X.record_link(F.lit("https://cmdb.example/"), F.lit("cmdb_ci"), key).alias("record"),
-        X.entity_link(F.lit("https://x.apps.example/api/"), entity).alias("entity"),
+        X.entity_link(F.lit("https://x.apps.example/api/"), entity, ".example").alias("entity"),
     )
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from opswell import session
 from opswell.functions import text as X
-from opswell.operators import reconcile as R, trees
+from opswell.operators import reconcile as R, tables, trees
 from opswell.plans.ctes import cte, sql
 from opswell.plans.joins import host_diff
 from opswell.registry import query
@@ -21,12 +21,12 @@ def bindings(t):
     flag = F.col("l_returnflag")
     key = F.when(flag == "R", F.lit(TAG_KEYS["R"])).when(flag == "A", F.lit(TAG_KEYS["A"])).otherwise(F.lit("owner"))
     value = F.when(flag == "R", F.concat(F.lit("Svc-"), F.col("l_suppkey"))).otherwise(F.concat(F.lit("svc-id-"), F.col("l_suppkey")))
-    return t.lineitem.where("l_quantity < 25").select(key.alias("key"), value.alias("value"))
+    return t.lineitem.select(key.alias("key"), value.alias("value"))
 
 
 cte("tag_counts", """
 SELECT CASE WHEN l_returnflag = 'R' THEN 'Svc-' || l_suppkey ELSE 'svc-id-' || l_suppkey END AS value,
-  count(*) FILTER (l_returnflag = 'R') AS canonical, count(*) FILTER (l_returnflag = 'A') AS alternate FROM lineitem WHERE l_quantity < 25 GROUP BY 1""")
+  count(*) FILTER (l_returnflag = 'R') AS canonical, count(*) FILTER (l_returnflag = 'A') AS alternate FROM lineitem GROUP BY 1""")
 
 
 @query("agg44", sql("tag_counts", "SELECT value, canonical, alternate FROM tag_counts"))
@@ -167,16 +167,12 @@ def service_status(t):
 
 @query("rec06", """
 SELECT name, sample_no, of_total FROM (SELECT name, row_number() OVER (ORDER BY name) AS sample_no, count(*) OVER () AS of_total FROM (
-  SELECT DISTINCT 'Svc ' || l_partkey AS name FROM lineitem WHERE 'Svc ' || l_partkey NOT IN (SELECT 'Svc ' || s_suppkey FROM supplier))) WHERE sample_no <= 25""")
+  SELECT DISTINCT 'Svc ' || l_partkey AS name FROM lineitem WHERE 'Svc ' || l_partkey NOT IN (SELECT 'Svc ' || s_suppkey FROM supplier)))""")
 def unspecified(t):
-    """Inventory rows that the specification does not name: the first 25 and how many there are."""
+    """Inventory rows that the specification does not name, numbered, beside how many there are."""
     found = t.lineitem.select(F.concat(F.lit("Svc "), F.col("l_partkey")).alias("name")).distinct()
     extra = session.settle(found.join(specification(t).select("name"), "name", "left_anti"))
-    total = extra.agg(F.count(F.lit(1)).alias("n"))
-    first = extra.orderBy("name").limit(25)
-    return first.select(
-        "name", F.row_number().over(Window.orderBy("name")).alias("sample_no"), total.select("n").scalar().alias("of_total")
-    )
+    return tables.top_sample(extra, [], ["name"], 25).select("name", "sample_no", "of_total")
 
 
 @query("rec07", """
@@ -234,14 +230,11 @@ def findings(t):
 
 
 @query("rec09", sql("findings", """
-SELECT category, subcategory, subclass, severity, count, items, shown FROM (SELECT category, subcategory, subclass, severity, any_value(n) AS count, string_agg(item, ',' ORDER BY r) AS items, count(*) AS shown FROM (
-  SELECT *, row_number() OVER (PARTITION BY category, subcategory, subclass, severity ORDER BY item) AS r, count(*) OVER (PARTITION BY category, subcategory, subclass, severity) AS n FROM findings)
-WHERE r <= 50 GROUP BY 1, 2, 3, 4)"""))
+SELECT category, subcategory, subclass, severity, item, sample_no, of_total, sample_no <= 50 AS shown FROM (
+  SELECT *, row_number() OVER (PARTITION BY category, subcategory, subclass, severity ORDER BY item) AS sample_no, count(*) OVER (PARTITION BY category, subcategory, subclass, severity) AS of_total FROM findings)"""))
 def findings_tree(t):
-    tree = R.findings_tree(session.settle(findings(t)), "item", 50)
-    return tree.select(
-        "category", "subcategory", "subclass", "severity", "count", F.array_join("items.item", ",").alias("items"), F.size("items").cast("long").alias("shown")
-    )
+    """Every finding's items with their places; the first 50 of each are shown."""
+    return R.findings_tree(session.settle(findings(t)), "item", 50).select("category", "subcategory", "subclass", "severity", "item", "sample_no", "of_total", "shown")
 
 
 @query("agg46", sql("findings", "SELECT severity, count(*) AS items, count(DISTINCT subclass) AS findings FROM findings GROUP BY 1"))

@@ -8,7 +8,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def match(events: DataFrame, late: str, longest: str) -> DataFrame:
@@ -107,7 +106,6 @@ def counter_rates(
     idle_seconds: int | None = 300,
 ) -> DataFrame:
     """Rates with state per key; after idle_seconds of silence the next row is a first row. Rows come in time order."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     types = dict(rows.dtypes)
     schema = ", ".join([f"{k} {types[k]}" for k in [*keys, tie]] + [f"{m}_rate double" for m in measures])
     return rows.groupBy(*keys).transformWithStateInPandas(

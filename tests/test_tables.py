@@ -44,11 +44,11 @@ def test_upsert_twice_gives_the_same_table(spark):
     assert got == {("a", 2, "y"), ("b", 1, "x"), ("c", 5, "z")}
 
 
-def test_a_large_table_is_not_forced_into_one_file(spark):
-    with pytest.raises(ValueError):
-        writers.csv_single(spark.range(50), scratch(spark, "one"), most_rows=10)
-    assert writers.attempt(writers.csv_single, spark.range(5), scratch(spark, "one"), 10)
-    assert not writers.attempt(writers.csv_single, spark.range(50), scratch(spark, "one"), 10)
+def test_one_file_holds_all_rows(spark):
+    path = scratch(spark, "one")
+    assert writers.attempt(writers.csv_single, spark.range(50), path)
+    assert spark.read.option("header", True).csv(path).count() == 50
+    assert not writers.attempt(writers.csv_single, spark.range(5).withColumn("id", F.raise_error(F.lit("no"))), scratch(spark, "one"))
 
 
 def test_numbered_lines_keep_file_order(spark):
