@@ -50,13 +50,6 @@ def two_times(t):
     )
 
 
-def event_files(t, kinds):
-    """Raw lines as files, one folder per host, and the stream over them."""
-    path = t.scratch("events")
-    S.raw_events(t, kinds).write.parquet(path)
-    return path, t.spark.readStream.schema("host STRING, file_path STRING, ingest_ts TIMESTAMP, line STRING").parquet(path)
-
-
 JOB_PAIRS = sql("jobs base", """
 SELECT sha1('Spark:Job:' || a.base || ':' || job) AS trace_id, 'Job' AS class, start_ms, end_ms, end_ms - start_ms AS duration_ms
 FROM jobs j JOIN base a ON j.app = a.app WHERE end_ms IS NOT NULL""")
@@ -64,8 +57,8 @@ FROM jobs j JOIN base a ON j.app = a.app WHERE end_ms IS NOT NULL""")
 
 @query("str03", JOB_PAIRS)
 def matched_stream(t):
-    _, stream = event_files(t, ("job",))
-    return files.caught_up(t, jobs.match(L.normalise(stream), "10 days", "2 days"))
+    """Raw lines in the order of their arrival."""
+    return files.replayed(t, S.raw_events(t, ("job",)), "ingest_ts", lambda lines: jobs.match(L.normalise(lines), "10 days", "2 days"))
 
 
 @query("str03_batch", JOB_PAIRS)
@@ -132,14 +125,13 @@ def open_counts(t):
 @query("str07_stream", OPEN_TOTALS)
 def open_counts_stream(t):
     """Snapshots of the open counts after every batch; the last one counts."""
-    source, snapshots = t.scratch("points"), t.scratch("snapshots")
-    changes(t).repartition(4).write.parquet(source)
-    stream = t.spark.readStream.schema("kind STRING, event STRING, ms BIGINT, change BIGINT").option("maxFilesPerTrigger", 2).parquet(source)
+    snapshots = t.scratch("snapshots")
 
     def keep(rows, number):
         rows.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{snapshots}/batch_id={number}")
 
-    files.each_batch(t, jobs.open_counts(stream, ["kind"], "change"), keep, "complete")
+    points = changes(t).select("kind", "event", "ms", "change")
+    files.replayed(t, points, "ms", lambda stream: jobs.open_counts(stream, ["kind"], "change"), "complete", keep)
     return t.spark.read.parquet(snapshots).groupBy("kind").agg(F.max_by("open", "batch").alias("open"))
 
 
@@ -229,10 +221,8 @@ SELECT ms // 60000 * 60 AS bucket, event_type AS level, user_id AS pod, count(*)
 GROUP BY 1, 2, 3 HAVING (any_value(ms) // 60000 * 60 + 60) * 1000 <= (SELECT max(ms) FROM ev) - 60000"""))
 def minute_rollup(t):
     """Counts per minute as a stream; the minutes that may still get rows are held back."""
-    source = t.scratch("log-rows")
-    t.events.select("event_id", "ts", F.col("event_type").alias("level"), F.col("user_id").alias("pod")).write.parquet(source)
-    stream = t.spark.readStream.schema("event_id BIGINT, ts TIMESTAMP, level STRING, pod BIGINT").parquet(source)
-    out = files.caught_up(t, jobs.rollup(stream, "ts", ["level", "pod"]))
+    rows = t.events.select("event_id", "ts", F.col("event_type").alias("level"), F.col("user_id").alias("pod"))
+    out = files.replayed(t, rows, "ts", lambda stream: jobs.rollup(stream, "ts", ["level", "pod"]))
     return out.select("bucket", "level", "pod", "log_count", F.unix_micros("bucket_end").alias("last_micros"))
 
 
@@ -261,12 +251,18 @@ def retained(t):
 ONCE = "SELECT l_orderkey AS id FROM lineitem GROUP BY 1"
 
 
+# No delivery of an order comes later than this after another one.
+LONGEST_WAIT = "4000 days"
+
+
 @query("str16", ONCE)
 def delivered_once_stream(t):
-    source = t.scratch("deliveries")
-    t.lineitem.select(F.col("l_orderkey").alias("id"), F.col("l_shipdate").cast("timestamp").alias("ts")).write.parquet(source)
-    stream = t.spark.readStream.schema("id BIGINT, ts TIMESTAMP").parquet(source)
-    return files.caught_up(t, jobs.once(stream, "ts", "id", "10 days")).select("id")
+    """Line items as deliveries of their order, by the order's time; repeats come in any later batch, up to the wait."""
+    ordered = t.orders.select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("ts"))
+    rows = t.lineitem.join(ordered, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.col("l_orderkey").alias("id"), "ts", F.col("l_shipdate").cast("timestamp").alias("arrived")
+    )
+    return files.replayed(t, rows, "arrived", lambda stream: jobs.once(stream, "ts", "id", LONGEST_WAIT)).select("id")
 
 
 @query("str16_batch", ONCE)
@@ -294,10 +290,7 @@ def reopened_alerts(t):
 SELECT user_id, first_micros, n FROM ({sessions_sql("user_id", ", epoch_us(max(ts)) + 900000000 AS ends")})
 WHERE ends // 1000 <= (SELECT epoch_us(max(ts)) // 1000 - 900000 FROM events)""")
 def reopened_alerts_stream(t):
-    source = t.scratch("alert-rows")
-    t.events.select("user_id", "ts").write.parquet(source)
-    stream = t.spark.readStream.schema("user_id BIGINT, ts TIMESTAMP").parquet(source)
-    out = files.caught_up(t, jobs.sessions(stream, "ts", "user_id", "15 minutes", "15 minutes"))
+    out = files.replayed(t, t.events.select("user_id", "ts"), "ts", lambda stream: jobs.sessions(stream, "ts", "user_id", "15 minutes", "15 minutes"))
     return out.select("user_id", F.unix_micros("first_ts").alias("first_micros"), "n")
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
+from opswell.session import settle
 from opswell.sources.tables import Tables
 
 
@@ -21,13 +22,28 @@ def caught_up(t: Tables, stream: DataFrame, mode: str = "append") -> DataFrame:
     return t.spark.read.schema(stream.schema).parquet(out)
 
 
-def each_batch(t: Tables, stream: DataFrame, write, mode: str = "append") -> None:
-    """Runs a stream until it has read everything and hands every batch to write(rows, number)."""
-    run = (
-        stream.writeStream.outputMode(mode).option("checkpointLocation", t.scratch("progress"))
-        .trigger(availableNow=True).foreachBatch(write).start()
-    )
-    run.awaitTermination()
+def replayed(t: Tables, rows: DataFrame, at: str, build, mode: str = "append", write=None, slices: int = 5) -> DataFrame | None:
+    """Gives the rows to a stream in `slices` parts in the order of `at`, a time or a number, and reads what it put out.
+
+    build: the stream's steps, from its source to its result. Each part is written
+    to the source's folder as it would arrive, and the stream then goes on from its
+    checkpoint until it has caught up. So there are as many micro-batches as parts at
+    least, and watermarks and state pass from one to the next. write(rows, number):
+    takes each batch instead of a table.
+    """
+    source, out, state = t.scratch("arriving"), t.scratch("stream"), t.scratch("progress")
+    rows = settle(rows)
+    number = F.unix_micros(at) if dict(rows.dtypes)[at] == "timestamp" else F.col(at).cast("long")
+    ends = rows.agg(F.min(number).alias("lo"), F.max(number).alias("hi")).first()
+    lo, step = ends["lo"] or 0, ((ends["hi"] or 0) - (ends["lo"] or 0)) // slices + 1
+    place = F.coalesce(F.floor((number - lo) / step), F.lit(0))
+    result = None
+    for i in range(slices):
+        rows.where(place == i).write.mode("append").parquet(source)
+        result = build(t.spark.readStream.schema(rows.schema).parquet(source))
+        run = result.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True)
+        (run.foreachBatch(write).start() if write else run.format("parquet").start(out)).awaitTermination()
+    return None if write else t.spark.read.schema(result.schema).parquet(out)
 
 
 def json_arrays(docs: DataFrame) -> DataFrame:
