@@ -191,8 +191,18 @@ def with_ids(df: DataFrame) -> DataFrame:
     )
 
 
+def known(events: DataFrame) -> DataFrame:
+    """Events of a kind that the table of forms has. The others have no key of their own and take no part in what follows."""
+    return events.where(F.col("event_kind") != UNKNOWN) if "event_kind" in events.columns else events
+
+
+def unknown(events: DataFrame) -> DataFrame:
+    """How many events of each name the table of forms does not have, every delivery counted."""
+    return events.where(F.col("event_kind") == UNKNOWN).groupBy("event").agg(F.count(F.lit(1)).alias("n"))
+
+
 def deliver_once(df: DataFrame, key: str = "event_id") -> DataFrame:
-    return df.dropDuplicates([key])
+    return known(df).dropDuplicates([key])
 
 
 def match(events: DataFrame, on: str = "id") -> DataFrame:
@@ -224,7 +234,8 @@ def match(events: DataFrame, on: str = "id") -> DataFrame:
 
 
 def flag_matched(events: DataFrame) -> DataFrame:
-    """Both sides of a pair get matched = true. A group is one pair, so its window is small."""
+    """Known events, of which both sides of a pair get matched = true. A group is one pair, so its window is small."""
+    events = known(events)
     pair = Window.partitionBy("routing_id")
     has = lambda kind: F.max(F.col("event_kind") == kind).over(pair)
     return events.withColumn("matched", has("Start") & has("End"))

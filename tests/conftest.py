@@ -17,7 +17,7 @@ def spark():
     spark = session.build(
         f"local[{cpus}]",
         "opswell-tests",
-        **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.checkpoint.dir": tempfile.mkdtemp(prefix="run-")},
+        **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": os.environ.get("TEST_MEMORY", "8g"), "spark.checkpoint.dir": tempfile.mkdtemp(prefix="run-")},
     )
     spark.sparkContext.setLogLevel("ERROR")
     yield spark
