@@ -102,8 +102,8 @@ class Network:
         return out
 
 
-def fit(some: np.ndarray, counts: np.ndarray, labels: np.ndarray, steps: int = STEPS, seed: int = 1) -> Network:
-    """Learns from the chunks of texts and their labels by Adam, in `steps` batches or some more. Without both labels every text gets the same score."""
+def fit(some: np.ndarray, counts: np.ndarray, labels: np.ndarray, steps: int | None = None, seed: int = 1) -> Network:
+    """Learns from the chunks of texts and their labels by Adam, in `steps` (STEPS) batches or some more. Without both labels every text gets the same score."""
     net = Network.fresh(seed)
     if not len(labels) or labels.min() == labels.max():
         net.outer[:] = 0
@@ -114,7 +114,7 @@ def fit(some: np.ndarray, counts: np.ndarray, labels: np.ndarray, steps: int = S
     weights = net.weights()
     m, v, t = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights], 0
     starts = np.cumsum(counts) - counts
-    epochs = -(-steps * BATCH // len(labels))
+    epochs = -(-(steps or STEPS) // -(-len(labels) // BATCH))
     for epoch in range(epochs):
         order = r.permutation(len(labels))
         for a in range(0, len(order), BATCH):
