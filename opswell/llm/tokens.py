@@ -8,9 +8,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from opswell.llm.shingles import mix64
+
 #: Bytes of text worked on at a time, and distinct word parts whose ids are remembered.
-SLAB = 4 << 20
-REMEMBERED = 1_000_000
+SLAB = 8 << 20
+REMEMBERED = 2_000_000
 
 # A word of Latin letters between signs. Its three parts are encoded apart by every tokenizer here, as signs and letters
 # never share a token; a leading apostrophe could, so it is not taken.
@@ -47,24 +49,61 @@ def slabs(texts: pa.Array, most: int = SLAB):
         yield np.arange(first, len(sizes)), texts.slice(first)
 
 
+def _word_hashes(words: pa.Array, seed: int) -> np.ndarray:
+    """A 64-bit hash of each string: a polynomial over its bytes, mixed."""
+    n = len(words)
+    offsets = np.frombuffer(words.buffers()[1], np.int64, n + 1, words.offset * 8)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    starts, lengths = offsets[:-1] - offsets[0], np.diff(offsets)
+    out, some = np.zeros(n, np.uint64), lengths > 0
+    if some.any():
+        place = np.arange(len(data)) - np.repeat(starts[some], lengths[some])
+        factor = np.full(int(lengths.max()), mix64(np.array([seed], np.uint64))[0] | np.uint64(1))
+        v = (data.astype(np.uint64) + np.uint64(1)) * np.cumprod(factor)[place]
+        out[some] = np.add.reduceat(v, starts[some])
+    return mix64(out + np.uint64(seed))
+
+
 class Store:
-    """Id lists by name, one after the other."""
+    """Id lists one after the other."""
 
     def __init__(self):
-        self.known: dict[str, int] = {"": 0}
-        self.starts, self.lengths, self.ids = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        self.starts, self.lengths, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def add(self, names: list[str], ids: np.ndarray, lengths: np.ndarray):
-        at = len(self.known)
-        self.known.update(zip(names, range(at, at + len(names))))
+    def put(self, ids: np.ndarray, lengths: np.ndarray):
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
         self.ids = np.concatenate([self.ids, ids])
 
-    def places(self, names: list[str]) -> np.ndarray:
+    def get(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids at these places one after the other, and how many each has."""
+        n = self.lengths[places]
+        return self.ids[ragged(self.starts[places], n)], n
+
+
+class Words(Store):
+    """Id lists by two hashes of a word: the first finds it, the second says that it is the one."""
+
+    def __init__(self, seed: int):
+        super().__init__()
+        self.seed = seed
+        self.first, self.second, self.at = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def add(self, words: pa.Array, ids: np.ndarray, lengths: np.ndarray):
+        first = np.concatenate([self.first, _word_hashes(words, self.seed)])
+        second = np.concatenate([self.second, _word_hashes(words, self.seed + 1)])
+        at = np.concatenate([self.at, len(self.lengths) + np.arange(len(words))])
+        order = np.argsort(first, kind="stable")
+        self.first, self.second, self.at = first[order], second[order], at[order]
+        self.put(ids, lengths)
+
+    def places(self, words: pa.Array) -> np.ndarray:
         """-1 for what is not known."""
-        get = self.known.get
-        return np.fromiter((get(s, -1) for s in names), np.int64, len(names))
+        if not len(self.first):
+            return np.full(len(words), -1)
+        h = _word_hashes(words, self.seed)
+        i = np.minimum(np.searchsorted(self.first, h), len(self.first) - 1)
+        return np.where((self.first[i] == h) & (self.second[i] == _word_hashes(words, self.seed + 1)), self.at[i], -1)
 
 
 class Encoder:
@@ -77,17 +116,25 @@ class Encoder:
         # For parts that are already in lower case and split: the same model and byte alphabet.
         self.part = Tokenizer(self.whole.model)
         self.part.pre_tokenizer = P.Sequence([P.WhitespaceSplit(), P.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.forget()
+        self.forget(1)
 
-    def forget(self):
-        self.words, self.parts = Store(), Store()
+    def forget(self, seed: int):
+        self.words, self.parts = Words(seed), Words(seed)
 
-    def _learn_parts(self, parts: list[str]):
+    def _learn_parts(self, parts: pa.Array):
         """Parts of words, which hold no white space, many in one call."""
-        for i in range(0, len(parts), 1000):
-            some = parts[i : i + 1000]
+        ids, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        names = parts.to_pylist()
+        for i in range(0, len(names), 1000):
+            some = names[i : i + 1000]
             e = self.part.encode(" ".join(some), add_special_tokens=False)
-            self.parts.add(some, np.asarray(e.ids, np.uint32), np.bincount(np.asarray(e.word_ids, np.int64), minlength=len(some)))
+            ids.append(np.asarray(e.ids, np.uint32))
+            # An empty part has no ids and no number in the joined text.
+            full = np.array([bool(x) for x in some])
+            n = np.zeros(len(some), np.int64)
+            n[full] = np.bincount(np.asarray(e.word_ids, np.int64), minlength=int(full.sum()))
+            lengths.append(n)
+        self.parts.add(parts, np.concatenate(ids), np.concatenate(lengths))
 
     def _learn_words(self, words: pa.Array):
         parts = pc.extract_regex(words, _PARTS)
@@ -95,26 +142,30 @@ class Encoder:
         found = parts.filter(simple)
         split = [found.field(0), pc.utf8_lower(found.field(1)), found.field(2)]
         d = pa.concat_arrays([s.cast(pa.large_string()) for s in split]).dictionary_encode()
-        names = d.dictionary.to_pylist()
-        self._learn_parts([s for s in names if s not in self.parts.known])
-        places = self.parts.places(names)[np.asarray(d.indices)].reshape(3, -1).T.ravel()
-        n = self.parts.lengths[places]
-        ids = self.parts.ids[ragged(self.parts.starts[places], n)]
-        self.words.add(words.filter(simple).to_pylist(), ids, n.reshape(-1, 3).sum(axis=1))
-        others = words.filter(pc.invert(simple)).to_pylist()
-        if others:
-            encoded = [e.ids for e in self.whole.encode_batch(others, add_special_tokens=False)]
-            self.words.add(others, np.array([i for ids in encoded for i in ids], np.uint32), np.array([len(ids) for ids in encoded]))
+        at = self.parts.places(d.dictionary)
+        if (at < 0).any():
+            self._learn_parts(d.dictionary.filter(pa.array(at < 0)))
+            at = self.parts.places(d.dictionary)
+            if (at < 0).any():
+                return  # two parts share the first hash
+        ids, n = self.parts.get(at[np.asarray(d.indices)].reshape(3, -1).T.ravel())
+        self.words.add(words.filter(simple), ids, n.reshape(-1, 3).sum(axis=1))
+        others = words.filter(pc.invert(simple))
+        if len(others):
+            encoded = [e.ids for e in self.whole.encode_batch(others.to_pylist(), add_special_tokens=False)]
+            self.words.add(others, np.array([i for ids in encoded for i in ids], np.uint32), np.array([len(ids) for ids in encoded], np.int64))
 
     def _places(self, words: pa.Array) -> np.ndarray:
         """The place in the store of each distinct word."""
-        names = words.to_pylist()
-        if len(self.words.known) + len(self.parts.known) > REMEMBERED:
-            self.forget()
-        at = self.words.places(names)
-        if (at < 0).any():
+        if len(self.words.first) + len(self.parts.first) > REMEMBERED:
+            self.forget(self.words.seed)
+        at = self.words.places(words)
+        while (at < 0).any():
             self._learn_words(words.filter(pa.array(at < 0)))
-            at = self.words.places(names)
+            at = self.words.places(words)
+            if (at < 0).any():  # two words or parts share the first hash: start anew with other hashes
+                self.forget(self.words.seed + 2)
+                at = np.full(len(words), -1)
         return at
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -127,8 +178,8 @@ class Encoder:
             if not len(words):
                 continue
             places = self._places(d.dictionary)[np.asarray(d.indices)]
-            n_here = self.words.lengths[places]
-            out.append(self.words.ids[ragged(self.words.starts[places], n_here)])
+            ids, n_here = self.words.get(places)
+            out.append(ids)
             ends = np.concatenate([[0], np.cumsum(n_here)])
             offsets = np.asarray(lists.offsets) - lists.offsets[0].as_py()
             np.add.at(counts, rows, np.diff(ends[offsets]))
