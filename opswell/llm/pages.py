@@ -211,9 +211,11 @@ def main_text(pages: DataFrame, keep: list[str]) -> DataFrame:
     parsed = settle(rows.mapInArrow(_parse(keep), schema).withColumn("row", F.monotonically_increasing_id()))
     suffixes = parsed.select("host", "row", F.posexplode("grams").alias("place", "gram"))
     groups = suffixes.groupBy("host", "gram").agg(F.min("row").alias("_a"), F.max("row").alias("_b")).filter("_a < _b").select("host", "gram")
-    free = parsed.filter("main IS NULL").select("row", "outside", "loose", "host", "grams")
+    free = parsed.filter("main IS NULL")
     covered = (
         free.select("host", "row", F.posexplode("grams").alias("place", "gram")).join(groups, ["host", "gram"]).groupBy("row").agg(F.collect_list("place").alias("places"))
     )
     unique = free.select("row", "outside", "loose").join(covered, "row", "left").mapInArrow(_unique_runs, "row long, unique string")
-    return parsed.select(*keep, "row", "main").join(unique, "row", "left").select(*keep, F.coalesce("main", "unique", F.lit("")).alias("text"))
+    # Texts of articles are as they were written; only the few other pages are put together anew.
+    others = free.select("row", *keep).join(unique, "row").select(*keep, F.col("unique").alias("text"))
+    return parsed.filter("main IS NOT NULL").select(*keep, F.col("main").alias("text")).unionByName(others)
