@@ -6,12 +6,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from opswell.functions.text import once
+
 #: A word of a text in lower case, and of a text as it is.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: What every text with a signature holds one of.
-GATE = ("licen", "copyright", "spdx", "copyleft", "public domain", "warrant")
-
 #: Phrases whose places are always counted, and their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
@@ -117,15 +116,60 @@ class Rule:
     label: str
     keyword: str
     expression: str
+    #: Whole words, one of which every match holds.
+    words: tuple[str, ...]
+
+
+def wordings(expression: str) -> list[str]:
+    """The texts that an expression of the rules matches, with 0 for any digit and the least number of a counted repetition."""
+
+    def read(i: int) -> tuple[list[str], int]:
+        out, now = [], [""]
+        while i < len(expression) and expression[i] != ")":
+            if expression[i] == "|":
+                out, now, i = out + now, [""], i + 1
+                continue
+            if expression.startswith("(?:", i):
+                one, i = read(i + 3)
+                i += 1
+            elif expression[i] == "[":
+                until = expression.index("]", i)
+                first, *rest = expression[i + 1 : until]
+                one = [chr(c) for c in range(ord(first), ord(rest[1]) + 1)] if rest[:1] == ["-"] else [first, *rest]
+                i = until + 1
+            elif expression[i] == "\\":
+                one, i = ["0"], i + 2
+            else:
+                one, i = [expression[i]], i + 1
+            if expression[i : i + 1] == "?":
+                one, i = [*one, ""], i + 1
+            elif expression[i : i + 1] == "{":
+                until = expression.index("}", i)
+                one, i = [x * int(expression[i + 1 : until].split(",")[0]) for x in one], until + 1
+            now = [a + b for a in now for b in one]
+        return out + now, i
+
+    return read(0)[0]
+
+
+def _anchors(keyword: str, names: str) -> tuple[str, ...]:
+    """The words of all wordings that hold the longest word of the keyword."""
+    part = max(keyword.split(), key=len)
+    return tuple(sorted({w for text in wordings(names) for w in text.split() if part in w}))
 
 
 def rules() -> list[Rule]:
     """The rules in order: by priority, then as they are written. Several hundred: each name in each form, and the sentences."""
-    own = [(p, label, keyword, expression) for p, label, keyword, expression in SENTENCES]
-    own += [(p, label, keyword, f"{before}(?:{names}){after}") for p, before, after in FORMS for label, keyword, names in FAMILIES]
+    own = [(p, label, keyword, expression, _anchors(keyword, expression)) for p, label, keyword, expression in SENTENCES]
+    named = [(label, keyword, names, _anchors(keyword, names)) for label, keyword, names in FAMILIES]
+    own += [(p, label, keyword, f"{before}(?:{names}){after}", anchors) for p, before, after in FORMS for label, keyword, names, anchors in named]
     return [Rule(i, *r) for i, r in enumerate(sorted(own, key=lambda r: r[0]))]
 
 
+#: The words of all rules and base phrases: a text with a signature or a base phrase holds one of them.
+GATE = tuple(sorted({w for r in rules() for w in r.words} | {phrase.split()[0] for phrase, _ in BASE}))
+
+
 def lowered(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
@@ -144,14 +188,17 @@ def _places(words: Column, phrase: str) -> Column:
     return F.when(last >= 0, F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), here)).otherwise(F.array().cast("array<int>"))
 
 
-def _hits(line: Column, table: Column) -> Column:
-    """Spans (first word, one after the last, rule, priority, label) of all rules whose keyword the line holds.
+def _hits(line: Column, held: Column, own: list[Rule]) -> Column:
+    """Spans (first word, one after the last, rule, priority, label) of all rules of whose words the line holds one, and whose keyword it holds.
 
-    line: the words with a space before, between and after them. A rule's matches
-    do not overlap. Where a match begins is told by the lengths of what stands
+    line: the words with a space before, between and after them. held: those of
+    the gate's words that the line holds. A rule's matches do not overlap. Where a match begins is told by the lengths of what stands
     between matches.
     """
 
+    table = F.array(*[F.struct(F.lit(r.number).alias("number"), F.lit(r.priority).alias("priority"), F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"), F.lit(r.expression).alias("expression")) for r in own])
+    numbers = F.create_map(*[x for w in GATE for x in (F.lit(w), F.array(*[F.lit(r.number) for r in own if w in r.words]))])
+
     def of_rule(rule):
         expression = F.concat(F.lit("(?<= )(?:"), rule["expression"], F.lit(")(?= )"))
         found = F.call_function("regexp_extract_all", line, expression, F.lit(0))
@@ -169,15 +216,16 @@ def _hits(line: Column, table: Column) -> Column:
         )
         return F.transform(starts, lambda s: F.struct(s["first"].alias("first"), s["until"].alias("until"), rule["number"].alias("rule"), rule["priority"].alias("priority"), rule["label"].alias("label")))
 
-    return F.flatten(F.transform(F.filter(table, lambda r: F.contains(line, r["keyword"])), of_rule))
+    tried = F.transform(F.array_distinct(F.flatten(F.transform(held, lambda w: F.element_at(numbers, w)))), lambda n: F.element_at(table, n + 1))
+    return F.flatten(F.transform(F.filter(tried, lambda r: F.contains(line, r["keyword"])), of_rule))
 
 
 def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns of `keep` with n_words, base (label and starts of each phrase) and spans (detections that stay).
 
     docs: text and whatever `keep` names. A text that holds none of the gate's
-    keywords is only counted. In the others, each rule is tried if the text holds
-    its keyword. Of the matches, one that lies inside another of the same or a
+    words, as the rules see words, is only counted. In the others, each rule is tried
+    if the text holds one of its words and its keyword. Of the matches, one that lies inside another of the same or a
     higher priority (a smaller number) is dropped; of two over the same words the
     first rule's stays. The base phrases are found apart from the rules and are
     never dropped.
@@ -186,26 +234,22 @@ def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
     scanned each on its own. Without rows the result is empty.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    plain = F.lower(text)
-    gate = F.lit(False)
-    for k in GATE:
-        gate = gate | F.contains(plain, F.lit(k))
-    rows = docs.select(*keep, text.alias("_text"), gate.alias("_gate"))
+    words = F.regexp_extract_all(lowered(F.col("_text")), F.lit(WORD), F.lit(0))
+    rows = once(docs.withColumn("_text", text), _words=words).select(*keep, "_words")
+    rows = once(rows, _held=F.array_intersect("_words", F.array(*[F.lit(w) for w in GATE])))
     base_type = "array<struct<label:string,starts:array<int>>>"
     span_type = "array<struct<first:int,until:int,rule:int,label:string>>"
-    count = F.regexp_count(F.col("_text"), F.lit(WORD)).cast("long")
-    rest = rows.filter(~F.col("_gate")).select(*keep, count.alias("n_words"), F.array().cast(base_type).alias("base"), F.array().cast(span_type).alias("spans"))
+    n_words = F.size("_words").cast("long").alias("n_words")
+    rest = rows.filter(F.size("_held") == 0).select(*keep, n_words, F.array().cast(base_type).alias("base"), F.array().cast(span_type).alias("spans"))
 
-    words = F.regexp_extract_all(lowered(F.col("_text")), F.lit(WORD), F.lit(0))
-    gated = rows.filter("_gate").select(*keep, words.alias("_words"), F.monotonically_increasing_id().alias("_row"))
-    table = F.array(*[F.struct(F.lit(r.number).alias("number"), F.lit(r.priority).alias("priority"), F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"), F.lit(r.expression).alias("expression")) for r in rules()])
+    gated = rows.filter(F.size("_held") > 0).select(*keep, "_words", "_held", F.monotonically_increasing_id().alias("_row"))
     line = F.concat(F.lit(" "), F.array_join("_words", " "), F.lit(" "))
     base = F.filter(
         F.array(*[F.struct(F.lit(label).alias("label"), _places(F.col("_words"), phrase).alias("starts")) for phrase, label in BASE]),
         lambda b: F.size(b["starts"]) > 0,
     )
     found = gated.select(
-        *keep, "_row", F.size("_words").cast("long").alias("n_words"), base.alias("base"), F.explode_outer(_hits(line, table)).alias("_hit")
+        *keep, "_row", n_words, base.alias("base"), F.explode_outer(_hits(line, F.col("_held"), rules())).alias("_hit")
     ).select(*keep, "_row", "n_words", "base", "_hit.*")
     # In this order whatever holds a match comes before it, so one running maximum for each priority tells whether something does.
     before = Window.partitionBy("_row").orderBy("first", F.desc("until"), "priority", "rule").rowsBetween(Window.unboundedPreceding, -1)

@@ -85,6 +85,33 @@ def test_gate_holds_for_every_rule():
         ) or r.priority in (2, 3), r
 
 
+def every_match(text):
+    """Spans that stay, found without gate and keywords."""
+    line = "".join(f" {x}" for x in WORD.findall(lower(text))) + " "
+    hits = []
+    for r in licenses.rules():
+        for m in re.finditer(f"(?<= )(?:{r.expression})(?= )", line):
+            first = line[: m.start()].count(" ") - 1
+            hits.append((first, first + m[0].count(" ") + 1, r.number, r.priority, r.label))
+    order = sorted(hits, key=lambda h: (h[0], -h[1], h[3], h[2]))
+    kept = [h for i, h in enumerate(order) if not any(g[0] <= h[0] and g[1] >= h[1] and g[3] <= h[3] for g in order[:i])]
+    return sorted((a, b, n, label) for a, b, n, _, label in kept)
+
+
+def scanned(spark, texts):
+    got = licenses.scan(frame(spark, [(i, t, None, None, None) for i, t in enumerate(texts)]), ["doc_id"]).collect()
+    return {texts[r.doc_id]: sorted((s.first, s.until, s.rule, s.label) for s in r.spans) for r in got}
+
+
+def test_texts_without_common_license_words(spark):
+    texts = [
+        "All rights reserved.", "Permission is hereby granted, free of charge, to any person obtaining a copy", "released under the GNU GPL v3", "distributed under BSD", "in the\n\nis in the public \n domain now",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted", "This program is free software: you can redistribute it", "dedicated to the public\n\ndomain", "no such words",
+    ]
+    got = scanned(spark, texts)
+    assert all(got[t] == every_match(t) for t in texts) and all(got[t] for t in texts[:-1]) and not got[texts[-1]]
+
+
 def test_clashing_columns_and_no_rows(spark):
     docs = clashing(frame(spark, [(1, "MIT License", None, None, None)] * 3))
     scanned = licenses.scan(docs, ["doc_id", *[c for c in CLASHES]])
