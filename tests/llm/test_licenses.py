@@ -112,6 +112,23 @@ def test_texts_without_common_license_words(spark):
     assert all(got[t] == every_match(t) for t in texts) and all(got[t] for t in texts[:-1]) and not got[texts[-1]]
 
 
+def test_every_alternative_holds_its_keyword():
+    for r in licenses.rules():
+        assert r.words and all(r.keyword in t and set(r.words) & set(t.split()) for t in licenses.wordings(r.expression)), r
+
+
+def test_each_alternative_is_found(spark):
+    """A text for every wording of every name, and of every form with one name, against a scan without gate and keywords."""
+    texts = {f"under the terms of the {t} license" for _, _, names in licenses.FAMILIES for t in licenses.wordings(names)}
+    texts |= {f"{b}{t}" for _, before, _ in licenses.FORMS for b in licenses.wordings(before) for t in ("wtfpl license", "q public license", "cc by nc 4 0", "zero clause bsd")}
+    texts |= {t for *_, expression in licenses.SENTENCES for t in licenses.wordings(expression)}
+    texts |= {"Licensed under CC BY-NC 4.0.", "Creative Commons Attribution-No Derivatives license", "AFL 3.0 licensed"}
+    got = scanned(spark, sorted(texts))
+    assert {t: [s[3] for s in got[t]] for t in texts} == {t: [s[3] for s in every_match(t)] for t in texts}
+    assert all(got[t] == every_match(t) for t in texts)
+    assert {s[3] for s in got["Licensed under CC BY-NC 4.0."]} == {"cc-by-nc"}
+
+
 def test_clashing_columns_and_no_rows(spark):
     docs = clashing(frame(spark, [(1, "MIT License", None, None, None)] * 3))
     scanned = licenses.scan(docs, ["doc_id", *[c for c in CLASHES]])
