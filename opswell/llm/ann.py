@@ -3,8 +3,9 @@
 Centroids are fitted on a bounded sample and balanced by splitting large lists.
 A small graph over them, held in memory, finds the centroids near a vector. A
 vector goes into the list of its nearest centroid, and into those of others that
-are almost as near. A query reads the lists of the centroids whose distance is
-within a ratio of its nearest one's.
+are almost as near. A query goes on to further lists until these hold candidates
+enough, and reads all lists whose centroid's distance is within a ratio of the last
+one's.
 """
 
 from __future__ import annotations
@@ -23,9 +24,9 @@ from opswell.session import settle
 FIT_ROWS, ROWS_PER_LIST, MOST_LISTS = 16_384, 64, 1024
 #: Neighbours of a centroid in the graph, and centroids that a search holds.
 DEGREE, BEAM = 16, 96
-#: A vector is copied to lists, at most so many, whose centroids are within this ratio of its nearest one's distance; a query reads lists likewise.
+#: A vector is copied to lists, at most so many, whose centroids are within this ratio of its nearest one's distance; a query reads lists likewise, from the nearest with which it has candidates enough.
 COPY_RATIO, MOST_COPIES = 1.06, 4
-READ_RATIO, MOST_READ = 1.4, 80
+READ_RATIO, LEAST_READ, MOST_READ = 1.4, 8, 80
 #: Vectors and queries that are compared at a time.
 POSTINGS, QUERIES = 4096, 512
 
@@ -105,13 +106,30 @@ class Graph:
             offer(live, self.near[held[live, first]])
         return held, np.where(alike > -8, np.sqrt(np.maximum(0, 2 - 2 * alike)), np.inf)
 
-    def lists(self, x: np.ndarray, ratio: float, most: int) -> tuple[np.ndarray, np.ndarray]:
-        """Row and list for each list of each row: those whose distance is at most `ratio` times the nearest one's."""
+    def lists(self, x: np.ndarray, ratio: float, most: int, least: int = 1, held: np.ndarray | None = None, need: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Row and list for each list of each row, nearest first.
+
+        Without `held`, lists whose distance is at most `ratio` times the nearest one's.
+        With the number of candidates that each list holds, the distance that counts is
+        that of the list with which they are `need`; lists up to it, and the `least`
+        nearest, are there even if they are more than `most`.
+        """
         rows, found = [], []
         for a in range(0, len(x), 256):
-            at, d = self.search(x[a : a + 256], max(BEAM, most))
-            keep = (d <= d[:, :1] * ratio + 1e-9) & (at >= 0) & (np.arange(at.shape[1]) < most)
-            r, c = np.nonzero(keep)
+            part = x[a : a + 256]
+            at, d = self.search(part, max(BEAM, most, least))
+            last = np.zeros(len(part), int)
+            if held is not None:
+                sums = np.cumsum(np.where(at >= 0, held[at], 0), axis=1)
+                if (sums[:, -1] < need).any():
+                    alike = part @ self.centroids.T
+                    at = np.argsort(-alike, axis=1, kind="stable")
+                    d = np.sqrt(np.maximum(0, 2 - 2 * np.take_along_axis(alike, at, axis=1)))
+                    sums = np.cumsum(held[at], axis=1)
+                last = np.where(sums[:, -1] >= need, np.argmax(sums >= need, axis=1), at.shape[1] - 1)
+            place = np.arange(at.shape[1])
+            near = (d <= np.take_along_axis(d, last[:, None], axis=1) * ratio + 1e-9) & (place < most)
+            r, c = np.nonzero((near | (place <= last[:, None]) | (place < least)) & (at >= 0))
             rows.append(a + r)
             found.append(at[r, c])
         return np.concatenate(rows), np.concatenate(found)
@@ -139,18 +157,28 @@ def fit(sample: np.ndarray, rows_per_list: int = ROWS_PER_LIST, most: int = MOST
     return Graph.of(centroids)
 
 
-def _assign(graph: Graph, dim: int, ratio: float, most: int):
+def _assign(graph: Graph, dim: int, *how):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first in range(0, len(batch), 4096):
                 part = batch.slice(first, 4096)
-                row, of = graph.lists(unit(vectors.matrix(part.column("vector"), dim, np.float64)), ratio, most)
+                row, of = graph.lists(unit(vectors.matrix(part.column("vector"), dim, np.float64)), *how)
+                nearest = np.append(True, row[1:] != row[:-1])
                 row = pa.array(row)
-                yield pa.RecordBatch.from_arrays([part.column("vector").take(row), part.column("ids").take(row), pa.array(of)], ["vector", "ids", "list"])
+                yield pa.RecordBatch.from_arrays([part.column("vector").take(row), part.column("ids").take(row), pa.array(of), pa.array(nearest)], ["vector", "ids", "list", "nearest"])
 
     return run
 
 
+def _held(posted: DataFrame, lists: int) -> np.ndarray:
+    """Distinct vec_ids of each list, each counted in one list only, so that the counts of several lists add up."""
+    own = posted.filter("nearest").select("list", F.explode("ids").alias("vec_id")).groupBy("vec_id").agg(F.min("list").alias("list"))
+    out = np.zeros(lists, np.int64)
+    for r in own.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect():
+        out[r["list"]] = r["n"]
+    return out
+
+
 FOUND = "query_id long, score double, ids array<long>"
 
 
@@ -192,7 +220,9 @@ def search(rows: DataFrame, is_query, k: int, copy_ratio: float = COPY_RATIO, re
     rows: vec_id, embedding. is_query: a condition on vec_id. All rows are indexed;
     the centroids are fitted on FIT_ROWS of the distinct vectors at most, chosen by a
     hash. A list that is larger than POSTINGS is several blocks, each compared in
-    full, so none is cut. Fewer rows than k in the lists that a query reads: those.
+    full, so none is cut. A query reads the LEAST_READ nearest lists at least, and
+    further ones until they hold k rows besides its own, so it has fewer results only
+    if the table has fewer rows.
 
     Null and zero vectors, vectors with null or non-finite components and null
     vec_ids take no part. Shorter vectors are filled up with zeros. Equal vectors are
@@ -211,10 +241,11 @@ def search(rows: DataFrame, is_query, k: int, copy_ratio: float = COPY_RATIO, re
         fitted[i, : len(v)] = v
     graph = fit(unit(fitted))
 
-    schema = "vector array<double>, ids array<long>, list long"
+    schema = "vector array<double>, ids array<long>, list long, nearest boolean"
     posted = settle(classes.mapInArrow(_assign(graph, dim, copy_ratio, MOST_COPIES), schema))
     asked = valid.filter(is_query).groupBy("vec_id").agg(F.min("vector").alias("vector")).select("vector", F.array("vec_id").alias("ids"))
-    asked = asked.mapInArrow(_assign(graph, dim, read_ratio, most_read), schema)
+    held = _held(posted, len(graph.centroids))
+    asked = asked.mapInArrow(_assign(graph, dim, read_ratio, most_read, LEAST_READ, held, k + 1), schema)
 
     def parts(of: DataFrame, most: int, width: int) -> DataFrame:
         """Blocks of a list, as many as its rows ask for."""

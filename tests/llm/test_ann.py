@@ -50,6 +50,28 @@ def test_recall_and_scores(spark, groups):
         assert [o[0] for o in sorted(own)] == [1, 2, 3, 4, 5] and sorted(o[1:] for o in own) == [o[1:] for o in sorted(own)]
 
 
+def test_small_tight_groups_and_lone_vectors(spark):
+    """Trios whose list holds nothing else, and vectors far from all, get k neighbours as good as the others'."""
+    r = np.random.default_rng(7)
+    rows = clustered(3000, 32, 12, 8)
+    for g in range(100):
+        centre = 3 * r.standard_normal(32)
+        rows += [(10_000 + 50 * (3 * g + i), [float(x) for x in (centre + 1e-4 * r.standard_normal(32)).astype(np.float32)]) for i in range(3)]
+    rows += [(50_000 + 50 * i, [float(x) for x in (8 * r.standard_normal(32)).astype(np.float32)]) for i in range(40)]
+    got, want = found(spark, rows, 5, 50), plain(rows, 5, 50)
+    assert len(got) == len(want)
+    for low, high in ((0, 10_000), (10_000, 50_000), (50_000, 60_000)):
+        assert recall([g for g in got if low <= g[0] < high], [w for w in want if low <= w[0] < high]) >= 0.9, low
+
+
+def test_more_neighbours_than_a_list_holds(spark):
+    rows = clustered(700, 8, 5, 9)
+    got = found(spark, rows, 400, 50)
+    assert len(got) == 14 * 400
+    rows = [(i % 40, v) for i, v in rows]  # repeated vec_ids are one neighbour each
+    assert len(found(spark, rows, 60, 20)) == 2 * 39
+
+
 def test_reading_all_lists_is_exact(spark):
     rows = clustered(900, 8, 5, 2)
     got, want = found(spark, rows, 5, 50, read_ratio=1e9, most_read=10_000), plain(rows, 5, 50)
