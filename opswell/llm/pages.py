@@ -1,15 +1,16 @@
 """Main text of HTML pages: blocks by markup, boilerplate by long runs of tokens that a host's pages repeat.
 
-The pages of a host are one stream of tokens. Two suffixes of it that agree in
-their first RUN tokens and start on distinct pages are neighbours in its suffix
-array, so at this depth the array is its groups of suffixes with equal first RUN
-tokens. Spark sorts the suffixes of all hosts by host and first tokens into those
-groups, and a token is boilerplate if a group of two pages or more covers it.
-What is left of a page's stream are its unique runs.
+The pages of a host are one stream of tokens. Suffixes of it that agree in their
+first LONG tokens are neighbours in its suffix array, so at this depth the array is
+its groups of suffixes with equal first LONG tokens, and the tokens that a group
+covers are its maximal repeats of at least LONG tokens. Boilerplate is what SEVERAL
+distinct pages of a host hold of such repeats and of whole blocks, and, at a depth of
+RUN tokens, what half of its distinct pages hold. Copies of a page count as one.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -21,8 +22,10 @@ from pyspark.sql import DataFrame, functions as F
 from opswell.llm.shingles import mix64, word_hashes
 from opswell.session import settle
 
-#: Tokens of a run that is long enough to be told from chance.
-RUN = 6
+#: Tokens of a block or run that half of the pages hold, and of a run that is long enough with fewer.
+RUN, LONG = 6, 24
+#: Distinct pages that hold a run or block at least.
+SEVERAL = 3
 
 # Kinds of elements.
 HIDDEN = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "textarea", "select", "option", "button", "head", "title"}
@@ -134,60 +137,107 @@ def _parse(keep: list[str]):
         for batch in batches:
             for first in range(0, len(batch), 256):
                 part = batch.slice(first, 256)
-                main, outside, loose = [], [], []
+                inside, outside, loose, own = [], [], [], []
                 for page in part.column("html").to_pylist():
                     has_article, found = blocks(page or "")
-                    inside = [t for a, f, t in found if a and not f]
-                    main.append("\n".join(inside) if has_article else None)
+                    inside.append([t for a, f, t in found if a and not f] if has_article else None)
                     rest = [(f, t) for a, f, t in found if not a]
                     outside.append([t for _, t in rest])
                     loose.append([not f and not has_article for f, _ in rest])
+                    own.append("\n".join(inside[-1] if has_article else [t for f, t in rest if not f]))
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(part.column(c) for c in keep),
                         part.column("host"),
-                        pa.array(main, pa.string()),
+                        pa.array(inside, pa.list_(pa.string())),
                         pa.array(outside, pa.list_(pa.string())),
                         pa.array(loose, pa.list_(pa.bool_())),
-                        _grams(outside),
+                        pa.array([hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest() for t in own], pa.string()),
                     ],
-                    [*keep, "host", "main", "outside", "loose", "grams"],
+                    [*keep, "host", "inside", "outside", "loose", "copy"],
                 )
 
     return run
 
 
-def _grams(streams: list[list[str]]) -> pa.Array:
-    """For each page the hash of the RUN tokens from each place of its stream on; ends count as tokens, so that short streams can repeat as well."""
-    lists = []
-    for stream in streams:
-        h, _ = word_hashes(pa.array(stream, pa.string()))
-        padded = np.concatenate([h, np.arange(1, RUN, dtype=np.uint64)]) if len(h) else h
-        g = np.zeros(len(h), np.uint64)
-        for k in range(RUN if len(h) else 0):
-            g = mix64(g ^ padded[k : k + len(h)]) + np.uint64(k)
-        lists.append(g.view(np.int64))
-    return pa.ListArray.from_arrays(np.cumsum([0, *map(len, lists)]).astype(np.int32), pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64)))
+def _windows(h: np.ndarray, width: int, kind: int) -> np.ndarray:
+    """Hash of the `width` tokens from each place on; none where fewer are left."""
+    n = max(len(h) - width + 1, 0)
+    g = np.full(n, kind, np.uint64)
+    for k in range(width if n else 0):
+        g = mix64(g ^ h[k : k + n]) + np.uint64(k)
+    return g.view(np.int64)
 
 
-def _unique_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The blocks without the tokens that repeated runs cover."""
+def _whole(texts: list[str], kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each block of RUN tokens or more (0 for shorter), hashes of all tokens, and tokens of each block."""
+    h, counts = word_hashes(pa.array(texts, pa.string()))
+    ends = np.cumsum(counts)
+    out = np.zeros(len(texts), np.int64)
+    for i in np.flatnonzero(counts >= RUN):
+        own = h[ends[i] - counts[i] : ends[i]]
+        place = mix64(np.arange(1, len(own) + 1, dtype=np.uint64))
+        out[i] = mix64(np.array([np.bitwise_xor.reduce(mix64(own + place))], np.uint64) + np.uint64(kind)).view(np.int64)[0]
+    return out, h, counts
+
+
+#: Kinds of grams: runs of RUN and LONG tokens and whole blocks outside of articles.
+SHORT_RUN, LONG_RUN, BLOCK = 1, 2, 3
+
+
+def _grams(inside: list[str] | None, outside: list[str]) -> tuple[dict[int, np.ndarray], np.ndarray]:
+    """Hashes of a page by kind, in order of place, and the tokens of each block outside."""
+    whole, h, counts = _whole(outside, BLOCK)
+    return {SHORT_RUN: _windows(h, RUN, SHORT_RUN), LONG_RUN: _windows(h, LONG, LONG_RUN), BLOCK: whole}, counts
+
+
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each gram of a page once."""
+    for batch in batches:
+        for i in range(len(batch)):
+            found, _ = _grams(batch.column("inside")[i].as_py(), batch.column("outside")[i].as_py())
+            for kind, g in found.items():
+                g = np.unique(g[g != 0])
+                yield pa.RecordBatch.from_arrays([batch.column("host").take(pa.array(np.full(len(g), i))), pa.array(np.full(len(g), kind, np.int32)), pa.array(g)], ["host", "kind", "gram"])
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The grams that can take something from a page, each once: those of pages without an article."""
     for batch in batches:
-        out = []
-        for stream, loose, places in zip(*(batch.column(c).to_pylist() for c in ("outside", "loose", "places"))):
-            words = [t.split() for t in stream]
-            n = sum(map(len, words))
-            covered = np.zeros(n + RUN, np.int64)
-            for p in places or ():
-                covered[p : p + RUN] = 1
-            kept, at = [], 0
-            for own, free in zip(words, loose):
-                run = " ".join(w for i, w in enumerate(own) if not covered[at + i])
-                at += len(own)
-                if free and run:
-                    kept.append(run)
-            out.append("\n".join(kept))
-        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.string())], ["row", "unique"])
+        for i in range(len(batch)):
+            inside = batch.column("inside")[i].as_py()
+            found, _ = _grams(inside, batch.column("outside")[i].as_py() if inside is None else [])
+            for kind, g in found.items():
+                g = np.unique(g[g != 0])
+                at = pa.array(np.full(len(g), i))
+                yield pa.RecordBatch.from_arrays([batch.column("row").take(at), batch.column("host").take(at), pa.array(np.full(len(g), kind, np.int32)), pa.array(g)], ["row", "host", "kind", "gram"])
+
+
+def _unique_blocks(keep: list[str]):
+    """The blocks without what the repeated grams of the page's host cover."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for inside, outside, loose, repeated in zip(*(batch.column(c).to_pylist() for c in ("inside", "outside", "loose", "repeated"))):
+                if not repeated:
+                    out.append("\n".join(inside if inside is not None else [t for t, free in zip(outside, loose) if free]))
+                    continue
+                found, counts = _grams(inside, outside)
+                again = {kind: np.isin(g, np.array(repeated, np.int64)) & (g != 0) for kind, g in found.items()}
+                covered = np.repeat(again[BLOCK], counts)
+                for kind, width in ((SHORT_RUN, RUN), (LONG_RUN, LONG)):
+                    for p in np.flatnonzero(again[kind]):
+                        covered[p : p + width] = True
+                kept, at = [], 0
+                for text, free, n in zip(outside, loose, counts):
+                    cut, at = covered[at : at + n], at + n
+                    if free and not cut.all():
+                        kept.append(" ".join(w for w, c in zip(text.split(), cut) if not c) if cut.any() else text)
+                out.append("\n".join(kept))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, pa.string())], [*keep, "text"])
+
+    return run
 
 
 def main_text(pages: DataFrame, keep: list[str]) -> DataFrame:
@@ -195,27 +245,30 @@ def main_text(pages: DataFrame, keep: list[str]) -> DataFrame:
 
     pages: url, html and whatever `keep` names. Where a page marks its article (an
     article or main element), its text is the article's blocks without furniture in
-    it: navigation, forms, asides, comments, adverts, notices and what is hidden. An
-    article's blocks stay even if other pages hold the same, as copies of articles
-    are articles. The host's repeated runs are found in all blocks that stand outside
-    of articles; of a page without an article, the unique runs of blocks that are no
-    furniture are its text.
-
-    Null and empty pages have an empty text. Null urls and urls without a host are a
-    host together. Repeated rows are pages each, so a page without an article that
-    comes twice is boilerplate. Without rows the result is empty.
+    it: navigation, forms, asides, comments, adverts, notices and what is hidden. A
+    block of an article stays even if other pages hold it. Of a page without an article,
+    the blocks that are no furniture are its text, without blocks of RUN tokens or more
+    and runs of LONG that SEVERAL distinct pages hold, and without runs of RUN that
+    half of the host's distinct pages hold as well.
+
+    Pages of a host with the same text before that are copies and count as one page,
+    so a copied page or article keeps its text. Null and empty pages have an empty
+    text. Null urls and urls without a host are a host together. Repeated rows are
+    pages each. Without rows the result is empty.
     """
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     rows = pages.select(*keep, "html", host.alias("host"))
-    schema = rows.select(*keep, "host")._jdf.schema().toDDL() + ", main string, outside array<string>, loose array<boolean>, grams array<long>"
+    schema = rows.select(*keep, "host")._jdf.schema().toDDL() + ", inside array<string>, outside array<string>, loose array<boolean>, copy string"
     parsed = settle(rows.mapInArrow(_parse(keep), schema).withColumn("row", F.monotonically_increasing_id()))
-    suffixes = parsed.select("host", "row", F.posexplode("grams").alias("place", "gram"))
-    groups = suffixes.groupBy("host", "gram").agg(F.min("row").alias("_a"), F.max("row").alias("_b")).filter("_a < _b").select("host", "gram")
-    free = parsed.filter("main IS NULL")
-    covered = (
-        free.select("host", "row", F.posexplode("grams").alias("place", "gram")).join(groups, ["host", "gram"]).groupBy("row").agg(F.collect_list("place").alias("places"))
-    )
-    unique = free.select("row", "outside", "loose").join(covered, "row", "left").mapInArrow(_unique_runs, "row long, unique string")
-    # Texts of articles are as they were written; only the few other pages are put together anew.
-    others = free.select("row", *keep).join(unique, "row").select(*keep, F.col("unique").alias("text"))
-    return parsed.filter("main IS NOT NULL").select(*keep, F.col("main").alias("text")).unionByName(others)
+    firsts = parsed.groupBy("host", "copy").agg(F.min("row").alias("row"))
+    half = firsts.groupBy("host").agg((F.count(F.lit(1)) / 2).alias("half"))
+    distinct = parsed.select("row", "host", "inside", "outside").join(firsts.select("row"), "row", "left_semi")
+    held = distinct.select("host", "inside", "outside").mapInArrow(_distinct, "host string, kind int, gram long").groupBy("host", "kind", "gram").agg(F.count(F.lit(1)).alias("n"))
+    shared = F.col("kind").isin(LONG_RUN, BLOCK) | (F.col("n") >= F.col("half"))
+    repeated = settle(held.filter(F.col("n") >= SEVERAL).join(half, "host").filter(shared).select("host", "kind", "gram"))
+    mine = parsed.select("row", "host", "inside", "outside").mapInArrow(_placed, "row long, host string, kind int, gram long")
+    # Outside of articles, runs tell only about pages without one.
+    found = mine.join(repeated, ["host", "kind", "gram"]).groupBy("row").agg(F.collect_list("gram").alias("repeated"))
+    columns = ["inside", "outside", "loose", "repeated"]
+    text_schema = rows.select(*keep)._jdf.schema().toDDL() + ", text string"
+    return parsed.join(found, "row", "left").select(*keep, *columns).mapInArrow(_unique_blocks(keep), text_schema)

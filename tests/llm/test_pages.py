@@ -42,6 +42,21 @@ def test_runs_inside_a_block_are_cut_out(spark):
     assert run(spark, rows)[1] == "a1 b1 c1 d1 e1"
 
 
+def test_phrases_and_copies_stay(spark):
+    """Two pages with a common phrase among many, and a page that comes twice, keep all their words."""
+    own = [f"start{i} " + " ".join(f"w{i}x{k}" for k in range(30)) for i in range(12)]
+    for i in (3, 4, 5):
+        own[i] += " as far as anyone could tell then"
+    got = run(spark, [(i, "http://h/", page(f"<p>{t}</p>")) for i, t in enumerate(own)] + [(50, "http://h/", page(f"<p>{own[0]}</p>"))])
+    assert got == {**dict(enumerate(own)), 50: own[0]}
+
+
+def test_long_runs_of_several_pages_are_cut(spark):
+    run_ = " ".join(f"rule{k}" for k in range(30))
+    rows = [(i, "http://h/", page(f"<p>a{i} b{i} {run_ if i < 3 else ''} c{i}</p>")) for i in range(12)]
+    assert run(spark, rows) == {i: f"a{i} b{i} c{i}" for i in range(12)}
+
+
 def test_odd_pages(spark):
     rows = [(1, None, None), (2, "", ""), (3, "x", "<"), (4, "http://h", "plain &eacute;"), (5, "http://h", "<article><p>cut <scr"), (6, "http://h", "<article></article><p>out"), (None, "http://h", "<main>m</main>")]
     rows += [(7, "http://h", "<div>" * 3000 + "deep" + "</p></span>" * 10), (8, "http://h", "<p>" + "long text " * 50_000)]
