@@ -24,8 +24,8 @@ from opswell.session import settle
 
 #: Tokens of a block or run that half of the pages hold, and of a run that is long enough with fewer.
 RUN, LONG = 6, 24
-#: Distinct pages that hold a run or block at least.
-SEVERAL = 3
+#: Distinct pages that hold a run or block at least, and those that hold a block of an article (half of the host's as well).
+SEVERAL, MANY = 3, 5
 
 # Kinds of elements.
 HIDDEN = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "textarea", "select", "option", "button", "head", "title"}
@@ -75,23 +75,24 @@ def blocks(page: str) -> tuple[bool, list[tuple[bool, bool, str]]]:
     script that the page's end cuts off has no text.
     """
     out: list[tuple[bool, bool, str]] = []
-    parts: list[str] = []
+    parts: dict[bool, list[str]] = {False: [], True: []}  # by furniture, so that an inline advert is not its block's text
     stack: list[tuple[str, bool, bool]] = []  # name, article, furniture: as they hold inside
     article = furniture = marked = False
     at, end = 0, len(page)
 
     def close():
-        text = " ".join(html.unescape("".join(parts)).split())
-        parts.clear()
-        if text:
-            out.append((article, furniture, text))
+        for bad, own in parts.items():
+            text = " ".join(html.unescape("".join(own)).split())
+            own.clear()
+            if text:
+                out.append((article, bad, text))
 
     while at < end:
         tag = _TAG.search(page, at)
         if tag is None:
-            parts.append(page[at:])
+            parts[furniture].append(page[at:])
             break
-        parts.append(page[at : tag.start()])
+        parts[furniture].append(page[at : tag.start()])
         at = tag.end()
         name = tag[2].lower() if tag[2] else ""
         if not name:
@@ -114,7 +115,7 @@ def blocks(page: str) -> tuple[bool, list[tuple[bool, bool, str]]]:
             if name in BLOCKS:
                 close()
             elif name == "br":
-                parts.append(" ")
+                parts[furniture].append(" ")
             if name in ENDS:
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] in ENDS[name]:
@@ -181,14 +182,14 @@ def _whole(texts: list[str], kind: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return out, h, counts
 
 
-#: Kinds of grams: runs of RUN and LONG tokens and whole blocks outside of articles.
-SHORT_RUN, LONG_RUN, BLOCK = 1, 2, 3
+#: Kinds of grams: runs of RUN and LONG tokens and whole blocks outside of articles, blocks inside.
+SHORT_RUN, LONG_RUN, BLOCK, ARTICLE = 1, 2, 3, 4
 
 
 def _grams(inside: list[str] | None, outside: list[str]) -> tuple[dict[int, np.ndarray], np.ndarray]:
     """Hashes of a page by kind, in order of place, and the tokens of each block outside."""
     whole, h, counts = _whole(outside, BLOCK)
-    return {SHORT_RUN: _windows(h, RUN, SHORT_RUN), LONG_RUN: _windows(h, LONG, LONG_RUN), BLOCK: whole}, counts
+    return {SHORT_RUN: _windows(h, RUN, SHORT_RUN), LONG_RUN: _windows(h, LONG, LONG_RUN), BLOCK: whole, ARTICLE: _whole(inside or [], ARTICLE)[0]}, counts
 
 
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +203,7 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The grams that can take something from a page, each once: those of pages without an article."""
+    """The grams that can take something from a page, each once: an article's blocks, or else all outside."""
     for batch in batches:
         for i in range(len(batch)):
             inside = batch.column("inside")[i].as_py()
@@ -225,6 +226,9 @@ def _unique_blocks(keep: list[str]):
                     continue
                 found, counts = _grams(inside, outside)
                 again = {kind: np.isin(g, np.array(repeated, np.int64)) & (g != 0) for kind, g in found.items()}
+                if inside is not None:
+                    out.append("\n".join(t for t, cut in zip(inside, again[ARTICLE]) if not cut))
+                    continue
                 covered = np.repeat(again[BLOCK], counts)
                 for kind, width in ((SHORT_RUN, RUN), (LONG_RUN, LONG)):
                     for p in np.flatnonzero(again[kind]):
@@ -246,7 +250,8 @@ def main_text(pages: DataFrame, keep: list[str]) -> DataFrame:
     pages: url, html and whatever `keep` names. Where a page marks its article (an
     article or main element), its text is the article's blocks without furniture in
     it: navigation, forms, asides, comments, adverts, notices and what is hidden. A
-    block of an article stays even if other pages hold it. Of a page without an article,
+    block of RUN tokens or more that MANY distinct articles of the host hold, and half
+    of its distinct pages, is left out of them as well. Of a page without an article,
     the blocks that are no furniture are its text, without blocks of RUN tokens or more
     and runs of LONG that SEVERAL distinct pages hold, and without runs of RUN that
     half of the host's distinct pages hold as well.
@@ -264,8 +269,9 @@ def main_text(pages: DataFrame, keep: list[str]) -> DataFrame:
     half = firsts.groupBy("host").agg((F.count(F.lit(1)) / 2).alias("half"))
     distinct = parsed.select("row", "host", "inside", "outside").join(firsts.select("row"), "row", "left_semi")
     held = distinct.select("host", "inside", "outside").mapInArrow(_distinct, "host string, kind int, gram long").groupBy("host", "kind", "gram").agg(F.count(F.lit(1)).alias("n"))
+    least = F.when(F.col("kind") == ARTICLE, MANY).otherwise(SEVERAL)
     shared = F.col("kind").isin(LONG_RUN, BLOCK) | (F.col("n") >= F.col("half"))
-    repeated = settle(held.filter(F.col("n") >= SEVERAL).join(half, "host").filter(shared).select("host", "kind", "gram"))
+    repeated = settle(held.filter(F.col("n") >= least).join(half, "host").filter(shared).select("host", "kind", "gram"))
     mine = parsed.select("row", "host", "inside", "outside").mapInArrow(_placed, "row long, host string, kind int, gram long")
     # Outside of articles, runs tell only about pages without one.
     found = mine.join(repeated, ["host", "kind", "gram"]).groupBy("row").agg(F.collect_list("gram").alias("repeated"))

@@ -57,6 +57,14 @@ def test_long_runs_of_several_pages_are_cut(spark):
     assert run(spark, rows) == {i: f"a{i} b{i} c{i}" for i in range(12)}
 
 
+def test_boilerplate_inside_articles(spark):
+    notice = "please read the rules of this house before you write"
+    rows = [(i, "http://h/", page(f"<article><p>story {i} <span class='advert'>Buy</span>told</p><p>{notice}</p></article>")) for i in range(8)]
+    copies = [(100 + i, "http://copies/", page(f"<nav>{i}</nav><article><p>{notice}</p></article>")) for i in range(8)]
+    got = run(spark, rows + copies)
+    assert got == {**{i: f"story {i} told" for i in range(8)}, **{100 + i: notice for i in range(8)}}
+
+
 def test_odd_pages(spark):
     rows = [(1, None, None), (2, "", ""), (3, "x", "<"), (4, "http://h", "plain &eacute;"), (5, "http://h", "<article><p>cut <scr"), (6, "http://h", "<article></article><p>out"), (None, "http://h", "<main>m</main>")]
     rows += [(7, "http://h", "<div>" * 3000 + "deep" + "</p></span>" * 10), (8, "http://h", "<p>" + "long text " * 50_000)]
