@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from opswell.llm import ann, chat, licenses, mixing, near_dups, packing, pages, quality, token_blocks, topk
+from opswell.llm import ann, chat, licenses, mixing, near_dups, packing, pages, quality, repair, token_blocks, topk
 from opswell.session import scratch, settle, tune
 from opswell.sources.tables import Tables
 
@@ -94,3 +94,9 @@ def exact_topk(t: Tables) -> DataFrame:
 @query("op8_posting_list_ann")
 def posting_list_ann(t: Tables) -> DataFrame:
     return ann.search(t.embeddings, F.col("vec_id") % 50 == 0, 5)
+
+
+@query("op11_audit_repair", repair.ORACLE)
+def audit_repair(t: Tables) -> DataFrame:
+    """Conversations damaged by a hash of each row and repaired by the cheapest edits; one row per conversation."""
+    return repair.digest(t.conversations, repair.repair(repair.damage(t.conversations)))
