@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from opswell.llm import ann, chat, licenses, mixing, near_dups, packing, pages, quality, repair, token_blocks, topk
+from opswell.llm import ann, chat, licenses, mixing, near_dups, packing, pages, ppm, quality, repair, token_blocks, topk, turn_trie
 from opswell.session import scratch, settle, tune
 from opswell.sources.tables import Tables
 
@@ -100,3 +100,15 @@ def posting_list_ann(t: Tables) -> DataFrame:
 def audit_repair(t: Tables) -> DataFrame:
     """Conversations damaged by a hash of each row and repaired by the cheapest edits; one row per conversation."""
     return repair.digest(t.conversations, repair.repair(repair.damage(t.conversations)))
+
+
+@query("op12_turn_trie", turn_trie.ORACLE)
+def turn_trie_nodes(t: Tables) -> DataFrame:
+    """The prefix trie of all conversations, rebuilt so that groups of five share their first turns."""
+    return turn_trie.trie(turn_trie.rebuilt(t.conversations))
+
+
+@query("op13_ppm_scoring")
+def ppm_scoring(t: Tables) -> DataFrame:
+    """Code lengths of all documents by a byte-context trie over those that are not held out."""
+    return ppm.score(t.documents)
