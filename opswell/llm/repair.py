@@ -272,7 +272,7 @@ def repair(rows: DataFrame, chunk: int = CHUNK) -> Repair:
         )
     )
     light = given.select("key", "turn", "role", "digest", "row", "blank", "open")
-    numbered = Ordered(light, ["key"], ["turn", "role", "digest", "row"], balanced=True).row_numbers("place")
+    numbered = Ordered(light, ["key"], ["turn", "role", "digest", "row"]).row_numbers("place")
     placed = settle(numbered.df.withColumn("chunk", F.floor((F.col("place") - 1) / chunk).cast("long")))
     first = placed.groupBy("key", "role", "digest").agg(F.min("place").alias("place")).select("key", F.floor((F.col("place") - 1) / chunk).cast("long").alias("chunk"), "place", F.lit(True).alias("new"))
     fault = F.when(F.col("blank"), "blank").when(F.col("new").isNull(), "duplicate").when(F.col("open"), "truncated").otherwise("")
