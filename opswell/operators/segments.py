@@ -1,15 +1,18 @@
 """Ordered results per key when one key may hold a large share of all rows.
 
-A plain window sends every row of a key to one task. Here the ordering range is
-cut into spans, so a key's rows spread over many (key, span) groups; what a span
+A plain window sends every row of a key to one task. Here the order is cut into
+spans of about as many rows each, so a key's rows spread over many (key, span) groups; what a span
 needs to know about the spans before it (counts, sums, last values) is one small
 row per span. Each function gives exactly what the plain window would give.
 """
 
 from __future__ import annotations
 
+import math
+import sys
 from collections.abc import Callable, Sequence
 from functools import reduce
+from itertools import takewhile
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -17,6 +20,13 @@ from opswell import session
 
 ROWS_PER_SPAN = 1_000_000
 LEAST_SPANS = 8
+#: More rows than MOST_SPANS spans of ROWS_PER_SPAN have make larger spans, which windows sort on disk.
+MOST_SPANS = 512
+#: Numbers that a quantile sketch keeps; its ranks are off by some 0.1 % of the rows.
+SKETCH = 4096
+#: The least finite double, for nulls. Texts are told apart by their first 6 * TEXT_PARTS bytes, six more in each pass.
+LOWEST = -sys.float_info.max
+TEXT_PARTS = 20
 SPAN = "_span"
 
 
@@ -29,14 +39,100 @@ def _stand_in(dtype: str) -> Column:
     return F.lit(0).cast(dtype)
 
 
-def _position(column: str, dtype: str) -> Column:
+def _positions(column: str, dtype: str) -> list[Column]:
+    """Doubles that never fall where the column rises, nulls first; what one of them leaves equal, the next may part."""
+    c = F.col(column)
     if dtype == "timestamp_ntz":
-        return F.unix_micros(F.col(column).cast("timestamp")).cast("double")
-    if dtype == "timestamp":
-        return F.unix_micros(F.col(column)).cast("double")
-    if dtype == "date":
-        return F.unix_date(F.col(column)).cast("double")
-    return F.col(column).cast("double")
+        found = [F.unix_micros(c.cast("timestamp")).cast("double")]
+    elif dtype == "timestamp":
+        found = [F.unix_micros(c).cast("double")]
+    elif dtype == "date":
+        found = [F.unix_date(c).cast("double")]
+    elif dtype in ("float", "double"):
+        found = [F.least(F.greatest(F.nanvl(c.cast("double"), F.lit(-LOWEST)), F.lit(LOWEST)), F.lit(-LOWEST))]
+    elif dtype in ("string", "binary"):
+        # Six bytes are a whole number that a double holds exactly.
+        part = lambda i: F.rpad(F.hex(F.substring(c.cast("binary"), 1 + 6 * i, 6)), 12, "0")
+        found = [F.conv(part(i), 16, 10).cast("double") for i in range(TEXT_PARTS)]
+    elif dtype in ("tinyint", "smallint", "int", "bigint", "boolean") or dtype.startswith("decimal"):
+        found = [c.cast("double")]
+    else:  # nothing to cut by; the columns before it still are
+        found = []
+    return [F.coalesce(f, F.lit(LOWEST)) for f in found]
+
+
+def _spread(values: Sequence[float], rows: float, share: float) -> tuple[list[float], dict[float, float]]:
+    """Cuts at evenly spaced ones of sorted quantiles, and the values that alone hold more than a span's share of the rows.
+
+    Such a value is cut off on both sides, so that nothing but the columns after it parts its rows.
+    """
+    parts = max(1, round(rows / share))
+    picks = [values[min(len(values) - 1, round(i * (len(values) + 1) / parts) - 1)] for i in range(1, parts)]
+    heavy = {v: rows * values.count(v) / (len(values) + 1) for v in {a for a, b in zip(picks, picks[1:]) if a == b}}
+    return sorted({*picks, *[math.nextafter(v, math.inf) for v in heavy]}), heavy
+
+
+def _cuts(df: DataFrame, positions: Sequence[tuple[str, Column]], rows_per_span: int, least: int) -> list[tuple[float, ...]]:
+    """Where spans begin, as beginnings of the rows' positions; positions: (column, position).
+
+    One pass counts the rows and sketches the quantiles of the first position. Only
+    where a value holds more than a span's share of all rows, its rows are sketched
+    by the next position, and so on. A pass brings MOST_SPANS numbers for each of at
+    most MOST_SPANS values to the driver.
+
+    The next column parts rows only if the last one is the same in all of them: a
+    position may be the same for different values (numbers beyond a double's digits,
+    texts after 6 * TEXT_PARTS bytes). Such rows stay together.
+    """
+    grid = F.array(*[F.lit(i / MOST_SPANS) for i in range(1, MOST_SPANS)])
+    names = [f"_p{i}" for i in range(len(positions))]
+    columns = [c for c, _ in positions]
+    rows = df.select(*[p.alias(n) for (_, p), n in zip(positions, names)], *[F.col(c).alias(f"_c_{c}") for c in dict.fromkeys(columns)])
+    sketched = lambda name: (F.count(F.lit(1)).alias("n"), F.kll_sketch_agg_double(name, F.lit(SKETCH)).alias("sketch"))
+    quantiles = F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double("sketch", grid)).alias("values")
+    found = rows.agg(*sketched(names[0])).select("n", quantiles).first()
+    if not found.n:
+        return []
+    share = found.n / min(MOST_SPANS, max(least, math.ceil(found.n / rows_per_span)))
+    values, heavy = _spread(found["values"], found.n, share)
+    cuts = [(v,) for v in values]
+    heavy = [(v,) for v in heavy]
+    for depth in range(1, len(names)):
+        if not heavy:
+            break
+        before = names[:depth]
+        alike = df.sparkSession.createDataFrame(heavy, ", ".join(f"{n} double" for n in before))
+        held = rows.join(F.broadcast(alike), before).groupBy(*before)
+        last = F.col(f"_c_{columns[depth - 1]}")
+        same = (F.min(last).eqNullSafe(F.max(last)) & F.count(last).isin(F.lit(0), F.count(F.lit(1)))).alias("same")
+        heavy = []
+        for r in held.agg(*sketched(names[depth]), same).select(*before, "n", "same", quantiles).collect():
+            if columns[depth] != columns[depth - 1] and not r.same:
+                continue
+            prefix = tuple(r[n] for n in before)
+            values, more = _spread(r["values"], r.n, share)
+            cuts += [(*prefix, v) for v in values]
+            heavy += [(*prefix, v) for v in more]
+    return sorted(set(cuts))
+
+
+def _span(positions: Sequence[Column], cuts: Sequence[tuple[float, ...]]) -> Column:
+    """How many cuts stand at or before the row."""
+    if not cuts:
+        return F.lit(0).cast("long")
+    depth = max(len(c) for c in cuts)
+    place = positions[0] if depth == 1 else F.struct(*[p.alias(f"p{i}") for i, p in enumerate(positions[:depth])])
+
+    def value(cut):
+        full = [F.lit(v) for v in [*cut, *[LOWEST] * (depth - len(cut))]]
+        return full[0] if depth == 1 else F.struct(*[v.alias(f"p{i}") for i, v in enumerate(full)])
+
+    if len(cuts) <= 32:
+        return reduce(lambda a, b: a + b, [(place >= value(c)).cast("long") for c in cuts])
+    # Halving: the largest number of cuts that stand before the row, from the highest binary digit down.
+    all_, steps = F.array(*[value(c) for c in cuts]), [1 << k for k in reversed(range(len(cuts).bit_length()))]
+    further = lambda n, step: F.when(F.get(all_, n + step - 1) <= place, n + step).otherwise(n)
+    return F.aggregate(F.array(*[F.lit(k) for k in steps]), F.lit(0), further).cast("long")
 
 
 def _upto_here(w):
@@ -48,10 +144,10 @@ def _before_here(w):
 
 
 class Ordered:
-    """Rows by key and order, each tagged with the span of the first ordering column it falls in.
+    """Rows by key and order, each tagged with the span of the order it falls in.
 
     The methods add columns and give new Ordered rows with the same tags, so the
-    ordering range is measured once for a chain of steps. Each step reads its
+    order is cut once for a chain of steps. Each step reads its
     rows twice (for the rows and for the one row per span), so between two steps
     of a chain the rows are settled.
     """
@@ -64,14 +160,11 @@ class Ordered:
         rows_per_span: int = ROWS_PER_SPAN,
         least: int = LEAST_SPANS,
         measured: DataFrame | None = None,
-        balanced: bool = False,
     ):
-        """Equal parts of the range of the first ordering column are the spans, found in one light pass.
+        """Spans hold about as many rows each; what cuts them is found in one light pass over the ordering columns.
 
-        measured: rows to take the range from, where cheaper ones than df have the same.
-        balanced: spans with equal numbers of rows instead, cut anywhere in the
-        whole order. For keys that have very many rows at one value of the first
-        ordering column. Costs a range shuffle and writing the rows once.
+        measured: rows to take the cuts from, where cheaper ones than df have the same
+        distribution; of the ordering columns they need the first one at least.
         """
         types = dict(df.dtypes)
         self.columns, self.keys, self.order = df.columns, list(keys), list(order)
@@ -82,20 +175,10 @@ class Ordered:
                 F.coalesce(F.col(key), _stand_in(types[key])).alias(f"_key{i}"),
                 F.col(key).isNull().alias(f"_none{i}"),
             ]
-        if balanced:
-            parts = max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-            rows = df.select("*", *tags).repartitionByRange(parts, *self.by, *self.order)
-            # The number of a partition is not a property of a row, so it is written down before it is used.
-            self.rows = session.settle(rows.withColumn(SPAN, F.spark_partition_id().cast("long")))
-            return
-        at = _position(order[0], types[order[0]])
-        parts = F.greatest(F.lit(least), F.ceil(F.count("at") / rows_per_span))
-        reach = F.greatest((F.max("at") - F.min("at")) / parts, F.lit(1e-9))
-        range_ = (measured or df).select(at.alias("at")).agg(F.struct(F.min("at").alias("lo"), reach.alias("width")).alias("r"))
-        r = range_.scalar()
-        # Nulls of the ordering column sort first, as in an ascending window.
-        tags.append(F.coalesce(F.floor((at - r["lo"]) / r["width"]), F.lit(-1)).alias(SPAN))
-        self.rows = df.select("*", *tags)
+        source = df if measured is None else measured
+        positions = [(c, p) for c in takewhile(lambda c: c in source.columns and _positions(c, types[c]), order) for p in _positions(c, types[c])]
+        cuts = _cuts(source, positions, rows_per_span, least) if positions else []
+        self.rows = df.select("*", *tags, _span([p for _, p in positions], cuts).alias(SPAN))
 
     @property
     def df(self) -> DataFrame:

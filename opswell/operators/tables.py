@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from opswell import session
 from opswell.functions.numbers import ratio
 from opswell.functions.text import col
 
@@ -112,12 +113,12 @@ def top_sample(df: DataFrame, keys: Sequence[str], order: Sequence[str], k: int)
     """All rows with their place in the group (sample_no), the group's size (of_total), and whether they are among the first k (shown)."""
     from opswell.operators import segments
 
-    return segments.Ordered(df, keys, order, balanced=True).row_numbers("sample_no", total="of_total").df.withColumn("shown", F.col("sample_no") <= k)
+    return segments.Ordered(session.settle(df), keys, order).row_numbers("sample_no", total="of_total").df.withColumn("shown", F.col("sample_no") <= k)
 
 
 def batches(df: DataFrame, order: Sequence[str], size: int) -> DataFrame:
     """All rows with the number, from 0, of the batch of `size` rows that takes them, the first in order first."""
     from opswell.operators import segments
 
-    placed = segments.Ordered(df, [], order, balanced=True).row_numbers("_place").df
+    placed = segments.Ordered(session.settle(df), [], order).row_numbers("_place").df
     return placed.withColumn("batch", F.floor((F.col("_place") - 1) / size).cast("long")).drop("_place")

@@ -59,18 +59,71 @@ def test_running_sums(rows):
     same(S.sums_upto_value(rows, ["k"], "x", {"s": "v"}), rows.withColumn("s", F.sum("v").over(peers)))
 
 
-def test_balanced_spans_cut_through_one_value(rows):
-    """A key whose rows nearly all have one value of the first ordering column."""
-    lumped = rows.withColumn("x", F.when(F.col("k") == "hot", F.lit(7)).otherwise(F.col("x")))
-    cut = S.Ordered(lumped, ["k"], ["x", "id"], balanced=True)
-    sizes = [r["n"] for r in cut.rows.where("k = 'hot'").groupBy(S.SPAN).agg(F.count("*").alias("n")).collect()]
-    assert len(sizes) > 1 and max(sizes) < 3000 / 4
-    w = ordered().rowsBetween(Window.unboundedPreceding, 0)
-    want = lumped.withColumn("rn", F.row_number().over(ordered()).cast("long")).withColumn("s", F.sum("v").over(w))
-    same(cut.row_numbers("rn").running_sums({"s": "v"}).df, want)
-    same(cut.previous({"p": "v"}).df, lumped.withColumn("p", F.lag("v").over(ordered())))
-    down = Window.partitionBy("k").orderBy(F.desc("x"), F.desc("id"))
-    same(cut.row_numbers("rn", descending=True).df, lumped.withColumn("rn", F.row_number().over(down).cast("long")))
+def span_sizes(cut):
+    return [r["n"] for r in cut.rows.groupBy(S.SPAN).agg(F.count("*").alias("n")).collect()]
+
+
+@pytest.mark.parametrize(
+    "case, x",
+    [
+        ("one far outlier", "if(id = 5, 1000000000000000, id)"),
+        ("a burst", "if(id % 3 > 0, 1000000000 + id, id * 1000000)"),
+        ("one value held by half the rows", "if(id % 2 = 0, 700, id)"),
+        ("nulls held by half the rows", "if(id % 2 = 0, id, NULL)"),
+        ("one value alone", "3"),
+    ],
+)
+@pytest.mark.parametrize("spans", [8, 100])
+def test_no_span_is_above_twice_the_mean(spark, case, x, spans):
+    rows = spark.range(20_000).select("id", (F.col("id") % 7).alias("k"), F.expr(x).cast("long").alias("x"), F.lit(1).alias("v"))
+    cut = S.Ordered(rows, ["k"], ["x", "id"], rows_per_span=20_000 // spans)
+    sizes = span_sizes(cut)
+    assert len(sizes) >= spans * 0.9 and max(sizes) <= 2 * 20_000 / spans
+    w = Window.partitionBy("k").orderBy("x", "id")
+    same(cut.row_numbers("rn").df, rows.withColumn("rn", F.row_number().over(w).cast("long")))
+
+
+def test_ties_are_split_by_all_the_order(spark):
+    """Half the rows share the first two columns, a third of all rows the first three."""
+    rows = spark.range(9000).select(
+        F.lit("hot").alias("k"),
+        F.when(F.col("id") % 2 == 0, 1.5).otherwise(F.col("id") / 7).alias("x"),
+        F.when(F.col("id") % 3 == 0, "same").otherwise(F.concat(F.lit("a text of its own "), F.lpad("id", 5, "0"))).alias("name"),
+        F.when(F.col("id") % 5 > 0, F.lit("2024-01-01").cast("date")).otherwise(F.date_add(F.lit("2020-01-01"), F.col("id").cast("int"))).alias("day"),
+        "id",
+    )
+    order = ["x", "name", "day", "id"]
+    cut = S.Ordered(rows, ["k"], order, rows_per_span=300)
+    assert max(span_sizes(cut)) <= 2 * 300
+    w = Window.partitionBy("k").orderBy(*order)
+    same(cut.row_numbers("rn").df, rows.withColumn("rn", F.row_number().over(w).cast("long")))
+    same(cut.previous({"p": "id"}).df, rows.withColumn("p", F.lag("id").over(w)))
+    down = Window.partitionBy("k").orderBy(*[F.desc(c) for c in order])
+    same(cut.row_numbers("rn", descending=True).df, rows.withColumn("rn", F.row_number().over(down).cast("long")))
+
+
+@pytest.mark.parametrize(
+    "dtype, values",
+    [
+        ("string", ["", None, "a", "aaaaaa", "aaaaaaa", "aaaaaab", "é", "日本", "Z", "\U0001f600", "b" * 40, "b" * 41]),
+        ("double", [float("nan"), float("-inf"), float("inf"), None, -0.0, 1e308, -1e308, 5e-324]),
+        ("boolean", [True, False, None]),
+        ("binary", [b"", b"\xff", b"\x00", None, b"\x00\x01"]),
+    ],
+)
+def test_every_type_is_cut_in_its_order(spark, dtype, values):
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values * 6)], f"id long, x {dtype}")
+    cut = S.Ordered(rows, [], ["x", "id"], rows_per_span=2)
+    assert len(span_sizes(cut)) >= 8
+    got = {r.id: r.rn for r in cut.row_numbers("rn").df.collect()}
+    assert got == {r.id: r.rn for r in rows.withColumn("rn", F.row_number().over(Window.orderBy("x", "id"))).collect()}
+
+
+def test_no_rows_and_columns_without_an_order_of_numbers(rows, spark):
+    assert O(rows.limit(0)).row_numbers("rn").df.count() == 0
+    nested = rows.withColumn("x", F.array("id"))
+    w = Window.partitionBy("k").orderBy("x")
+    same(S.Ordered(nested, ["k"], ["x"]).row_numbers("rn").df, nested.withColumn("rn", F.row_number().over(w).cast("long")))
 
 
 def test_running_least(rows):
