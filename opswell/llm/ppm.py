@@ -6,9 +6,9 @@ all bytes seen there) and is sought after the next shorter one, without the byte
 longer one has had. As those are always a part of the shorter one's, what is left
 of a context depends on itself and the context one byte longer alone.
 
-A text's probability depends on its runs of ORDER + 1 bytes only. So parts of the
-corpus of a bounded size ask once for each run they hold, the trie is walked once
-for each distinct run of the corpus, and the answers go back to the parts.
+A text's probability depends on its runs of ORDER + 1 bytes only. So groups of texts
+of a bounded size ask once for each run they hold, the trie is walked once for each
+distinct run of the corpus, and the answers go back to the groups.
 """
 
 from __future__ import annotations
@@ -20,10 +20,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from opswell.llm.tokens import ragged
 from opswell.session import settle
 
 #: Bytes of the longest context. Runs that share their last two context bytes meet in one place: 2 ** 24 runs at most.
@@ -31,8 +31,8 @@ ORDER = 4
 #: Bytes that no UTF-8 text holds: what stands before a text, and its end.
 BEFORE, END = b"\xfe", b"\xff"
 SYMBOLS = 256
-#: Bytes of text in a part; a longer text is cut at white space into several.
-PART = 6 << 20
+#: Bytes of text that are worked on at a time, and of a group; a text longer than a part is cut at white space into several.
+PART, GROUP = 4 << 20, 24 << 20
 #: A longer word is named by its hash.
 WORD = 64
 SPACE = re.compile(rb"[\x20\x09-\x0d]")
@@ -41,13 +41,13 @@ WALK = 1 << 20
 
 PARTS = pa.schema(
     [
-        ("part", pa.int64()), ("row", pa.list_(pa.int64())), ("doc_id", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())),
-        ("size", pa.list_(pa.int64())), ("last", pa.list_(pa.bool_())), ("padded", pa.binary()),
+        ("group", pa.int64()), ("part", pa.int64()), ("row", pa.list_(pa.int64())), ("doc_id", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())),
+        ("size", pa.list_(pa.int64())), ("last", pa.list_(pa.bool_())), ("packed", pa.binary()),
         ("runs", pa.list_(pa.int64())), ("run_counts", pa.list_(pa.int64())), ("words", pa.list_(pa.binary())), ("word_counts", pa.list_(pa.int64())),
     ]
 )
 PART_COLUMNS = (
-    "part long, row array<long>, doc_id array<long>, held_out array<boolean>, size array<long>, last array<boolean>, padded binary,"
+    "group long, part long, row array<long>, doc_id array<long>, held_out array<boolean>, size array<long>, last array<boolean>, packed binary,"
     " runs array<long>, run_counts array<long>, words array<binary>, word_counts array<long>"
 )
 
@@ -72,12 +72,15 @@ def cut(text: bytes, most: int) -> list[tuple[bytes, bytes, bool]]:
 
 def runs_of(padded: bytes, sizes: np.ndarray) -> pa.DictionaryArray:
     """The run that ends at each byte but the first ORDER of each piece, as a number with its last byte lowest."""
-    x = np.frombuffer(padded, np.uint8).astype(np.int64)
+    x = np.frombuffer(padded, np.uint8)
     codes = np.zeros(max(0, len(x) - ORDER), np.int64)
     for i in range(ORDER + 1):
-        codes = (codes << 8) | x[i : len(x) - ORDER + i]
-    starts = np.cumsum(sizes + ORDER) - (sizes + ORDER)
-    return pa.array(codes[ragged(starts, sizes)]).dictionary_encode()
+        codes <<= 8
+        codes |= x[i : len(x) - ORDER + i]
+    own = np.ones(len(codes), bool)
+    later = np.cumsum(sizes + ORDER)[:-1]  # where the other pieces begin
+    own[(later[:, None] - np.arange(ORDER) - 1).ravel()] = False
+    return pa.array(codes[own]).dictionary_encode()
 
 
 def words_of(bodies: list[bytes]) -> tuple[pa.DictionaryArray, np.ndarray]:
@@ -96,38 +99,75 @@ def _named(words: pa.Array) -> list[bytes]:
     return [w if len(w) <= WORD else b"\0" * (WORD - 31) + hashlib.sha256(w).digest() for w in names]
 
 
-def _parts(most: int):
+class Dictionary:
+    """The distinct runs, and the distinct words, of a group's parts; their places are the same whenever the parts are read in order."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, pa.Array]] = []
+
+    def add(self, runs: pa.DictionaryArray, words: pa.DictionaryArray):
+        self.parts.append((runs.dictionary.to_numpy(), words.dictionary))
+
+    def runs(self) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The runs in order, and the place of each part's."""
+        every = np.unique(np.concatenate([r for r, _ in self.parts]))
+        return every, [np.searchsorted(every, r) for r, _ in self.parts]
+
+    def words(self) -> tuple[pa.Array, list[np.ndarray]]:
+        every = pa.concat_arrays([w for _, w in self.parts]).dictionary_encode()
+        ends = np.cumsum([0, *(len(w) for _, w in self.parts)])
+        at = np.asarray(every.indices)
+        return every.dictionary, [at[a:b] for a, b in zip(ends, ends[1:])]
+
+
+def _parts(most: int, most_of_group: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, row = TaskContext.get().partitionId() << 32, TaskContext.get().partitionId() << 32
+        group = row = TaskContext.get().partitionId() << 32
         held: list[tuple] = []
-        bytes_ = 0
+        counts: list[tuple[np.ndarray, np.ndarray]] = []
+        known, ends, bytes_, of_group = Dictionary(), 0, 0, 0
+
+        def one(**values):
+            return pa.RecordBatch.from_arrays([pa.array([values.get(f.name)], f.type) for f in PARTS], schema=PARTS)
 
         def part():
             rows, docs, out, heads, bodies, last = zip(*held)
-            last, trained = np.array(last), ~np.array(out)
             padded = b"".join(h + b + (END if e else b"") for h, b, e in zip(heads, bodies, last))
-            sizes = np.array([len(b) for b in bodies], np.int64) + last
-            runs = runs_of(padded, sizes)
-            of_runs = np.bincount(np.asarray(runs.indices)[np.repeat(trained, sizes)], minlength=len(runs.dictionary))
-            words, n = words_of(bodies)
-            of_words = np.bincount(np.asarray(words.indices)[np.repeat(trained, n)], minlength=len(words.dictionary))
+            sizes, trained = np.array([len(b) for b in bodies], np.int64) + np.array(last), ~np.array(out)
+            runs, (words, n) = runs_of(padded, sizes), words_of(bodies)
+            known.add(runs, words)
+            tally = lambda d, n: np.bincount(np.asarray(d.indices)[np.repeat(trained, n)], minlength=len(d.dictionary))
+            counts.append((tally(runs, sizes), tally(words, n)))
+            packed = zstandard.ZstdCompressor().compress(padded)
+            return one(group=group, part=len(counts), row=rows, doc_id=docs, held_out=out, size=sizes, last=last, packed=packed)
+
+        def whole():
+            (runs, run_places), (words, word_places) = known.runs(), known.words()
+            of_runs, of_words = np.zeros(len(runs), np.int64), np.zeros(len(words), np.int64)
+            for (r, w), a, b in zip(counts, run_places, word_places):
+                of_runs[a] += r
+                of_words[b] += w
             # The end of a text is the word without letters.
-            names, of_words = [*_named(words.dictionary), b""], [*of_words.tolist(), int((trained & last).sum())]
-            one = [number, rows, docs, out, sizes.tolist(), last.tolist(), padded, runs.dictionary, of_runs, names, of_words]
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(one, PARTS.types)], schema=PARTS)
+            return one(group=group, runs=runs, run_counts=of_runs, words=[*_named(words), b""], word_counts=[*of_words.tolist(), ends])
 
         for batch in batches:
             for doc, out, text in zip(*(batch.column(c) for c in ("doc_id", "held_out", "text"))):
-                body = (text.as_buffer().to_pybytes() if text.is_valid else b"").lower()
+                out, body = out.as_py(), (text.as_buffer().to_pybytes() if text.is_valid else b"").lower()
                 for piece in cut(body, most):
-                    held.append((row, doc.as_py(), out.as_py(), *piece))
+                    held.append((row, doc.as_py(), out, *piece))
+                    ends += piece[2] and not out
                     bytes_ += len(piece[1])
                     if bytes_ >= most:
                         yield part()
-                        held, bytes_, number = [], 0, number + 1
+                        held, bytes_, of_group = [], 0, of_group + bytes_
+                    if of_group >= most_of_group:
+                        yield whole()
+                        group, known, counts, ends, of_group = group + 1, Dictionary(), [], 0, 0
                 row += 1
         if held:
             yield part()
+        if counts:
+            yield whole()
 
     return run
 
@@ -231,31 +271,34 @@ SCORES = pa.schema(
 
 def _scores(train_tokens: int, vocabulary: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        kind, at, value = (right.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("is_word", "at", "value"))
+        is_word, at, value = (right.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("is_word", "at", "value"))
         tables = []
-        for k in (False, True):
-            table = np.zeros(int(at[kind == k].max()) + 1 if (kind == k).any() else 1)
-            table[at[kind == k]] = value[kind == k]
+        for kind in (False, True):
+            table = np.zeros(int((is_word == kind).sum()))
+            table[at[is_word == kind]] = value[is_word == kind]
             tables.append(table)
-        found = []
-        for i in range(left.num_rows):
-            row, doc, out, size, last, padded = (left.column(c)[i].as_py() for c in ("row", "doc_id", "held_out", "size", "last", "padded"))
-            size, last, n = np.array(size, np.int64), np.array(last), len(row)
-            piece = np.repeat(np.arange(n), size)
-            score = np.bincount(piece, tables[0][np.asarray(runs_of(padded, size).indices)], n)
+        logs, seen = tables
+        known, read, found = Dictionary(), [], []
+        for i in np.argsort(left.column("part").to_numpy()).tolist():
+            row, doc, out, size, last, packed = (left.column(c)[i].as_py() for c in ("row", "doc_id", "held_out", "size", "last", "packed"))
+            padded, size, last = zstandard.ZstdDecompressor().decompress(packed), np.array(size, np.int64), np.array(last)
             ends = np.cumsum(size + ORDER)
-            words, n_words = words_of([padded[b - s : b - e] for b, s, e in zip(ends.tolist(), size.tolist(), last.tolist())])
-            counts = np.append(tables[1][np.asarray(words.indices)], np.full(int(last.sum()), tables[1][-1]))
-            piece = np.append(np.repeat(np.arange(n), n_words), np.flatnonzero(last))
-            base = np.bincount(piece, np.log10((counts + 1) / (train_tokens + vocabulary + 1)), n)
-            known = np.bincount(piece, counts > 0, n).astype(np.int64)
-            found.append(pa.Table.from_arrays([pa.array(v, t) for v, t in zip((row, doc, out, n_words + last, known, base, score), SCORES.types)], schema=SCORES))
-        return pa.concat_tables(found) if found else SCORES.empty_table()
+            runs, (words, n) = runs_of(padded, size), words_of([padded[b - s : b - e] for b, s, e in zip(ends.tolist(), size.tolist(), last.tolist())])
+            known.add(runs, words)
+            read.append((row, doc, out, size, last, np.asarray(runs.indices), np.asarray(words.indices), n))
+        for (row, doc, out, size, last, runs, words, n), of_runs, of_words in zip(read, known.runs()[1], known.words()[1]):
+            score = np.bincount(np.repeat(np.arange(len(row)), size), logs[of_runs][runs], len(row))
+            counts = np.append(seen[of_words][words], np.full(int(last.sum()), seen[-1]))
+            piece = np.append(np.repeat(np.arange(len(row)), n), np.flatnonzero(last))
+            base = np.bincount(piece, np.log10((counts + 1) / (train_tokens + vocabulary + 1)), len(row))
+            some = np.bincount(piece, counts > 0, len(row)).astype(np.int64)
+            found.append(pa.Table.from_arrays([pa.array(v, t) for v, t in zip((row, doc, out, n + last, some, base, score), SCORES.types)], schema=SCORES))
+        return pa.concat_tables(found)
 
     return run
 
 
-def score(docs: DataFrame, part: int = PART) -> DataFrame:
+def score(docs: DataFrame, part: int = PART, group: int = GROUP) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for each row of docs (doc_id, text).
 
     Learned from the rows that are not held_out(). Null texts are empty; A-Z counts
@@ -265,32 +308,37 @@ def score(docs: DataFrame, part: int = PART) -> DataFrame:
     are learned from and scored each. Where nothing is learned, every byte costs the
     same. Without rows the result is empty.
 
-    Texts are written once as parts and moved once, to their parts' answers. Counts
-    and answers are as many as distinct runs and words in each part. Runs with the
-    same last two context bytes meet in one task, once each whatever their number
-    of places: at most 2 ** 24 by their nature.
+    Texts are written once, compressed, and moved once, to their groups' answers.
+    Questions and answers are as many as distinct runs and words in each group. Runs
+    with the same last two context bytes meet in one task, once each whatever their
+    number of places: at most 2 ** 24 by their nature. A word's rows are one for each
+    group that has it.
     """
-    parts = settle(docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(_parts(part), PART_COLUMNS))
-    asked = lambda names, counts: parts.select("part", F.posexplode(F.arrays_zip(names, counts)).alias("at", "_")).select("part", "at", F.col(f"_.{names}").alias("name"), F.col(f"_.{counts}").alias("n"))
+    parts = settle(docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(_parts(part, group), PART_COLUMNS))
+    whole = parts.filter("runs IS NOT NULL")
+    asked = lambda names, counts: whole.select("group", F.posexplode(F.arrays_zip(names, counts)).alias("at", "_")).select("group", "at", F.col(f"_.{names}").alias("name"), F.col(f"_.{counts}").alias("n"))
     runs, words = asked("runs", "run_counts"), asked("words", "word_counts")
-    counted = lambda rows: settle(rows.groupBy("name").agg(F.sum("n").alias("n")))
-    all_runs, all_words = counted(runs), counted(words)
 
-    tokens = all_words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("kinds")).first()
+    same = Window.partitionBy("name")
+    total, first = F.sum("n").over(same).alias("total"), F.min(F.struct("group", "at")).over(same) == F.struct("group", "at")
+    counted = settle(words.select("group", "at", total, first.alias("first")))
+    tokens = counted.filter("first AND total > 0").agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("kinds")).first()
+
+    every = settle(runs.groupBy("name").agg(F.sum("n").alias("n")))
     # At most SYMBOLS * SYMBOLS rows.
     pairs = np.zeros(SYMBOLS * SYMBOLS, np.int64)
-    for r in all_runs.filter("n > 0").groupBy(F.col("name").bitwiseAND(0xFFFF).alias("pair")).agg(F.sum("n").alias("n")).collect():
+    for r in every.filter("n > 0").groupBy(F.col("name").bitwiseAND(0xFFFF).alias("pair")).agg(F.sum("n").alias("n")).collect():
         pairs[r.pair] = r.n
-
     context = F.shiftright("name", 8).bitwiseAND(0xFFFF)
-    dealt = all_runs.select(F.col("name").alias("run"), "n", context.alias("context")).repartition("context").sortWithinPartitions("context", "run")
+    dealt = every.select(F.col("name").alias("run"), "n", context.alias("context")).repartition("context").sortWithinPartitions("context", "run")
     logs = settle(dealt.select("run", "n").mapInArrow(_walk(pairs), "run long, value double"))
-    answers = runs.join(logs, F.col("name") == F.col("run")).select("part", F.lit(False).alias("is_word"), "at", "value")
-    known = words.select("part", "at", "name").join(all_words, "name").select("part", F.lit(True).alias("is_word"), "at", F.col("n").cast("double").alias("value"))
-    texts = parts.select(F.col("part").alias("of"), "row", "doc_id", "held_out", "size", "last", "padded")
-    found = texts.groupBy("of").cogroup(answers.unionByName(known).groupBy("part")).applyInArrow(
+
+    answers = runs.join(logs, F.col("name") == F.col("run")).select("group", F.lit(False).alias("is_word"), "at", "value")
+    known = counted.select("group", F.lit(True).alias("is_word"), "at", F.col("total").cast("double").alias("value"))
+    texts = parts.filter("packed IS NOT NULL").select(F.col("group").alias("of"), "part", "row", "doc_id", "held_out", "size", "last", "packed")
+    found = texts.groupBy("of").cogroup(answers.unionByName(known).groupBy("group")).applyInArrow(
         _scores(tokens.n, tokens.kinds), "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     )
     sums = [F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")]
-    whole = found.groupBy("row", "doc_id", "held_out").agg(*sums)
-    return whole.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens.n).cast("long").alias("train_tokens"), "base_score", "score")
+    scored = found.groupBy("row", "doc_id", "held_out").agg(*sums)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens.n).cast("long").alias("train_tokens"), "base_score", "score")
