@@ -8,11 +8,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from opswell.llm.shingles import mix64
-
-#: Bytes of text worked on at a time, and distinct word parts whose ids are remembered.
-SLAB = 8 << 20
-REMEMBERED = 2_000_000
+#: Bytes of text worked on at a time, and bytes of words and their ids that are remembered from one slab to the next.
+SLAB = 4 << 20
+REMEMBERED = 16 << 20
 
 # A word of Latin letters between signs. Its three parts are encoded apart by every tokenizer here, as signs and letters
 # never share a token; a leading apostrophe could, so it is not taken.
@@ -49,21 +47,6 @@ def slabs(texts: pa.Array, most: int = SLAB):
         yield np.arange(first, len(sizes)), texts.slice(first)
 
 
-def _word_hashes(words: pa.Array, seed: int) -> np.ndarray:
-    """A 64-bit hash of each string: a polynomial over its bytes, mixed."""
-    n = len(words)
-    offsets = np.frombuffer(words.buffers()[1], np.int64, n + 1, words.offset * 8)
-    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-    starts, lengths = offsets[:-1] - offsets[0], np.diff(offsets)
-    out, some = np.zeros(n, np.uint64), lengths > 0
-    if some.any():
-        place = np.arange(len(data)) - np.repeat(starts[some], lengths[some])
-        factor = np.full(int(lengths.max()), mix64(np.array([seed], np.uint64))[0] | np.uint64(1))
-        v = (data.astype(np.uint64) + np.uint64(1)) * np.cumprod(factor)[place]
-        out[some] = np.add.reduceat(v, starts[some])
-    return mix64(out + np.uint64(seed))
-
-
 class Store:
     """Id lists one after the other."""
 
@@ -82,28 +65,22 @@ class Store:
 
 
 class Words(Store):
-    """Id lists by two hashes of a word: the first finds it, the second says that it is the one."""
+    """Id lists by word, found by the words themselves."""
 
-    def __init__(self, seed: int):
+    def __init__(self):
         super().__init__()
-        self.seed = seed
-        self.first, self.second, self.at = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.words = pa.array([], pa.large_string())
 
     def add(self, words: pa.Array, ids: np.ndarray, lengths: np.ndarray):
-        first = np.concatenate([self.first, _word_hashes(words, self.seed)])
-        second = np.concatenate([self.second, _word_hashes(words, self.seed + 1)])
-        at = np.concatenate([self.at, len(self.lengths) + np.arange(len(words))])
-        order = np.argsort(first, kind="stable")
-        self.first, self.second, self.at = first[order], second[order], at[order]
+        self.words = pa.concat_arrays([self.words, words.cast(pa.large_string())])
         self.put(ids, lengths)
 
     def places(self, words: pa.Array) -> np.ndarray:
         """-1 for what is not known."""
-        if not len(self.first):
-            return np.full(len(words), -1)
-        h = _word_hashes(words, self.seed)
-        i = np.minimum(np.searchsorted(self.first, h), len(self.first) - 1)
-        return np.where((self.first[i] == h) & (self.second[i] == _word_hashes(words, self.seed + 1)), self.at[i], -1)
+        return np.asarray(pc.fill_null(pc.index_in(words.cast(pa.large_string()), value_set=self.words), -1).cast(pa.int64()))
+
+    def size(self) -> int:
+        return self.words.nbytes + self.ids.nbytes
 
 
 class Encoder:
@@ -116,10 +93,10 @@ class Encoder:
         # For parts that are already in lower case and split: the same model and byte alphabet.
         self.part = Tokenizer(self.whole.model)
         self.part.pre_tokenizer = P.Sequence([P.WhitespaceSplit(), P.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.forget(1)
+        self.forget()
 
-    def forget(self, seed: int):
-        self.words, self.parts = Words(seed), Words(seed)
+    def forget(self):
+        self.words, self.parts = Words(), Words()
 
     def _learn_parts(self, parts: pa.Array):
         """Parts of words, which hold no white space, many in one call."""
@@ -146,8 +123,6 @@ class Encoder:
         if (at < 0).any():
             self._learn_parts(d.dictionary.filter(pa.array(at < 0)))
             at = self.parts.places(d.dictionary)
-            if (at < 0).any():
-                return  # two parts share the first hash
         ids, n = self.parts.get(at[np.asarray(d.indices)].reshape(3, -1).T.ravel())
         self.words.add(words.filter(simple), ids, n.reshape(-1, 3).sum(axis=1))
         others = words.filter(pc.invert(simple))
@@ -157,15 +132,12 @@ class Encoder:
 
     def _places(self, words: pa.Array) -> np.ndarray:
         """The place in the store of each distinct word."""
-        if len(self.words.first) + len(self.parts.first) > REMEMBERED:
-            self.forget(self.words.seed)
+        if self.words.size() + self.parts.size() > REMEMBERED:
+            self.forget()
         at = self.words.places(words)
-        while (at < 0).any():
+        if (at < 0).any():
             self._learn_words(words.filter(pa.array(at < 0)))
             at = self.words.places(words)
-            if (at < 0).any():  # two words or parts share the first hash: start anew with other hashes
-                self.forget(self.words.seed + 2)
-                at = np.full(len(words), -1)
         return at
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -31,3 +31,11 @@ def clashing(df):
     from pyspark.sql import functions as F
 
     return df.withColumns({c: F.lit(f"own {c}") for c in CLASHES})
+
+
+def twins(power):
+    """Two words of 2 ** power letters whose sums of powers are equal modulo 2 ** 64 for every odd factor."""
+    a = "a"
+    for _ in range(power):
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))

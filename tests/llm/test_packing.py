@@ -4,7 +4,7 @@ from bisect import bisect_left, insort
 import numpy as np
 import public_tokenizers
 import pytest
-from frames import clashing, frame, hard_rows
+from frames import clashing, frame, hard_rows, twins
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 

@@ -4,7 +4,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
-from frames import clashing, frame, hard_rows
+from frames import clashing, frame, hard_rows, twins
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -31,13 +31,20 @@ def test_ids_equal_the_library(plain, slab, monkeypatch):
 
 
 def test_forgetting_changes_nothing(plain, monkeypatch):
-    monkeypatch.setattr(tokens, "REMEMBERED", 50)
+    monkeypatch.setattr(tokens, "REMEMBERED", 500)
     e, texts = tokens.Encoder(PATH), [r[1] for r in hard_rows()]
     for _ in range(2):
         for t in texts:
             assert e.encode(pa.array([t], pa.string()))[0].tolist() == plain(t)
 
 
+def test_words_that_polynomials_confuse(plain):
+    e = tokens.Encoder(PATH)
+    for power in range(8, 15):
+        for word in twins(power):
+            assert e.encode(pa.array([f"x {word} y"]))[0].tolist() == plain(f"x {word} y")
+
+
 @pytest.mark.parametrize("values", [[], [7], [0] * 1024, list(range(3000)), [2**32 - 1, 0] * 600, [5] * 1500 + [49_000] * 20])
 @pytest.mark.parametrize("percentile", [1, 50, 90, 100])
 def test_blocks_come_back(values, percentile):
