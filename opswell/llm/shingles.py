@@ -12,7 +12,6 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_POWERS = np.ones(1, np.uint64)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -22,13 +21,21 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> np.ndarray:
-    global _POWERS
-    if len(_POWERS) < n:
-        more = np.full(max(n, 2 * len(_POWERS)), np.uint64(0xD6E8FEB86659FD93), np.uint64)
-        more[0] = 1
-        _POWERS = np.cumprod(more)
-    return _POWERS
+def hashes(data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each of the non-empty strings that stand in the bytes one after the other.
+
+    Eight bytes at a time are mixed with their place in the string before they are
+    added up, so that no sum of bytes by places can be equal for different strings
+    but by chance.
+    """
+    starts = np.cumsum(lengths) - lengths
+    place = np.arange(len(data), dtype=np.int64) - np.repeat(starts, lengths)
+    first = np.flatnonzero((place & 7) == 0)
+    eight = np.add.reduceat(data.astype(np.uint64) << ((place & 7).astype(np.uint64) << np.uint64(3)), first)
+    number = (place[first] >> 3).astype(np.uint64)
+    mixed = mix64(eight ^ mix64((number + np.uint64(1)) * _ODD))
+    blocks = (lengths + 7) // 8
+    return mix64(np.add.reduceat(mixed, np.cumsum(blocks) - blocks) ^ mix64(lengths.astype(np.uint64)))
 
 
 def _hashes(b: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -41,11 +48,10 @@ def _hashes(b: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = np.flatnonzero(begins)
     if not len(at):
         return np.zeros(0, np.uint64), at
-    b, space = b[at[0] :], space[at[0] :]
-    place = np.arange(len(b)) - np.repeat(at - at[0], np.diff(np.append(at, at[0] + len(b))))
-    v = (_LOWER[b].astype(np.uint64) + np.uint64(1)) * _powers(int(place.max()) + 1)[place]
-    v[space] = 0
-    return mix64(np.add.reduceat(v, at - at[0])), at
+    letters = _LOWER[b[~space]]
+    # Letters before each word begins, so that words that touch at a break stay apart.
+    before = np.cumsum(~space)[at] - 1
+    return hashes(letters, np.diff(np.append(before, len(letters)))), at
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -5,7 +5,7 @@ import string
 import numpy as np
 import pyarrow as pa
 import pytest
-from frames import CLASHES, DOCS, clashing, frame, hard_rows, words
+from frames import CLASHES, DOCS, clashing, frame, hard_rows, twins, words
 from hypothesis import given, settings, strategies as st
 
 from opswell.llm import components, near_dups, shingles
@@ -74,6 +74,18 @@ def test_words_and_sets(slab, monkeypatch):
         assert sizes.tolist() == [len(shingle_set(t, width)) for t in texts] and len(values) == sizes.sum()
 
 
+def test_words_that_polynomials_confuse(spark):
+    for power in range(8, 15):
+        s, t = twins(power)
+        hashes, _ = shingles.word_hashes(pa.array([f"{s} {t} {s}"]))
+        assert hashes[0] == hashes[2] != hashes[1]
+        sets, sizes = shingles.shingle_sets(pa.array([f"x {s} y z w", f"x {t} y z w"]), 3)
+        assert sizes.tolist() == [3, 3] and len(set(sets.tolist())) == 5
+    s, t = twins(10)
+    rows = [(1, f"x {s} y z"), (2, f"x {t} y z")]
+    assert found(spark, rows) == plain(rows, 3, 85)
+
+
 def test_minima_of_long_and_short_sets(monkeypatch):
     values, sizes = shingles.shingle_sets(pa.array([words(i, n) for i, n in enumerate((5, 3000, 1, 40, 9000, 2))]), 3)
     want = near_dups._minima(values, sizes)
