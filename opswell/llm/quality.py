@@ -9,34 +9,52 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from opswell.llm.rows import carried
-
 #: Numbers of a byte, bytes of a filter, bytes from one place to the next, filters, and units of the last layer.
 DIM, WIDTH, STRIDE, FILTERS, HIDDEN = 8, 8, 2, 32, 16
 #: Bytes of a chunk; chunks overlap by what a filter covers, so that no place between chunks is missed.
 CHUNK = 512
 STEP = CHUNK - WIDTH + STRIDE
-#: Bound of the rows that the network is fitted on, and of the chunks taken from each of them, spread over its whole text.
-FIT_ROWS, FIT_CHUNKS = 3000, 8
+#: Bound of the rows that the network is fitted on, whole, and of their bytes.
+FIT_ROWS, FIT_BYTES = 3000, 12 << 20
+#: Chunks that are cut out at a time.
+PART = 512
 STEPS, BATCH, RATE = 400, 64, 0.005
 #: Score from which a text counts as good.
 ACCEPT = 0.3
 
 
+class Chunks:
+    """Overlapping chunks that cover all bytes of each text, zeros after its end; counts: how many each text has, one at least. Null is empty.
+
+    They are cut out of the texts when they are asked for, some at a time.
+    """
+
+    def __init__(self, texts: pa.Array):
+        texts = texts.cast(pa.large_string()).fill_null("")
+        n = len(texts)
+        self.offsets = np.frombuffer(texts.buffers()[1], np.int64, n + 1, texts.offset * 8)
+        self.data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+        self.counts = 1 + np.maximum(0, -(-(np.diff(self.offsets) - CHUNK) // STEP))
+        self.starts = np.cumsum(self.counts) - self.counts
+
+    def __len__(self) -> int:
+        return int(self.counts.sum())
+
+    def part(self, first: int, until: int) -> np.ndarray:
+        """The chunks from number `first` to before `until`, as (n, CHUNK) bytes."""
+        number = np.arange(first, min(until, len(self)))
+        row = np.searchsorted(self.starts, number, "right") - 1
+        begin = self.offsets[row] + (number - self.starts[row]) * STEP
+        out = np.zeros((len(number), CHUNK), np.uint8)
+        for i, (a, b) in enumerate(zip(begin.tolist(), np.minimum(begin + CHUNK, self.offsets[row + 1]).tolist())):
+            out[i, : b - a] = self.data[a:b]
+        return out
+
+
 def chunks(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Overlapping chunks (n, CHUNK) that cover all bytes of each text, zeros after its end, and how many each text has: one at least. Null is empty."""
-    texts = texts.cast(pa.large_string()).fill_null("")
-    n = len(texts)
-    offsets = np.frombuffer(texts.buffers()[1], np.int64, n + 1, texts.offset * 8)
-    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
-    sizes = np.diff(offsets)
-    counts = 1 + np.maximum(0, -(-(sizes - CHUNK) // STEP))
-    row = np.repeat(np.arange(n), counts)
-    begin = (np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)) * STEP
-    place = begin[:, None] + np.arange(CHUNK)
-    inside = place < sizes[row][:, None]
-    at = np.where(inside, offsets[row][:, None] + place, 0)
-    return (np.where(inside, data[at], 0).astype(np.uint8) if len(data) else np.zeros(place.shape, np.uint8)), counts
+    """All chunks of some texts, (n, CHUNK) bytes, and how many each text has."""
+    some = Chunks(texts)
+    return some.part(0, len(some)), some.counts
 
 
 @dataclass
@@ -92,14 +110,17 @@ class Network:
         hidden = np.tanh(features @ self.inner + self.inner_bias)
         return features, hidden, 1 / (1 + np.exp(-(hidden @ self.outer + self.outer_bias[0]).astype(np.float64)))
 
-    def score(self, texts: pa.Array, rows: int = 64) -> np.ndarray:
-        """A probability for each text, from all its bytes. Long texts are pooled part by part."""
-        out = np.zeros(len(texts))
-        for a in range(0, len(texts), rows):
-            some, counts = chunks(texts.slice(a, rows))
-            starts = np.cumsum(counts) - counts
-            out[a : a + rows] = self.combined(self.highest(some), starts, counts)[2]
-        return out
+    def score(self, texts: pa.Array, most: int = PART) -> np.ndarray:
+        """A probability for each text, from all its bytes.
+
+        Chunks are cut out and pooled `most` at a time, also within a text; what is
+        kept of a chunk is the answer of each filter.
+        """
+        if not len(texts):
+            return np.zeros(0)
+        some = Chunks(texts)
+        best = np.concatenate([self.highest(some.part(a, a + most)) for a in range(0, len(some), most)])
+        return self.combined(best, some.starts, some.counts)[2]
 
 
 def fit(some: np.ndarray, counts: np.ndarray, labels: np.ndarray, steps: int | None = None, seed: int = 1) -> Network:
@@ -150,46 +171,36 @@ def fit(some: np.ndarray, counts: np.ndarray, labels: np.ndarray, steps: int | N
     return net
 
 
-def _samples(most: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first in range(0, len(batch), 64):
-                part = batch.slice(first, 64)
-                some, counts = chunks(part.column("text"))
-                starts = np.cumsum(counts) - counts
-                taken = [s + np.unique(np.linspace(0, n - 1, min(n, most)).astype(np.int64)) for s, n in zip(starts, counts)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("label"), pa.array([some[t].tobytes() for t in taken], pa.binary())], ["doc_id", "label", "chunks"]
-                )
-
-    return run
-
-
-def learn(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, most_chunks: int = FIT_CHUNKS) -> Network:
+def learn(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, most_bytes: int = FIT_BYTES) -> Network:
     """A network fitted on docs (doc_id, text) and labels (doc_id, label).
 
-    At most `rows` labelled documents, chosen by a hash of doc_id, and `most_chunks`
-    chunks of each come to the driver: some 12 MB however large the tables are.
-    Rows without a label or doc_id are not learned from. Of a doc_id with several
-    labels the smallest counts; of several texts, all.
+    At most `rows` labelled documents come to the driver, in the order of a hash of
+    doc_id, with their whole texts; as many as have `most_bytes` together. Texts
+    longer than that are passed over. Rows without a label or doc_id
+    are not learned from. Of a doc_id with several labels the smallest counts; of
+    several texts, all.
     """
     one = labels.filter("doc_id IS NOT NULL AND label IS NOT NULL").groupBy("doc_id").agg(F.min("label").cast("int").alias("label"))
     chosen = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # bounded by `rows`, so it can be broadcast
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    got = texts.mapInArrow(_samples(most_chunks), "doc_id long, label int, chunks binary").orderBy(F.xxhash64("doc_id"), F.crc32("chunks")).limit(rows).collect()
-    counts = np.array([len(r.chunks) // CHUNK for r in got], np.int64)
-    some = np.frombuffer(b"".join(r.chunks for r in got), np.uint8).reshape(-1, CHUNK)
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").withColumn("size", F.octet_length("text"))
+    fitting = texts.filter(F.col("size") <= most_bytes).orderBy(F.xxhash64("doc_id"), F.xxhash64("text"), "size")
+    sizes = [r[0] for r in fitting.select("size").limit(rows).collect()]
+    held = int((np.cumsum(sizes) <= most_bytes).sum())
+    got = fitting.limit(held).select("text", "label").collect()
+    some, counts = chunks(pa.array([r.text for r in got], pa.large_string()))
     return fit(some, counts, np.array([r.label for r in got], np.float32))
 
 
 def score(docs: DataFrame, net: Network, keep: list[str]) -> DataFrame:
     """The columns of `keep` with score (0 to 1) of docs (text and `keep`), and rows in the same number. Null texts score as empty ones."""
 
+    text = "text" if "text" in keep else "_text"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(net.score(batch.column("_text")))], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(net.score(batch.column(text)))], [*keep, "score"])
 
-    rows = docs.select(*keep, F.col("text").alias("_text"))
+    rows = docs.select(*keep, *([] if text in keep else [F.col("text").alias("_text")]))
     schema = rows.select(*keep).schema.add("score", "double")
     return rows.mapInArrow(run, schema)
 
@@ -202,13 +213,17 @@ def held_out(c: str = "doc_id"):
 def classify(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
     """The columns of `keep` with score and predicted (1 from ACCEPT on) for all docs, learned from labels (doc_id, label) that are not held out.
 
-    Empty and null texts are scored like any other. Repeated rows are scored each.
-    Without labels every score is 0.5; without documents the result is empty.
+    Empty and null texts are scored like any other, of any length in bounded memory.
+    Repeated rows are scored each. Without labels every score is 0.5; without
+    documents the result is empty.
     """
     net = learn(docs, labels.filter(~held_out()))
     return score(docs, net, keep).withColumn("predicted", (F.col("score") >= ACCEPT).cast("int"))
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents, with their columns, that are predicted to be good."""
-    return classify(carried(docs), labels, ["_doc"]).filter("predicted = 1").select("_doc.*")
+    """The documents, with their columns, that are predicted to be good; nulls, repeated rows and empty tables as in `classify`."""
+    # The text goes to Python once, beside the other columns as one.
+    rest = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`").alias(c) for c in docs.columns if c != "text"])
+    found = classify(docs.select("doc_id", rest.alias("_rest"), "text"), labels, ["_rest", "text"])
+    return found.filter("predicted = 1").select(*[F.col("text") if c == "text" else F.col(f"_rest.`{c}`").alias(c) for c in docs.columns])

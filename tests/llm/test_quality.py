@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -25,6 +26,38 @@ def test_chunks_cover_every_byte_and_every_place():
     assert at == len(some)
 
 
+def test_a_very_long_text_takes_little_memory_besides():
+    text = pa.array([words(1, 1000) * 9000])
+    assert text.nbytes > 45 << 20
+    net = quality.Network.fresh()
+    tracemalloc.start()
+    score = net.score(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150 << 20 and 0 < score[0] < 1
+
+
+def plain_score(net, text):
+    """Byte by byte, filter by filter."""
+    raw, best = text.encode(), []
+    for begin in range(0, max(1, len(raw) - quality.CHUNK + quality.STEP), quality.STEP) if len(raw) > quality.CHUNK else [0]:
+        own = raw[begin : begin + quality.CHUNK].ljust(quality.CHUNK, b"\0")
+        answers = []
+        for at in range(0, quality.CHUNK - quality.WIDTH + 1, quality.STRIDE):
+            seen = np.concatenate([net.embed[b] for b in own[at : at + quality.WIDTH]]).astype(np.float64)
+            answers.append(seen @ net.filters + net.bias)
+        best.append(np.maximum(np.max(answers, axis=0), 0))
+    features = np.concatenate([np.mean(best, axis=0), np.max(best, axis=0)])
+    hidden = np.tanh(features @ net.inner + net.inner_bias)
+    return 1 / (1 + np.exp(-(hidden @ net.outer + net.outer_bias[0])))
+
+
+def test_score_equals_a_plain_network():
+    net = quality.Network.fresh(3)
+    texts = ["", "short", words(1, 60), words(2, 100), words(3, 700), "é" * quality.CHUNK]
+    assert np.allclose(net.score(pa.array(texts), most=3), [plain_score(net, t) for t in texts], atol=1e-4)
+
+
 def texts_and_labels(n, seed):
     r = np.random.default_rng(seed)
     out = []
