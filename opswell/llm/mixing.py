@@ -98,14 +98,16 @@ def mix(docs: DataFrame, keep: list[str], weights=(1, 2, 3), most: int = MOST_EP
 
 
 def mixed_documents(docs: DataFrame, weights=(1, 2, 3), most: int = MOST_EPOCHS) -> DataFrame:
-    """The documents of the mix with their own columns: a row for each copy; the copy at the budget's cut holds its first words only."""
+    """The documents of the mix with their own columns: a row for each copy.
+
+    Copies are whole. The one at a source's budget's cut is taken if at least half
+    of its words are within the budget. Documents without words are in no mix; null
+    texts, sources, ties and empty tables are as in `mix`.
+    """
     plan = mix(carried(docs), ["_doc"], weights, most)
-    size, taken = F.col("size"), F.col("taken")
-    copies = plan.filter(taken > 0).select("_doc", "size", "taken", F.explode(F.sequence(F.lit(0), F.ceil(taken / size).cast("int") - 1)).alias("_copy"))
-    part = F.least(size, taken - F.col("_copy") * size).cast("int")
-    first = F.array_join(F.slice(F.regexp_extract_all(F.col("_doc.text"), F.lit(WORD), F.lit(0)), F.lit(1), part), " ")
-    text = F.when(part < size, first).otherwise(F.col("_doc.text"))
-    return copies.withColumn("_doc", F.col("_doc").withField("text", text)).select("_doc.*")
+    copies = F.round(F.col("taken") / F.col("size")).cast("int")
+    taken = plan.filter((F.col("size") > 0) & (copies > 0))
+    return taken.select("_doc", F.explode(F.sequence(F.lit(1), copies)).alias("_copy")).select("_doc.*")
 
 
 ORACLE = r"""
