@@ -1,4 +1,4 @@
-"""Best-fit packing of token sequences in bulk-synchronous rounds."""
+"""Best-fit packing of token sequences in bulk-synchronous rounds over sizes; items find their places by their ranks."""
 
 from __future__ import annotations
 
@@ -11,13 +11,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from opswell.llm import tokens
-from opswell.session import scratch, settle
+from opswell.operators.segments import Ordered
+from opswell.session import settle
 
-#: Tokens of a sequence, and documents and gaps that one lane sweeps.
+#: Tokens of a sequence.
 CAPACITY = 2048
-ROWS_PER_LANE = 100_000
-#: A round takes the pieces longer than this share of the capacity that are not placed yet.
-SHARES = (1 / 2, 1 / 3, 1 / 4, 1 / 6, 1 / 8, 1 / 16, 1 / 32, 0)
 
 PIECES = "piece_key long, doc_id long, piece int, start long, length long, ids binary"
 
@@ -54,110 +52,108 @@ def pieces(docs: DataFrame, tokenizer: str, end: int = 0, capacity: int = CAPACI
     return settle(docs.select("doc_id", "text").mapInArrow(_pieces(tokenizer, end, capacity), PIECES))
 
 
-class _Gaps:
-    """Open sequences by the room they have left."""
-
-    def __init__(self):
-        self.by_room: dict[int, list[int]] = {}
-        self.rooms: list[int] = []
-
-    def add(self, room: int, sequence: int):
-        if room not in self.by_room:
-            self.by_room[room] = []
-            insort(self.rooms, room)
-        self.by_room[room].append(sequence)
-
-    def take(self, length: int) -> tuple[int, int] | None:
-        """The successor of a length: a sequence with the least room that holds it, and that room."""
-        at = bisect_left(self.rooms, length)
-        if at == len(self.rooms):
-            return None
-        room = self.rooms[at]
-        own = self.by_room[room]
-        sequence = own.pop()
-        if not own:
-            del self.by_room[room], self.rooms[at]
-        return sequence, room
-
-    def left(self):
-        return [(s, room) for room, own in self.by_room.items() for s in own]
+class Plan:
+    """Best-fit decreasing over counts of equal sizes.
 
+    A round takes the items of one size, the largest first, all at once. They
+    propose to their successor, the smallest room that holds them, in the order of
+    their ranks: a sequence takes as many as it holds, then the next sequence of that
+    room does, then the next larger room, and items without a successor open
+    sequences. Rooms are updated and the next size follows. This is what placing item
+    after item does, but sequences that have had the same history are one run of
+    numbers, and a round splits at most two runs.
 
-#: kind 0 is a sequence with `size` tokens of room; kind 1 a piece of `size` tokens, and in results its place.
-STATE = "kind int, key long, size int, sequence_id long, offset int"
+    places: per run of items of one size (size, first rank, first sequence, items in
+    each sequence, offset of the first). A size splits few runs and a sequence holds
+    at most sqrt(2 * capacity) different sizes, so the places are bounded by the
+    capacity, however many items there are: by some 650,000 for 2,048 tokens.
+    """
 
+    def __init__(self, counts: dict[int, int], capacity: int):
+        self.capacity, self.sequences = capacity, 0
+        self.places: list[tuple[int, int, int, int, int]] = []
+        # Runs (first sequence, how many) by room.
+        self.gaps: dict[int, list[tuple[int, int]]] = {}
+        self.rooms: list[int] = []
+        for size in sorted(counts, reverse=True):
+            self._round(size, counts[size])
+
+    def _add(self, room: int, first: int, n: int):
+        if room and n:
+            if room not in self.gaps:
+                self.gaps[room] = []
+                insort(self.rooms, room)
+            self.gaps[room].append((first, n))
+
+    def _take(self, size: int) -> tuple[int, int, int]:
+        """A run of the smallest room that holds the size, as (room, first sequence, how many)."""
+        room = self.rooms[bisect_left(self.rooms, size)]
+        first, n = self.gaps[room].pop()
+        if not self.gaps[room]:
+            del self.gaps[room]
+            self.rooms.remove(room)
+        return room, first, n
+
+    def _round(self, size: int, items: int):
+        rank, waiting = 0, []
+        while rank < items:
+            left = items - rank
+            if bisect_left(self.rooms, size) < len(self.rooms):
+                room, first, n = self._take(size)
+            else:
+                room, first, n = self.capacity, self.sequences, -(-left // (self.capacity // size))
+                self.sequences += n
+            each = room // size
+            full, rest = divmod(min(left, n * each), each)
+            if full:
+                self.places.append((size, rank, first, each, self.capacity - room))
+                waiting.append((room - each * size, first, full))
+            if rest:
+                self.places.append((size, rank + full * each, first + full, rest, self.capacity - room))
+                waiting.append((room - rest * size, first + full, 1))
+            # Sequences that nothing was left for keep their room.
+            untouched = full + (rest > 0)
+            waiting.append((room, first + untouched, n - untouched))
+            rank += full * each + rest
+        # No room of this round holds another item of its size, but for the last one's.
+        for room, first, n in waiting:
+            self._add(room, first, n)
+
+
+def place(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """key, sequence_id and offset for items (key, size; keys are unique), no sequence longer than `capacity`.
+
+    Items are range-sorted by size and numbered within it by prefix counts over the
+    ranges; the counts of the at most `capacity` sizes make the plan, and an item's
+    rank among those of its size says which place in it is the item's. So ties are
+    settled by rank, a size that most items have is no single task, and the result
+    is best-fit decreasing at any number of partitions.
+    """
+    counts = {r["size"]: r["n"] for r in items.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
+    if not counts:
+        return items.select("key", F.col("key").alias("sequence_id"), F.lit(0).alias("offset"))
+    plan = np.array(Plan(counts, capacity).places, np.int64)
+    # Places by size and first rank, so that the last one at or before an item's is its own.
+    plan = plan[np.lexsort((plan[:, 1], plan[:, 0]))]
+    size, first_rank, first, each, offset = plan.T
+    begin = np.searchsorted(size, np.arange(capacity + 2))
 
-def _sweep(capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lane, gaps = None, _Gaps()
-
-        def out(rows):
-            cols = list(zip(*rows))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32()))], ["kind", "key", "size", "sequence_id", "offset"]
-            )
-
-        def left():
-            return [(0, s, room, s, capacity - room) for s, room in gaps.left()]
-
         for batch in batches:
-            rows = []
-            for n, kind, key, size in zip(*(batch.column(c).to_pylist() for c in ("lane", "kind", "key", "size"))):
-                if n != lane:
-                    rows += left()
-                    lane, gaps = n, _Gaps()
-                if kind == 0:
-                    gaps.add(size, key)
-                    continue
-                # No gap holds it: the piece opens a sequence, which has its key.
-                sequence, room = gaps.take(size) or (key, capacity)
-                rows.append((1, key, size, sequence, capacity - room))
-                if room > size:
-                    gaps.add(room - size, sequence)
-            if rows:
-                yield out(rows)
-        if rest := left():
-            yield out(rest)
-
-    return run
-
-
-def place(items: DataFrame, capacity: int = CAPACITY, shares=SHARES, rows_per_lane: int = ROWS_PER_LANE) -> DataFrame:
-    """key, sequence_id and offset for items (key, size), no sequence longer than `capacity`.
+            own, rank = batch.column("size").to_numpy().astype(np.int64), batch.column("rank").to_numpy() - 1
+            low, high = begin[own], begin[own + 1]
+            while (high - low > 1).any():
+                middle = (low + high) // 2
+                before = first_rank[middle] <= rank
+                low, high = np.where(before, middle, low), np.where(before, high, middle)
+            nth = rank - first_rank[low]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key"), pa.array(first[low] + nth // each[low]), pa.array((offset[low] + nth % each[low] * own).astype(np.int32))],
+                ["key", "sequence_id", "offset"],
+            )
 
-    A round takes the items of one range of sizes, the longest first, and all gaps.
-    Both are dealt to lanes by a hash of their keys and range-sorted by size in each
-    lane, then one sweep down the sizes gives each item its successor, the smallest
-    gap that holds it. Of items after the same gap the longer goes first, then that
-    of the smaller key; what remains of a gap is a gap again. Items without a
-    successor open sequences. The gaps go on to the next round. With one lane this
-    is best-fit decreasing; more lanes, as many as the rows ask for, each leave
-    their own last gaps to the smaller items of the later rounds.
-    """
-    spark = items.sparkSession
-    full = items.filter(F.col("size") >= capacity).select("key", F.col("key").alias("sequence_id"), F.lit(0).alias("offset"))
-    rest = items.filter(F.col("size") < capacity)
-    placed, gaps = full, None
-    bounds = [capacity, *(int(capacity * s) for s in shares)]
-    counts = rest.groupBy(*[((F.col("size") > b)).alias(f"over{i}") for i, b in enumerate(bounds[1:])]).count().collect()  # a row per range of sizes at most
-    waiting = {i: sum(r["count"] for r in counts if r[f"over{i}"] and not (i and r[f"over{i - 1}"])) for i in range(len(shares))}
-    open_ = 0
-    for i, (high, low) in enumerate(zip(bounds[:-1], bounds[1:])):
-        if not waiting[i]:
-            continue
-        band = rest.filter((F.col("size") > low) & (F.col("size") <= high)).select(F.lit(1).alias("kind"), "key", F.col("size").cast("int").alias("size"))
-        both = band if gaps is None else band.union(gaps)
-        lanes = max(1, -(-(waiting[i] + open_) // rows_per_lane))
-        dealt = both.withColumn("lane", F.pmod(F.xxhash64("key"), F.lit(lanes)))
-        swept = dealt.repartition(lanes, "lane").sortWithinPartitions("lane", "kind", F.desc("size"), "key")
-        path = scratch(spark, "packing-round")
-        swept.mapInArrow(_sweep(capacity), STATE).write.partitionBy("kind").parquet(path)
-        schema = STATE.replace("kind int, ", "") + ", kind int"
-        state = spark.read.schema(schema).parquet(path)
-        placed = placed.unionByName(state.filter("kind = 1").select("key", "sequence_id", "offset"))
-        gaps = state.filter("kind = 0").select("kind", "key", "size")
-        open_ = gaps.count()
-    return placed
+    ranked = Ordered(items.select("key", F.col("size").cast("long").alias("size")), ["size"], ["key"]).row_numbers("rank").df
+    return ranked.select("key", "size", "rank").mapInArrow(run, "key long, sequence_id long, offset int")
 
 
 def pack(docs: DataFrame, tokenizer: str, end: int = 0, capacity: int = CAPACITY) -> DataFrame:

@@ -1,10 +1,11 @@
 import zlib
 from bisect import bisect_left, insort
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
-from frames import clashing, frame, hard_rows, twins
+from frames import clashing, frame, hard_rows
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
@@ -40,22 +41,40 @@ def gapless(rows, capacity):
     return len(by)
 
 
-def placed(spark, sizes, capacity, **more):
-    items = spark.createDataFrame([(i, s) for i, s in enumerate(sizes)], "key long, size long")
-    got = packing.place(items, capacity, **more).collect()
-    assert sorted(r.key for r in got) == list(range(len(sizes)))
-    return gapless([(r.sequence_id, r.offset, sizes[r.key]) for r in got], capacity)
+def placed(spark, sizes, capacity, partitions=3):
+    items = spark.createDataFrame([(i * 7 - 5, s) for i, s in enumerate(sizes)], "key long, size long").repartition(partitions)
+    got = packing.place(items, capacity).collect()
+    assert sorted(r.key for r in got) == [i * 7 - 5 for i in range(len(sizes))]
+    return gapless([(r.sequence_id, r.offset, sizes[(r.key + 5) // 7]) for r in got], capacity)
 
 
-@settings(max_examples=8, deadline=None)
+@settings(max_examples=6, deadline=None)
 @given(st.lists(st.integers(1, 100), min_size=1, max_size=200))
-def test_one_lane_is_best_fit_decreasing(spark, sizes):
+def test_rounds_are_best_fit_decreasing(spark, sizes):
     assert placed(spark, sizes, 100) == best_fit_decreasing(sizes, 100)
 
 
-def test_lanes_lose_little(spark):
+@settings(max_examples=300, deadline=None)
+@given(st.integers(1, 60), st.lists(st.integers(1, 60), max_size=300), st.integers(1, 12))
+def test_plan_is_best_fit_decreasing(capacity, sizes, kinds):
+    sizes = [1 + s % capacity for s in sizes]
+    sizes = [sizes[i % kinds % len(sizes)] for i in range(len(sizes))] if kinds % 2 else sizes
+    plan = packing.Plan(Counter(sizes), capacity)
+    rows = [(first + k // each, offset + k % each * size, size) for size, rank, first, each, offset in plan.places for k in range(_items(plan, size, rank, Counter(sizes)))]
+    assert len(rows) == len(sizes) and gapless(rows, capacity) == best_fit_decreasing(sizes, capacity) == plan.sequences
+
+
+def _items(plan, size, rank, counts):
+    """Items of a run of places: up to the next run of their size, or their last one."""
+    later = [r for s, r, *_ in plan.places if s == size and r > rank]
+    return min(later, default=counts[size]) - rank
+
+
+def test_partitions_do_not_matter_and_the_plan_stays_small(spark):
     sizes = [int(x) for x in np.random.default_rng(1).integers(1, 2048, 6000)]
-    assert placed(spark, sizes, 2048, rows_per_lane=500) <= 1.02 * best_fit_decreasing(sizes, 2048)
+    assert placed(spark, sizes, 2048, 1) == placed(spark, sizes, 2048, 40) == best_fit_decreasing(sizes, 2048)
+    plan = packing.Plan({size: 10**9 + size for size in range(1, 2049)}, 2048)
+    assert len(plan.places) < 10_000
 
 
 @pytest.mark.parametrize("sizes", [[1] * 3000, [65] * 2000, [2048] * 5, [1025] * 40 + [1023] * 40, [2047, 1]])
