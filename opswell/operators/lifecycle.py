@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
@@ -264,33 +263,22 @@ def close(ops: DataFrame, keys: dict[str, str], ancestors: dict[str, Sequence[st
 
     ops has kind, the keys of all ancestors, start_ms and end_ms. keys maps a
     kind to the column with its key, ancestors a kind to the kinds above it.
-    Keys are compared as whole values, never by prefix. Only open operations
-    look for an ancestor, kind by kind, so no row is joined on a missing key.
+    Keys are compared as whole values, never by prefix. Open operations meet the
+    ends of one kind of ancestor after the other, all kinds below it at once. Those
+    that are not below it, or lack its key, match nothing and are spread by a hash.
     """
     ended = ops.where(F.col("end_ms").isNotNull())
-    parts = [ended.withColumns({"closed_ms": F.col("end_ms"), "closed_by": F.lit("end")})]
-    open_ = ops.where(F.col("end_ms").isNull())
-    none = F.lit(None).cast("long")
-    parts.append(
-        open_.where(~F.col("kind").isin(list(ancestors))).withColumns(
-            {"closed_ms": none, "closed_by": F.lit(None).cast("string")}
-        )
-    )
-    for kind, above in ancestors.items():
-        rows, found = open_.where(F.col("kind") == kind), [none]
-        for up in above:
-            ends = ended.where(F.col("kind") == up).select(
-                F.col(keys[up]).alias(f"_{up}"), F.col("end_ms").alias(f"_{up}_end")
-            )
-            rows = rows.join(ends, F.col(keys[up]) == F.col(f"_{up}"), "left")
-            found.append(F.when(F.col(f"_{up}_end") >= F.col("start_ms"), F.col(f"_{up}_end")))
-        closed = F.least(none, *found)
-        parts.append(
-            rows.select(
-                *ops.columns, closed.alias("closed_ms"), F.when(closed.isNotNull(), F.lit("parent")).alias("closed_by")
-            )
-        )
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    rows = ops.where(F.col("end_ms").isNull()).withColumn("_closed", F.lit(None).cast("long"))
+    for up in dict.fromkeys(a for above in ancestors.values() for a in above):
+        below = F.col("kind").isin([k for k, above in ancestors.items() if up in above]) & F.col(keys[up]).isNotNull()
+        ends = ended.where(F.col("kind") == up).select(F.lit(True).alias("_below"), F.hash(keys[up]).alias("_hash"), F.col(keys[up]).alias("_up"), F.col("end_ms").alias("_up_end"))
+        asked = rows.withColumns({"_asks": below, "_spread": F.when(below, F.hash(keys[up])).otherwise(F.hash("kind", "start_ms", *keys.values()))})
+        same = (F.col("_asks") == F.col("_below")) & (F.col("_spread") == F.col("_hash")) & (F.col(keys[up]) == F.col("_up"))
+        found = F.when(F.col("_up_end") >= F.col("start_ms"), F.col("_up_end"))
+        rows = asked.join(ends, same, "left").withColumn("_closed", F.least("_closed", found)).select(*ops.columns, "_closed")
+    by_parent = rows.withColumns({"closed_ms": F.col("_closed"), "closed_by": F.when(F.col("_closed").isNotNull(), F.lit("parent"))}).drop("_closed")
+    by_end = ended.withColumns({"closed_ms": F.col("end_ms"), "closed_by": F.lit("end")})
+    return by_end.unionByName(by_parent)
 
 
 def active_counts(points: DataFrame, keys: Sequence[str], order: Sequence[str], change: str, **cut) -> DataFrame:

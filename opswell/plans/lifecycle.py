@@ -97,14 +97,34 @@ def cleared(t):
     return out.select("class", (F.col("all") - F.col("stay")).alias("would_go"), "stay")
 
 
-@query("str06", sql("apps jobs", """
+OPEN_STARTS = sql("apps jobs", """
 SELECT 'App' AS class, 'app-' || app AS service_id, start_ms AS start_millis FROM apps WHERE end_ms IS NULL
-UNION ALL SELECT 'Job', '' || job, start_ms FROM jobs WHERE end_ms IS NULL"""))
+UNION ALL SELECT 'Job', '' || job, start_ms FROM jobs WHERE end_ms IS NULL""")
+
+
+@query("str06", OPEN_STARTS)
 def open_operations(t):
     rows = L.normalise(S.raw_events(t, ("app", "job")))
     return L.open_starts(rows).select("class", "service_id", "start_millis")
 
 
+@query("str06_stream", OPEN_STARTS)
+def open_operations_stream(t):
+    """Raw lines in the order of their arrival; two events of a later time close the stream, as no end can come any more."""
+    lines = S.raw_events(t, ("app", "job"))
+    later = F.lit(4_102_444_800_000)  # the year 2100
+    event = lambda name, key, ms: F.to_json(F.struct(F.lit(name).alias("Event"), F.lit(key).alias("Job ID"), later.alias(ms)))
+    closing = t.spark.range(2).select(
+        F.lit("host-later").alias("host"),
+        F.lit("/events/later").alias("file_path"),
+        F.timestamp_millis(later).alias("ingest_ts"),
+        F.when(F.col("id") == 0, event("SparkListenerJobStart", 0, "Submission Time")).otherwise(event("SparkListenerJobEnd", 1, "Completion Time")).alias("line"),
+    )
+    # An application runs for as long as it has orders.
+    found = lambda stream: jobs.open_starts(L.normalise(stream), "10 days", "4000 days")
+    return files.replayed(t, lines, "ingest_ts", found, closing=closing)
+
+
 OPEN_TOTALS = sql("ops", "SELECT kind, CAST(count(*) - count(end_ms) AS BIGINT) AS open FROM ops GROUP BY 1")
 
 
@@ -148,16 +168,9 @@ WINDOW b AS (PARTITION BY host, epoch ORDER BY at_s, seq ROWS BETWEEN UNBOUNDED
 
 @query("str08", sql("counters", IDLE_SQL))
 def rates_stream(t):
-    """Counters as a stream of files in time order, with state per host kept between batches."""
-    path = t.scratch("counters")
-    rows = S.counters(t)
-    ends = rows.agg(F.min("at_s").alias("lo"), F.max("at_s").alias("hi")).first()
-    step = (ends["hi"] - ends["lo"]) // 3 + 1
-    for i in range(3):
-        lo = ends["lo"] + i * step
-        rows.where((F.col("at_s") >= lo) & (F.col("at_s") < lo + step)).coalesce(1).write.mode("append").parquet(path)
-    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    return files.caught_up(t, jobs.counter_rates(t.spark, stream, ["host"], "at_s", "seq", MEASURES, IDLE))
+    """Counters as a stream in time order, with state per host that a timer drops when the host falls silent."""
+    rates_of = lambda stream: jobs.counter_rates(stream, ["host"], "at_s", "seq", MEASURES, IDLE)
+    return files.replayed(t, S.counters(t), "at_s", rates_of)
 
 
 @query("str08_batch", sql("counters", IDLE_SQL))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from opswell.functions.numbers import cents
 from opswell.operators import lifecycle, tables
 from opswell.plans.ctes import sql
 from opswell.registry import query
-from opswell.sources import readers, standins as S, writers
+from opswell.sources import keyed, readers, standins as S, writers
 from opswell.streaming import files
 
 
@@ -225,9 +227,14 @@ def rotating_logs(t):
     take("ERROR").write.text(f"{path}/a/spark-app.log")
     take("INFO").write.text(f"{path}/b/spark-app.log.1")
     take("WARN").write.option("compression", "gzip").text(f"{path}/c/spark-app.log.2")
-    stream = readers.growing_lines(t.spark, path, glob="*.txt", max_age="24h")
+    at = t.scratch("stream"), t.scratch("progress")
+    stream = lambda: readers.growing_lines(t.spark, path, glob="*.txt", max_age="24h")
+    files.caught_up(t, stream(), at=at)
+    # A file that comes later but was last written two days before the others.
+    take("DEBUG").write.text(f"{path}/d/spark-app.log")
+    writers.set_age(t.spark, f"{path}/d/spark-app.log", 48 * 3600)
     level = F.regexp_extract("value", "^\\S+ \\S+ (\\w+)", 1).alias("level")
-    return files.caught_up(t, stream).groupBy(level).agg(F.count(F.lit(1)).alias("n"))
+    return files.caught_up(t, stream(), at=at).groupBy(level).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("src17", sql("jobs", "SELECT 'Start' AS event_kind, count(*) AS n FROM jobs UNION ALL SELECT 'End', count(end_ms) FROM jobs"))
@@ -256,12 +263,12 @@ SELECT l_orderkey, l_returnflag FROM (SELECT l_orderkey, l_returnflag, row_numbe
 
 @query("src18", LAST_DELIVERY)
 def keyed_write(t):
-    """Two overlapping deliveries into a keyed table: the newest row of a key stays."""
-    path = t.scratch("keyed")
+    """Deliveries as a stream into a keyed table of versions: the newest row of a key stays."""
+    table = keyed.KeyedTable(t.spark, t.scratch("keyed"), "id", ["seq"])
     rows = deliveries(t)
-    writers.upsert(t.spark, path, rows.where("l_returnflag <> 'N'"), "id", ["seq"])
-    writers.upsert(t.spark, path, rows.where("l_returnflag <> 'R'"), "id", ["seq"])
-    return t.spark.read.parquet(path).select("l_orderkey", "l_returnflag")
+    files.replayed(t, rows.withColumn("at", F.col("seq.ms")), "at", lambda stream: stream.drop("at"), write=table.upsert)
+    read = table.read()
+    return (rows.limit(0) if read is None else read).select("l_orderkey", "l_returnflag")
 
 
 @query("src18_batch", LAST_DELIVERY)
@@ -290,7 +297,7 @@ def created_once(t):
     """Rows whose id is taken are refused."""
     path = t.scratch("created")
     for step, test in ((1, "l_returnflag = 'R'"), (2, "l_returnflag <> 'R'")):
-        writers.create_only(t.spark, path, t.lineitem.where(test).select("l_orderkey", F.lit(step).alias("first_seen")), "l_orderkey")
+        writers.create_only(t.spark, path, t.lineitem.where(test).select("l_orderkey", F.lit(step).alias("first_seen")), "l_orderkey", ["first_seen"])
     return t.spark.read.parquet(path).select("l_orderkey", "first_seen")
 
 
@@ -302,6 +309,23 @@ def routed(t):
     return t.spark.read.parquet(path).groupBy("route").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("src21_stream", """
+SELECT sink, count(*) AS n, count(DISTINCT event_id) AS ids FROM (
+  SELECT 'alerts' AS sink, event_id FROM events WHERE event_type = 'error'
+  UNION ALL SELECT 'usage', event_id FROM events WHERE event_type IN ('click', 'view')
+  UNION ALL SELECT 'large', event_id FROM events WHERE value > 100
+  UNION ALL SELECT 'other', event_id FROM events WHERE event_type NOT IN ('error', 'click', 'view') AND NOT coalesce(value > 100, false)) GROUP BY 1""")
+def routed_stream(t):
+    """One stream of events into several sinks; an event may be in more than one."""
+    rules = {"alerts": F.col("event_type") == "error", "usage": F.col("event_type").isin("click", "view"), "large": F.col("value") > 100}
+    sinks = keyed.Routes(t.spark, t.scratch("sinks"), rules)
+    rows = t.events.select("event_id", "event_type", "value", "ts")
+    files.replayed(t, rows, "ts", lambda stream: stream, write=sinks.write)
+    read = [sinks.read(s, rows.schema).select(F.lit(s).alias("sink"), "event_id") for s in (*rules, sinks.otherwise)]
+    found = reduce(lambda a, b: a.unionByName(b), read)
+    return found.groupBy("sink").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("ids"))
+
+
 @query("src22", "SELECT event_type AS dataset, strftime(ts, '%Y-%m-%d') AS date, count(*) AS n FROM events WHERE event_type = 'click' AND ts >= TIMESTAMP '2024-01-15' GROUP BY 1, 2")
 def dataset_folders(t):
     path = t.scratch("datasets")
@@ -346,6 +370,6 @@ def timings(t):
         F.when(F.col("o_orderstatus") == "P", F.lit("failed")).otherwise(F.lit("ok")).alias("status"), F.col("o_totalprice").alias("elapsed_s"),
     )
     for status in ("ok", "failed"):
-        rows.where(F.col("status") == status).write.mode("append").option("header", True).csv(path)
+        writers.append_timings(rows.where(F.col("status") == status), path)
     schema = "date STRING, commit STRING, chapter STRING, status STRING, elapsed_s DOUBLE"
     return readers.delimited(t.spark, path, schema=schema).groupBy("chapter", "status").agg(F.count(F.lit(1)).alias("runs"))

@@ -1,4 +1,4 @@
-"""Writing tables, keyed upserts, routed outputs, metric lines and reports."""
+"""Writing tables, routed outputs, metric lines and reports."""
 
 from __future__ import annotations
 
@@ -7,8 +7,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from opswell.operators.tables import newest
-from opswell.session import scratch
+from opswell.operators.tables import oldest
+from opswell.session import settle
 
 log = logging.getLogger(__name__)
 
@@ -62,45 +62,11 @@ def route(df: DataFrame, path: str, routes: Sequence[tuple[str, Column]], otherw
     parquet(df.withColumn("route", name), path, by=["route"])
 
 
-BUCKETS = 64
-
-
-def upsert(spark: SparkSession, path: str, updates: DataFrame, key: str, order: Sequence[str], buckets: int = BUCKETS) -> None:
-    """Keyed table: a second row of a key replaces the first, by the newest order.
-
-    Rows lie in folders by the hash of their key. Only the folders that the
-    updates touch are read and rewritten, through a staging folder, so the same
-    updates can be written again after a failure with the same outcome.
-    """
-    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
-    fresh = newest(updates, [key], order).withColumn("bucket", bucket)
-    touched = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]  # at most `buckets` numbers
-    if not touched:
-        return
-    merged = fresh
-    if exists(spark, path):
-        merged = spark.read.parquet(path).where(F.col("bucket").isin(touched)).unionByName(fresh)
-        merged = newest(merged, [key], order)
-    staging = scratch(spark, "staging")
-    merged.write.parquet(staging)
-    (
-        spark.read.parquet(staging)
-        .repartition("bucket")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("bucket")
-        .parquet(path)
-    )
-
-
-def create_only(spark: SparkSession, path: str, rows: DataFrame, key: str) -> None:
-    """Appends rows whose key is not there yet; a key that is there is left as it is."""
-    rows = rows.dropDuplicates([key])
+def create_only(spark: SparkSession, path: str, rows: DataFrame, key: str, order: Sequence[str]) -> None:
+    """Appends rows whose key is not there yet, the first by `order` of each; a key that is there is left as it is."""
+    rows = oldest(rows, [key], order)
     if exists(spark, path):
-        rows = rows.join(spark.read.parquet(path).select(key), key, "left_anti")
-        staging = scratch(spark, "staging")
-        rows.write.parquet(staging)
-        rows = spark.read.parquet(staging)
+        rows = settle(rows.join(spark.read.parquet(path).select(key), key, "left_anti"))
     rows.write.mode("append").parquet(path)
 
 
@@ -109,6 +75,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Renames a file or folder; the target must not be there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    if exists(spark, target) or not path(source).getFileSystem(spark._jsc.hadoopConfiguration()).rename(path(source), path(target)):
+        raise FileExistsError(f"{source} was not moved to {target}")
+
+
 def metric_lines(df: DataFrame, key: Column, dims: dict[str, Column], value: Column) -> DataFrame:
     """Line protocol: key,dim="v",... value with six significant digits; quotes in dimensions are escaped."""
     quoted = [
@@ -136,7 +109,23 @@ def significant(c: Column, digits: int = 6) -> Column:
     )
 
 
+#: date, commit, chapter, status and seconds of a finished run.
+TIMING = "date string, commit string, chapter string, status string, elapsed_s double"
+
+
+def append_timings(rows: DataFrame, path: str) -> None:
+    """Rows of TIMING at the end of the timing table."""
+    rows.select(*[f.split()[0] for f in TIMING.split(", ")]).write.mode("append").option("header", True).csv(path)
+
+
 def append_timing(spark: SparkSession, path: str, date: str, commit: str, chapter: str, status: str, elapsed_s: float) -> None:
-    """One row per finished run at the end of the timing table."""
-    row = spark.createDataFrame([(date, commit, chapter, status, elapsed_s)], "date string, commit string, chapter string, status string, elapsed_s double")
-    row.write.mode("append").option("header", True).csv(path)
+    """One row for a run that has finished."""
+    append_timings(spark.createDataFrame([(date, commit, chapter, status, elapsed_s)], TIMING), path)
+
+
+def set_age(spark: SparkSession, folder: str, seconds: int) -> None:
+    """Dates the files of a folder back by some seconds."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    for f in fs.listStatus(at):
+        fs.setTimes(f.getPath(), f.getModificationTime() - seconds * 1000, -1)

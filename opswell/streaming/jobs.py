@@ -5,11 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
 
 def match(events: DataFrame, late: str, longest: str) -> DataFrame:
     """Ends joined to their starts as both arrive; a start is forgotten when no end can come any more.
@@ -58,61 +56,94 @@ def open_counts(points: DataFrame, keys: Sequence[str], change: str) -> DataFram
 
 
 class _Rates(StatefulProcessor):
-    """Keeps the last time and the last value taken up per measure of one key."""
+    """Keeps the last time and the last value taken up per measure of one key, until the key has been silent for too long."""
 
     def __init__(self, keys: list[str], at: str, tie: str, measures: list[str], idle: int | None):
         self.keys, self.at, self.tie, self.measures, self.idle = keys, at, tie, measures, idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         fields = [T.StructField("at", T.LongType())] + [T.StructField(m, T.LongType()) for m in self.measures]
-        self.state = handle.getValueState("last", T.StructType(fields))
+        self.handle, self.state = handle, handle.getValueState("last", T.StructType(fields))
+
+    def _ends(self, at: int) -> int:
+        """The first millisecond at which a key last seen at `at` is idle."""
+        return (at + self.idle) * 1000 + 1
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         # The rows of one key in one batch; the size of a batch is bounded by the source's trigger.
-        batch = pd.concat(list(rows)).sort_values([self.at, self.tie])
-        last = self.state.get() if self.state.exists() else None
-        at, values = (last[0], list(last[1:])) if last is not None else (None, [None] * len(self.measures))
-        out = {m: [] for m in self.measures}
-        columns = [batch[m].astype("Int64") for m in self.measures]
-        for i, now in enumerate(batch[self.at].tolist()):
-            gap = None if at is None else now - at
-            first = gap is None or (self.idle is not None and gap > self.idle)
-            if first:
-                values = [None] * len(values)
-            for j, m in enumerate(self.measures):
-                v = columns[j].iloc[i]
-                v = None if v is pd.NA else int(v)
-                rising = not first and gap > 0 and v is not None and values[j] is not None and v >= values[j]
-                out[m].append((v - values[j]) / gap if rising else None)
-                if v is not None and (first or gap > 0):
-                    values[j] = v
-            at = now
-        self.state.update((at, *values))
-        result = batch[[*self.keys, self.tie]].reset_index(drop=True)
-        for m in self.measures:
-            result[f"{m}_rate"] = pd.Series(out[m], dtype="float64")
+        batch = pd.concat(list(rows)).sort_values([self.at, self.tie]).reset_index(drop=True)
+        held = self.state.get() if self.state.exists() else None
+        # What is held stands before the rows as one more, whose values are taken up as they are.
+        before = [] if held is None else [held[0]]
+        at = pd.Series([*before, *batch[self.at]], dtype="Int64")
+        gap = at.diff()
+        first = gap.isna() | (gap > self.idle if self.idle is not None else False)
+        epoch = first.cumsum()
+        result = batch[[*self.keys, self.tie]].copy()
+        last = [int(at.iloc[-1])]
+        for i, m in enumerate(self.measures):
+            v = pd.concat([pd.Series([] if held is None else [held[i + 1]], dtype="Int64"), batch[m].astype("string").astype("Int64")], ignore_index=True)
+            known = v.where(first | (gap > 0)).groupby(epoch).ffill()
+            base = known.groupby(epoch).shift(1)
+            rate = ((v - base) / gap).where(~first & (gap > 0) & (v >= base))
+            result[f"{m}_rate"] = rate.iloc[len(before) :].astype("Float64").to_numpy("float64", na_value=float("nan"))
+            last.append(None if pd.isna(known.iloc[-1]) else int(known.iloc[-1]))
+        if self.idle is not None:
+            if held is not None:
+                self.handle.deleteTimer(self._ends(held[0]))
+            self.handle.registerTimer(self._ends(last[0]))
+        self.state.update(tuple(last))
         yield result
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """The key has been silent for too long: its next row is a first row, so nothing is kept of it."""
+        self.state.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
 
 def counter_rates(
-    spark: SparkSession,
     rows: DataFrame,
     keys: Sequence[str],
     at: str,
     tie: str,
     measures: Sequence[str],
     idle_seconds: int | None = 300,
+    late: str = "1 second",
 ) -> DataFrame:
-    """Rates with state per key; after idle_seconds of silence the next row is a first row. Rows come in time order."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    """Rates with state per key; at is in whole seconds of event time. A key's rows come in time order.
+
+    A row that is older than the newest of all by `late` or more is dropped; less
+    than a second would drop rows of the newest second.
+
+    After idle_seconds of silence the next row is a first row. The state of a silent
+    key is dropped by a timer as soon as the watermark is past that time.
+    """
     types = dict(rows.dtypes)
     schema = ", ".join([f"{k} {types[k]}" for k in [*keys, tie]] + [f"{m}_rate double" for m in measures])
-    return rows.groupBy(*keys).transformWithStateInPandas(
+    # As texts, whole numbers beside nulls keep all their digits on the way to pandas.
+    texts = {m: F.col(m).cast("long").cast("string") for m in measures}
+    timed = rows.withColumns({**texts, "_event_time": F.timestamp_seconds(at)}).withWatermark("_event_time", late)
+    return timed.groupBy(*keys).transformWithStateInPandas(
         statefulProcessor=_Rates(list(keys), at, tie, list(measures), idle_seconds),
         outputStructType=schema,
         outputMode="Append",
-        timeMode="None",
+        timeMode="EventTime",
+    )
+
+
+def open_starts(events: DataFrame, late: str, longest: str) -> DataFrame:
+    """Starts that no end names, given once none can come any more: `longest` after the start, by the watermark.
+
+    events: normalised events as a stream; late: how much too late a row may come.
+    An end that comes within that time is in no result, nor is its start.
+    """
+    starts = events.where("event_kind = 'Start'").select(
+        "class", "service_id", "start_millis", F.col("event_uid").alias("start_uid"), F.col("ts").alias("start_time")
     )
+    ends = events.where("event_kind = 'End'").select(F.col("start_event_uid").alias("end_uid"), F.col("ts").alias("end_time"))
+    same = F.expr(f"start_uid = end_uid AND end_time >= start_time AND end_time <= start_time + INTERVAL {longest}")
+    joined = starts.withWatermark("start_time", late).join(ends.withWatermark("end_time", late), same, "left_outer")
+    return joined.where("end_uid IS NULL").select("class", "service_id", "start_millis")

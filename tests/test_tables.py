@@ -8,6 +8,7 @@ from opswell.operators import tables as T
 from opswell.plans import load
 from opswell.session import scratch, tune
 from opswell.sources import readers, writers
+from opswell.sources.keyed import KeyedTable
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -35,15 +36,31 @@ def test_union_on_common_columns_wants_the_required_ones(spark):
 
 
 def test_upsert_twice_gives_the_same_table(spark):
-    path = scratch(spark, "keyed")
+    table = KeyedTable(spark, scratch(spark, "keyed"), "id", ["seq"])
     first = spark.createDataFrame([("a", 1, "x"), ("b", 1, "x"), ("a", 2, "y")], "id string, seq long, v string")
     second = spark.createDataFrame([("b", 0, "old"), ("c", 5, "z")], "id string, seq long, v string")
     for rows in (first, second, second):
-        writers.upsert(spark, path, rows, "id", ["seq"])
-    got = {(r["id"], r["seq"], r["v"]) for r in spark.read.parquet(path).collect()}
+        table.upsert(rows)
+    got = {(r["id"], r["seq"], r["v"]) for r in table.read().collect()}
     assert got == {("a", 2, "y"), ("b", 1, "x"), ("c", 5, "z")}
 
 
+def test_the_first_row_of_a_key_is_created(spark):
+    path = scratch(spark, "created")
+    schema = "id string, seq long"
+    writers.create_only(spark, path, spark.createDataFrame([("a", 2), ("a", 1), ("b", 3)], schema), "id", ["seq"])
+    writers.create_only(spark, path, spark.createDataFrame([("a", 0), ("c", 9), ("c", 8)], schema), "id", ["seq"])
+    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [("a", 1), ("b", 3), ("c", 8)]
+
+
+def test_finished_runs_are_added_one_by_one(spark):
+    path = scratch(spark, "timing")
+    for i in range(3):
+        writers.append_timing(spark, path, "2024-01-01", "abc", f"chapter {i}", "ok", 1.5 * i)
+    read = readers.delimited(spark, path, schema=writers.TIMING)
+    assert sorted((r.chapter, r.elapsed_s) for r in read.collect()) == [("chapter 0", 0.0), ("chapter 1", 1.5), ("chapter 2", 3.0)]
+
+
 def test_one_file_holds_all_rows(spark):
     path = scratch(spark, "one")
     assert writers.attempt(writers.csv_single, spark.range(50), path)
