@@ -11,7 +11,7 @@ from pyspark.sql import Window, functions as F
 
 from opswell.functions.numbers import cents
 from opswell.functions.times import month_ordinal
-from opswell.operators import buckets, rates, segments, tables
+from opswell.operators import buckets, medians as M, rates, segments, tables
 from opswell.plans.aggregates import DAY, HOUR, gauges
 from opswell.plans.ctes import sql
 from opswell.registry import query
@@ -187,13 +187,7 @@ def medians(t):
     """Median of the month, and running median of the station."""
     w = S.readings(t)
     month = segments.exact_percentiles(w, ["mo"], "temp", {"median": 0.5})
-    upto = Window.partitionBy("stn").orderBy("date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # The median itself takes no frame; the readings of one station so far are as many as days have passed.
-    rows = w.withColumn("_seen", F.array_sort(F.collect_list("temp").over(upto)))
-    n = F.size("_seen")
-    at = lambda i: F.get("_seen", i).cast("double")
-    half = lambda c: F.call_function("div", c, F.lit(2)).cast("int")
-    rows = rows.withColumn("running", F.round((at(half(n - 1)) + at(half(n))) / 2, 6))
+    rows = M.running_median(w, ["stn"], ["date"], "temp", "running").withColumn("running", F.round("running", 6))
     return rows.join(month, "mo").select("stn", "mo", "da", F.round("median", 6).alias("median"), "running")
 
 
