@@ -8,7 +8,7 @@ from opswell import session
 from opswell.functions.numbers import cents, percent, ratio
 from opswell.functions.text import clock_seconds, clock_seconds_anywhere
 from opswell.functions.times import first_date
-from opswell.operators import buckets, lifecycle, logs, rates, segments, tables
+from opswell.operators import buckets, lifecycle, logs, rates, segments, sketches, tables
 from opswell.plans.ctes import sql
 from opswell.registry import query
 from opswell.sources import standins as S
@@ -267,10 +267,15 @@ def column_summary(t):
     return ends.join(points, "name").withColumns({p: F.round(p, 6) for p in ("p10", "p90")})
 
 
-@query("agg23_summary")
+@query("agg23_summary", " UNION ALL ".join(f"""
+SELECT '{c}' AS name, count({c}) AS count, min({c})::DOUBLE AS lo, max({c})::DOUBLE AS hi, true AS p10_within, true AS p90_within FROM lineitem""" for c in MEASURES))
 def described(t):
-    """The built-in summary of every column, percentiles approximate."""
-    return t.lineitem.summary("count", "min", "10%", "90%", "max")
+    """Count, ends and approximate points of every measure, from sketches per day merged into one; each point checked against the rows."""
+    days = t.lineitem.select(F.to_date("l_shipdate").alias("day"), *[F.col(c).cast("double").alias(c) for c in MEASURES]).unpivot(["day"], MEASURES, "name", "value")
+    at = {"p10": 0.1, "p90": 0.9}
+    daily = session.settle(sketches.quantile_sketches(days, ["name", "day"], "value"))
+    points = session.settle(sketches.quantiles(sketches.merged_quantiles(daily, ["name"]), at))
+    return sketches.ranks_within(days, ["name"], "value", points, at).select("name", F.col("n").alias("count"), "lo", "hi", "p10_within", "p90_within")
 
 
 # Weather
@@ -282,9 +287,13 @@ def daily_percentiles(t):
     return out.withColumns({c: F.round(c, 6) for c in ("median", "p90")})
 
 
-@query("agg24_approx")
-def daily_percentiles_approx(t):
-    return S.weather(t).groupBy("mo", "da").agg(F.percentile_approx("temp", 0.5, 10000).alias("median"))
+@query("agg24_approx", sql("weather", "SELECT mo, count(temp) AS n, true AS median_within, true AS p90_within FROM weather GROUP BY 1"))
+def monthly_percentiles_approx(t):
+    """Sketches of each day, merged into months; each point checked against the month's readings."""
+    w, at = S.readings(t), {"median": 0.5, "p90": 0.9}
+    daily = session.settle(sketches.quantile_sketches(w, ["mo", "da"], "temp"))
+    points = session.settle(sketches.quantiles(sketches.merged_quantiles(daily, ["mo"]), at))
+    return sketches.ranks_within(w, ["mo"], "temp", points, at).select("mo", "n", "median_within", "p90_within")
 
 
 @query("agg25", sql("weather", """
@@ -423,10 +432,12 @@ def scrapes(t):
     return rows.distinct().groupBy("bucket").agg(F.count(F.lit(1)).alias("scrapes"))
 
 
-@query("agg36_approx")
+@query("agg36_approx", sql("ev", "SELECT ms // 86400000 * 86400 AS bucket, count(DISTINCT ms // 60000) AS scrapes, true AS within FROM ev GROUP BY 1"))
 def scrapes_approx(t):
-    rows = gauges(t).withColumn("minute", buckets.bucket_of("ts", 60))
-    return buckets.by_bucket(rows, "ts", DAY, [], scrapes=F.approx_count_distinct("minute"))
+    """Distinct minutes of a day from the sketches of its hours, checked against the exact number."""
+    hours = sketches.distinct_sketches(gauges(t).withColumn("hour", buckets.bucket_of("ts", HOUR)), ["hour"], buckets.bucket_of("ts", 60))
+    days = sketches.merged_distinct(hours, [(F.col("hour") - F.col("hour") % DAY).alias("bucket")], "estimate")
+    return scrapes(t).join(days, "bucket").select("bucket", "scrapes", sketches.count_within("estimate", "scrapes").alias("within"))
 
 
 @query("agg37", sql("ev", """
