@@ -206,6 +206,26 @@ def cascade(df: DataFrame, steps: Sequence[Step], result: str = "sys_id", how: s
     return out.select(*df.columns, F.coalesce(*found).alias(result), F.coalesce(*said).alias(how))
 
 
+def by_members(found: DataFrame, row: str, parent: str, is_group: str, order: str, result: str = "sys_id", how: str = "how") -> DataFrame:
+    """A group that no step has found a record for gets the record of its first member that has one; `via` is that member.
+
+    found: a cascade's rows with the row each belongs to. The member's record comes
+    from the same steps, so it is looked up in their results; one aggregate with a
+    partial step brings the members of a group together.
+    """
+    first = F.min_by(F.struct(F.col(result).alias("record"), F.col(row).alias("member")), F.struct(order, row)).alias("_first")
+    members = found.where(F.col(parent).isNotNull() & F.col(result).isNotNull()).groupBy(F.col(parent).alias("_group")).agg(first)
+    asks = F.col(is_group) & F.col(result).isNull()
+    joined = found.join(members, (F.col(row) == F.col("_group")) & asks, "left")
+    given = F.col("_first").isNotNull()
+    return joined.select(
+        *[c for c in found.columns if c not in (result, how)],
+        F.coalesce(result, F.col("_first.record")).alias(result),
+        F.when(given, F.lit("group member")).otherwise(F.col(how)).alias(how),
+        F.col("_first.member").alias("via"),
+    )
+
+
 def service_steps(stamp: Column, services: DataFrame) -> list[Step]:
     """A service by its stamp: name, name with blanks for dashes, name in label characters, identifier."""
     by_name = services.select("name", "sys_id")

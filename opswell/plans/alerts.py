@@ -200,14 +200,44 @@ def services(t):
     return resolved(t).select("alert_id", "stamp", "service", "how")
 
 
-@query("ent05", sql("resolved", """
-SELECT alert_id, coalesce(service, CASE WHEN event_type = 'purchase' AND c_acctbal > 0 THEN 'svc-' || c_nationkey WHEN event_type = 'purchase' THEN 'svc-worker' WHEN event_type = 'view' AND k BETWEEN 1 AND 50 THEN 'svc-wl-' || k END) AS sys_id,
-  coalesce(how, CASE WHEN event_type = 'purchase' AND c_acctbal > 0 THEN 'pod membership' WHEN event_type = 'purchase' THEN 'pod name' WHEN event_type = 'view' AND k BETWEEN 1 AND 50 THEN 'entity' END) AS how
-FROM resolved LEFT JOIN customer ON user_id = c_custkey"""))
+cte("one", """
+SELECT r.*, coalesce(service, CASE WHEN event_type = 'purchase' AND c_acctbal > 0 THEN 'svc-' || c_nationkey WHEN event_type = 'purchase' THEN 'svc-worker'
+    WHEN event_type = 'signup' AND k % 3 = 0 AND s_suppkey IS NOT NULL THEN 'sys-' || svc WHEN event_type = 'signup' AND k % 3 = 1 AND c_nationkey < 12 THEN 'svc-' || c_nationkey
+    WHEN event_type = 'view' AND k BETWEEN 1 AND 50 THEN 'svc-wl-' || k WHEN event_type = 'view' AND k > 50 AND c_acctbal > 0 THEN 'svc-' || c_nationkey END) AS sys_id,
+  coalesce(how, CASE WHEN event_type = 'purchase' AND c_acctbal > 0 THEN 'pod membership' WHEN event_type = 'purchase' THEN 'pod name'
+    WHEN event_type = 'signup' AND k % 3 = 0 AND s_suppkey IS NOT NULL THEN 'record itself' WHEN event_type = 'signup' AND k % 3 = 1 AND c_nationkey < 12 THEN 'record membership'
+    WHEN event_type = 'view' AND k BETWEEN 1 AND 50 THEN 'application' WHEN event_type = 'view' AND k > 50 AND c_acctbal > 0 THEN 'application instance' END) AS found_by
+FROM resolved r LEFT JOIN customer ON user_id = c_custkey LEFT JOIN supplier ON svc = s_suppkey""", "resolved")
+
+
+def grouped_alerts(t):
+    """Alerts with a record, and every tenth as what the next nine belong to; some of these are group alerts."""
+    kind, k, alert = F.col("event_type"), F.col("k"), F.col("alert_id")
+    service = F.concat(F.lit("sys-"), F.call_function("div", F.col("user_id"), F.lit(10)))
+    instance = F.format_string(
+        '{"ImpactedEntity":{"type":"CLOUD_APPLICATION_INSTANCE","entity":"CLOUD_APPLICATION_INSTANCE-%s","name":"spark-worker-%d"}}', F.hex(k + 4096), F.col("user_id")
+    )
+    kinds = t.events.select(F.col("event_id").alias("_event"), "event_type")
+    rows = S.alerts(t).join(kinds, alert == F.col("_event"))
+    return rows.withColumns(
+        {
+            "record": F.when((kind == "signup") & (k % 3 == 0), service).when((kind == "signup") & (k % 3 == 1), F.concat(F.lit("srv-"), "user_id")),
+            "additional_info": F.when((kind == "view") & (k > 50), instance).otherwise(F.col("additional_info")),
+            "parent": F.when(alert % 10 != 0, alert - alert % 10),
+            "is_group": (kind == "signup") & (k % 3 == 2) & (alert % 10 == 0),
+        }
+    ).drop("_event", "event_type")
+
+
+@query("ent05", sql("one", """
+SELECT alert_id, coalesce(sys_id, m_sys) AS sys_id, CASE WHEN sys_id IS NULL AND m_sys IS NOT NULL THEN 'group member' ELSE found_by END AS how, CASE WHEN sys_id IS NULL THEN m_id END AS via
+FROM one LEFT JOIN (SELECT alert_id - alert_id % 10 AS parent, sys_id AS m_sys, alert_id AS m_id FROM one WHERE alert_id % 10 <> 0 AND sys_id IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY alert_id - alert_id % 10 ORDER BY created_on, alert_id) = 1) m
+  ON one.alert_id = m.parent AND event_type = 'signup' AND k % 3 = 2"""))
 def service_of_alert(t):
-    """Service instance: by stamp, by pod, by the entity the alert is about; in this order."""
+    """Service instance of an alert: by stamp, by pod, by its record, by the entity it is about, and of a group by its members, in this order."""
     rows = X.once(
-        S.alerts(t),
+        grouped_alerts(t),
         stamp=X.service_stamp("description"),
         pod=X.first_match("description", X.stamp_patterns(X.POD_KEYS, X.NAME_VALUE)),
     )
@@ -215,14 +245,21 @@ def service_of_alert(t):
     members = pods(t).where("service IS NOT NULL").select("name", "service")
     named = t.spark.createDataFrame(list(POD_SERVICES.items()), "name string, sys_id string")
     of_entity = workloads(t).select("name", F.concat(F.lit("svc-"), F.col("name"))).distinct()
-    workload = F.when(F.col("entity_type") == "CLOUD_APPLICATION", F.col("entity_name"))
+    services_ = S.services(t)
+    # Infrastructure records of some nations are members of a service.
+    of_record = t.customer.where("c_nationkey < 12").select(F.concat(F.lit("srv-"), "c_custkey"), F.concat(F.lit("svc-"), "c_nationkey"))
+    named_by = lambda entity: F.when(F.col("entity_type") == entity, F.col("entity_name"))
     steps = [
-        *A.service_steps(F.col("stamp"), S.services(t)),
+        *A.service_steps(F.col("stamp"), services_),
         A.Step("pod membership", F.col("pod"), members),
         A.Step("pod name", F.replace(service_of_pod(F.coalesce("pod", F.lit(""))), F.lit("-"), F.lit(" ")), named),
-        A.Step("entity", workload, of_entity),
+        A.Step("record itself", F.col("record"), services_.select("sys_id", F.col("sys_id").alias("of"))),
+        A.Step("record membership", F.col("record"), of_record),
+        A.Step("application", named_by("CLOUD_APPLICATION"), of_entity),
+        A.Step("application instance", named_by("CLOUD_APPLICATION_INSTANCE"), members),
     ]
-    return A.cascade(rows, steps).select("alert_id", "sys_id", "how")
+    found = session.settle(A.cascade(rows, steps).select("alert_id", "created_on", "parent", "is_group", "sys_id", "how"))
+    return A.by_members(found, "alert_id", "parent", "is_group", "created_on").select("alert_id", "sys_id", "how", "via")
 
 
 @query("ent06", sql("alerts workloads", """

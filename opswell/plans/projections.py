@@ -51,10 +51,10 @@ def derived(t):
     return rows.withColumn("twice", F.col("seconds") * 2).select("order_key", "sequence_no", "seconds", "twice")
 
 
-@query("prj06", "SELECT n_name AS name, n_nationkey AS nation, n_regionkey AS region FROM nation")
+@query("prj06", "SELECT o_custkey AS customer, o_orderkey AS id, o_orderstatus AS status FROM orders")
 def renamed(t):
     """One column renamed, all in lower case, then in alphabetical order."""
-    rows = t.nation.withColumnRenamed("n_name", "NAME").toDF("NATION", "NAME", "REGION")
+    rows = t.orders.select("o_orderkey", "o_orderstatus", "o_custkey").withColumnRenamed("o_orderstatus", "STATUS").toDF("ID", "STATUS", "CUSTOMER")
     rows = rows.toDF(*[c.lower() for c in rows.columns])
     return rows.select(sorted(rows.columns))
 
@@ -73,9 +73,9 @@ def cast_by_prefix(t):
     return rows.groupBy("model").agg(F.sum("smart_1_raw").alias("smart_1"), F.count("smart_9_raw").alias("smart_9"))
 
 
-@query("prj09", "SELECT r_regionkey, r_name, CAST(NULL AS VARCHAR) AS comment, CAST(NULL AS BIGINT) AS size FROM region")
+@query("prj09", "SELECT o_orderkey, o_orderstatus, CAST(NULL AS VARCHAR) AS comment, CAST(NULL AS BIGINT) AS size FROM orders")
 def typed_nulls(t):
-    return tables.with_missing(t.region, {"comment": "string", "size": "bigint", "r_name": "string"})
+    return tables.with_missing(t.orders.select("o_orderkey", "o_orderstatus"), {"comment": "string", "size": "bigint", "o_orderstatus": "string"})
 
 
 @query("prj10", sql("logs", "SELECT DISTINCT duration, seconds FROM logs"))
@@ -83,11 +83,11 @@ def distinct_rows(t):
     return S.programme_logs(t).select("duration", clock_seconds("duration").cast("long").alias("seconds")).distinct()
 
 
-@query("prj11", "SELECT l.n_nationkey AS id, r.n_name AS name FROM nation l JOIN nation r ON l.n_regionkey = r.n_nationkey")
+@query("prj11", "SELECT l.o_orderkey AS id, r.o_orderstatus AS status_after FROM orders l JOIN orders r ON r.o_orderkey = l.o_orderkey + 1")
 def qualified(t):
     """Names that both sides of a join have, told apart by alias."""
-    joined = t.nation.alias("l").join(t.nation.alias("r"), F.col("l.n_regionkey") == F.col("r.n_nationkey"))
-    return joined.select(F.col("l.n_nationkey").alias("id"), F.col("r.n_name").alias("name"))
+    joined = t.orders.alias("l").join(t.orders.alias("r"), F.col("r.o_orderkey") == F.col("l.o_orderkey") + 1)
+    return joined.select(F.col("l.o_orderkey").alias("id"), F.col("r.o_orderstatus").alias("status_after"))
 
 
 @query("prj12", """
