@@ -24,9 +24,9 @@ def _pieces(path: str, end: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for first in range(0, len(batch), 500):
-                part = batch.slice(first, 500)
-                ids, counts = tokens.with_end(*tokens.encoder(path).encode(part.column("text")), end)
+            for rows, texts in tokens.whole(batch.column("text")):
+                part = batch.slice(rows[0], len(rows))
+                ids, counts = tokens.with_end(*tokens.encoder(path).encode(texts), end)
                 n = -(-counts // capacity)
                 row = np.repeat(np.arange(len(counts)), n)
                 piece = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)

@@ -146,7 +146,7 @@ def _files(path: str, end: int):
             return pa.RecordBatch.from_arrays([pa.array([content], pa.binary())], ["content"])
 
         for batch in batches:
-            for rows, slab in _rows(batch.column("text")):
+            for rows, slab in tokens.whole(batch.column("text")):
                 more, n = tokens.with_end(*tokens.encoder(path).encode(slab), end)
                 docs += batch.column("doc_id").slice(rows[0], len(rows)).to_pylist()
                 counts.append(n)
@@ -161,16 +161,6 @@ def _files(path: str, end: int):
     return run
 
 
-def _rows(texts: pa.Array, most: int = tokens.SLAB):
-    """Runs of rows of about `most` bytes of text; texts stay whole."""
-    sizes = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0)))
-    first = 0
-    while first < len(texts):
-        until = max(first + 1, int(np.searchsorted(sizes, (sizes[first - 1] if first else 0) + most, "right")))
-        yield np.arange(first, until), texts.slice(first, until - first)
-        first = until
-
-
 def write(docs: DataFrame, path: str, tokenizer: str, end: int = 2) -> None:
     """Writes the token ids of docs (doc_id, text), each text's ids with `end` after them, in ascending order of doc_id.
 

@@ -9,8 +9,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text worked on at a time, and bytes of words and their ids that are remembered from one slab to the next.
-SLAB = 4 << 20
-REMEMBERED = 16 << 20
+SLAB = 6 << 20
+REMEMBERED = 48 << 20
 
 # A word of Latin letters between signs. Its three parts are encoded apart by every tokenizer here, as signs and letters
 # never share a token; a leading apostrophe could, so it is not taken.
@@ -24,6 +24,16 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
 
 
+def whole(texts: pa.Array, most: int = SLAB):
+    """Runs of rows of about `most` bytes of text; texts stay whole."""
+    sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0)))
+    first = 0
+    while first < len(texts):
+        until = max(first + 1, int(np.searchsorted(sizes, (sizes[first - 1] if first else 0) + most, "right")))
+        yield np.arange(first, until), texts.slice(first, until - first)
+        first = until
+
+
 def slabs(texts: pa.Array, most: int = SLAB):
     """(rows, array of texts) of at most `most` bytes; a longer text comes alone, cut at white space into several with the same row."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
