@@ -12,24 +12,30 @@ from opswell.sources.tables import Tables
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the classifier accepts; it learns from the labels that are not held out."""
+    """The documents that the classifier accepts; it learns from the labels that are not held out.
+
+    Null and empty texts are judged like others, repeated rows each; no documents give none.
+    """
     return quality.good_documents(docs, queries.quality_labels(Tables(tune(spark), sf_dir)))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that shares 80 % or more of its five-word shingles, directly or through others."""
+    """One document of each group that shares 80 % or more of its five-word shingles, directly or through others.
+
+    Documents without words, null texts among them, are no group and stay.
+    """
     tune(spark)
     return near_dups.one_of_each(docs, width=5, percent=80)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each copy of a document that the mix takes."""
+    """A row for each whole copy of a document that the mix takes; documents without words are in no mix. Null sources are one."""
     tune(spark)
     return mixing.mixed_documents(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their sequences and offsets; tokens as a checksum."""
+    """The pieces of all documents with their sequences and offsets; tokens as a checksum. Repeated rows are packed each."""
     tune(spark)
     rows = packing.pack(docs, queries.vocabulary())
     return rows.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
