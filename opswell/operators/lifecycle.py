@@ -64,10 +64,15 @@ EVENT_SCHEMA = T.StructType(
 )
 
 
-def parse(raw: DataFrame, line: str = "line") -> DataFrame:
-    """JSON lines with the name of the event beside its fields under e; events without a time are dropped unparsed."""
+def parse(raw: DataFrame, line: str = "line", kind: str | None = None) -> DataFrame:
+    """JSON lines with the name of the event beside its fields under e; events without a time are dropped unparsed.
+
+    kind: Start, End or Point, for the events of this kind only; the others are dropped unparsed, too.
+    """
     named = raw.withColumn("event", F.regexp_extract(line, '"Event"\\s*:\\s*"([^"]+)"', 1))
     known = named.where((F.col("event") != "") & ~F.col("event").isin(TIMELESS))
+    if kind is not None:
+        known = known.where(F.col("event").isin([event for event, _, k, _, _ in FORMS if k == kind]))
     return known.withColumn("e", F.from_json(line, EVENT_SCHEMA)).drop(line)
 
 
@@ -78,15 +83,15 @@ def _by_class(otherwise: Column | str | None = None, **values: Column) -> Column
     return out
 
 
-def normalise(raw: DataFrame) -> DataFrame:
-    """Raw lines (host, file_path, ingest_ts, line) to one shape for all kinds of event.
+def normalise(raw: DataFrame, kind: str | None = None) -> DataFrame:
+    """Raw lines (host, file_path, ingest_ts, line) to one shape for all kinds of event, or for one kind only.
 
     An event file holds one application, so host and path stand for it in all
     keys; the attempt is part of the key of stages and tasks.
     """
     forms = raw.sparkSession.createDataFrame(FORMS, "event string, class string, event_kind string, _trace string, _parent string")
     # The table of forms is a fixed list of eleven rows.
-    rows = parse(raw).join(F.broadcast(forms), "event", "left").fillna(
+    rows = parse(raw, kind=kind).join(F.broadcast(forms), "event", "left").fillna(
         UNKNOWN, ["class", "event_kind", "_trace"]
     )
     at = lambda path: F.col(f"e.{path}")

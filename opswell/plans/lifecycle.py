@@ -58,7 +58,7 @@ FROM jobs j JOIN base a ON j.app = a.app WHERE end_ms IS NOT NULL""")
 @query("str03", JOB_PAIRS)
 def matched_stream(t):
     """Raw lines in the order of their arrival."""
-    return files.replayed(t, S.raw_events(t, ("job",)), "ingest_ts", lambda lines: jobs.match(L.normalise(lines), "10 days", "2 days"))
+    return files.replayed(t, S.raw_events(t, ("job",)), "ingest_ts", lambda lines: jobs.match(L.normalise(lines, "Start"), L.normalise(lines, "End"), "10 days", "2 days"))
 
 
 @query("str03_batch", JOB_PAIRS)
@@ -121,7 +121,7 @@ def open_operations_stream(t):
         F.when(F.col("id") == 0, event("SparkListenerJobStart", 0, "Submission Time")).otherwise(event("SparkListenerJobEnd", 1, "Completion Time")).alias("line"),
     )
     # An application runs for as long as it has orders.
-    found = lambda stream: jobs.open_starts(L.normalise(stream), "10 days", "4000 days")
+    found = lambda stream: jobs.open_starts(L.normalise(stream, "Start"), L.normalise(stream, "End"), "10 days", "4000 days")
     return files.replayed(t, lines, "ingest_ts", found, closing=closing)
 
 

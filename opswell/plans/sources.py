@@ -114,12 +114,12 @@ def json_lines(t):
 
 @query("src08", TURNS)
 def pretty_json(t):
-    """Documents spread over many lines, in many files; a file is an array of the documents of one partition."""
+    """Documents spread over many lines, in many files; a file is an array of the documents of one partition, read in splits."""
     path = t.scratch("pretty")
     docs = S.shows(t)
     text_ = docs.select(F.to_json(F.struct(*docs.columns), {"pretty": "true"}).alias("value"))
     files.json_arrays(text_).write.option("lineSep", "\n").text(path)
-    return turns_of(readers.documents(t.spark, path, multi_line=True, schema=docs.schema))
+    return turns_of(readers.array_documents(t.spark, path, schema=docs.schema))
 
 
 @query("src09", "SELECT conv_id AS id, count(*) AS turns FROM conversations GROUP BY 1")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from opswell.operators.segments import Ordered
 from opswell.operators.tables import aligned
+from opswell.session import settle
 
 
 def text_lines(spark: SparkSession, *paths: str) -> DataFrame:
@@ -67,6 +71,63 @@ def documents(spark: SparkSession, *paths: str, schema: str | T.StructType | Non
     return reader.json(list(paths))
 
 
+#: A string, or a bracket outside of strings. JSON strings hold no line breaks, so a line never begins inside of one.
+JSON_MARKS = r'"(?:[^"\\]|\\.)*"|[\[\]{}]'
+
+
+def _pieces(base: int):
+    """Of each line with its depth at the start, the parts that belong to records, and whether a record begins with one."""
+    marks = re.compile(JSON_MARKS)
+
+    def cut(line: str, depth: int):
+        begins, at = False, 0 if depth > base else None
+        for m in marks.finditer(line):
+            mark = m.group()
+            if mark in "[{":
+                if depth == base:
+                    begins, at = True, m.start()
+                depth += 1
+            elif mark in "]}":
+                depth -= 1
+                if depth == base and at is not None:
+                    yield begins, line[at : m.end()]
+                    begins, at = False, None
+        if at is not None:
+            yield begins, line[at:]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("path", "line_no", "_depth", "value"))
+            rows = [(path, no, i, int(begins), text) for path, no, depth, value in zip(*columns) for i, (begins, text) in enumerate(cut(value, depth))]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["path", "line_no", "part", "begins", "text"])
+
+    return run
+
+
+def array_documents(spark: SparkSession, *paths: str, schema: str | T.StructType, in_array: bool = True) -> DataFrame:
+    """JSON documents that are spread over lines: the elements of one array per file, or one document after the other.
+
+    Unlike a multi-line read, a file is read in as many splits as its size asks for.
+    Brackets outside of strings are added up along the file, so each line knows how
+    deep it begins; then each line gives its parts of documents, and those of one
+    document meet. Elements that are no objects are left out.
+    """
+    lines = numbered_lines(spark, *paths)
+    bare = F.regexp_replace("value", JSON_MARKS.split("|")[0], "")
+    depth = F.length(F.regexp_replace(bare, r"[^\[{]", "")) - F.length(F.regexp_replace(bare, r"[^\]}]", ""))
+    lines = settle(lines.withColumn("_change", depth))
+    known = Ordered(lines, ["path"], ["line_no"]).running_sums({"_after": "_change"}).df
+    begun = known.select("path", "line_no", (F.col("_after") - F.col("_change")).cast("int").alias("_depth"), "value")
+    parts = settle(begun.mapInArrow(_pieces(int(in_array)), "path string, line_no long, part long, begins long, text string"))
+    numbered = Ordered(parts, ["path"], ["line_no", "part"]).running_sums({"record": "begins"}).df
+    texts = F.array_sort(F.collect_list(F.struct("line_no", "part", "text")))["text"]
+    whole = numbered.groupBy("path", "record").agg(F.array_join(texts, "\n").alias("text")).where(F.startswith("text", F.lit("{")))
+    if isinstance(schema, str):
+        schema = spark.createDataFrame([], schema).schema
+    return whole.select(F.from_json("text", schema).alias("d")).select("d.*")
+
+
 def yearly(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """One Parquet table per year as one table; a column a year lacks is null there."""
     return aligned([spark.read.parquet(p) for p in paths])

@@ -9,15 +9,16 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 
-def match(events: DataFrame, late: str, longest: str) -> DataFrame:
+def match(starts: DataFrame, ends: DataFrame, late: str, longest: str) -> DataFrame:
     """Ends joined to their starts as both arrive; a start is forgotten when no end can come any more.
 
-    events: normalised events as a stream; late: how much too late a row may come; longest: the longest interval.
+    starts, ends: normalised events as streams, other kinds do not count; late: how much too late a row may come;
+    longest: the longest interval.
     """
-    starts = events.where("event_kind = 'Start'").select(
+    starts = starts.where("event_kind = 'Start'").select(
         F.col("event_uid").alias("start_uid"), F.col("ts").alias("start_time"), F.col("start_millis").alias("start_ms"), "trace_id"
     )
-    ends = events.where("event_kind = 'End'").select(
+    ends = ends.where("event_kind = 'End'").select(
         F.col("start_event_uid").alias("end_uid"), F.col("ts").alias("end_time"), F.col("start_millis").alias("end_ms"), "class"
     )
     same = F.expr(
@@ -134,16 +135,16 @@ def counter_rates(
     )
 
 
-def open_starts(events: DataFrame, late: str, longest: str) -> DataFrame:
+def open_starts(starts: DataFrame, ends: DataFrame, late: str, longest: str) -> DataFrame:
     """Starts that no end names, given once none can come any more: `longest` after the start, by the watermark.
 
-    events: normalised events as a stream; late: how much too late a row may come.
+    starts, ends: normalised events as streams, other kinds do not count; late: how much too late a row may come.
     An end that comes within that time is in no result, nor is its start.
     """
-    starts = events.where("event_kind = 'Start'").select(
+    starts = starts.where("event_kind = 'Start'").select(
         "class", "service_id", "start_millis", F.col("event_uid").alias("start_uid"), F.col("ts").alias("start_time")
     )
-    ends = events.where("event_kind = 'End'").select(F.col("start_event_uid").alias("end_uid"), F.col("ts").alias("end_time"))
+    ends = ends.where("event_kind = 'End'").select(F.col("start_event_uid").alias("end_uid"), F.col("ts").alias("end_time"))
     same = F.expr(f"start_uid = end_uid AND end_time >= start_time AND end_time <= start_time + INTERVAL {longest}")
     joined = starts.withWatermark("start_time", late).join(ends.withWatermark("end_time", late), same, "left_outer")
     return joined.where("end_uid IS NULL").select("class", "service_id", "start_millis")

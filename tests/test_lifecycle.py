@@ -208,6 +208,16 @@ def test_closure_of_a_long_chain_and_a_ring(spark):
     assert {(r["ancestor"], r["descendant"]) for r in pairs if r["ancestor"] >= 100} == {(100, 100), (100, 101), (101, 100), (101, 101)}
 
 
+def test_ways_double(spark, monkeypatch):
+    """A chain of 300 links in nine rounds and one that finds nothing, a short cut counting before the long way."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(0, 250)], "p int, c int")
+    rounds, kind = [], type(edges)
+    monkeypatch.setattr(kind, "checkpoint", lambda self, *a, f=kind.checkpoint: rounds.append(1) or f(self, *a))
+    pairs = trees.closure(edges, "p", "c").collect()
+    assert len(rounds) <= 1 + 10 and len(pairs) == 300 * 301 // 2
+    assert all(r["depth"] == (min(r["descendant"], abs(r["descendant"] - 250) + 1) if r["ancestor"] == 0 and r["descendant"] >= 250 else r["descendant"] - r["ancestor"]) for r in pairs)
+
+
 def test_the_thirtieth_member_can_speak_for_its_group(spark):
     rows = [("g", i, i, "svc" if i == 29 else None, "sig") for i in range(30)]
     got = alerts.inherited(spark.createDataFrame(rows, "g string, created int, tie int, service string, signature string"), "g", "created", "tie", "service", "signature")

@@ -70,7 +70,7 @@ def events(spark, *rows):
 
 
 def test_open_starts_wait_for_late_ends(spark):
-    build = lambda s: jobs.open_starts(s, "10 seconds", "100 seconds")
+    build = lambda s: jobs.open_starts(s, s, "10 seconds", "100 seconds")
     batches = [
         events(spark, ("Start", "a", 1000), ("Start", "b", 1001), ("Start", "c", 1002)),
         events(spark, ("End", "a", 1050), ("Start", "d", 1060)),

@@ -9,6 +9,7 @@ from opswell.plans import load
 from opswell.session import scratch, tune
 from opswell.sources import readers, writers
 from opswell.sources.keyed import KeyedTable
+from opswell.streaming import files
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -79,6 +80,30 @@ def test_numbered_lines_keep_file_order(spark):
     assert [int(r["value"]) for r in rows] == list(range(5000))
 
 
+def test_one_json_array_is_read_in_splits(spark):
+    path = scratch(spark, "array")
+    schema = "id long, name string, tags array<struct<k:string,v:array<long>>>"
+    hard = ['"', "\\\\", '\\"}', "[{", "],", "a\nb", "", "é{", None]
+    rows = [(i, hard[i % len(hard)], [(hard[(i + j) % len(hard)], list(range(j))) for j in range(i % 4)]) for i in range(600)]
+    docs = spark.createDataFrame(rows, schema).coalesce(1).orderBy("id")
+    texts = docs.select(F.to_json(F.struct(*docs.columns), {"pretty": "true"}).alias("value"))
+    files.json_arrays(texts.coalesce(1)).write.option("lineSep", "\n").text(path)
+    want = sorted(map(repr, readers.documents(spark, path, multi_line=True, schema=schema).collect()))
+    assert len(want) == 600
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        assert readers.numbered_lines(spark, path).select("path").rdd.getNumPartitions() > 1
+        assert sorted(map(repr, readers.array_documents(spark, path, schema=schema).collect())) == want
+        # Several documents in a line, and documents one after the other.
+        packed, apart = scratch(spark, "packed"), scratch(spark, "apart")
+        spark.createDataFrame([('[1, "x", {"id":1},{"id":2,"name":"]"}',), (',{"id":3}, [], {"id":',), ("4}]",)], "value string").coalesce(1).write.text(packed)
+        spark.createDataFrame([('{"id":1}{"id":2', ), ('} {"id":3}',)], "value string").coalesce(1).write.text(apart)
+        assert sorted(r.id for r in readers.array_documents(spark, packed, schema="id long").collect() if r.id) == [1, 2, 3, 4]
+        assert sorted(r.id for r in readers.array_documents(spark, apart, schema="id long", in_array=False).collect()) == [1, 2, 3]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
