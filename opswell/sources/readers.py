@@ -114,7 +114,8 @@ def array_documents(spark: SparkSession, *paths: str, schema: str | T.StructType
     document meet. Elements that are no objects are left out.
     """
     lines = numbered_lines(spark, *paths)
-    bare = F.regexp_replace("value", JSON_MARKS.split("|")[0], "")
+    # Escapes stand in strings only; without them a string ends at the next quote, which takes no nested pattern.
+    bare = F.regexp_replace(F.regexp_replace("value", r"\\.", ""), '"[^"]*"', "")
     depth = F.length(F.regexp_replace(bare, r"[^\[{]", "")) - F.length(F.regexp_replace(bare, r"[^\]}]", ""))
     lines = settle(lines.withColumn("_change", depth))
     known = Ordered(lines, ["path"], ["line_no"]).running_sums({"_after": "_change"}).df
