@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Row, functions as F, types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 
@@ -70,33 +69,39 @@ class _Rates(StatefulProcessor):
         """The first millisecond at which a key last seen at `at` is idle."""
         return (at + self.idle) * 1000 + 1
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         # The rows of one key in one batch; the size of a batch is bounded by the source's trigger.
-        batch = pd.concat(list(rows)).sort_values([self.at, self.tie]).reset_index(drop=True)
-        held = self.state.get() if self.state.exists() else None
-        # What is held stands before the rows as one more, whose values are taken up as they are.
-        before = [] if held is None else [held[0]]
-        at = pd.Series([*before, *batch[self.at]], dtype="Int64")
-        gap = at.diff()
-        first = gap.isna() | (gap > self.idle if self.idle is not None else False)
-        epoch = first.cumsum()
-        result = batch[[*self.keys, self.tie]].copy()
-        last = [int(at.iloc[-1])]
-        for i, m in enumerate(self.measures):
-            v = pd.concat([pd.Series([] if held is None else [held[i + 1]], dtype="Int64"), batch[m].astype("string").astype("Int64")], ignore_index=True)
-            known = v.where(first | (gap > 0)).groupby(epoch).ffill()
-            base = known.groupby(epoch).shift(1)
-            rate = ((v - base) / gap).where(~first & (gap > 0) & (v >= base))
-            result[f"{m}_rate"] = rate.iloc[len(before) :].astype("Float64").to_numpy("float64", na_value=float("nan"))
-            last.append(None if pd.isna(known.iloc[-1]) else int(known.iloc[-1]))
-        if self.idle is not None:
-            if held is not None:
-                self.handle.deleteTimer(self._ends(held[0]))
-            self.handle.registerTimer(self._ends(last[0]))
-        self.state.update(tuple(last))
-        yield result
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        # Rows without a time come first, as in the batch twin; those without a tie last.
+        place = lambda r: (r[self.at] is not None, r[self.at], r[self.tie] is None, r[self.tie])
+        held = self.state.get()
+        before = None if held is None else held[0]
+        last, known = before, [None] * len(self.measures) if held is None else list(held[1:])
+        result = Row(*self.keys, self.tie, *[f"{m}_rate" for m in self.measures])
+        out = []
+        for row in sorted(rows, key=place):
+            at, values = row[self.at], [row[m] for m in self.measures]
+            gap = None if at is None or last is None else at - last
+            if gap is None or (self.idle is not None and gap > self.idle):
+                known, found = values, [None] * len(values)
+            elif gap > 0:
+                found = [None if v is None or k is None or v < k else float(v - k) / gap for v, k in zip(values, known)]
+                known = [k if v is None else v for v, k in zip(values, known)]
+            else:
+                found = [None] * len(values)
+            last = at
+            out.append(result(*[row[k] for k in self.keys], row[self.tie], *found))
+        if self.idle is not None and last != before:
+            if before is not None:
+                self.handle.deleteTimer(self._ends(before))
+            if last is not None:
+                self.handle.registerTimer(self._ends(last))
+        if last is not None:
+            self.state.update((last, *known))
+        elif held is not None:
+            self.state.clear()
+        return iter(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         """The key has been silent for too long: its next row is a first row, so nothing is kept of it."""
         self.state.clear()
         return iter(())
@@ -124,10 +129,9 @@ def counter_rates(
     """
     types = dict(rows.dtypes)
     schema = ", ".join([f"{k} {types[k]}" for k in [*keys, tie]] + [f"{m}_rate double" for m in measures])
-    # As texts, whole numbers beside nulls keep all their digits on the way to pandas.
-    texts = {m: F.col(m).cast("long").cast("string") for m in measures}
-    timed = rows.withColumns({**texts, "_event_time": F.timestamp_seconds(at)}).withWatermark("_event_time", late)
-    return timed.groupBy(*keys).transformWithStateInPandas(
+    # A batch has many keys with few rows each, so the fold goes row by row: columns of one key would cost more to make than to read.
+    wanted = rows.select(*keys, tie, at, *[F.col(m).cast("long").alias(m) for m in measures], F.timestamp_seconds(at).alias("_event_time"))
+    return wanted.withWatermark("_event_time", late).groupBy(*keys).transformWithState(
         statefulProcessor=_Rates(list(keys), at, tie, list(measures), idle_seconds),
         outputStructType=schema,
         outputMode="Append",

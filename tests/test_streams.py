@@ -2,9 +2,10 @@
 
 import datetime
 import random
+import time
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 from opswell.operators import rates
 from opswell.session import scratch
@@ -184,3 +185,49 @@ def test_a_stream_to_several_sinks_goes_on_after_a_restart(spark):
         spark.createDataFrame([("a", i, "") for i in range(batch * 3, batch * 3 + 3)], ROWS).write.mode("append").parquet(source)
         found.follow(spark.readStream.schema(ROWS).parquet(source), state).trigger(availableNow=True).start().awaitTermination()
     assert sinks(found) == {"even": [0, 2, 4, 6, 8], "big": [6, 7, 8], "none": [], "other": [1, 3, 5]}
+
+
+class _Held:
+    """The state of one key after the other, in place of the one that Spark keeps."""
+
+    def __init__(self):
+        self.rows, self.key, self.timers = {}, None, set()
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        return self.rows.get(self.key)
+
+    def exists(self):
+        return self.key in self.rows
+
+    def update(self, row):
+        self.rows[self.key] = row
+
+    def clear(self):
+        self.rows.pop(self.key)
+
+    def registerTimer(self, at):
+        self.timers.add((self.key, at))
+
+    def deleteTimer(self, at):
+        self.timers.remove((self.key, at))
+
+
+def test_many_keys_with_few_rows_are_folded_row_by_row():
+    """A key's fold must not cost tens of milliseconds: a batch has as many keys as the table has hosts."""
+    names = [f"m{i}" for i in range(8)]
+    handle, fold = _Held(), jobs._Rates(["host"], "at", "seq", names, 300)
+    fold.init(handle)
+    row = Row("host", "at", "seq", *names)
+    begun = time.process_time()
+    for key in range(2000):
+        handle.key = key
+        first = list(fold.handleInputRows((key,), iter([row(key, 100, 2, *[7] * 8), row(key, 90, 1, *[None, *[2] * 7])]), None))
+        then = list(fold.handleInputRows((key,), iter([row(key, None, 4, *[1] * 8), row(key, 110, 3, *[8] * 8)]), None))
+        assert [r.seq for r in first] == [1, 2] and first[1].m0_rate is None and first[1].m1_rate == 0.5
+        # A row without a time ends what was before, as in the batch form.
+        assert [(r.seq, r.m0_rate) for r in then] == [(4, None), (3, None)]
+    assert time.process_time() - begun < 10
+    assert handle.timers == {(k, 410_001) for k in range(2000)} and set(handle.rows.values()) == {(110, *[8] * 8)}
