@@ -362,6 +362,13 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], x: str, at: dict[str,
     return grouped.select(*keys, *results)
 
 
+def _merged(fold: Callable, a: Column, b: Column) -> Column:
+    """A fold over two sets of rows from the folds over each; null stands for no row."""
+    if fold in (F.max, F.min):
+        return (F.greatest if fold is F.max else F.least)(a, b)
+    return F.coalesce(a + b, a, b)
+
+
 def sliding(
     df: DataFrame,
     keys: Sequence[str],
@@ -369,14 +376,20 @@ def sliding(
     before: int,
     after: int,
     parts: dict[str, Column],
-    over: dict[str, Callable],
+    over: dict[str, Callable | Column],
+    folds: dict[str, Callable] | None = None,
 ) -> DataFrame:
     """Aggregates over the rows of the key with x in [here - before, here + after], for a whole-number x.
 
     parts: name -> aggregate of the rows that share one x (rows are counted together first).
-    over: result name -> function of the window, reading parts.
+    over: result name -> function of the window, reading parts; its work for a row grows with the points of a frame.
+    folds: part -> F.sum, F.max or F.min; over then holds columns that read the parts folded over the frame.
     Gives one row per key and x. A value of x is copied to the at most two blocks
     whose frames can reach it, so no group spans more than two frame widths.
+
+    All frames of a block hold the place `after` behind the block's beginning. So a
+    frame is what lies before that place, a running fold going down, and what lies
+    from it on, a running fold going up: work for a row that does not depend on the frame.
     """
     width = before + after + 1
     points = df.groupBy(*keys, x).agg(*[e.alias(n) for n, e in parts.items()])
@@ -385,9 +398,16 @@ def sliding(
         "_block",
         F.explode(F.sequence(F.floor((F.col(x) - after) / width), F.floor((F.col(x) + before) / width))),
     )
-    w = Window.partitionBy(*keys, "_block").orderBy(x).rangeBetween(-before, after)
-    return (
-        copies.select(*keys, x, "_block", *[f(w).alias(n) for n, f in over.items()])
-        .where(F.col("_block") == home)
-        .drop("_block")
-    )
+    group = Window.partitionBy(*keys, "_block")
+    if folds is None:
+        w = group.orderBy(x).rangeBetween(-before, after)
+        found, results = [f(w).alias(n) for n, f in over.items()], list(over)
+    else:
+        from_middle = F.col(x) >= F.col("_block") * width + after
+        down = group.orderBy(F.col(x).desc()).rangeBetween(Window.unboundedPreceding, before)
+        up = group.orderBy(x).rangeBetween(Window.unboundedPreceding, after)
+        found = [
+            _merged(f, f(F.when(~from_middle, F.col(n))).over(down), f(F.when(from_middle, F.col(n))).over(up)).alias(n) for n, f in folds.items()
+        ]
+        results = [e.alias(n) for n, e in over.items()]
+    return copies.select(*keys, x, "_block", *found).where(F.col("_block") == home).select(*keys, x, *results)

@@ -137,7 +137,7 @@ def month_around(t):
     around = segments.sliding(
         w, ["year"], "x", MONTH_SECONDS, MONTH_SECONDS,
         {"s": F.sum("temp"), "n": F.count(F.lit(1))},
-        {"around": lambda f: F.sum("s").over(f) / F.sum("n").over(f)},
+        {"around": F.col("s") / F.col("n")}, {"s": F.sum, "n": F.sum},
     )
     return w.join(around, ["year", "x"]).select("stn", "mo", "da", "around")
 
@@ -152,7 +152,8 @@ def hours_around(t):
     around = segments.sliding(
         rows, ["event_type"], "x", 10800, 3600,
         {"s": F.sum("c"), "n": F.count(F.lit(1)), "m": F.max("c")},
-        {"around": lambda f: F.sum("s").over(f) / F.sum("n").over(f), "top": lambda f: F.max("m").over(f)},
+        {"around": F.col("s") / F.col("n"), "top": F.col("m")},
+        {"s": F.sum, "n": F.sum, "m": F.max},
     )
     return rows.join(around, ["event_type", "x"]).select("event_id", "around", "top")
 
@@ -167,7 +168,7 @@ def months_around(t):
     )
     around = segments.sliding(
         rows, ["o_orderpriority"], "x", 1, 1, {"s": F.sum("c"), "n": F.count(F.lit(1))},
-        {"around": lambda f: F.sum("s").over(f) / F.sum("n").over(f)},
+        {"around": F.col("s") / F.col("n")}, {"s": F.sum, "n": F.sum},
     )
     return rows.join(around, ["o_orderpriority", "x"]).select("o_orderkey", "around")
 

@@ -1,11 +1,13 @@
 """Spread windows against plain windows, on rows where one key holds a third of the table and some keys are null."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import Window, functions as F
 
 from opswell.operators import segments as S
+from opswell.plans import load
 
 
 @pytest.fixture(scope="module")
@@ -185,6 +187,26 @@ def test_sliding(rows):
     same(got, want)
 
 
+def test_sliding_folds_equal_the_frames(rows):
+    known = rows.where("x is not null")
+    for before, after in ((30, 7), (0, 0), (3, 90), (1, 1)):
+        w = Window.partitionBy("k").orderBy("x").rangeBetween(-before, after)
+        got = S.sliding(
+            known, ["k"], "x", before, after, {"s": F.sum("v"), "m": F.max("v"), "l": F.min("v")},
+            {"s": F.col("s"), "m": F.col("m"), "l": F.col("l")}, {"s": F.sum, "m": F.max, "l": F.min},
+        )
+        want = known.select("k", "x", F.sum("v").over(w).alias("s"), F.max("v").over(w).alias("m"), F.min("v").over(w).alias("l")).distinct()
+        same(got, want)
+
+
+@pytest.mark.parametrize("name", ["win10", "win10_hours", "win11"])
+def test_frames_of_the_queries_only_grow(name, spark):
+    """A frame that moves at both ends is worked through anew for every row."""
+    plan = load()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    frames = re.findall(r"specifiedwindowframe\(RangeFrame, ([^,]+),", plan)
+    assert frames and set(frames) == {"unboundedpreceding$()"}
+
+
 def test_a_hot_key_is_spread(rows):
     spans = O(rows)
     sizes = [r["n"] for r in spans.rows.where("k = 'hot'").groupBy(S.SPAN).agg(F.count("*").alias("n")).collect()]
