@@ -7,6 +7,8 @@ so every query's work grows with the data.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from opswell.functions.numbers import cents
@@ -147,9 +149,17 @@ def jobs(t: Tables) -> DataFrame:
     )
 
 
-def stages(t: Tables) -> DataFrame:
-    """Order lines as stages with their byte counts; a stage is open while one of its lines is."""
-    lines_ = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(
+def order_lines(t: Tables) -> DataFrame:
+    """Line items dealt by their order: groups below the order and the join to it then move them no second time."""
+    return t.lineitem.where("l_orderkey IS NOT NULL").repartition("l_orderkey")
+
+
+def stages(t: Tables, orders: DataFrame | None = None, more: Sequence[str] = ()) -> DataFrame:
+    """Order lines as stages with their byte counts; a stage is open while one of its lines is.
+
+    orders: the given orders with further columns, of which `more` are kept.
+    """
+    lines_ = order_lines(t).groupBy("l_orderkey", "l_linenumber").agg(
         F.max("l_linestatus").alias("last_status"),
         F.sum(cents("l_extendedprice")).alias("bytes"),
         F.sum(F.floor("l_quantity")).alias("quantity"),
@@ -157,7 +167,8 @@ def stages(t: Tables) -> DataFrame:
         F.count(F.lit(1)).alias("num_tasks"),
     )
     start = millis("o_orderdate") + F.col("l_linenumber") * HOUR
-    return lines_.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+    return lines_.join(t.orders if orders is None else orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        *more,
         F.col("o_custkey").alias("app"),
         F.col("o_orderkey").alias("job"),
         (F.col("o_orderkey") * 10 + F.col("l_linenumber")).alias("stage"),
@@ -172,15 +183,16 @@ def stages(t: Tables) -> DataFrame:
     )
 
 
-def tasks(t: Tables) -> DataFrame:
-    """Line items as tasks of their stage; a task is open unless all its rows are finished."""
-    rows = t.lineitem.groupBy("l_orderkey", "l_linenumber", "l_partkey").agg(
+def tasks(t: Tables, orders: DataFrame | None = None, more: Sequence[str] = ()) -> DataFrame:
+    """Line items as tasks of their stage; a task is open unless all its rows are finished. orders, more: as for stages."""
+    rows = order_lines(t).groupBy("l_orderkey", "l_linenumber", "l_partkey").agg(
         F.max("l_linestatus").alias("last_status"),
         F.sum(F.floor("l_quantity")).alias("quantity"),
         F.sum(cents("l_extendedprice")).alias("bytes"),
     )
     start = millis("o_orderdate") + F.col("l_linenumber") * HOUR + MINUTE
-    return rows.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+    return rows.join(t.orders if orders is None else orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        *more,
         F.col("o_custkey").alias("app"),
         F.col("o_orderkey").alias("job"),
         (F.col("o_orderkey") * 10 + F.col("l_linenumber")).alias("stage"),
@@ -232,22 +244,25 @@ def raw_events(t: Tables, kinds: tuple[str, ...] = ALL_EVENTS) -> DataFrame:
         F.concat(F.lit("/events/app-"), F.col("c_custkey")).alias("file_path"),
     )
 
-    def emit(df: DataFrame, event: str, ms: str, *fields: Column) -> DataFrame:
-        return df.where(F.col(ms).isNotNull()).select(
-            "host",
-            "file_path",
-            F.timestamp_millis(F.col(ms) + 250).alias("ingest_ts"),
-            F.to_json(F.struct(F.lit(event).alias("Event"), *fields)).alias("line"),
-        )
+    def event(name: str, ms: str, *fields: Column) -> Column:
+        line = F.to_json(F.struct(F.lit(name).alias("Event"), *fields))
+        return F.struct(F.col(ms).alias("ms"), F.when(F.col(ms).isNotNull(), line).alias("line"))
+
+    def emit(df: DataFrame, *events: Column) -> DataFrame:
+        """The lines of all end points from one pass over the operations."""
+        points = df.select("host", "file_path", F.inline(F.array(*events))).where("ms IS NOT NULL")
+        return points.select("host", "file_path", F.timestamp_millis(F.col("ms") + 250).alias("ingest_ts"), "line")
 
     def at(ms: str, name: str) -> Column:
         return F.col(ms).alias(name)
 
     app_id = F.concat(F.lit("app-"), F.col("app"))
     properties = F.struct(app_id.alias("spark.app.id"), F.lit("scope").alias("spark.rdd.scope")).alias("Properties")
+    # Orders take their customer's place once; their lines meet both in one join.
+    placed = t.orders.join(place, F.col("o_custkey") == F.col("app")).drop("app")
     job = spread(jobs(t)).join(place, "app")
-    stage = stages(t).join(place, "app")
-    task = tasks(t).join(place, "app")
+    stage = stages(t, placed, ("host", "file_path"))
+    task = tasks(t, placed, ("host", "file_path"))
     sql = spread(t.events).select(
         F.lit("host-sql").alias("host"),
         F.concat(F.lit("/events/app-"), F.col("user_id")).alias("file_path"),
@@ -284,33 +299,39 @@ def raw_events(t: Tables, kinds: tuple[str, ...] = ALL_EVENTS) -> DataFrame:
     ).alias("Accumulables")
     sql_package = "org.apache.spark.sql.execution.ui."
     parts = {
-        "app": [
-            emit(apps, "SparkListenerApplicationStart", "start_ms", F.col("name").alias("App Name"), app_id.alias("App ID"), at("start_ms", "Timestamp")),
-            emit(apps, "SparkListenerApplicationEnd", "end_ms", at("end_ms", "Timestamp")),
-        ],
-        "job": [
-            emit(job, "SparkListenerJobStart", "start_ms", F.col("job").alias("Job ID"), at("start_ms", "Submission Time"), properties),
-            emit(job, "SparkListenerJobEnd", "end_ms", F.col("job").alias("Job ID"), at("end_ms", "Completion Time")),
-        ],
-        "stage": [
-            emit(stage, "SparkListenerStageSubmitted", "start_ms", stage_info("start_ms", "Submission Time"), properties),
-            emit(stage, "SparkListenerStageCompleted", "end_ms", stage_info("end_ms", "Completion Time")),
-        ],
-        "task": [
-            emit(task, "SparkListenerTaskStart", "start_ms", *of_stage, task_info().alias("Task Info")),
-            emit(task, "SparkListenerTaskEnd", "end_ms", *of_stage, task_info(at("end_ms", "Finish Time"), counts).alias("Task Info")),
-        ],
-        "sql": [
-            emit(sql, sql_package + "SparkListenerSQLExecutionStart", "start_ms", F.col("event_id").alias("executionId"), at("start_ms", "time")),
-            emit(sql, sql_package + "SparkListenerSQLExecutionEnd", "end_ms", F.col("event_id").alias("executionId"), at("end_ms", "time")),
-        ],
-        "executor": [
-            emit(executor, "SparkListenerExecutorAdded", "start_ms", F.col("executor").alias("Executor ID"), at("start_ms", "Timestamp")),
-            emit(executor, "SparkListenerBlockManagerAdded", "start_ms", at("start_ms", "Timestamp")),
-        ],
-        "odd": [emit(odd, "SparkListenerUnheardOf", "start_ms")],
+        "app": emit(
+            apps,
+            event("SparkListenerApplicationStart", "start_ms", F.col("name").alias("App Name"), app_id.alias("App ID"), at("start_ms", "Timestamp")),
+            event("SparkListenerApplicationEnd", "end_ms", at("end_ms", "Timestamp")),
+        ),
+        "job": emit(
+            job,
+            event("SparkListenerJobStart", "start_ms", F.col("job").alias("Job ID"), at("start_ms", "Submission Time"), properties),
+            event("SparkListenerJobEnd", "end_ms", F.col("job").alias("Job ID"), at("end_ms", "Completion Time")),
+        ),
+        "stage": emit(
+            stage,
+            event("SparkListenerStageSubmitted", "start_ms", stage_info("start_ms", "Submission Time"), properties),
+            event("SparkListenerStageCompleted", "end_ms", stage_info("end_ms", "Completion Time")),
+        ),
+        "task": emit(
+            task,
+            event("SparkListenerTaskStart", "start_ms", *of_stage, task_info().alias("Task Info")),
+            event("SparkListenerTaskEnd", "end_ms", *of_stage, task_info(at("end_ms", "Finish Time"), counts).alias("Task Info")),
+        ),
+        "sql": emit(
+            sql,
+            event(sql_package + "SparkListenerSQLExecutionStart", "start_ms", F.col("event_id").alias("executionId"), at("start_ms", "time")),
+            event(sql_package + "SparkListenerSQLExecutionEnd", "end_ms", F.col("event_id").alias("executionId"), at("end_ms", "time")),
+        ),
+        "executor": emit(
+            executor,
+            event("SparkListenerExecutorAdded", "start_ms", F.col("executor").alias("Executor ID"), at("start_ms", "Timestamp")),
+            event("SparkListenerBlockManagerAdded", "start_ms", at("start_ms", "Timestamp")),
+        ),
+        "odd": emit(odd, event("SparkListenerUnheardOf", "start_ms")),
     }
-    chosen = [df for kind in kinds for df in parts[kind]]
+    chosen = [parts[kind] for kind in kinds]
     out = chosen[0]
     for p in chosen[1:]:
         out = out.unionByName(p)

@@ -2,7 +2,9 @@
 
 import json
 import random
+import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from opswell.operators import alerts, lifecycle, nearest, rates, rollups, trees
@@ -222,3 +224,20 @@ def test_the_thirtieth_member_can_speak_for_its_group(spark):
     rows = [("g", i, i, "svc" if i == 29 else None, "sig") for i in range(30)]
     got = alerts.inherited(spark.createDataFrame(rows, "g string, created int, tie int, service string, signature string"), "g", "created", "tie", "service", "signature")
     assert [(r["service"], r["member"]) for r in got.collect()] == [("svc", 29)]
+
+
+@pytest.mark.parametrize("name, scans", [("joi14", 2), ("joi15", 2), ("str01", 2), ("str07_stream", 0), ("scl31", 1)])
+def test_line_items_are_read_and_moved_once_per_kind(name, scans, spark):
+    """A start and an end come from one pass, and order lines meet their order where they were grouped."""
+    from opswell.plans import load
+
+    if not scans:  # its stream has run by then; its rows are made of operations
+        from opswell.sources import standins
+        from opswell.sources.tables import Tables
+
+        plan, scans = standins.operations(Tables(spark, "/root/testdata/sf0.001")), 2
+    else:
+        plan = load()[name](spark, "/root/testdata/sf0.001")
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"FileScan parquet .*lineitem.parquet", text)) == scans
+    assert len(re.findall(r"Exchange hashpartitioning\(l_orderkey", text)) == scans
