@@ -209,32 +209,43 @@ def deliver_once(df: DataFrame, key: str = "event_id") -> DataFrame:
     return known(df).dropDuplicates([key])
 
 
-def match(events: DataFrame, on: str = "id") -> DataFrame:
+def _packed(c: str) -> Column:
+    """An id as the 20 bytes that its 40 hexadecimal digits stand for; any other text behind 21 zero bytes, so that no two are equal."""
+    plain = F.concat(F.lit(bytes(21)), F.col(c).cast("binary"))
+    return F.when(F.col(c).rlike("^[0-9a-f]{40}$"), F.unhex(c)).otherwise(plain)
+
+
+def _unpacked(c: Column) -> Column:
+    return F.when(F.length(c) == 20, F.lower(F.hex(c))).otherwise(F.substring(c, 22, 2**31 - 1).cast("string"))
+
+
+PAIR = ["start_time", "end_time", "realm", "class", "service_name", "trace_id", "parent_id", "start_ms", "end_ms", "duration_ms", "start_event_id", "end_event_id"]
+
+
+def match(events: DataFrame, on: str = "id", columns: Sequence[str] = PAIR) -> DataFrame:
     """Every end with the start it names as one interval row, with its duration.
 
     A start and its end have the same routing key: the start's id (on="id") or
     uid (on="uid"). So both meet by grouping on that key, in one pass and one
-    shuffle; a group holds one pair and its repeated deliveries.
+    shuffle; a group holds one pair and its repeated deliveries. The shuffle takes
+    only what the columns asked for are made of, ids as bytes.
     """
-    key = {"id": "routing_id", "uid": "routing_uid"}[on]
-    side = lambda kind, *fields: F.max(F.when(F.col("event_kind") == kind, F.struct(*fields)))
-    start = side("Start", "start_millis", "ts", "service_name", "trace_id", "trace_parent_id", "event_id")
-    end = side("End", "start_millis", "ts", "realm", "class", "event_id")
-    pairs = events.groupBy(key).agg(start.alias("s"), end.alias("e")).where("s IS NOT NULL AND e IS NOT NULL")
-    return pairs.select(
-        F.col("s.ts").alias("start_time"),
-        F.col("e.ts").alias("end_time"),
-        "e.realm",
-        "e.class",
-        "s.service_name",
-        "s.trace_id",
-        F.col("s.trace_parent_id").alias("parent_id"),
-        F.col("s.start_millis").alias("start_ms"),
-        F.col("e.start_millis").alias("end_ms"),
-        (F.col("e.start_millis") - F.col("s.start_millis")).alias("duration_ms"),
-        F.col("s.event_id").alias("start_event_id"),
-        F.col("e.event_id").alias("end_event_id"),
-    )
+    key = {"id": _packed("routing_id"), "uid": F.col("routing_uid")}[on]
+    ids = ["trace_id", "trace_parent_id", "event_id"]
+    starts = {"start_ms": "start_millis", "start_time": "ts", "service_name": "service_name", "trace_id": "trace_id", "parent_id": "trace_parent_id", "start_event_id": "event_id"}
+    ends = {"end_ms": "start_millis", "end_time": "ts", "realm": "realm", "class": "class", "end_event_id": "event_id"}
+
+    def side(kind, made_of):
+        # The time always comes first: of several deliveries the one with the latest counts.
+        fields = [c for name, c in made_of.items() if c == "start_millis" or name in columns]
+        return F.max(F.when(F.col("event_kind") == kind, F.struct(*[_packed(c).alias(c) if c in ids else F.col(c) for c in fields])))
+
+    pairs = events.groupBy(key.alias("_key")).agg(side("Start", starts).alias("s"), side("End", ends).alias("e")).where("s IS NOT NULL AND e IS NOT NULL")
+    found = {"duration_ms": F.col("e.start_millis") - F.col("s.start_millis")}
+    for at, made_of in (("s", starts), ("e", ends)):
+        for name, c in made_of.items():
+            found[name] = _unpacked(F.col(f"{at}.{c}")) if c in ids else F.col(f"{at}.{c}")
+    return pairs.select(*[found[name].alias(name) for name in PAIR if name in columns])
 
 
 def flag_matched(events: DataFrame) -> DataFrame:

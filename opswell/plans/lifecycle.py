@@ -63,8 +63,7 @@ def matched_stream(t):
 
 @query("str03_batch", JOB_PAIRS)
 def matched_batch(t):
-    rows = L.match(L.deliver_once(L.normalise(S.raw_events(t, ("job",)))))
-    return rows.select("trace_id", "class", "start_ms", "end_ms", "duration_ms")
+    return L.match(L.deliver_once(L.normalise(S.raw_events(t, ("job",)))), columns=["trace_id", "class", "start_ms", "end_ms", "duration_ms"])
 
 
 FLAGGED = """

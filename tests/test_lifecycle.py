@@ -226,6 +226,25 @@ def test_the_thirtieth_member_can_speak_for_its_group(spark):
     assert [(r["service"], r["member"]) for r in got.collect()] == [("svc", 29)]
 
 
+def test_matching_keeps_any_id_and_moves_only_what_is_asked_for(spark):
+    hexed, near = "0123456789abcdef0123456789abcdef01234567", "0123456789ABCDEF0123456789abcdef01234567"
+    rows = [
+        (kind, i, f"u{i}", kind + i, "n", f"t{i}", None, hexed, "r", "Job", at)
+        for i in (hexed, near, "", "0" * 19, "x") for kind, at in (("Start", 1000), ("Start", 1000), ("End", 3000))
+    ]
+    schema = "event_kind string, routing_id string, routing_uid string, event_uid string, service_name string, trace_id string, trace_parent_id string, event_id string, realm string, class string, start_millis long"
+    events = spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_millis("start_millis"))
+    for on in ("id", "uid"):
+        pairs = lifecycle.match(events, on)
+        assert pairs.columns == lifecycle.PAIR
+        got = sorted((r.trace_id, r.parent_id, r.start_event_id, r.end_event_id, r.duration_ms) for r in pairs.collect())
+        assert got == sorted((f"t{i}", None, hexed, hexed, 2000) for i in (hexed, near, "", "0" * 19, "x"))
+        few = lifecycle.match(events, on, ["trace_id", "duration_ms"])
+        assert sorted(few.collect()) == sorted(pairs.select("trace_id", "duration_ms").collect())
+        grouping = [line for line in few._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in line]
+        assert len(grouping) == 1 and "trace_id" in grouping[0] and "service_name" not in grouping[0]
+
+
 @pytest.mark.parametrize("name, scans", [("joi14", 2), ("joi15", 2), ("str01", 2), ("str07_stream", 0), ("scl31", 1)])
 def test_line_items_are_read_and_moved_once_per_kind(name, scans, spark):
     """A start and an end come from one pass, and order lines meet their order where they were grouped."""
