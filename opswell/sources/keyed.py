@@ -100,11 +100,13 @@ class KeyedTable:
                 new.append(len(buckets))
                 buckets.append({"bits": b["bits"] + split, "value": (b["value"] << split) + v, "folder": None, "rows": 0})
         old = self._rows(state, list(more)) if more else None
-        merged = fresh if old is None else newest(old.unionByName(fresh, allowMissingColumns=True), [self.key], self.order)
-        schema = merged.schema
+        rows = fresh if old is None else old.unionByName(fresh, allowMissingColumns=True)
+        schema = rows.schema
         target = f"{self.path}/{folder}"
-        # The grouping by key and the dealing by bucket are one shuffle each; a bucket is one task and one file.
-        merged.withColumn("bucket", self._bucket(buckets)).repartition(max(1, len(new)), "bucket").write.partitionBy("bucket").parquet(target)
+        # One shuffle: a bucket holds its keys whole, so rows dealt by bucket need not move again to be grouped by key.
+        dealt = rows.withColumn("bucket", self._bucket(buckets)).repartition(max(1, len(new)), "bucket")
+        merged = dealt if old is None else newest(dealt, ["bucket", self.key], self.order)
+        merged.write.partitionBy("bucket").parquet(target)
         fail("data")
         written = self.spark.read.schema(f"bucket INT, {_ddl(schema)}").parquet(target)
         for r in written.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect():

@@ -2,6 +2,7 @@
 
 import datetime
 import random
+import re
 import time
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import Row, functions as F
 
 from opswell.operators import rates
 from opswell.session import scratch
+from opswell.sources import keyed as keyed_tables
 from opswell.sources.keyed import KeyedTable, Routes
 from opswell.streaming import jobs
 
@@ -231,3 +233,20 @@ def test_many_keys_with_few_rows_are_folded_row_by_row():
         assert [(r.seq, r.m0_rate) for r in then] == [(4, None), (3, None)]
     assert time.process_time() - begun < 10
     assert handle.timers == {(k, 410_001) for k in range(2000)} and set(handle.rows.values()) == {(110, *[8] * 8)}
+
+
+def test_a_batch_is_moved_once_into_its_buckets(spark, monkeypatch):
+    """Old and new rows are dealt by bucket and grouped by key where they then are."""
+    plans, plain = [], keyed_tables.newest
+
+    def spied(*given):
+        out = plain(*given)
+        plans.append(re.findall(r"Exchange hashpartitioning\((\w+)", out._jdf.queryExecution().executedPlan().toString()))
+        return out
+
+    monkeypatch.setattr(keyed_tables, "newest", spied)
+    table = keyed(spark)
+    table.upsert(spark.createDataFrame([(f"k{i}", 1, "x") for i in range(50)], ROWS))
+    table.upsert(spark.createDataFrame([(f"k{i}", n, "y") for i in range(40) for n in (2, 3)], ROWS))
+    assert plans == [["id"], ["id"], ["bucket"]]
+    assert content(table) == {f"k{i}": (3, "y") if i < 40 else (1, "x") for i in range(50)}
