@@ -12,6 +12,16 @@ def cents(c: Column | str) -> Column:
     return F.round(col(c) * 100).cast("long")
 
 
+def whole_number(c: Column | str) -> Column:
+    """Text as a whole number; null where it is none or too large.
+
+    A cast that fails makes an exception for each row, which costs more than the
+    rest of the row's work. So only signs and digits are cast, within the white
+    space and control characters that a cast drops.
+    """
+    return F.when(col(c).rlike(r"^[\x00-\x20\x7f]*[+-]?[0-9]+[\x00-\x20\x7f]*$"), col(c).try_cast("long"))
+
+
 def ratio(top: Column | str, bottom: Column | str) -> Column:
     """Quotient, null where the divisor is 0."""
     return F.try_divide(col(top).cast("double"), col(bottom).cast("double"))
