@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from opswell import session
+from opswell.functions.numbers import whole_number
+from opswell.functions.text import once
 from opswell.operators import segments
 from opswell.operators.tables import newest
 
@@ -69,7 +71,8 @@ def parse(raw: DataFrame, line: str = "line", kind: str | None = None) -> DataFr
 
     kind: Start, End or Point, for the events of this kind only; the others are dropped unparsed, too.
     """
-    named = raw.withColumn("event", F.regexp_extract(line, '"Event"\\s*:\\s*"([^"]+)"', 1))
+    # Each of the conditions below would extract the name again.
+    named = once(raw, event=F.regexp_extract(line, '"Event"\\s*:\\s*"([^"]+)"', 1))
     known = named.where((F.col("event") != "") & ~F.col("event").isin(TIMELESS))
     if kind is not None:
         known = known.where(F.col("event").isin([event for event, _, k, _, _ in FORMS if k == kind]))
@@ -177,7 +180,7 @@ def numeric_accumulables(c: Column) -> Column:
     return F.transform(
         c,
         lambda x: F.struct(
-            x["Name"].alias("Name"), x["Value"].try_cast("long").alias("Value"), x["Update"].try_cast("long").alias("Update")
+            x["Name"].alias("Name"), whole_number(x["Value"]).alias("Value"), whole_number(x["Update"]).alias("Update")
         ),
     )
 

@@ -1,5 +1,6 @@
 """Lifecycle operators against plain Python folds on small hand-made cases."""
 
+import inspect
 import json
 import random
 import re
@@ -7,8 +8,10 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from opswell import session
 from opswell.functions import numbers
 from opswell.operators import alerts, lifecycle, nearest, rates, rollups, trees
+from opswell.streaming import files
 
 
 def fold_active(points):
@@ -272,3 +275,13 @@ def test_numbers_as_text_give_what_a_cast_gives(spark):
     acc = F.array(F.struct(F.lit("n").alias("Name"), F.col("t").alias("Value"), F.lit("1").alias("Update")))
     plan = rows.select(lifecycle.numeric_accumulables(acc).alias("a"))._jdf.queryExecution().analyzed().toString()
     assert plan.count("RLIKE") == plan.count("try_cast") == 2
+
+
+def test_the_name_of_an_event_is_extracted_once(spark):
+    """Neither the filters on the name nor the join with the forms extract it again."""
+    lines = ['{"Event":"SparkListenerJobEnd","Job ID":7,"Completion Time":5}', '{"Event":""}', '{"Event":"SparkListenerLogStart"}', '{"x":1, "Event" : "Other"}', "no event", None]
+    raw = spark.createDataFrame([("h", "/p", x) for x in lines], "host string, file_path string, line string").withColumn("ingest_ts", F.timestamp_millis(F.lit(1)))
+    for kind, names in ((None, ["Other", "SparkListenerJobEnd"]), ("End", ["SparkListenerJobEnd"])):
+        rows = lifecycle.normalise(raw, kind)
+        assert rows._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") == 1
+        assert sorted(r["event"] for r in rows.collect()) == names
