@@ -17,6 +17,8 @@ RUNTIME = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # A task that writes a few folders keeps their files open instead of sorting all its rows by folder.
+    "spark.sql.maxConcurrentOutputFileWriters": "8",
     # Code beyond this size is not compiled by the Java machine; wide projections are then better made in several parts.
     "spark.sql.codegen.hugeMethodLimit": "8000",
     # Streams keep their state on disk instead of in the heap, and write down what a batch has changed.

@@ -151,7 +151,11 @@ def jobs(t: Tables) -> DataFrame:
 
 def order_lines(t: Tables) -> DataFrame:
     """Line items dealt by their order: groups below the order and the join to it then move them no second time."""
-    return t.lineitem.where("l_orderkey IS NOT NULL").repartition("l_orderkey")
+    rows = t.lineitem.where("l_orderkey IS NOT NULL")
+    # Four partitions for each split of the files, so that a task's groups stay as many when the input grows.
+    parts = 4 * rows.rdd.getNumPartitions()
+    few = parts <= int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition("l_orderkey") if few else rows.repartition(parts, "l_orderkey")
 
 
 def stages(t: Tables, orders: DataFrame | None = None, more: Sequence[str] = ()) -> DataFrame:

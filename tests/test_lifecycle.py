@@ -285,3 +285,28 @@ def test_the_name_of_an_event_is_extracted_once(spark):
         rows = lifecycle.normalise(raw, kind)
         assert rows._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") == 1
         assert sorted(r["event"] for r in rows.collect()) == names
+
+
+def test_a_task_gets_no_more_order_lines_when_the_input_grows(spark, tmp_path):
+    """Partitions follow the splits of the files where these ask for more than the setting does."""
+    from opswell.sources import standins
+    from opswell.sources.tables import SCHEMAS, Tables
+
+    rows = [(i, 1, 1, 1, 1.0, 1.0, 0.0, 0.0, "N", "F", None) for i in range(40)] + [(None, 1, 1, 1, 1.0, 1.0, 0.0, 0.0, "N", "F", None)]
+    spark.createDataFrame(rows, SCHEMAS["lineitem"]).repartition(4).write.parquet(f"{tmp_path}/lineitem.parquet")
+    t, held = Tables(spark, str(tmp_path)), spark.conf.get("spark.sql.shuffle.partitions")
+    splits = t.lineitem.rdd.getNumPartitions()
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "1")
+        dealt = standins.order_lines(t)
+        assert dealt.rdd.getNumPartitions() == 4 * splits > 1 and dealt.count() == 40
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+
+
+def test_parts_of_a_replay_are_written_without_sorting(spark, tmp_path):
+    """As many files may be open as a replay has parts, so a task need not sort its rows by part."""
+    session.tune(spark)
+    spark.range(20).select("id", (F.col("id") % 6).alias("_slice")).write.partitionBy("_slice").parquet(f"{tmp_path}/parts")
+    assert int(spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")) > inspect.signature(files.replayed).parameters["slices"].default
+    assert spark.read.parquet(f"{tmp_path}/parts").groupBy("_slice").count().count() == 6
