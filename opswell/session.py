@@ -23,6 +23,8 @@ RUNTIME = {
     "spark.sql.codegen.hugeMethodLimit": "8000",
     # Streams keep their state on disk instead of in the heap, and write down what a batch has changed.
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # Counting the rows of the state would look each one up before it is written.
+    "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
