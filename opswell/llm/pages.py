@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from opswell.llm.shingles import mix64, word_hashes
@@ -26,6 +27,10 @@ from opswell.session import settle
 RUN, LONG = 6, 24
 #: Distinct pages that hold a run or block at least, and those that hold a block of an article (half of the host's as well).
 SEVERAL, MANY = 3, 5
+#: Bytes of blocks that are hashed together.
+SLAB = 4 << 20
+#: Numbers that are sent to all pages at most.
+FEW = 1 << 20
 
 # Kinds of elements.
 HIDDEN = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "textarea", "select", "option", "button", "head", "title"}
@@ -170,48 +175,88 @@ def _windows(h: np.ndarray, width: int, kind: int) -> np.ndarray:
     return g.view(np.int64)
 
 
-def _whole(texts: list[str], kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each block of RUN tokens or more (0 for shorter), hashes of all tokens, and tokens of each block."""
-    h, counts = word_hashes(pa.array(texts, pa.string()))
-    ends = np.cumsum(counts)
-    out = np.zeros(len(texts), np.int64)
-    for i in np.flatnonzero(counts >= RUN):
-        own = h[ends[i] - counts[i] : ends[i]]
-        place = mix64(np.arange(1, len(own) + 1, dtype=np.uint64))
-        out[i] = mix64(np.array([np.bitwise_xor.reduce(mix64(own + place))], np.uint64) + np.uint64(kind)).view(np.int64)[0]
-    return out, h, counts
+def _whole(h: np.ndarray, counts: np.ndarray, kind: int) -> np.ndarray:
+    """Hash of each block of RUN tokens or more, 0 for shorter. h: hashes of all tokens; counts: tokens of each block."""
+    out, held = np.zeros(len(counts), np.uint64), np.flatnonzero(counts)
+    if len(held):
+        starts = np.cumsum(counts) - counts
+        place = np.arange(1, len(h) + 1, dtype=np.int64) - np.repeat(starts, counts)
+        out[held] = mix64(np.bitwise_xor.reduceat(mix64(h + mix64(place.astype(np.uint64))), starts[held]) + np.uint64(kind))
+    out[counts < RUN] = 0
+    return out.view(np.int64)
 
 
 #: Kinds of grams: runs of RUN and LONG tokens and whole blocks outside of articles, blocks inside.
 SHORT_RUN, LONG_RUN, BLOCK, ARTICLE = 1, 2, 3, 4
 
 
-def _grams(inside: list[str] | None, outside: list[str]) -> tuple[dict[int, np.ndarray], np.ndarray]:
-    """Hashes of a page by kind, in order of place, and the tokens of each block outside."""
-    whole, h, counts = _whole(outside, BLOCK)
-    return {SHORT_RUN: _windows(h, RUN, SHORT_RUN), LONG_RUN: _windows(h, LONG, LONG_RUN), BLOCK: whole, ARTICLE: _whole(inside or [], ARTICLE)[0]}, counts
+def _tokens(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all tokens of some pages' blocks, tokens of each block, and the page of each block."""
+    h, counts = word_hashes(lists.flatten())
+    return h, counts, np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+
+
+def _grams(inside: pa.ListArray, outside: pa.ListArray) -> tuple[dict[int, tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """By kind, the page of each gram and its hash (0: none), in order of place; and the tokens of each block outside."""
+    h, counts, page = _tokens(outside)
+    found, of = {BLOCK: (page, _whole(h, counts, BLOCK))}, np.repeat(page, counts)
+    for kind, width in ((SHORT_RUN, RUN), (LONG_RUN, LONG)):
+        g = _windows(h, width, kind)
+        # A run that goes on into the next page is none.
+        found[kind] = of[: len(g)], np.where(of[: len(g)] == of[len(of) - len(g) :], g, 0)
+    own, sizes, page = _tokens(inside)
+    return found | {ARTICLE: (page, _whole(own, sizes, ARTICLE))}, counts
+
+
+def _slabs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with some SLAB bytes of blocks, a page at least."""
+    sizes = np.zeros(len(batch), np.int64)
+    for c in ("inside", "outside"):
+        lists = batch.column(c)
+        size = pc.binary_length(lists.flatten()).fill_null(0).to_numpy(zero_copy_only=False)
+        np.add.at(sizes, np.repeat(np.arange(len(batch)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)), size)
+    slab = (np.cumsum(sizes) - sizes) // SLAB
+    starts = [0, *(np.flatnonzero(np.diff(slab)) + 1).tolist(), len(batch)]
+    for a, b in zip(starts, starts[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
 
 
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each gram of a page once."""
+    """The grams of some pages and how many of these pages hold each."""
     for batch in batches:
-        for i in range(len(batch)):
-            found, _ = _grams(batch.column("inside")[i].as_py(), batch.column("outside")[i].as_py())
-            for kind, g in found.items():
-                g = np.unique(g[g != 0])
-                yield pa.RecordBatch.from_arrays([batch.column("host").take(pa.array(np.full(len(g), i))), pa.array(np.full(len(g), kind, np.int32)), pa.array(g)], ["host", "kind", "gram"])
+        for part in _slabs(batch):
+            found, _ = _grams(part.column("inside"), part.column("outside"))
+            hosts = part.column("host").dictionary_encode()
+            codes = hosts.indices.to_numpy()
+            for kind, (page, g) in found.items():
+                page, g = page[g != 0], g[g != 0]
+                order = np.lexsort((page, g, codes[page]))
+                page, g, host = page[order], g[order], codes[page][order]
+                new = np.ones(len(g), bool)
+                new[1:] = (g[1:] != g[:-1]) | (host[1:] != host[:-1])
+                once = new.copy()
+                once[1:] |= page[1:] != page[:-1]
+                n = np.add.reduceat(once.astype(np.int64), np.flatnonzero(new)) if len(g) else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [hosts.dictionary.take(pa.array(host[new])), pa.array(np.full(len(n), kind, np.int32)), pa.array(g[new]), pa.array(n)], ["host", "kind", "gram", "n"]
+                )
 
 
 def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The grams that can take something from a page, each once: an article's blocks, or else all outside."""
     for batch in batches:
-        for i in range(len(batch)):
-            inside = batch.column("inside")[i].as_py()
-            found, _ = _grams(inside, batch.column("outside")[i].as_py() if inside is None else [])
-            for kind, g in found.items():
-                g = np.unique(g[g != 0])
-                at = pa.array(np.full(len(g), i))
-                yield pa.RecordBatch.from_arrays([batch.column("row").take(at), batch.column("host").take(at), pa.array(np.full(len(g), kind, np.int32)), pa.array(g)], ["row", "host", "kind", "gram"])
+        for part in _slabs(batch):
+            inside, outside = part.column("inside"), part.column("outside")
+            found, _ = _grams(inside, pc.if_else(pc.is_null(inside), outside, pa.scalar(None, outside.type)))
+            for kind, (page, g) in found.items():
+                page, g = page[g != 0], g[g != 0]
+                order = np.lexsort((g, page))
+                page, g = page[order], g[order]
+                new = np.ones(len(g), bool)
+                new[1:] = (g[1:] != g[:-1]) | (page[1:] != page[:-1])
+                at = pa.array(page[new])
+                yield pa.RecordBatch.from_arrays([part.column("row").take(at), part.column("host").take(at), pa.array(np.full(len(at), kind, np.int32)), pa.array(g[new])], ["row", "host", "kind", "gram"])
 
 
 def _unique_blocks(keep: list[str]):
@@ -220,12 +265,12 @@ def _unique_blocks(keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for inside, outside, loose, repeated in zip(*(batch.column(c).to_pylist() for c in ("inside", "outside", "loose", "repeated"))):
+            for i, (inside, outside, loose, repeated) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("inside", "outside", "loose", "repeated")))):
                 if not repeated:
                     out.append("\n".join(inside if inside is not None else [t for t, free in zip(outside, loose) if free]))
                     continue
-                found, counts = _grams(inside, outside)
-                again = {kind: np.isin(g, np.array(repeated, np.int64)) & (g != 0) for kind, g in found.items()}
+                found, counts = _grams(batch.column("inside").slice(i, 1), batch.column("outside").slice(i, 1))
+                again = {kind: np.isin(g, np.array(repeated, np.int64)) & (g != 0) for kind, (_, g) in found.items()}
                 if inside is not None:
                     out.append("\n".join(t for t, cut in zip(inside, again[ARTICLE]) if not cut))
                     continue
@@ -244,6 +289,11 @@ def _unique_blocks(keep: list[str]):
     return run
 
 
+def _side(rows: DataFrame, numbers) -> DataFrame:
+    """Settled rows as one side of a join with the pages: sent to them if these are few numbers, else both sides are moved."""
+    return F.broadcast(rows) if (rows.agg(F.sum(numbers)).first()[0] or 0) <= FEW else rows
+
+
 def main_text(pages: DataFrame, keep: list[str]) -> DataFrame:
     """The columns of `keep` with `text`, the main text of each page.
 
@@ -267,14 +317,16 @@ def main_text(pages: DataFrame, keep: list[str]) -> DataFrame:
     parsed = settle(rows.mapInArrow(_parse(keep), schema).withColumn("row", F.monotonically_increasing_id()))
     firsts = parsed.groupBy("host", "copy").agg(F.min("row").alias("row"))
     half = firsts.groupBy("host").agg((F.count(F.lit(1)) / 2).alias("half"))
-    distinct = parsed.select("row", "host", "inside", "outside").join(firsts.select("row"), "row", "left_semi")
-    held = distinct.select("host", "inside", "outside").mapInArrow(_distinct, "host string, kind int, gram long").groupBy("host", "kind", "gram").agg(F.count(F.lit(1)).alias("n"))
+    # Texts stay where they are as long as few pages are copies and few hold what is to be cut.
+    copies = settle(parsed.select("row").join(firsts.select("row"), "row", "left_anti"))
+    distinct = parsed.select("row", "host", "inside", "outside").join(_side(copies, F.lit(1)), "row", "left_anti")
+    held = distinct.select("host", "inside", "outside").mapInArrow(_distinct, "host string, kind int, gram long, n long").groupBy("host", "kind", "gram").agg(F.sum("n").alias("n"))
     least = F.when(F.col("kind") == ARTICLE, MANY).otherwise(SEVERAL)
     shared = F.col("kind").isin(LONG_RUN, BLOCK) | (F.col("n") >= F.col("half"))
     repeated = settle(held.filter(F.col("n") >= least).join(half, "host").filter(shared).select("host", "kind", "gram"))
     mine = parsed.select("row", "host", "inside", "outside").mapInArrow(_placed, "row long, host string, kind int, gram long")
     # Outside of articles, runs tell only about pages without one.
-    found = mine.join(repeated, ["host", "kind", "gram"]).groupBy("row").agg(F.collect_list("gram").alias("repeated"))
+    found = settle(mine.join(repeated, ["host", "kind", "gram"]).groupBy("row").agg(F.collect_list("gram").alias("repeated")))
     columns = ["inside", "outside", "loose", "repeated"]
     text_schema = rows.select(*keep)._jdf.schema().toDDL() + ", text string"
-    return parsed.join(found, "row", "left").select(*keep, *columns).mapInArrow(_unique_blocks(keep), text_schema)
+    return parsed.join(_side(found, F.size("repeated")), "row", "left").select(*keep, *columns).mapInArrow(_unique_blocks(keep), text_schema)

@@ -1,3 +1,8 @@
+from collections import Counter
+
+import pyarrow as pa
+import pytest
+
 from opswell.llm import pages
 
 SCHEMA = "page_id long, url string, html string, main string, host string, text string"
@@ -87,3 +92,51 @@ def test_whole_table(spark, tables):
     texts = {" ".join(r.text.split()) for r in tables.documents.collect() if r.text}
     assert len(rows) == tables.pages.count()
     assert all(" ".join(r.text.split("\n")[1:]) in texts and r.n_chars == len(r.text) for r in rows)
+
+
+def rows_of(batches):
+    return [tuple(r.values()) for b in batches for r in b.to_pylist()]
+
+
+@pytest.mark.parametrize("slab", [1, pages.SLAB])
+def test_grams_of_many_pages_at_once(monkeypatch, slab):
+    """They are each page's own, none goes over from one page into the next, and a part of a batch is a few batches."""
+    monkeypatch.setattr(pages, "SLAB", slab)
+    words = [f"w{k % 11}" for k in range(60)]
+    inside = [None, [" ".join(words[:7]), "short"], [], [" ".join(words[:7])] * 2, None, None]
+    outside = [[" ".join(words)] * 2, [" ".join(words[:30])], [], ["a b c"], [" ".join(words[3:]), "x"], []]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(6)), pa.array(["h", "h", "h", "i", "h", "i"]), pa.array(inside, pa.list_(pa.string())), pa.array(outside, pa.list_(pa.string()))], ["row", "host", "inside", "outside"]
+    )
+    held, placed = Counter(), []
+    for i in range(len(batch)):
+        one = batch.slice(i, 1)
+        for host, kind, gram, n in rows_of(pages._distinct(iter([one]))):
+            assert n == 1
+            held[host, kind, gram] += 1
+        placed += rows_of(pages._placed(iter([one])))
+    got = list(pages._distinct(iter([batch])))
+    assert len(got) <= 4 * (1 if slab > 1 else len(batch))
+    total = Counter()
+    for host, kind, gram, n in rows_of(got):
+        total[host, kind, gram] += n
+    assert total == held and max(held.values()) > 1
+    again = rows_of(pages._placed(iter([batch])))
+    assert sorted(again) == sorted(placed) and len(set(again)) == len(again)
+
+
+def test_texts_stay_in_place_while_few_are_cut(spark, monkeypatch):
+    """The same texts with and without a small side that is sent to the pages."""
+    menu = "<div>Home News Sport Weather Contact About Shop</div>"
+    rows = [(i, "http://h/", page(f"{menu}<p>a{i} story told</p>")) for i in range(4)] + [(9, "http://h/", page(f"{menu}<p>a1 story told</p>"))]
+    df = spark.createDataFrame([(i, u, h, "x", "y", "z") for i, u, h in rows], SCHEMA)
+    plan = lambda: pages.main_text(df, ["page_id"])._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        want = run(spark, rows)
+        assert "SortMergeJoin" not in plan()
+        monkeypatch.setattr(pages, "FEW", -1)
+        assert "SortMergeJoin" in plan()
+        assert run(spark, rows) == want == {**{i: f"a{i} story told" for i in range(4)}, 9: "a1 story told"}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
