@@ -339,5 +339,4 @@ UNION ALL SELECT 'j' || job, 2, 'a' || app || '/j' || job, 'a' || app, coalesce(
 UNION ALL SELECT 's' || stage, 3, 'a' || app || '/j' || job || '/s' || stage, 'a' || app, coalesce(n, 0) FROM stages LEFT JOIN (SELECT stage AS ps, count(*) AS n FROM tasks GROUP BY 1) ON stage = ps
 UNION ALL SELECT 't' || stage || '-' || task, 4, 'a' || app || '/j' || job || '/s' || stage || '/t' || stage || '-' || task, 'a' || app, 0 FROM tasks"""))
 def span_tree(t):
-    # Every level looks its parents up in the spans again.
-    return trees.levels(session.settle(spans(t))).drop("parent_id")
+    return trees.levels(session.settle(spans(t), "zstd")).drop("parent_id")

@@ -67,7 +67,7 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def settle(df):
+def settle(df, codec=None):
     """The rows written once to the shared folder and read back.
 
     For rows that are costly to make and are needed several times: later steps
@@ -76,7 +76,7 @@ def settle(df):
     """
     spark = df.sparkSession
     path = scratch(spark, "settled")
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 

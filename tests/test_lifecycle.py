@@ -4,6 +4,7 @@ import inspect
 import json
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -207,6 +208,65 @@ def test_deep_trees_rings_and_missing_parents(spark):
     assert all(got[k]["level"] is None and got[k]["root"] is None and got[k]["path"] is None for k in ("r1", "r2", "r3", "below", "self"))
 
 
+def paths_to(spans):
+    """All paths of each id by its rows (id, parent), None for one that meets a ring."""
+    parents = {}
+    for i, p in spans:
+        parents.setdefault(i, []).append(p)
+
+    def up(i, seen):
+        if i in seen:
+            return [None]
+        if i not in parents:
+            return [[i]]
+        out = []
+        for p in parents[i]:
+            out += [[i]] if p is None else [above and [*above, i] for above in up(p, {*seen, i})]
+        return out
+
+    return {i: up(i, set()) for i in parents if i is not None}
+
+
+@pytest.mark.parametrize("again", [False, True])
+def test_forests_of_all_shapes(spark, again):
+    """Leaves at every height, chains, rings, missing parents, spans without an id, and ids that repeat."""
+    r = random.Random(7)
+    rows = [("n0", None), ("m0", None), ("lone", None)] + [(f"n{i}", f"n{r.randrange(max(0, i - 40), i)}") for i in range(1, 300)]
+    rows += [(f"m{i}", f"m{i - 1}") for i in range(1, 25)] + [(f"leaf{i}", f"m{i}") for i in range(25)]
+    rows += [(f"o{i}", f"gone{i % 3}") for i in range(9)] + [("o/x", "o1"), ("r1", "r2"), ("r2", "r1"), ("r3", "r1"), ("r4", "r3"), ("self", "self"), (None, "n0"), (None, None)]
+    if again:
+        rows += [("m24", "m23"), ("n7", "lone"), ("n0", None), ("o1", "gone1"), ("leaf3", "m3")]
+    paths, children = paths_to(rows), Counter(p for _, p in rows)
+    want = Counter()
+    for i, p in rows:
+        for path in paths[i] if i is not None else []:
+            want[i, p, path and len(path), path and "/".join(path), path and path[0], children[i]] += 1
+    out = trees.levels(spark.createDataFrame(rows, "span_id string, parent_id string").repartition(5))
+    assert out.columns == ["span_id", "parent_id", "level", "path", "root", "children"] and dict(out.dtypes)["level"] == "int"
+    assert Counter(tuple(x) for x in out.collect()) == want
+
+
+def test_leaves_take_part_in_no_round(spark, monkeypatch):
+    """What is written in between is less than twice the spans, whatever the tree's height."""
+    rows = [("a", None)] + [(f"j{i}", "a") for i in range(10)] + [(f"s{i}", f"j{i % 10}") for i in range(100)] + [(f"t{i}", f"s{i % 100}") for i in range(1000)]
+    written = []
+
+    def counted(df, *a, settle=trees.session.settle):
+        out = settle(df, *a)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(trees.session, "settle", counted)
+    got = trees.levels(spark.createDataFrame(rows, "span_id string, parent_id string")).collect()
+    assert len(got) == len(rows) and {x["level"] for x in got} == {1, 2, 3, 4}
+    assert sum(written) < 2 * len(rows)
+
+
+def test_no_spans(spark):
+    out = trees.levels(spark.createDataFrame([], "span_id string, parent_id string"))
+    assert out.count() == 0
+
+
 def test_closure_of_a_long_chain_and_a_ring(spark):
     edges = [(i, i + 1) for i in range(55)] + [(100, 101), (101, 100)]
     pairs = trees.closure(spark.createDataFrame(edges, "p int, c int"), "p", "c").collect()
