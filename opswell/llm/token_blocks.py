@@ -29,6 +29,8 @@ BLOCK = ROWS * COLUMNS
 #: Share of a block's ids that its width must hold, and tokens after which a file ends.
 PERCENTILE = 90
 TOKENS_PER_FILE = 4 << 20
+#: Blocks packed or unpacked at a time.
+AT_ONCE = 256
 
 
 def _packed(v: np.ndarray, width: int) -> np.ndarray:
@@ -56,10 +58,18 @@ def _unpacked(words: np.ndarray, width: int) -> np.ndarray:
 
 def encode_blocks(ids: np.ndarray, percentile: int = PERCENTILE) -> tuple[np.ndarray, bytes]:
     """Starts of the blocks, and the blocks. The last block is filled up with its last id."""
+    starts, blocks, size = [np.zeros(0, "<u8")], [], 0
+    for at in range(0, len(ids), AT_ONCE * BLOCK):
+        own, data = _encode_some(ids[at : at + AT_ONCE * BLOCK], percentile)
+        starts.append(own + np.uint64(size))
+        blocks.append(data)
+        size += len(data)
+    return np.concatenate(starts).astype("<u8"), b"".join(blocks)
+
+
+def _encode_some(ids: np.ndarray, percentile: int) -> tuple[np.ndarray, bytes]:
     n = -(-len(ids) // BLOCK)
-    v = np.concatenate([ids, np.full(n * BLOCK - len(ids), ids[-1] if len(ids) else 0, np.uint32)]).astype(np.uint32).reshape(n, BLOCK)
-    if not n:
-        return np.zeros(0, "<u8"), b""
+    v = np.concatenate([ids, np.full(n * BLOCK - len(ids), ids[-1], np.uint32)]).astype(np.uint32).reshape(n, BLOCK)
     low = v.min(axis=1)
     v = v - low[:, None]
     held = np.partition(v, (BLOCK * percentile - 1) // 100, axis=1)[:, (BLOCK * percentile - 1) // 100]
@@ -87,10 +97,15 @@ def encode_blocks(ids: np.ndarray, percentile: int = PERCENTILE) -> tuple[np.nda
 
 def decode_blocks(starts: np.ndarray, data: np.ndarray, count: int) -> np.ndarray:
     """The first `count` ids of the blocks."""
-    n = len(starts)
-    if not n:
-        return np.zeros(0, np.uint32)
-    starts = starts.astype(np.int64)
+    out = np.zeros(len(starts) * BLOCK, np.uint32)
+    for at in range(0, len(starts), AT_ONCE):
+        own = starts[at : at + AT_ONCE]
+        out[at * BLOCK : (at + len(own)) * BLOCK] = _decode_some(own, data)
+    return out[:count]
+
+
+def _decode_some(starts: np.ndarray, data: np.ndarray) -> np.ndarray:
+    n, starts = len(starts), starts.astype(np.int64)
     heads = np.ascontiguousarray(data[starts[:, None] + np.arange(BLOCK_HEAD.itemsize)]).view(BLOCK_HEAD).ravel()
     width, more = heads["width"].astype(np.int64), heads["more"].astype(np.int64)
     v = np.zeros((n, BLOCK), np.uint32)
@@ -104,7 +119,7 @@ def decode_blocks(starts: np.ndarray, data: np.ndarray, count: int) -> np.ndarra
     place = np.ascontiguousarray(data[(lists[block] + 2 * nth)[:, None] + np.arange(2)]).view("<u2").ravel()
     value = np.ascontiguousarray(data[(lists[block] + 2 * more[block] + 4 * nth)[:, None] + np.arange(4)]).view("<u4").ravel()
     v[block, place] = value
-    return (v + heads["low"][:, None]).ravel()[:count]
+    return (v + heads["low"][:, None]).ravel()
 
 
 def encode_file(part: int, place: int, doc_ids: list, counts: np.ndarray, ids: np.ndarray) -> bytes:

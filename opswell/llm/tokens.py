@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from itertools import repeat
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text worked on at a time, and bytes of words and their ids that are remembered from one slab to the next.
-SLAB = 6 << 20
-REMEMBERED = 48 << 20
+#: Bytes of text worked on at a time, bytes of words and their ids that are remembered from one slab to the next, and those of
+#: an entry in their dictionary.
+SLAB = 4 << 20
+REMEMBERED = 64 << 20
+ENTRY = 100
 
 # A word of Latin letters between signs. Its three parts are encoded apart by every tokenizer here, as signs and letters
 # never share a token; a leading apostrophe could, so it is not taken.
@@ -58,39 +63,26 @@ def slabs(texts: pa.Array, most: int = SLAB):
 
 
 class Store:
-    """Id lists one after the other."""
+    """Ids of strings, each string's as one binary, found by the strings themselves; what is remembered is not hashed again."""
 
     def __init__(self):
-        self.starts, self.lengths, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-
-    def put(self, ids: np.ndarray, lengths: np.ndarray):
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.ids = np.concatenate([self.ids, ids])
-
-    def get(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids at these places one after the other, and how many each has."""
-        n = self.lengths[places]
-        return self.ids[ragged(self.starts[places], n)], n
-
-
-class Words(Store):
-    """Id lists by word, found by the words themselves."""
-
-    def __init__(self):
-        super().__init__()
-        self.words = pa.array([], pa.large_string())
-
-    def add(self, words: pa.Array, ids: np.ndarray, lengths: np.ndarray):
-        self.words = pa.concat_arrays([self.words, words.cast(pa.large_string())])
-        self.put(ids, lengths)
-
-    def places(self, words: pa.Array) -> np.ndarray:
-        """-1 for what is not known."""
-        return np.asarray(pc.fill_null(pc.index_in(words.cast(pa.large_string()), value_set=self.words), -1).cast(pa.int64()))
-
-    def size(self) -> int:
-        return self.words.nbytes + self.ids.nbytes
+        self.known: dict[str, int] = {}
+        self.ids = pa.array([], pa.large_binary())
+        self.bytes = 0
+
+    def find(self, names: pa.Array, learn: Callable[[list[str]], pa.Array]) -> np.ndarray:
+        """Places in `ids` of distinct strings. Those that are not known are given to `learn` and remembered."""
+        words = names.to_numpy(zero_copy_only=False).tolist()
+        at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            some = [words[i] for i in new]
+            ids, first = learn(some), len(self.ids)
+            self.ids = pa.concat_arrays([self.ids, ids])
+            self.known.update(zip(some, range(first, len(self.ids))))
+            at[new] = np.arange(first, len(self.ids))
+            self.bytes += ids.nbytes + sum(map(getsizeof, some)) + ENTRY * len(some)
+        return at
 
 
 class Encoder:
@@ -106,12 +98,11 @@ class Encoder:
         self.forget()
 
     def forget(self):
-        self.words, self.parts = Words(), Words()
+        self.parts, self.others = Store(), Store()
 
-    def _learn_parts(self, parts: pa.Array):
-        """Parts of words, which hold no white space, many in one call."""
+    def _learn_parts(self, names: list[str]) -> pa.Array:
+        """Ids of parts of words, which hold no white space, many in one call."""
         ids, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-        names = parts.to_pylist()
         for i in range(0, len(names), 1000):
             some = names[i : i + 1000]
             e = self.part.encode(" ".join(some), add_special_tokens=False)
@@ -121,48 +112,40 @@ class Encoder:
             n = np.zeros(len(some), np.int64)
             n[full] = np.bincount(np.asarray(e.word_ids, np.int64), minlength=int(full.sum()))
             lengths.append(n)
-        self.parts.add(parts, np.concatenate(ids), np.concatenate(lengths))
+        return binaries(np.concatenate(ids), np.concatenate(lengths))
+
+    def _learn_others(self, names: list[str]) -> pa.Array:
+        encoded = [e.ids for e in self.whole.encode_batch(names, add_special_tokens=False)]
+        return binaries(np.array([i for ids in encoded for i in ids], np.uint32), np.array([len(ids) for ids in encoded], np.int64))
 
-    def _learn_words(self, words: pa.Array):
-        parts = pc.extract_regex(words, _PARTS)
-        simple = pc.and_(parts.is_valid(), pc.invert(pc.match_substring(words, "<|")))
-        found = parts.filter(simple)
+    def _ids(self, words: pa.Array) -> pa.Array:
+        """The ids of each distinct word, as a binary."""
+        if self.parts.bytes + self.others.bytes > REMEMBERED:
+            self.forget()
+        found = pc.extract_regex(words, _PARTS)
+        simple = pc.and_(found.is_valid(), pc.invert(pc.match_substring(words, "<|")))
+        found = found.filter(simple)
         split = [found.field(0), pc.utf8_lower(found.field(1)), found.field(2)]
         d = pa.concat_arrays([s.cast(pa.large_string()) for s in split]).dictionary_encode()
-        at = self.parts.places(d.dictionary)
-        if (at < 0).any():
-            self._learn_parts(d.dictionary.filter(pa.array(at < 0)))
-            at = self.parts.places(d.dictionary)
-        ids, n = self.parts.get(at[np.asarray(d.indices)].reshape(3, -1).T.ravel())
-        self.words.add(words.filter(simple), ids, n.reshape(-1, 3).sum(axis=1))
-        others = words.filter(pc.invert(simple))
-        if len(others):
-            encoded = [e.ids for e in self.whole.encode_batch(others.to_pylist(), add_special_tokens=False)]
-            self.words.add(others, np.array([i for ids in encoded for i in ids], np.uint32), np.array([len(ids) for ids in encoded], np.int64))
-
-    def _places(self, words: pa.Array) -> np.ndarray:
-        """The place in the store of each distinct word."""
-        if self.words.size() + self.parts.size() > REMEMBERED:
-            self.forget()
-        at = self.words.places(words)
-        if (at < 0).any():
-            self._learn_words(words.filter(pa.array(at < 0)))
-            at = self.words.places(words)
-        return at
+        at = self.parts.find(d.dictionary, self._learn_parts)[np.asarray(d.indices)].reshape(3, -1)
+        joined = pc.binary_join_element_wise(*(self.parts.ids.take(pa.array(a)) for a in at), pa.scalar(b"", pa.large_binary()))
+        at = self.others.find(words.filter(pc.invert(simple)), self._learn_others)
+        # Words of parts come first; each word takes its place among them or behind them.
+        simple = np.asarray(simple)
+        place = np.where(simple, np.cumsum(simple) - 1, len(joined) + np.cumsum(~simple) - 1)
+        return pa.concat_arrays([joined, self.others.ids.take(pa.array(at))]).take(pa.array(place))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and how many each text has. Null is empty."""
         counts, out = np.zeros(len(texts), np.int64), []
         for rows, slab in slabs(texts):
             lists = pc.ascii_split_whitespace(slab)
-            words = lists.flatten()
-            d = words.dictionary_encode()
-            if not len(words):
+            d = lists.flatten().dictionary_encode()
+            if not len(d):
                 continue
-            places = self._places(d.dictionary)[np.asarray(d.indices)]
-            ids, n_here = self.words.get(places)
-            out.append(ids)
-            ends = np.concatenate([[0], np.cumsum(n_here)])
+            ids = self._ids(d.dictionary).take(d.indices)
+            ends = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1, ids.offset * 8) // 4
+            out.append(np.frombuffer(ids.buffers()[2] or b"", "<u4")[ends[0] : ends[-1]])
             offsets = np.asarray(lists.offsets) - lists.offsets[0].as_py()
             np.add.at(counts, rows, np.diff(ends[offsets]))
         return (np.concatenate(out) if out else np.zeros(0, np.uint32)), counts

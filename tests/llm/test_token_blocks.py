@@ -1,3 +1,5 @@
+import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -38,6 +40,21 @@ def test_forgetting_changes_nothing(plain, monkeypatch):
             assert e.encode(pa.array([t], pa.string()))[0].tolist() == plain(t)
 
 
+def test_remembered_words_cost_a_later_text_nothing():
+    def seconds(e):
+        def once():
+            began = time.process_time()
+            e.encode(pa.array(["one Two, three! 4 x5 seven"] * 3))
+            return time.process_time() - began
+
+        return min(once() for _ in range(20))
+
+    few, many = tokens.Encoder(PATH), tokens.Encoder(PATH)
+    letters = "abcdefghijklmnop"
+    many.encode(pa.array([" ".join(f"{a}{b}{c}{d}" for b in letters for c in letters for d in letters) for a in (x + y for x in letters for y in letters[:4])]))
+    assert seconds(many) < 8 * seconds(few)
+
+
 def test_words_that_polynomials_confuse(plain):
     e = tokens.Encoder(PATH)
     for power in range(8, 15):
@@ -54,6 +71,25 @@ def test_blocks_come_back(values, percentile):
     assert (back == ids).all() and len(back) == len(ids)
 
 
+def test_groups_of_blocks_make_the_same_bytes(monkeypatch):
+    ids = np.random.default_rng(5).integers(0, 49_000, 7 * token_blocks.BLOCK + 3).astype(np.uint32)
+    starts, blocks = token_blocks.encode_blocks(ids)
+    monkeypatch.setattr(token_blocks, "AT_ONCE", 2)
+    few_starts, few = token_blocks.encode_blocks(ids)
+    assert few == blocks and (few_starts == starts).all()
+    assert (token_blocks.decode_blocks(starts, np.frombuffer(blocks, np.uint8), len(ids)) == ids).all()
+
+
+def test_packing_a_file_takes_little_beside_it():
+    ids = np.random.default_rng(5).integers(0, 49_000, 2 << 20).astype(np.uint32)
+    tracemalloc.start()
+    try:
+        token_blocks.encode_blocks(ids)
+        assert tracemalloc.get_traced_memory()[1] < 4 * ids.nbytes
+    finally:
+        tracemalloc.stop()
+
+
 def test_random_blocks_come_back_and_outliers_are_patched():
     r = np.random.default_rng(3)
     for width in range(33):
