@@ -25,12 +25,35 @@ from opswell.session import settle
 PARTS = 4
 #: Candidates and queries of a block, and queries that are multiplied at a time.
 CANDIDATES, QUERIES, AT_A_TIME = 4096, 1024, 256
+#: MB of candidates that a task holds while the blocks of queries pass.
+HELD_MB = 32
 
 
-def _read(batch: pa.RecordBatch, i: int, dim: int, prefix: str):
-    n = batch.column(f"{prefix}n")[i].as_py()
-    numbers = np.frombuffer(batch.column(f"{prefix}numbers")[i].as_buffer(), np.int64).reshape(n, dim)
-    return numbers, np.frombuffer(batch.column(f"{prefix}ids")[i].as_buffer(), np.int64).reshape(n, -1)
+def _read(batch: pa.RecordBatch, i: int, dim: int):
+    n = batch.column("n")[i].as_py()
+    numbers = np.frombuffer(batch.column("numbers")[i].as_buffer(), np.int64).reshape(n, dim)
+    return numbers, np.frombuffer(batch.column("ids")[i].as_buffer(), np.int64).reshape(n, -1)
+
+
+def _passing(batches: Iterator[pa.RecordBatch], dim: int):
+    """(queries, their ids, their cutoffs, the blocks of candidates of their group) for AT_A_TIME queries after the other.
+
+    A group's blocks of candidates come first and are held; its blocks of queries then pass one by one.
+    """
+    group, held, complete = None, [], False
+    for batch in batches:
+        for i in range(len(batch)):
+            if batch.column("passes")[i].as_py():
+                if batch.column("group")[i].as_py() != group:
+                    continue  # no block of candidates has come before it
+                complete = True
+                (q, ids), cutoffs = _read(batch, i, dim), np.frombuffer(batch.column("cutoff")[i].as_buffer() or b"", np.float64)
+                for a in range(0, len(q), AT_A_TIME):
+                    yield q[a : a + AT_A_TIME], ids[a : a + AT_A_TIME, 0], cutoffs[a : a + AT_A_TIME, None], held
+            else:
+                if complete or batch.column("group")[i].as_py() != group:
+                    group, held, complete = batch.column("group")[i].as_py(), [], False
+                held.append(tuple(x.copy() for x in _read(batch, i, dim)))
 
 
 def _partial(q: np.ndarray, c: np.ndarray) -> list[np.ndarray]:
@@ -45,29 +68,40 @@ def _partial(q: np.ndarray, c: np.ndarray) -> list[np.ndarray]:
 FIRST = "query_id long, part int, partial long, score long, vec_id long, ids array<long>"
 
 
+def _highest(p: np.ndarray, most: int) -> np.ndarray:
+    """The places of the `most` highest of each row, or of all."""
+    most = min(most, p.shape[1])
+    return np.argpartition(p, p.shape[1] - most, axis=1)[:, p.shape[1] - most :]
+
+
 def _local_lists(dim: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(len(batch)):
-                (q, q_ids), (c, c_ids) = _read(batch, i, dim, "q_"), _read(batch, i, dim, "")
-                for a in range(0, len(q), AT_A_TIME):
-                    parts = _partial(q[a : a + AT_A_TIME], c)
-                    total = sum(parts)
-                    rows, most = np.arange(len(total))[:, None], min(k + 1, len(c))  # one more, as the query may be among them
-                    for g, p in enumerate(parts):
-                        at = np.argpartition(p, len(c) - most, axis=1)[:, len(c) - most :]
-                        ids = c_ids[at].reshape(-1, c_ids.shape[1])
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array(np.repeat(q_ids[a : a + AT_A_TIME, 0], most)),
-                                pa.array(np.full(at.size, g, np.int32)),
-                                pa.array(p[rows, at].ravel().astype(np.int64)),
-                                pa.array(total[rows, at].ravel().astype(np.int64)),
-                                pa.array(ids[:, 0]),
-                                _lists(ids),
-                            ],
-                            [f.split()[0] for f in FIRST.split(", ")],
-                        )
+        for q, q_ids, _, held in _passing(batches, dim):
+            rows, best = np.arange(len(q))[:, None], [[] for _ in range(PARTS)]
+            for number, (c, _) in enumerate(held):
+                parts = _partial(q, c)
+                total = sum(parts)
+                for g, p in enumerate(parts):
+                    at = _highest(p, k + 1)  # one more, as the query may be among them
+                    best[g].append((p[rows, at], total[rows, at], np.full(at.shape, number), at))
+            for g in range(PARTS):
+                p, total, number, at = (np.concatenate(x, axis=1) for x in zip(*best[g]))
+                of_all = _highest(p, k + 1)
+                p, total, number, at = (x[rows, of_all].ravel() for x in (p, total, number, at))
+                ids = np.empty((len(p), held[0][1].shape[1]), np.int64)
+                for n in np.unique(number):
+                    ids[number == n] = held[n][1][at[number == n]]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.repeat(q_ids, of_all.shape[1])),
+                        pa.array(np.full(len(p), g, np.int32)),
+                        pa.array(p.astype(np.int64)),
+                        pa.array(total.astype(np.int64)),
+                        pa.array(ids[:, 0]),
+                        _lists(ids),
+                    ],
+                    [f.split()[0] for f in FIRST.split(", ")],
+                )
 
     return run
 
@@ -82,20 +116,16 @@ LAST = "query_id long, score long, ids array<long>"
 
 def _resolved(dim: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(len(batch)):
-                (q, q_ids), (c, c_ids) = _read(batch, i, dim, "q_"), _read(batch, i, dim, "")
-                cutoffs = np.frombuffer(batch.column("q_cutoff")[i].as_buffer(), np.float64)
-                for a in range(0, len(q), AT_A_TIME):
-                    parts, t = _partial(q[a : a + AT_A_TIME], c), cutoffs[a : a + AT_A_TIME, None]
-                    uniform = t / PARTS
-                    enough = np.logical_or.reduce([p >= uniform for p in parts])
-                    reach = sum(np.maximum(p, uniform) for p in parts)
-                    row, at = np.nonzero(enough & (reach >= t))
-                    total = sum(p[row, at] for p in parts)
-                    hit = total >= t[row, 0]
-                    row, at, total = row[hit], at[hit], total[hit]
-                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[a + row, 0]), pa.array(total.astype(np.int64)), _lists(c_ids[at])], ["query_id", "score", "ids"])
+        for q, q_ids, t, held in _passing(batches, dim):
+            for c, c_ids in held:
+                parts, uniform = _partial(q, c), t / PARTS
+                enough = np.logical_or.reduce([p >= uniform for p in parts])
+                reach = sum(np.maximum(p, uniform) for p in parts)
+                row, at = np.nonzero(enough & (reach >= t))
+                total = sum(p[row, at] for p in parts)
+                hit = total >= t[row, 0]
+                row, at, total = row[hit], at[hit], total[hit]
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[row]), pa.array(total.astype(np.int64)), _lists(c_ids[at])], ["query_id", "score", "ids"])
 
     return run
 
@@ -125,20 +155,29 @@ def search(rows: DataFrame, is_query, k: int) -> DataFrame:
     classes = settle(vectors.blocked(vectors.distinct(valid, k + 1).withColumn("block", at(facts["n"], CANDIDATES)), dim, k + 1, "int64"))
     asked = valid.filter(is_query).groupBy("vec_id").agg(F.min("vector").alias("vector")).withColumn("ids", F.array("vec_id"))
     asked = settle(asked.withColumn("block", at(facts["queries"], QUERIES)))
-    candidate_blocks = max(1, -(-facts["n"] // CANDIDATES))
-
-    def with_blocks(queries: DataFrame) -> DataFrame:
-        """Each block of queries beside each block of candidates."""
-        named = queries.select([F.col(c).alias(f"q_{c}") for c in queries.columns])
-        sent = named.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(candidate_blocks - 1).cast("long"))))
-        return sent.join(classes, "block").repartition("block", "q_block")
-
-    lists = with_blocks(vectors.blocked(asked, dim, 1, "int64")).mapInArrow(_local_lists(dim, k), FIRST)
+    blocks = max(1, -(-facts["n"] // CANDIDATES))
+    held = max(1, HELD_MB * 2**20 // (CANDIDATES * 8 * (dim + k + 1)))
+    groups = min(blocks, max(-(-blocks // held), 2 * rows.sparkSession.sparkContext.defaultParallelism))
+
+    def beside(queries: DataFrame) -> DataFrame:
+        """Each block of queries after all blocks of candidates of each group, a group in one task.
+
+        They are dealt out together, not joined: the rows of a join's side say little of
+        its bytes here, and a side that is taken for a small one goes through the driver.
+        """
+        columns = ["group", "passes", "n", "numbers", "ids"]
+        kept = classes.withColumns({"group": F.pmod("block", F.lit(groups)), "passes": F.lit(False)})
+        passing = queries.withColumns({"passes": F.lit(True), "group": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))})
+        cutoff = F.col("cutoff") if "cutoff" in queries.columns else F.lit(None).cast("binary")
+        both = kept.select(*columns, F.lit(None).cast("binary").alias("cutoff")).unionByName(passing.select(*columns, cutoff.alias("cutoff")))
+        return both.repartitionById(groups, F.col("group").cast("int")).sortWithinPartitions("group", "passes")
+
+    lists = beside(vectors.blocked(asked, dim, 1, "int64")).mapInArrow(_local_lists(dim, k), FIRST)
     best = F.row_number().over(Window.partitionBy("query_id", "part").orderBy(F.desc("partial"), "vec_id"))
     seen = lists.withColumn("_place", best).filter(F.col("_place") <= k + 1).dropDuplicates(["query_id", "vec_id"])
     cutoff = _ranked(seen, k).groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.min("score")).cast("double").alias("cutoff"))
     cut = asked.join(cutoff, asked["vec_id"] == cutoff["query_id"], "left").withColumn("cutoff", F.coalesce("cutoff", F.lit(float("-inf"))))
-    found = with_blocks(vectors.blocked(cut, dim, 1, "int64", ["cutoff"])).mapInArrow(_resolved(dim), LAST)
+    found = beside(vectors.blocked(cut, dim, 1, "int64", ["cutoff"])).mapInArrow(_resolved(dim), LAST)
     return _ranked(found, k).select("query_id", "rank", "vec_id", "score")
 
 

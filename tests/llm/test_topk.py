@@ -74,6 +74,17 @@ def test_cutoff_leaves_few_entries(spark):
     assert (total == numbers @ numbers.T).all()
 
 
+def test_blocks_meet_without_a_join(spark, monkeypatch):
+    """No block goes through the driver, however large a side may be that counts as small; a group may hold one block or many."""
+    for name, n in (("CANDIDATES", 7), ("QUERIES", 3), ("AT_A_TIME", 2), ("HELD_MB", 0)):
+        monkeypatch.setattr(topk, name, n, raising=False)
+    rows = some(150, 9, 7)
+    df = frame(spark, [(i, v, 1, "x", "y") for i, v in rows], SCHEMA)
+    answer = topk.search(topk.quantised(df), F.col("vec_id") % 10 == 0, 10)
+    assert "Join Inner" not in answer._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, answer.collect())) == plain(rows, 10, 10)
+
+
 def test_distinct_keeps_the_smallest_ids(spark):
     rows = [(i, [1]) for i in (5, 3, 9, 1)] + [(7, [2])]
     got = vectors.distinct(spark.createDataFrame(rows, "vec_id long, vector array<long>"), 2).collect()
