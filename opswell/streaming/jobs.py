@@ -4,9 +4,153 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, functions as F, types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+#: Groups that starts and ends meet in, by a hash of their key, and rows that are put out at a time.
+BUCKETS, AT_A_TIME = 512, 100_000
+
+
+def _dealt(rows: DataFrame, is_start: bool, late: str, until, texts: Sequence, width: int) -> DataFrame:
+    """Rows (uid, time) of one side as they go into their groups, further columns as text."""
+    # Rows without a time meet nothing. pandas has no times beyond these years; what is compared is `at`.
+    dated = rows.where("time IS NOT NULL").withColumn("_time", F.least(F.greatest("time", F.lit("1700-01-01").cast("timestamp")), F.lit("2260-01-01").cast("timestamp")))
+    carried = [*texts, *[F.lit(None)] * (width - len(texts))]
+    return dated.withWatermark("_time", late).select(
+        "_time",
+        F.pmod(F.xxhash64("uid"), F.lit(BUCKETS)).cast("int").alias("bucket"),
+        F.lit(is_start).alias("is_start"),
+        "uid",
+        F.unix_micros("time").alias("at"),
+        (F.lit(0) if until is None else F.unix_micros(until)).cast("long").alias("until"),
+        *[c.cast("string").alias(f"c{i}") for i, c in enumerate(carried)],
+    )
+
+
+class _Meeting(StatefulProcessor):
+    """Keeps the starts and ends of one group of keys that later rows may still meet, as one table.
+
+    unmatched: a start is put out when no end can come any more and none has come,
+    and forgotten when one comes; otherwise every pair is put out once.
+    """
+
+    def __init__(self, width: int, unmatched: bool):
+        self.width, self.unmatched = width, unmatched
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.columns = ["is_start", "uid", "at", "until", *(f"c{i}" for i in range(self.width))]
+        self.schema = pa.schema([("is_start", pa.bool_()), ("uid", pa.string()), ("at", pa.int64()), ("until", pa.int64()), *((f"c{i}", pa.string()) for i in range(self.width))])
+        fields = [T.StructField("timer", T.LongType()), T.StructField("rows", T.BinaryType())]
+        self.handle, self.state = handle, handle.getValueState("held", T.StructType(fields))
+
+    def _read(self) -> tuple[int | None, pa.Table]:
+        held = self.state.get()
+        if held is None:
+            return None, self.schema.empty_table()
+        with pa.ipc.open_stream(held[1]) as rows:
+            return held[0], rows.read_all()
+
+    def _keep(self, rows: pa.Table, before: pa.Table, timer: int | None) -> None:
+        """Holds the rows in place of those before; the group is called again when the first start can be put out."""
+        ends = rows["until"].to_numpy()[rows["is_start"].to_numpy()] if self.unmatched else []
+        due = -(-int(ends.min()) // 1000) if len(ends) else None
+        if due != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if due is not None:
+                self.handle.registerTimer(due)
+        if not len(rows):
+            if len(before):
+                self.state.clear()
+            return
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, self.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as writer:
+            writer.write_table(rows.combine_chunks())
+        self.state.update((due, out.getvalue().to_pybytes()))
+
+    def _put_out(self, rows: pa.Table) -> Iterator[pd.DataFrame]:
+        for a in range(0, len(rows), AT_A_TIME):
+            yield rows.slice(a, AT_A_TIME).to_pandas()
+
+    def _waiting(self, rows: pa.Table, watermark: int) -> tuple[pa.Table, pa.Table]:
+        """What later rows, all of them after the watermark, may meet, and the starts that they may not."""
+        is_start, at, until = (rows[c].to_numpy() for c in ("is_start", "at", "until"))
+        waits = np.where(is_start, until, at) > watermark
+        return rows.filter(pa.array(waits)), rows.filter(pa.array(is_start & ~waits))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        timer, held = self._read()
+        new = [pa.Table.from_pandas(x[self.columns], self.schema, preserve_index=False) for x in rows]
+        both = pa.concat_tables([held, *new]).combine_chunks()
+        is_start, at, until = (both[c].to_numpy() for c in ("is_start", "at", "until"))
+        uid = both["uid"].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
+        starts, ends = np.flatnonzero(is_start & (uid >= 0)), np.flatnonzero(~is_start & (uid >= 0))
+        # An end's place is its key and then its rank in time, so the ends that a start meets follow one another.
+        times = np.sort(at[ends])
+        place = uid[ends].astype(np.int64) * (len(ends) + 1) + np.searchsorted(times, at[ends])
+        order = np.argsort(place, kind="stable")
+        ends, place = ends[order], place[order]
+        base = uid[starts].astype(np.int64) * (len(ends) + 1)
+        low = np.searchsorted(place, base + np.searchsorted(times, at[starts]))
+        high = np.maximum(low, np.searchsorted(place, base + np.searchsorted(times, until[starts], "right")))
+        watermark = timerValues.getCurrentWatermarkInMs() * 1000
+        if self.unmatched:
+            open_ = np.ones(len(both), bool)
+            open_[starts[high > low]] = False
+            waiting, over = self._waiting(both.filter(pa.array(open_)), watermark)
+            found = self._put_out(over.select(self.columns[4:]))
+        else:
+            waiting, _ = self._waiting(both, watermark)
+            found = self._pairs(both, len(held), starts, low, high, ends)
+        self._keep(waiting, held, timer)
+        return found
+
+    def _pairs(self, both: pa.Table, held: int, starts, low, high, ends) -> Iterator[pd.DataFrame]:
+        """The pairs of which one side is not among the first `held` rows."""
+        carried = both.select(self.columns[4:])
+        counts = high - low
+        # Cut where the pairs so far pass the next AT_A_TIME; a start has its pairs in one part.
+        number = (np.cumsum(counts) - counts) // AT_A_TIME
+        cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(starts)]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            n = counts[a:b]
+            s = np.repeat(starts[a:b], n)
+            e = ends[np.repeat(low[a:b] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            fresh = (s >= held) | (e >= held)
+            left, right = carried.take(pa.array(s[fresh])), carried.take(pa.array(e[fresh]))
+            yield from self._put_out(pa.table([*left.columns, *right.columns], [*(f"s{i}" for i in range(self.width)), *(f"e{i}" for i in range(self.width))]))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        timer, held = self._read()
+        waiting, over = self._waiting(held, timerValues.getCurrentWatermarkInMs() * 1000)
+        # Spark drops the timer that has called.
+        self._keep(waiting, held, None if timer == expiredTimerInfo.getExpiryTimeInMs() else timer)
+        return self._put_out(over.select(self.columns[4:]))
+
+    def close(self) -> None:
+        pass
+
+
+def _met(starts: DataFrame, ends: DataFrame, late: str, longest: str, of_start: Sequence, of_end: Sequence, unmatched: bool) -> DataFrame:
+    """Starts and ends (uid, time) with the columns named, as text: c0, c1, ... of starts without an end, or s0, ... and e0, ... of pairs.
+
+    A group of keys holds its rows as one table, which is read and written once a
+    batch, however many of its rows meet in the batch. So most never get into the
+    state, and none is looked up there by itself.
+    """
+    width = max(len(of_start), len(of_end))
+    both = _dealt(starts, True, late, F.expr(f"time + INTERVAL {longest}"), of_start, width).unionByName(_dealt(ends, False, late, None, of_end, width))
+    names = [f"c{i}" for i in range(width)] if unmatched else [f"{side}{i}" for side in "se" for i in range(width)]
+    return both.groupBy("bucket").transformWithStateInPandas(
+        statefulProcessor=_Meeting(width, unmatched),
+        outputStructType=", ".join(f"{n} string" for n in names),
+        outputMode="Append",
+        timeMode="EventTime",
+    )
+
 
 def match(starts: DataFrame, ends: DataFrame, late: str, longest: str) -> DataFrame:
     """Ends joined to their starts as both arrive; a start is forgotten when no end can come any more.
@@ -145,10 +289,8 @@ def open_starts(starts: DataFrame, ends: DataFrame, late: str, longest: str) ->
     starts, ends: normalised events as streams, other kinds do not count; late: how much too late a row may come.
     An end that comes within that time is in no result, nor is its start.
     """
-    starts = starts.where("event_kind = 'Start'").select(
-        "class", "service_id", "start_millis", F.col("event_uid").alias("start_uid"), F.col("ts").alias("start_time")
-    )
-    ends = ends.where("event_kind = 'End'").select(F.col("start_event_uid").alias("end_uid"), F.col("ts").alias("end_time"))
-    same = F.expr(f"start_uid = end_uid AND end_time >= start_time AND end_time <= start_time + INTERVAL {longest}")
-    joined = starts.withWatermark("start_time", late).join(ends.withWatermark("end_time", late), same, "left_outer")
-    return joined.where("end_uid IS NULL").select("class", "service_id", "start_millis")
+    starts = starts.where("event_kind = 'Start'").select(F.col("event_uid").alias("uid"), F.col("ts").alias("time"), "class", "service_id", "start_millis")
+    ends = ends.where("event_kind = 'End' AND start_event_uid IS NOT NULL").select(F.col("start_event_uid").alias("uid"), F.col("ts").alias("time"))
+    carried = [F.col("class"), F.col("service_id"), F.col("start_millis")]
+    left = _met(starts, ends, late, longest, carried, [], unmatched=True)
+    return left.select(F.col("c0").alias("class"), F.col("c1").alias("service_id"), F.col("c2").cast("long").alias("start_millis"))

@@ -5,6 +5,8 @@ import random
 import re
 import time
 
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row, functions as F
 
@@ -85,6 +87,63 @@ def test_open_starts_wait_for_late_ends(spark):
     assert names(4) == ["c", "d", "e"]
 
 
+def starts_held(spark, state):
+    """Starts that the groups of a stream hold after its last batch."""
+    tables = [pa.ipc.open_stream(bytes(r.value.rows)).read_all() for r in spark.read.format("statestore").option("stateVarName", "held").load(state).collect()]
+    return sorted(row["uid"] for t in tables for row in t.to_pylist() if row["is_start"])
+
+
+def test_a_start_whose_end_has_come_is_not_kept(spark):
+    """An end may come longest after its start; until then the state would hold every operation there was."""
+    build = lambda s: jobs.open_starts(s, s, "10 seconds", "100000 seconds")
+    batches = [events(spark, ("Start", "a", 1000), ("Start", "b", 1001), ("End", "a", 1002)), events(spark, ("End", "b", 1010), ("Start", "c", 1011), ("End", "c", 1012), ("Start", "d", 1013))]
+    assert starts_held(spark, fed(spark, batches[:1], EVENTS, build)[1]) == ["Start:b"]
+    assert starts_held(spark, fed(spark, batches, EVENTS, build)[1]) == ["Start:d"]
+
+
+class _At:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+    getExpiryTimeInMs = getCurrentWatermarkInMs
+
+
+@pytest.mark.parametrize("at_a_time", [1, 3, 100_000])
+def test_a_group_is_read_and_written_once_and_gives_its_rows_in_parts(monkeypatch, at_a_time):
+    monkeypatch.setattr(jobs, "AT_A_TIME", at_a_time)
+    handle, r = _Held(), random.Random(at_a_time)
+    for unmatched in (False, True):
+        group = jobs._Meeting(1, unmatched)
+        group.init(handle)
+        handle.key, seen, found = unmatched, [], []
+        for batch in range(4):
+            new = [(r.random() < 0.5, r.choice([None, "a", "b"]), r.randrange(50) * 10**6, str(batch * 100 + i)) for i in range(30)]
+            frame = pd.DataFrame([(s, u, at, at + 20 * 10**6 if s else 0, n) for s, u, at, n in new], columns=["is_start", "uid", "at", "until", "c0"])
+            # Nothing is late before the last batch; then the watermark is past all.
+            parts = list(group.handleInputRows((0,), iter([frame[:13], frame[13:]]), _At(-1 if batch < 3 else 10**9)))
+            assert not unmatched or batch == 3 or not parts
+            found += [row for p in parts for row in p.itertuples(index=False)]
+            seen += new
+        assert handle.key not in handle.rows and not handle.timers
+        met = [(s, e) for s in seen for e in seen if s[0] and not e[0] and s[1] is not None and s[1] == e[1] and s[2] <= e[2] <= s[2] + 20 * 10**6]
+        want = [(s[3],) for s in seen if s[0] and s not in {m[0] for m in met}] if unmatched else [(s[3], e[3]) for s, e in met]
+        assert sorted(map(tuple, found)) == sorted(want) and len(want) > 3
+
+
+def test_a_start_is_put_out_by_its_groups_timer():
+    handle, group = _Held(), jobs._Meeting(1, True)
+    group.init(handle)
+    rows = pd.DataFrame([(True, "a", 0, 5_000_000, "1"), (True, "b", 0, 9_000_001, "2"), (False, "c", 0, 0, "")], columns=["is_start", "uid", "at", "until", "c0"])
+    assert list(group.handleInputRows((0,), iter([rows]), _At(-1))) == [] and handle.timers == {(None, 5000)}
+    handle.timers.clear()  # as Spark does
+    assert [list(p["c0"]) for p in group.handleExpiredTimer((0,), _At(5000), _At(5000))] == [["1"]] and handle.timers == {(None, 9001)}
+    handle.timers.clear()
+    assert [list(p["c0"]) for p in group.handleExpiredTimer((0,), _At(9001), _At(9001))] == [["2"]] and not handle.timers and not handle.rows
+
+
 ROWS = "id string, seq long, v string"
 
 
