@@ -158,17 +158,11 @@ def match(starts: DataFrame, ends: DataFrame, late: str, longest: str) -> DataFr
     starts, ends: normalised events as streams, other kinds do not count; late: how much too late a row may come;
     longest: the longest interval.
     """
-    starts = starts.where("event_kind = 'Start'").select(
-        F.col("event_uid").alias("start_uid"), F.col("ts").alias("start_time"), F.col("start_millis").alias("start_ms"), "trace_id"
-    )
-    ends = ends.where("event_kind = 'End'").select(
-        F.col("start_event_uid").alias("end_uid"), F.col("ts").alias("end_time"), F.col("start_millis").alias("end_ms"), "class"
-    )
-    same = F.expr(
-        f"start_uid = end_uid AND end_time >= start_time AND end_time <= start_time + INTERVAL {longest}"
-    )
-    joined = starts.withWatermark("start_time", late).join(ends.withWatermark("end_time", late), same)
-    return joined.select("trace_id", "class", "start_ms", "end_ms", (F.col("end_ms") - F.col("start_ms")).alias("duration_ms"))
+    starts = starts.where("event_kind = 'Start'").select(F.col("event_uid").alias("uid"), F.col("ts").alias("time"), "start_millis", "trace_id")
+    ends = ends.where("event_kind = 'End'").select(F.col("start_event_uid").alias("uid"), F.col("ts").alias("time"), "start_millis", "class")
+    met = _met(starts.where("uid IS NOT NULL"), ends.where("uid IS NOT NULL"), late, longest, [F.col("start_millis"), F.col("trace_id")], [F.col("start_millis"), F.col("class")], unmatched=False)
+    pairs = met.select(F.col("s1").alias("trace_id"), F.col("e1").alias("class"), F.col("s0").cast("long").alias("start_ms"), F.col("e0").cast("long").alias("end_ms"))
+    return pairs.withColumn("duration_ms", F.col("end_ms") - F.col("start_ms"))
 
 
 def rollup(df: DataFrame, ts: str, keys: Sequence[str], late: str = "60 seconds", width: str = "1 minute") -> DataFrame:

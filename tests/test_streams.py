@@ -101,6 +101,20 @@ def test_a_start_whose_end_has_come_is_not_kept(spark):
     assert starts_held(spark, fed(spark, batches, EVENTS, build)[1]) == ["Start:d"]
 
 
+def test_each_pair_comes_once_whichever_batch_its_sides_come_in(spark):
+    """Repeated starts and ends, ends before their starts' batch, missing keys and times, and times that pandas does not have."""
+    r = random.Random(3)
+    rows = [(r.choice(["Start", "End"]), r.choice("abcdefgh"), r.randrange(0, 900)) for _ in range(160)]
+    batches = [events(spark, *rows[i : i + 40]) for i in range(0, 160, 40)]
+    none = [("Job", "x", "Start", None, None, 5000, datetime.datetime.fromtimestamp(5)), ("Job", "x", "End", None, None, 5000, datetime.datetime.fromtimestamp(5)), ("Job", "y", "Start", "Start:y", None, None, None)]
+    far = [("Job", "z", kind, f"{kind}:z", "Start:z" if kind == "End" else None, ms, datetime.datetime(9999, 12, 1, 0, 0, s)) for kind, ms, s in (("Start", 7, 1), ("End", 2**60 + 1, 2))]
+    batches = [batches[0] + none, *batches[1:], far]
+    out, _ = fed(spark, batches, EVENTS, lambda s: jobs.match(s.withColumn("trace_id", F.concat(F.lit("t"), "service_id")), s, "1000 seconds", "100 seconds"))
+    assert out.columns == ["trace_id", "class", "start_ms", "end_ms", "duration_ms"]
+    want = [("t" + i, "Job", s * 1000, e * 1000, (e - s) * 1000) for k, i, s in rows for k2, i2, e in rows if (k, k2) == ("Start", "End") and i == i2 and s <= e <= s + 100]
+    assert len(want) > 50 and sorted(map(tuple, out.collect())) == sorted([*want, ("tz", "Job", 7, 2**60 + 1, 2**60 - 6)])
+
+
 class _At:
     def __init__(self, ms):
         self.ms = ms
