@@ -150,25 +150,63 @@ def jobs(t: Tables) -> DataFrame:
 
 
 def order_lines(t: Tables) -> DataFrame:
-    """Line items dealt by their order: groups below the order and the join to it then move them no second time."""
-    rows = t.lineitem.where("l_orderkey IS NOT NULL")
+    """Line items dealt by their order: groups below the order and the join to it then move them no second time.
+
+    `_line` is cents, whole quantity, number and status of a usual line as one number;
+    other lines have them as they are in `_odd`. `line` reads both. As no part of
+    them can be left out, all who ask for lines without `l_returnflag` move the same
+    columns, and Spark moves these once.
+    """
+    usual = F.col("l_linenumber").between(0, 255) & (F.col("l_quantity") >= 0) & (F.col("l_quantity") < 1000) & (F.col("l_extendedprice") >= 0) & (F.col("l_extendedprice") < 1e10)
+    place = F.when(F.col("l_linestatus") == "F", 2).when(F.col("l_linestatus") < "F", 1).when(F.col("l_linestatus") > "F", 3).otherwise(0)
+    packed = ((cents("l_extendedprice") * 1024 + F.floor("l_quantity")) * 256 + F.col("l_linenumber")) * 4 + place
+    rows = t.lineitem.where("l_orderkey IS NOT NULL").select(
+        "l_orderkey",
+        "l_partkey",
+        "l_returnflag",
+        F.when(usual, packed).alias("_line"),
+        F.when(~F.coalesce(usual, F.lit(False)), F.array(F.col("l_linenumber").cast("double"), "l_quantity", "l_extendedprice", place.cast("double"))).alias("_odd"),
+    )
     # Four partitions for each split of the files, so that a task's groups stay as many when the input grows.
     parts = 4 * rows.rdd.getNumPartitions()
     few = parts <= int(t.spark.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition("l_orderkey") if few else rows.repartition(parts, "l_orderkey")
 
 
+def line(c: str) -> Column:
+    """A column of dealt order lines: number, place (of the status: none, before F, F or after it, 0 to 3), quantity or cents."""
+    line_, odd = F.col("_line"), lambda i: F.element_at("_odd", i)
+    usual, other = {
+        "number": (F.shiftright(line_, 2).bitwiseAND(255).cast("int"), odd(1).cast("int")),
+        "quantity": (F.shiftright(line_, 10).bitwiseAND(1023), F.floor(odd(2))),
+        "cents": (F.shiftright(line_, 20), cents(odd(3))),
+        "place": (line_.bitwiseAND(3).cast("int"), odd(4).cast("int")),
+    }[c]
+    return F.when(line_.isNotNull(), usual).otherwise(other)
+
+
+def _order_tasks(t: Tables) -> DataFrame:
+    """Dealt order lines by order, line and part."""
+    return order_lines(t).groupBy("l_orderkey", line("number").alias("l_linenumber"), "l_partkey").agg(
+        F.max(line("place")).alias("last_place"),
+        F.sum(line("cents")).alias("bytes"),
+        F.sum(line("quantity")).alias("quantity"),
+        F.min("l_returnflag").alias("flag"),
+        F.count(F.lit(1)).alias("num_tasks"),
+    )
+
+
 def stages(t: Tables, orders: DataFrame | None = None, more: Sequence[str] = ()) -> DataFrame:
     """Order lines as stages with their byte counts; a stage is open while one of its lines is.
 
     orders: the given orders with further columns, of which `more` are kept.
     """
-    lines_ = order_lines(t).groupBy("l_orderkey", "l_linenumber").agg(
-        F.max("l_linestatus").alias("last_status"),
-        F.sum(cents("l_extendedprice")).alias("bytes"),
-        F.sum(F.floor("l_quantity")).alias("quantity"),
-        F.min("l_returnflag").alias("flag"),
-        F.count(F.lit(1)).alias("num_tasks"),
+    lines_ = _order_tasks(t).groupBy("l_orderkey", "l_linenumber").agg(
+        F.max("last_place").alias("last_place"),
+        F.sum("bytes").alias("bytes"),
+        F.sum("quantity").alias("quantity"),
+        F.min("flag").alias("flag"),
+        F.sum("num_tasks").alias("num_tasks"),
     )
     start = millis("o_orderdate") + F.col("l_linenumber") * HOUR
     return lines_.join(t.orders if orders is None else orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
@@ -177,7 +215,7 @@ def stages(t: Tables, orders: DataFrame | None = None, more: Sequence[str] = ())
         F.col("o_orderkey").alias("job"),
         (F.col("o_orderkey") * 10 + F.col("l_linenumber")).alias("stage"),
         start.alias("start_ms"),
-        F.when(F.col("last_status") == "F", start + 30 * MINUTE).alias("end_ms"),
+        F.when(F.col("last_place") == 2, start + 30 * MINUTE).alias("end_ms"),
         "bytes",
         "quantity",
         "flag",
@@ -189,11 +227,7 @@ def stages(t: Tables, orders: DataFrame | None = None, more: Sequence[str] = ())
 
 def tasks(t: Tables, orders: DataFrame | None = None, more: Sequence[str] = ()) -> DataFrame:
     """Line items as tasks of their stage; a task is open unless all its rows are finished. orders, more: as for stages."""
-    rows = order_lines(t).groupBy("l_orderkey", "l_linenumber", "l_partkey").agg(
-        F.max("l_linestatus").alias("last_status"),
-        F.sum(F.floor("l_quantity")).alias("quantity"),
-        F.sum(cents("l_extendedprice")).alias("bytes"),
-    )
+    rows = _order_tasks(t)
     start = millis("o_orderdate") + F.col("l_linenumber") * HOUR + MINUTE
     return rows.join(t.orders if orders is None else orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
         *more,
@@ -202,7 +236,7 @@ def tasks(t: Tables, orders: DataFrame | None = None, more: Sequence[str] = ())
         (F.col("o_orderkey") * 10 + F.col("l_linenumber")).alias("stage"),
         F.col("l_partkey").alias("task"),
         start.alias("start_ms"),
-        F.when(F.col("last_status") == "F", start + F.col("quantity") * MINUTE).alias("end_ms"),
+        F.when(F.col("last_place") == 2, start + F.col("quantity") * MINUTE).alias("end_ms"),
         "bytes",
     )
 
@@ -242,11 +276,8 @@ def raw_events(t: Tables, kinds: tuple[str, ...] = ALL_EVENTS) -> DataFrame:
         "start_ms",
         "end_ms",
     )
-    place = t.customer.select(
-        F.col("c_custkey").alias("app"),
-        F.concat(F.lit("host-"), F.col("c_nationkey")).alias("host"),
-        F.concat(F.lit("/events/app-"), F.col("c_custkey")).alias("file_path"),
-    )
+    host = F.concat(F.lit("host-"), F.col("c_nationkey")).alias("host")
+    file_path = F.concat(F.lit("/events/app-"), F.col("app")).alias("file_path")
 
     def event(name: str, ms: str, *fields: Column) -> Column:
         line = F.to_json(F.struct(F.lit(name).alias("Event"), *fields))
@@ -262,11 +293,24 @@ def raw_events(t: Tables, kinds: tuple[str, ...] = ALL_EVENTS) -> DataFrame:
 
     app_id = F.concat(F.lit("app-"), F.col("app"))
     properties = F.struct(app_id.alias("spark.app.id"), F.lit("scope").alias("spark.rdd.scope")).alias("Properties")
-    # Orders take their customer's place once; their lines meet both in one join.
-    placed = t.orders.join(place, F.col("o_custkey") == F.col("app")).drop("app")
-    job = spread(jobs(t)).join(place, "app")
-    stage = stages(t, placed, ("host", "file_path"))
-    task = tasks(t, placed, ("host", "file_path"))
+    # Orders meet their customer once for jobs, stages and tasks, each with its start and whether it has ended as one number;
+    # the names of their place are made after the last move. Stages and tasks ask for the same columns, so Spark moves these once.
+    span = millis("o_orderdate") * 2 + F.when(F.col("o_orderstatus") != "O", 1).otherwise(0)
+    started = F.shiftright("_span", 1)
+    placed = (
+        t.orders.select("o_custkey", "o_orderkey", "o_orderpriority", span.alias("_span"))
+        .join(t.customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+        .select("o_custkey", "o_orderkey", "o_orderpriority", "_span", "c_nationkey", F.timestamp_millis(started).alias("o_orderdate"))
+    )
+    job = placed.select(
+        F.col("o_custkey").alias("app"),
+        "c_nationkey",
+        F.col("o_orderkey").alias("job"),
+        started.alias("start_ms"),
+        F.when(F.col("_span").bitwiseAND(1) == 1, started + DAY).alias("end_ms"),
+    ).select("*", host, file_path)
+    stage = stages(t, placed, ("c_nationkey",)).select("*", host, file_path)
+    task = tasks(t, placed, ("c_nationkey",)).select("*", host, file_path)
     sql = spread(t.events).select(
         F.lit("host-sql").alias("host"),
         F.concat(F.lit("/events/app-"), F.col("user_id")).alias("file_path"),

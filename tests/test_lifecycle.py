@@ -326,6 +326,37 @@ def test_line_items_are_read_and_moved_once_per_kind(name, scans, spark):
     assert len(re.findall(r"Exchange hashpartitioning\(l_orderkey", text)) == scans
 
 
+def test_stages_and_tasks_share_one_move_of_lines_and_of_orders(spark):
+    from opswell.plans import load
+
+    rows = load()["str01"](spark, "/root/testdata/sf0.001")
+    rows.collect()
+    ran = rows._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    moved = [line for line in ran.splitlines() if "Exchange hashpartitioning(l_orderkey" in line]
+    assert ["Reused" in line for line in moved] in ([False, True], [True, False])
+
+
+def test_dealt_lines_hold_what_the_given_ones_do(spark, tmp_path):
+    """Lines that do not fit one number, and those at its bounds."""
+    from opswell.sources import standins
+    from opswell.sources.tables import SCHEMAS, Tables
+
+    usual = [(1, 10, 2, 255, 999.9, 9999999999.99, "F"), (1, 11, 2, 0, 0.0, 0.0, "O"), (2, 2**62, 2, 7, 49.0, 24386.67, None), (2, -5, 2, 1, 1.0, 0.005, "A")]
+    odd = [(3, 1, 2, 256, 1.0, 1.0, "F"), (3, 1, 2, -1, 1.0, 1.0, "F"), (3, 1, 2, None, 1.0, 1.0, "O"), (3, 1, 2, 1, -1.0, 1.5, "F"), (3, 1, 2, 2, 1000.0, 1e10, "F"), (4, None, 2, 3, None, -7.25, "f"), (4, 1, 2, 3, 5.0, None, "")]
+    nan = [(5, 1, 2, 3, 2.0, float("nan"), "F")]  # its cents cannot be told, as before; the rest can
+    rows = [(o, p, s, n, q, e, 0.0, 0.0, "N", st, None) for o, p, s, n, q, e, st in usual + odd + nan]
+    spark.createDataFrame(rows, SCHEMAS["lineitem"]).write.parquet(f"{tmp_path}/lineitem.parquet")
+    dealt = standins.order_lines(Tables(spark, str(tmp_path)))
+    got = dealt.select("l_orderkey", "l_partkey", *[standins.line(c).alias(c) for c in ("number", "quantity", "place")]).collect()
+    place = lambda st: 0 if st is None else 2 if st == "F" else 1 if st < "F" else 3
+    none_first = lambda rows: sorted(rows, key=lambda r: tuple((x is not None, x or 0) for x in r))
+    want = [(o, p, n, None if q is None else int(q // 1), place(st)) for o, p, s, n, q, e, st in usual + odd + nan]
+    assert none_first(map(tuple, got)) == none_first(want)
+    cents = dealt.where("l_orderkey < 5").select("l_orderkey", "l_partkey", standins.line("cents").alias("c")).collect()
+    direct = spark.createDataFrame(rows[:-1], SCHEMAS["lineitem"]).select("l_orderkey", "l_partkey", numbers.cents("l_extendedprice").alias("c")).collect()
+    assert none_first(map(tuple, cents)) == none_first(map(tuple, direct))
+
+
 def test_numbers_as_text_give_what_a_cast_gives(spark):
     """Text that is no number is told by its signs, before a cast would fail on it row by row."""
     texts = ["12", "-7", "+7", " 5 ", "\t\n9\r", "\x00\x1f3\x7f", "x12", "", " ", "+", "1.5", "1e3", "9223372036854775807", "9223372036854775808", "1 2", "٣", "12 ", " 5", "007", "1L", None]
