@@ -35,8 +35,9 @@ def targets(sources: DataFrame, most: int = MOST_EPOCHS) -> DataFrame:
         "*",
         ((F.sum("source_size").over(everything) - F.coalesce(F.sum(bound).over(before), F.lit(0))) / F.sum("weight").over(onward)).alias("_level"),
     )
-    # The level rises while sources fill up and is constant afterwards; the first one that is not full sets it.
-    open_level = F.min(F.when(F.col("_full_at") >= F.col("_level"), F.struct("_full_at", "_level"))).over(everything)["_level"]
+    # The level rises while sources fill up; the first one that is not full sets it. Of several with one bound over weight
+    # that is the one with the highest level, as each that is taken for full though it is not lowers the next one's.
+    open_level = -F.min(F.when(F.col("_full_at") >= F.col("_level"), F.struct("_full_at", (-F.col("_level")).alias("_down")))).over(everything)["_down"]
     return level.withColumn(
         "target", F.when(F.col("_full_at") < F.coalesce(open_level, F.lit(0.0)), bound.cast("double")).otherwise(F.coalesce(open_level, F.lit(0.0)) * F.col("weight"))
     ).drop("_full_at", "_level")

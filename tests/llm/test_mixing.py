@@ -65,6 +65,13 @@ def test_targets_and_cuts(spark, drawn):
     check(spark, [(i, words(i, n), None, s, None) for i, (s, n) in enumerate(drawn)], rows_per_range=7)
 
 
+def test_sources_that_reach_their_bound_together(spark):
+    """Bound over weight is 30 for both sources with words, and neither is full."""
+    drawn = [("b", 20), ("a", 0), (None, 30)]
+    got = check(spark, [(i, words(i, n), None, s, None) for i, (s, n) in enumerate(drawn)], rows_per_range=7)
+    assert sorted(r[3] for r in got) == [0.0, 20.0, 30.0]
+
+
 def test_hot_source_in_ranges(spark):
     rows = [(i, words(i, 1 + i % 17), None, "hot" if i % 3 else f"s{i % 5}", None) for i in range(900)]
     assert sorted(check(spark, rows, rows_per_range=20)) == sorted(check(spark, rows))
