@@ -115,6 +115,15 @@ def test_each_pair_comes_once_whichever_batch_its_sides_come_in(spark):
     assert len(want) > 50 and sorted(map(tuple, out.collect())) == sorted([*want, ("tz", "Job", 7, 2**60 + 1, 2**60 - 6)])
 
 
+def test_pairs_wait_in_one_table_for_each_group(spark, monkeypatch):
+    """The state has an entry for each group of keys, not some for each row."""
+    monkeypatch.setattr(jobs, "BUCKETS", 2, raising=False)
+    batch = events(spark, *[("Start", f"{i}", 1000 + i) for i in range(50)])
+    _, state = fed(spark, [batch], EVENTS, lambda s: jobs.match(s.withColumn("trace_id", F.col("service_id")), s, "1000 seconds", "100 seconds"))
+    assert len(starts_held(spark, state)) == 50
+    assert spark.read.format("statestore").option("stateVarName", "held").load(state).count() == 2
+
+
 class _At:
     def __init__(self, ms):
         self.ms = ms
